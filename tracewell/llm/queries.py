@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import packing, token_files, url_filter
+from tracewell.llm import neardup, packing, token_files, url_filter
 from tracewell.llm.common import tokenizer_path
 
 
+#: The folder that holds the package: Python workers must find it as the driver does.
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -26,10 +32,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_token_files": op3_token_files,
     "op4_packing": op4_packing,
+    "op6_minhash": op6_minhash,
 }
 
 ORACLE: dict[str, str] = {
