@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import neardup, packing, token_files, url_filter
+from tracewell.llm import decontaminate, neardup, packing, token_files, url_filter
 from tracewell.llm.common import tokenizer_path
 
 
@@ -36,11 +36,17 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=13, percent=5)
+    return found.drop("items", "hit_spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_token_files": op3_token_files,
     "op4_packing": op4_packing,
     "op6_minhash": op6_minhash,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 ORACLE: dict[str, str] = {
