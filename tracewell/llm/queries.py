@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import decontaminate, neardup, packing, suffix_dedup, token_files, url_filter
+from tracewell.llm import decontaminate, embedding_dedup, neardup, packing, suffix_dedup, token_files, url_filter
 from tracewell.llm.common import tokenizer_path
 
 
@@ -29,7 +29,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(_read(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+    return token_files.round_trip(_read(spark, sf_dir, "documents"), tokenizer_path(), ids=False)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=13, percent=5)
     return found.drop("items", "hit_spans")
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_packing": op4_packing,
     "op6_minhash": op6_minhash,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_decontaminate": op9_decontaminate,
 }
 
