@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import decontaminate, embedding_dedup, neardup, packing, suffix_dedup, token_files, url_filter
+from tracewell.llm import decontaminate, embedding_dedup, language_id, neardup, packing, suffix_dedup, token_files, url_filter
 from tracewell.llm.common import tokenizer_path
 
 
@@ -40,6 +40,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.learned_split(_read(spark, sf_dir, "documents"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_packing": op4_packing,
     "op6_minhash": op6_minhash,
+    "op7_language_id": op7_language_id,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_decontaminate": op9_decontaminate,
 }
