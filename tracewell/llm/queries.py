@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import decontaminate, embedding_dedup, language_id, neardup, packing, suffix_dedup, token_files, url_filter
+from tracewell.llm import decontaminate, embedding_dedup, language_id, neardup, packing, quality, suffix_dedup, token_files, url_filter
 from tracewell.llm.common import tokenizer_path
 
 
@@ -53,6 +53,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items", "hit_spans")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_url_filter": op2_url_filter,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_decontaminate": op9_decontaminate,
+    "op10_quality": op10_quality,
 }
 
 ORACLE: dict[str, str] = {
