@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import decontaminate, embedding_dedup, language_id, neardup, packing, quality, suffix_dedup, token_files, url_filter
+from tracewell.llm import decontaminate, embedding_dedup, language_id, neardup, ngram_lm, packing, quality, suffix_dedup, token_files, url_filter
 from tracewell.llm.common import tokenizer_path
 
 
@@ -36,6 +36,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
+def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.held_out_scores(_read(spark, sf_dir, "documents"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_token_files": op3_token_files,
     "op4_packing": op4_packing,
+    "op5_ngram_lm": op5_ngram_lm,
     "op6_minhash": op6_minhash,
     "op7_language_id": op7_language_id,
     "op8_embedding_dedup": op8_embedding_dedup,
