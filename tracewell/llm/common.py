@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +90,24 @@ def chunks(ids: list, texts: list[bytes | None], most: int = CHUNK_BYTES) -> Ite
         yield a, b
 
 
+def squeezed(docs: DataFrame, *keep: str) -> DataFrame:
+    """docs with the text's bytes compressed in z (null: of none), doc_id, and the long columns `keep`: less to shuffle."""
+    names = [*keep, "doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            z = pa.array([squeeze.compress(t or b"") for t in as_bytes(b.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), z], names=[*names, "z"])
+
+    return docs.select(*names, "text").mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", z binary")
+
+
+def unsqueezed(column: pa.Array) -> list[bytes]:
+    wide = zstandard.ZstdDecompressor()
+    return [wide.decompress(z) for z in column.to_pylist()]
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=schema.field(n).type) for n, c in columns.items()], schema=schema)
 
@@ -130,6 +149,36 @@ def spans(lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with equal keys, from batches sorted by them; a run must fit in memory."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        table = pa.Table.from_batches([*held, b]).combine_chunks().to_batches()[0]
+        cols = [table.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        edges = [0, *cuts.tolist()]
+        for s, e in zip(edges, edges[1:], strict=False):
+            yield table.slice(s, e - s)
+        held = [table.slice(edges[-1])]
+    yield from held
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number reachable from each of 0 .. n-1 by links."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component): for each id of the links (a, b) the smallest id it reaches.
 

@@ -23,8 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import components, own_columns, spans, stash
-from tracewell.llm.neardup import groups
+from tracewell.llm.common import components, forest, groups, own_columns, spans, stash
 
 CELL_MISS, COUNT_MISS = 2e-4, 5e-4
 PROJECTIONS = 16
@@ -70,20 +69,6 @@ def collisions(x: np.ndarray, y: np.ndarray, width: float) -> np.ndarray:
     return np.bincount(np.repeat(np.tile(np.arange(m), k), size) * n + hit, minlength=m * n).reshape(m, n)
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least number reachable from each of 0 .. n-1 by links."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def link_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding, label).
 

@@ -6,10 +6,11 @@ values at a time: with m agreements in n values and a uniform prior, the similar
 and once it lies above the threshold with less than the chosen miss probability the pair is dropped. Survivors are
 verified on their full sets. Links join classes to components.
 
-Within a bucket not all pairs are taken. First each class is compared with the bucket's smallest; then, with a hub that
-differs by bucket, classes that aren't in the hub's component yet; at last all pairs that are still in different
-components, block by block in tasks that keep only survivors. Pairs in one component can't change the result, so nothing
-is lost, and a group of near copies costs a few comparisons a member.
+Within a bucket not all pairs are taken. First each class is compared with the smallest class of all its buckets; then with
+each bucket's own hub, unless it is in the hub's component by now. What is left are pairs in different components. Tasks
+look for survivors among them, one block of a bucket against another, and give only a spanning forest of what they find.
+The forests' components are verified in the same manner, again giving forests. Pairs in one component can't change the
+result, so nothing is lost; no table holds a row for each pair, and a group of near copies costs a few rows a member.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import as_bytes, blobs, chunks, components, drop, mix, own_columns, stash
+from tracewell.llm.common import as_bytes, blobs, chunks, components, drop, forest, groups, mix, own_columns, squeezed, stash, unsqueezed
 from tracewell.llm.shingles import shingle_set, words
 
 #: Bands and rows of a signature. At a similarity of 0.85 a pair shares no band with probability 1.2e-5, at 0.8 with 6e-4 a
@@ -99,27 +100,43 @@ def survivors(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, thresh
     return alive
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with equal keys, from batches sorted by them; a run must fit in memory."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        table = pa.Table.from_batches([*held, b]).combine_chunks().to_batches()[0]
-        cols = [table.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-        edges = [0, *cuts.tolist()]
-        for s, e in zip(edges, edges[1:], strict=False):
-            yield table.slice(s, e - s)
-        held = [table.slice(edges[-1])]
-    yield from held
-
-
 def fixed(column: pa.Array, dtype: type) -> np.ndarray:
     """A binary column whose values have one length, as a matrix."""
     return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(len(column), -1)
 
 
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether sorted sets are similar enough."""
+    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def tiles(members: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """members (keys, id, component, n of the key's members), once for each pair (i, j) of blocks that their own is in."""
+    blocks = F.ceil(F.col("n") / size).cast("int")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.select(*keys, "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
+def cross_pairs(g: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a tile's rows, one of block i and one of block j, in different components."""
+    ids, component, block = (g.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "block"))
+    i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
+    one, two = (np.flatnonzero(block == i), np.flatnonzero(block == j)) if i != j else (np.arange(len(ids)),) * 2
+    apart = component[one][:, None] != component[two][None]
+    if i == j:
+        apart &= ids[one][:, None] < ids[two][None]
+    x, y = np.nonzero(apart)
+    return one[x], two[y]
+
+
+def spanning(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """Links that join what the links ids[x], ids[y] join, at most one for each id."""
+    root = forest(len(ids), x, y)
+    some = np.flatnonzero(root != np.arange(len(ids)))
+    return pa.RecordBatch.from_arrays([pa.array(ids[root[some]]), pa.array(ids[some])], names=["a", "b"])
+
+
 def _signed(docs: DataFrame, shingle: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,7 +155,7 @@ def _signed(docs: DataFrame, shingle: int, k: int) -> DataFrame:
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, texts in chunks(b.column("doc_id").to_pylist(), as_bytes(b.column("text"))):
+            for ids, texts in chunks(b.column("doc_id").to_pylist(), unsqueezed(b.column("z"))):
                 sets = [shingle_set(words(t), shingle) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), blobs(np.concatenate(sets), [len(s) for s in sets])], names=["id", "shingles"])
 
@@ -172,7 +189,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.min_by("id", F.xxhash64("id", "key")).alias("hub")).where("n > 1")
     buckets = stash(members.join(sizes, "key"), "buckets")
     shared = buckets.select("id").distinct()
-    sets = stash(_sets(docs.join(shared.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), shingle).dropDuplicates(["id"]), "sets")
+    sets = stash(_sets(squeezed(docs).join(shared.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), shingle).dropDuplicates(["id"]), "sets")
     sig = reps.join(shared, "id", "left_semi")
 
     def pruned(pairs: DataFrame) -> DataFrame:
@@ -191,9 +208,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             for b in batches:
                 good = []
                 for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-                    good.append(100 * both >= percent * (len(x) + len(y) - both))
+                    good.append(linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
                 yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
         full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
@@ -205,43 +220,45 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         a = pairs.join(at.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
         return a.join(at.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
-    def pairs_with(hub: str) -> DataFrame:
-        return buckets.where(F.col("id") != F.col(hub)).select(F.least("id", hub).alias("a"), F.greatest("id", hub).alias("b")).distinct()
-
-    links = stash(verified(pruned(pairs_with("low"))), "links")
-    found = components(links)
-    links = links.unionByName(stash(verified(pruned(apart(pairs_with("hub").join(pairs_with("low"), ["a", "b"], "left_anti"), found))), "links"))
+    pairs_with_hub = buckets.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    lowest = buckets.groupBy("id").agg(F.min("low").alias("b")).where("id > b").select(F.col("b").alias("a"), F.col("id").alias("b"))
+    links = stash(verified(pruned(lowest)), "links")
     found = components(links)
+    links = links.unionByName(stash(verified(pruned(apart(pairs_with_hub, found))), "links"))
+    found = stash(components(links), "found")
 
-    # What is left: buckets with more than one component, without pairs that hubs have settled.
+    # What is left: buckets with more than one component.
     where = buckets.where("n > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = where.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    left = where.join(mixed, "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", "band", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    left = left.join(sig, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    left = tiles(where.join(mixed, "key", "left_semi"), ["key", "band"], BLOCK).join(sig, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ["key", "i", "j"]):
-            ids, component, block = (g.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "block"))
-            if len(ids) < 2 or (component == component[0]).all():
-                continue
-            s, band = fixed(g.column("sig"), np.uint32), g.column("band")[0].as_py()
-            i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
-            one, two = (np.flatnonzero(block == i), np.flatnonzero(block == j)) if i != j else (np.arange(len(ids)),) * 2
-            apart = (component[one][:, None] != component[two][None]) & (True if i != j else ids[one][:, None] < ids[two][None])
-            before = band_keys(s, bands, rows)[:, :band]  # a pair counts in the first band it shares
-            x, y = np.nonzero(apart)
-            x, y = one[x], two[y]
-            first = ~(before[x] == before[y]).any(1)
-            x, y = x[first], y[first]
-            alive = survivors(s, s, x, y, threshold)
-            a, b = ids[x[alive]], ids[y[alive]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    rest = left.select("key", "band", "id", "component", "block", "i", "j", "sig").mapInArrow(across, "a long, b long")
-    rest = rest.join(pairs_with("low"), ["a", "b"], "left_anti").join(pairs_with("hub"), ["a", "b"], "left_anti")
-    links = links.unionByName(stash(verified(rest), "links"))
+            ids, s = g.column("id").to_numpy(), fixed(g.column("sig"), np.uint32)
+            x, y = cross_pairs(g)
+            if len(x):
+                before = band_keys(s, bands, rows)[:, : g.column("band")[0].as_py()]  # a pair counts in the first band it shares
+                first = ~(before[x] == before[y]).any(1)
+                x, y = x[first], y[first]
+                alive = survivors(s, s, x, y, threshold)
+                yield spanning(ids, x[alive], y[alive])
+
+    near = components(stash(left.select("key", "band", "id", "component", "block", "i", "j", "sig").mapInArrow(across, "a long, b long"), "survivors"), "survivors")
+    near = near.withColumnRenamed("component", "near")
+    near = near.join(near.groupBy("near").agg(F.count("*").alias("n")), "near").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rest = tiles(near, ["near"], BLOCK // 2).join(sig, "id").join(sets, "id").repartition("near", "i", "j").sortWithinPartitions("near", "i", "j")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, ["near", "i", "j"]):
+            ids, s = g.column("id").to_numpy(), fixed(g.column("sig"), np.uint32)
+            x, y = cross_pairs(g)
+            if len(x):
+                full = [np.frombuffer(v, np.uint64) for v in g.column("shingles").to_pylist()]
+                alive = survivors(s, s, x, y, threshold)
+                good = np.array([linked(full[i], full[j], percent) for i, j in zip(x[alive], y[alive], strict=True)], dtype=bool)
+                yield spanning(ids, x[alive][good], y[alive][good])
+
+    links = links.unionByName(stash(rest.select("near", "id", "component", "block", "i", "j", "sig", "shingles").mapInArrow(settle, "a long, b long"), "links"))
     found = stash(components(links), "found")
     drop(buckets, sets)
 

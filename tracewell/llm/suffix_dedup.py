@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import GOLD, as_bytes, chunks, drop, mix, own_columns, spans, stash
+from tracewell.llm.common import GOLD, chunks, mix, own_columns, spans, squeezed, stash, unsqueezed
 
 _BYTE_IDS = mix(np.arange(1, 257, dtype=np.uint64) * GOLD)
 _K = np.uint64(0xD6E8FEB86659FD93)
@@ -126,23 +126,10 @@ def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return doc, lo - starts[doc], hi - starts[doc], least[lo], b.equal(lo, hi)
 
 
-def _squeezed(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, z): a number for each row, and its text's bytes, compressed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            z = pa.array([squeeze.compress(t or b"") for t in as_bytes(b.column("text"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), z], names=["row", "doc_id", "z"])
-
-    return docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, z binary")
-
-
 def _segments(held: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = zstandard.ZstdDecompressor()
         for b in batches:
-            for ids, texts in chunks(b.column("row").to_pylist(), [wide.decompress(z) for z in b.column("z").to_pylist()], CHUNK):
+            for ids, texts in chunks(b.column("row").to_pylist(), unsqueezed(b.column("z")), CHUNK):
                 doc, lo, hi, gram, equal = segments(texts, length)
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[doc]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(equal.view(np.int64))], names=["row", "lo", "hi", "gram", "equal"])
 
@@ -195,7 +182,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     this row or another; all occurrences go. Matches don't cross rows. A null text counts as empty. Rows that share a
     doc_id, or have none, are documents of their own. Other columns aren't read; an empty table gives no rows.
     """
-    held = stash(_squeezed(own_columns(docs, "doc_id", "text")), "texts")
+    held = stash(squeezed(own_columns(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "row"), "texts")
     return _without(held, length).drop("row")
 
 
