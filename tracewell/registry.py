@@ -1,4 +1,362 @@
 """Queries by name, with the DuckDB SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewell.functions import javatext, sqltext
+from tracewell.operators import calls, failures, graph, lineage
+from tracewell.plans import adapters as A
+from tracewell.plans import samples
+from tracewell.sources import java, kettle, metadata
+
+#: The folder that holds the package: Python workers must find it as the driver does.
+ROOT = str(Path(__file__).resolve().parents[1])
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLE[name] = sql
+        return f
+
+    return register
+
+
+def flow_sql(tail: str, least: float = 40, more: str = "") -> str:
+    return f"""WITH RECURSIVE f AS (
+  SELECT 'job_' || l_orderkey AS scope, 'table:part_' || l_partkey AS o, CASE WHEN l_linestatus = 'O' THEN 'READS' ELSE 'WRITES' END AS t
+  FROM lineitem WHERE l_quantity >= {least}),
+e AS (SELECT DISTINCT r.o AS src, w.o AS dst FROM f r JOIN f w USING (scope) WHERE r.t = 'READS' AND w.t = 'WRITES'),
+x AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst),
+seed AS (SELECT src AS key FROM e GROUP BY src ORDER BY count(*) DESC, src LIMIT 1){more}
+{tail}"""
+
+
+def _flows(spark: SparkSession, sf_dir: str, least: float = 40) -> DataFrame:
+    return graph.table_flows(A.facts(spark, sf_dir, least))
+
+
+@query("table_flows", flow_sql("SELECT src, dst FROM e"))
+def _(spark, sf_dir):
+    return _flows(spark, sf_dir)
+
+
+@query("table_flows_wide", flow_sql("SELECT src, count(*) AS n_out, min(dst) AS first_dst FROM e GROUP BY src", 10))
+def _(spark, sf_dir):
+    return _flows(spark, sf_dir, 10).groupBy("src").agg(F.count("*").alias("n_out"), F.min("dst").alias("first_dst"))
+
+
+@query("direct_neighbors", flow_sql("SELECT 'up' AS direction, src AS key FROM e WHERE dst IN (SELECT key FROM seed) UNION ALL SELECT 'down', dst FROM e WHERE src IN (SELECT key FROM seed)"))
+def _(spark, sf_dir):
+    flows = _flows(spark, sf_dir)
+    return graph.neighbours(flows, A.busiest(flows))
+
+
+@query("impact_3hop", flow_sql("SELECT key, min(hop) AS hop FROM r GROUP BY key HAVING min(hop) > 0", more=", r AS (SELECT key, 0 AS hop FROM seed UNION SELECT x.dst, r.hop + 1 FROM r JOIN x ON x.src = r.key WHERE r.hop < 3)"))
+def _(spark, sf_dir):
+    flows = _flows(spark, sf_dir)
+    return graph.impact(flows, A.busiest(flows), 3)
+
+
+@query("downstream_closure", flow_sql("SELECT key FROM r WHERE key NOT IN (SELECT key FROM seed)", more=", r AS (SELECT key FROM seed UNION SELECT x.dst FROM r JOIN x ON x.src = r.key)"))
+def _(spark, sf_dir):
+    flows = _flows(spark, sf_dir)
+    return graph.closure(flows, A.busiest(flows), "down")
+
+
+@query("upstream_closure", flow_sql("SELECT key FROM r WHERE key NOT IN (SELECT key FROM seed)", more=", r AS (SELECT key FROM seed UNION SELECT x.src FROM r JOIN x ON x.dst = r.key)"))
+def _(spark, sf_dir):
+    flows = _flows(spark, sf_dir)
+    return graph.closure(flows, A.busiest(flows), "up")
+
+
+_HOPS = """, d AS (SELECT key, 0 AS hop FROM seed UNION SELECT x.dst, d.hop + 1 FROM d JOIN x ON x.src = d.key WHERE d.hop < 40),
+u AS (SELECT key, 0 AS hop FROM seed UNION SELECT x.src, u.hop + 1 FROM u JOIN x ON x.dst = u.key WHERE u.hop < 40),
+dm AS (SELECT key, min(hop) AS d FROM d GROUP BY key), um AS (SELECT key, min(hop) AS u FROM u GROUP BY key)"""
+
+
+@query("connected_edges", flow_sql("SELECT DISTINCT src, dst FROM e LEFT JOIN um a ON a.key = src LEFT JOIN um b ON b.key = dst LEFT JOIN dm c ON c.key = src LEFT JOIN dm g ON g.key = dst WHERE a.u = b.u + 1 OR c.d + 1 = g.d", more=_HOPS))
+def _(spark, sf_dir):
+    flows = _flows(spark, sf_dir)
+    return graph.connected_flows(flows, A.busiest(flows))
+
+
+_SCC = """, c AS (SELECT src, dst FROM x UNION SELECT c.src, x.dst FROM c JOIN x ON x.src = c.dst),
+m AS (SELECT a.src AS key, max(a.dst) AS component FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src WHERE a.src IN (SELECT src FROM c WHERE src = dst) GROUP BY a.src),
+g AS (SELECT component, count(*) AS size, min(key) AS first, string_agg(key, ',' ORDER BY key) AS names FROM m GROUP BY component HAVING count(*) > 1),
+i AS (SELECT e.src, e.dst, a.component FROM e JOIN m a ON a.key = e.src JOIN m b ON b.key = e.dst AND a.component = b.component WHERE e.src <> e.dst),
+n AS (SELECT g.*, count(i.src) AS edges FROM g JOIN i USING (component) GROUP BY ALL),
+k AS (SELECT *, 'cycle_group:' || row_number() OVER (ORDER BY size DESC, names) AS group_key FROM n)"""
+
+
+@query("cycle_groups", flow_sql("SELECT group_key, size, edges, first FROM k", more=_SCC))
+def _(spark, sf_dir):
+    return graph.cycle_groups(_flows(spark, sf_dir))[0]
+
+
+@query("cycle_members", flow_sql("SELECT group_key, key, degree, row_number() OVER (PARTITION BY group_key ORDER BY degree DESC, key) AS position FROM (SELECT k.group_key, m.key, (SELECT count(*) FROM i WHERE i.src = m.key) + (SELECT count(*) FROM i WHERE i.dst = m.key) AS degree FROM k JOIN m USING (component))", more=_SCC))
+def _(spark, sf_dir):
+    return graph.cycle_groups(_flows(spark, sf_dir))[1]
+
+
+_COARSE = """WITH f AS (SELECT l_orderkey AS scope, 'table:group_' || (l_partkey % 100) AS o, CASE WHEN l_linestatus = 'O' THEN 'READS' ELSE 'WRITES' END AS t FROM lineitem WHERE l_quantity >= 40),
+e AS (SELECT DISTINCT r.o AS src, w.o AS dst FROM f r JOIN f w USING (scope) WHERE r.t = 'READS' AND w.t = 'WRITES')
+"""
+
+
+@query("self_loops", _COARSE + "SELECT src AS key, count(*) AS edges FROM e WHERE src = dst GROUP BY src")
+def _(spark, sf_dir):
+    return graph.self_loops(graph.table_flows(A.coarse_facts(spark, sf_dir)))
+
+
+_ROLES = "SELECT key, n_in, n_out, CASE WHEN n_in = 0 AND n_out > 0 THEN 'source' WHEN n_in > 0 AND n_out = 0 THEN 'sink' ELSE 'middle' END AS role FROM (SELECT key, sum(i) AS n_in, sum(o) AS n_out FROM (SELECT src AS key, 0 AS i, 1 AS o FROM x UNION ALL SELECT dst, 1, 0 FROM x) GROUP BY key)"
+
+
+@query("node_roles", flow_sql("SELECT key, n_in::BIGINT AS n_in, n_out::BIGINT AS n_out, role FROM (" + _ROLES + ")"))
+def _(spark, sf_dir):
+    return graph.roles(_flows(spark, sf_dir))
+
+
+_LEVELS = """, l AS (SELECT DISTINCT src AS key, 0 AS level FROM x WHERE src NOT IN (SELECT dst FROM x) UNION SELECT x.dst, l.level + 1 FROM l JOIN x ON x.src = l.key),
+v AS (SELECT key, max(level) AS level FROM l GROUP BY key)"""
+
+
+@query("graph_levels", flow_sql("SELECT key, level FROM v", 46, _LEVELS))
+def _(spark, sf_dir):
+    return graph.levels(_flows(spark, sf_dir, 46))
+
+
+@query("graph_layout", flow_sql("SELECT key, level, n::INT AS row, level * 280 AS x, n::INT * 140 AS y FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY key) - 1 AS n FROM v)", 46, _LEVELS))
+def _(spark, sf_dir):
+    return graph.layout(_flows(spark, sf_dir, 46))
+
+
+@query("highlight", flow_sql("SELECT key FROM seed UNION SELECT src FROM e WHERE dst IN (SELECT key FROM seed) UNION SELECT dst FROM e WHERE src IN (SELECT key FROM seed)"))
+def _(spark, sf_dir):
+    flows = _flows(spark, sf_dir)
+    return graph.highlight(flows, A.busiest(flows))
+
+
+_NODES = """WITH n AS (SELECT 'nation:' || lower(n_name) AS key, 'data_object' AS type, n_name AS name, 'table_view' AS object_type FROM nation
+UNION ALL SELECT 'region:' || lower(r_name), 'api_endpoint', r_name, 'source_file' FROM region
+UNION ALL SELECT 'supplier:' || lower(s_name), 'data_object', s_name, 'source_table' FROM supplier
+UNION ALL SELECT 'customer:' || lower(c_name), 'data_object', c_name, NULL FROM customer)
+"""
+
+
+@query("object_search", _NODES + "SELECT * FROM n WHERE key ILIKE '%an_0%' OR name ILIKE '%ia%'")
+def _(spark, sf_dir):
+    n = A.nodes(spark, sf_dir)
+    return lineage.search(n, "an_0").unionByName(lineage.search(n, "ia")).distinct()
+
+
+@query("object_list", _NODES + "SELECT key, name FROM n WHERE coalesce(object_type, 'data_table') = 'data_table' AND contains(lower(name), '00')")
+def _(spark, sf_dir):
+    return lineage.list_objects(A.nodes(spark, sf_dir), "data_table", " 00 ").select("key", "name")
+
+
+@query("overview_counts", _NODES + "SELECT coalesce(object_type, 'data_table') AS object_type, count(*) AS n FROM n GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM n")
+def _(spark, sf_dir):
+    return lineage.overview_counts(A.nodes(spark, sf_dir))
+
+
+@query("type_labels", _NODES + "SELECT key, CASE object_type WHEN 'table_view' THEN 'View' WHEN 'source_table' THEN 'Source table' WHEN 'source_file' THEN 'Source file' WHEN 'api_endpoint' THEN 'API endpoint' ELSE 'Table' END AS label FROM n")
+def _(spark, sf_dir):
+    n = A.nodes(spark, sf_dir)
+    return n.select("key", lineage.type_label(F.col("object_type")).alias("label"))
+
+
+_EDGES = """WITH f AS (SELECT DISTINCT 'transformation:job_' || l_orderkey AS src, CASE WHEN l_linestatus = 'O' THEN 'READS' ELSE 'WRITES' END AS type, 'table:part_' || l_partkey AS dst FROM lineitem WHERE l_quantity >= 40),
+c AS (SELECT 'job:customer_' || o_custkey AS job, 'transformation:job_' || o_orderkey AS t FROM orders),
+a AS (SELECT DISTINCT src AS actor, dst AS object FROM f UNION SELECT DISTINCT job, dst FROM c JOIN f ON f.src = c.t)
+"""
+
+
+@query("related_actors", _EDGES + ", s AS (SELECT dst AS key FROM f GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1) SELECT a.object AS \"table\", a.actor, string_agg(b.object, ',' ORDER BY b.object) AS related FROM a JOIN s ON s.key = a.object JOIN a b ON b.actor = a.actor GROUP BY ALL")
+def _(spark, sf_dir):
+    edges = A.edges(spark, sf_dir)
+    focus = edges.where("type <> 'CALLS'").groupBy(F.col("dst").alias("key")).count().orderBy(F.desc("count"), "key").limit(1).select("key")
+    return lineage.related_actors(edges, focus)
+
+
+@query("job_detail", _EDGES + "SELECT DISTINCT job, dst AS object FROM c JOIN f ON f.src = c.t")
+def _(spark, sf_dir):
+    return lineage.called_objects(A.edges(spark, sf_dir))
+
+
+@query("module_detail", _EDGES + "SELECT src AS actor, coalesce(string_agg(CASE WHEN type = 'READS' THEN dst END, ',' ORDER BY dst), '') AS reads, coalesce(string_agg(CASE WHEN type = 'WRITES' THEN dst END, ',' ORDER BY dst), '') AS writes FROM f GROUP BY src")
+def _(spark, sf_dir):
+    return lineage.module_tables(A.edges(spark, sf_dir))
+
+
+_FAIL = """WITH run AS (SELECT max(strftime(ts, '%Y-%m-%d')) AS id FROM events),
+f AS (SELECT CASE user_id % 3 WHEN 0 THEN 'kettle' WHEN 1 THEN 'java' ELSE 'metadata' END AS source_type, 'user_' || user_id AS file_path FROM events WHERE event_type = 'error' AND strftime(ts, '%Y-%m-%d') = (SELECT id FROM run))
+"""
+
+
+@query("failure_summary", _FAIL + "SELECT s AS source_type, count(file_path) AS n, count(DISTINCT file_path) AS files FROM (VALUES ('kettle'), ('java'), ('metadata')) v(s) LEFT JOIN f ON f.source_type = s GROUP BY s")
+def _(spark, sf_dir):
+    return failures.failure_summary(A.failures(spark, sf_dir), A.runs(spark, sf_dir))
+
+
+@query("failure_files", _FAIL + "SELECT CASE source_type WHEN 'kettle' THEN 1 WHEN 'java' THEN 2 ELSE 3 END::BIGINT AS source_rank, source_type, file_path, count(*) AS n FROM f GROUP BY ALL")
+def _(spark, sf_dir):
+    return failures.failure_files(A.failures(spark, sf_dir), A.runs(spark, sf_dir))
+
+
+@query("latest_run", "SELECT strftime(ts, '%Y-%m-%d') AS run_id, count(*) AS n_events FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 1")
+def _(spark, sf_dir):
+    return failures.latest_run(A.runs(spark, sf_dir)).select("run_id", "n_events")
+
+
+_CAT = """WITH o AS (SELECT p_brand AS database, p_name || '_' || p_size AS object, min(p_size) AS size FROM part GROUP BY ALL),
+m AS (SELECT *, CASE WHEN size % 10 = 0 THEN 'view' ELSE 'table' END AS kind, CASE WHEN size % 10 = 0 THEN 'view:' ELSE 'table:' END || lower(database || '.' || object) AS key FROM o)
+"""
+
+
+@query("metadata_objects", _CAT + "SELECT key, kind, 3::BIGINT AS n_columns, 'id,name,price' AS columns, 'N,Y,Y' AS nullable FROM m")
+def _(spark, sf_dir):
+    m = metadata.metadata_objects(A.catalogue(spark, sf_dir))
+    flags = F.array_join(F.transform("columns", lambda c: F.when(c["is_nullable"], "Y").otherwise("N")), ",")
+    return m.select("key", "kind", F.size("columns").cast("long").alias("n_columns"), F.array_join(F.transform("columns", lambda c: c["column_name"]), ",").alias("columns"), flags.alias("nullable"))
+
+
+@query("alias_resolution", _CAT + """, q AS (SELECT lower(database || '.' || object) AS alias, key FROM m),
+b AS (SELECT lower(object) AS alias, min(key) AS key FROM m GROUP BY 1 HAVING count(*) = 1 AND lower(object) NOT IN (SELECT alias FROM q)),
+r AS (SELECT DISTINCT ' ' || upper(object) || ' ' AS name, lower(object) AS alias FROM m)
+SELECT r.name, coalesce(b.key, 'table:' || r.alias) AS key FROM r LEFT JOIN b USING (alias)""")
+def _(spark, sf_dir):
+    m = metadata.metadata_objects(A.catalogue(spark, sf_dir))
+    names = m.select(F.concat(F.lit(" "), F.upper("object"), F.lit(" ")).alias("name")).distinct().withColumn("object_type", F.lit("data_table"))
+    return lineage.resolve(names, m).select("name", "key")
+
+
+@query("view_lineage", _CAT + "SELECT key, 'parsed' AS status, 'dim.d_' || (size % 7) || ',ods.base_' || size AS reads FROM m WHERE kind = 'view'")
+def _(spark, sf_dir):
+    return metadata.view_lineage(metadata.metadata_objects(A.catalogue(spark, sf_dir))).select("key", "status", F.array_join("reads", ",").alias("reads"))
+
+
+@query("view_flows", _CAT + "SELECT 'table:dim.d_' || (size % 7) AS src, key AS dst FROM m WHERE kind = 'view' UNION SELECT 'table:ods.base_' || size, key FROM m WHERE kind = 'view' UNION SELECT key, key FROM m WHERE false")
+def _(spark, sf_dir):
+    return graph.table_flows(metadata.view_facts(metadata.metadata_objects(A.catalogue(spark, sf_dir))))
+
+
+_SQL = """WITH c AS (SELECT c_custkey AS custkey, c_custkey % 6 AS k, lower(c_mktsegment) AS seg, c_nationkey AS n FROM customer),
+x AS (SELECT custkey, CASE k WHEN 0 THEN 'ods.nation_' || n WHEN 1 THEN 'dim.s_' || seg || ',ods.n_' || n WHEN 2 THEN 'ods.nation_' || n WHEN 4 THEN 'ods.nation_' || n ELSE '' END AS reads,
+  CASE WHEN k IN (0, 2, 3) THEN 'dm.seg_' || seg ELSE '' END AS writes, CASE WHEN k = 5 THEN 'Unbalanced parentheses' END AS error FROM c)
+"""
+
+
+@query("sql_reads_writes", _SQL + "SELECT custkey, reads, writes, error FROM x")
+def _(spark, sf_dir):
+    t = A.sql_texts(spark, sf_dir).withColumn("t", sqltext.extract_tables("sql"))
+    return t.select("custkey", F.array_join("t.reads", ",").alias("reads"), F.array_join("t.writes", ",").alias("writes"), "t.error")
+
+
+@query("sql_flows", _SQL + "SELECT DISTINCT reads AS src, writes AS dst FROM x WHERE reads <> '' AND writes <> ''")
+def _(spark, sf_dir):
+    t = A.sql_texts(spark, sf_dir).select(F.concat(F.lit("c::"), "custkey").alias("a"), "custkey", sqltext.extract_tables("sql").alias("t"))
+    one = lambda kind, c: t.select(F.lit(kind).alias("edge_type"), F.concat(F.lit("c_"), "custkey").alias("actor"), F.explode(c).alias("object"))
+    return graph.table_flows(one("READS", "t.reads").unionByName(one("WRITES", "t.writes")))
+
+
+@query("sql_normalize", """WITH c AS (SELECT c_custkey AS custkey, c_custkey % 6 AS k, lower(c_mktsegment) AS seg, c_nationkey AS n FROM customer)
+SELECT custkey, CASE k WHEN 0 THEN 'insert into dm.seg_' || seg || ' select * from ods.nation_' || n || chr(10) || 'where 1 = 1'
+WHEN 1 THEN 'with a as (select * from ods.n_' || n || '), b as (select * from a) select * from b join dim.s_' || seg || ' s on s.id = b.id'
+WHEN 2 THEN 'update dm.seg_' || seg || ' set flag = ''from a.b'' where id in (select id from ods.nation_' || n || ')'
+WHEN 3 THEN 'delete from dm.seg_' || seg || ' where note = ''it''''s -- fine'''
+WHEN 4 THEN 'SELECT * FROM ods.nation_' || n || ' t WHERE t.name LIKE ''placeholder'' and t.id IN ( 0 ) and 1 = 1'
+ELSE 'select * from ods.nation_' || n || ' where id in (' END AS sql FROM c""")
+def _(spark, sf_dir):
+    return A.sql_texts(spark, sf_dir).select("custkey", sqltext.normalize_sql("sql").alias("sql"))
+
+
+@query("route_normalize", """SELECT page_id, regexp_replace('/api/' || trim(regexp_replace(coalesce(regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1), ''), '/+', '/', 'g'), '/'), '/$', '') AS route FROM pages""")
+def _(spark, sf_dir):
+    p = A.read(spark, sf_dir, "pages")
+    return p.select("page_id", javatext.join_path(F.lit(" api/ "), F.regexp_extract("url", r"^[a-z]+://[^/]*([^?#]*)", 1)).alias("route"))
+
+
+@query("href_extract", """SELECT page_id, k - 1 AS position, refs[k] AS href FROM (SELECT page_id, refs, unnest(generate_series(1, len(refs))) AS k FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS refs FROM pages))""")
+def _(spark, sf_dir):
+    p = A.read(spark, sf_dir, "pages")
+    return p.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("position", "href")).select("page_id", F.col("position").cast("long").alias("position"), "href")
+
+
+# Calls: customers call their nations, nations their regions; orders are customers' statements.
+def _call_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c, n = A.read(spark, sf_dir, "customer"), A.read(spark, sf_dir, "nation")
+    up = c.select(F.concat(F.lit("Customer"), "c_custkey").alias("module"), F.lit("run").alias("method"), F.concat(F.lit("Nation"), "c_nationkey").alias("target"), F.lit("run").alias("target_method"))
+    over = n.select(F.concat(F.lit("Nation"), "n_nationkey").alias("module"), F.lit("run").alias("method"), F.concat(F.lit("Region"), "n_regionkey").alias("target"), F.lit("run").alias("target_method"))
+    facts = n.select(F.concat(F.lit("Nation"), "n_nationkey").alias("module"), F.lit("run").alias("method"), F.lit("READS").alias("edge_type"), F.concat(F.lit("ods.nation_"), "n_nationkey").alias("name"))
+    facts = facts.unionByName(A.read(spark, sf_dir, "region").select(F.concat(F.lit("Region"), "r_regionkey").alias("module"), F.lit("run").alias("method"), F.lit("WRITES").alias("edge_type"), F.concat(F.lit("dm.region_"), "r_regionkey").alias("name")))
+    return up.unionByName(over), facts
+
+
+def _no_modules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "module string, kind string, extended string, implemented array<string>, table_name string, mapper_entity string, service_mapper string")
+
+
+_CALLED = """SELECT 'Customer' || c_custkey AS module, 'READS' AS edge_type, 'ods.nation_' || c_nationkey AS name FROM customer
+UNION ALL SELECT 'Customer' || c_custkey, 'WRITES', 'dm.region_' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey
+UNION ALL SELECT 'Nation' || n_nationkey, 'READS', 'ods.nation_' || n_nationkey FROM nation
+UNION ALL SELECT 'Nation' || n_nationkey, 'WRITES', 'dm.region_' || n_regionkey FROM nation
+UNION ALL SELECT 'Region' || r_regionkey, 'WRITES', 'dm.region_' || r_regionkey FROM region"""
+
+
+@query("call_closure", _CALLED)
+def _(spark, sf_dir):
+    resolved, facts = _call_tables(spark, sf_dir)
+    return calls.reduce_tables(resolved, facts, _no_modules(spark)).select("module", "edge_type", "name")
+
+
+@query("module_rollup", f"SELECT module, coalesce(string_agg(CASE WHEN edge_type = 'READS' THEN name END, ',' ORDER BY name), '') AS reads, coalesce(string_agg(CASE WHEN edge_type = 'WRITES' THEN name END, ',' ORDER BY name), '') AS writes FROM ({_CALLED}) GROUP BY module")
+def _(spark, sf_dir):
+    resolved, facts = _call_tables(spark, sf_dir)
+    return calls.rolled_up(calls.reduce_tables(resolved, facts, _no_modules(spark)), "module")
+
+
+@query("unresolved_diagnostics", """WITH c AS (SELECT 'Customer' || c_custkey AS module, c_custkey % 4 AS k, c_nationkey AS n FROM customer)
+SELECT module, CASE k WHEN 0 THEN 'helper' WHEN 1 THEN 'audit.log' WHEN 2 THEN 'svc.find' ELSE 'port.find' END AS call,
+CASE k WHEN 0 THEN 'unresolved_local_method' WHEN 1 THEN 'unresolved_receiver_type' WHEN 2 THEN 'unresolved_target_method' ELSE 'multiple_impl_candidates' END AS reason FROM c""")
+def _(spark, sf_dir):
+    c = A.read(spark, sf_dir, "customer").select(F.concat(F.lit("Customer"), "c_custkey").alias("module"), F.col("c_custkey") % 4 == 0, (F.col("c_custkey") % 4).alias("k"))
+    names = F.element_at(F.array(*[F.lit(x) for x in ("helper", "audit.log", "svc.find", "port.find")]), (F.col("k") + 1).cast("int"))
+    made = c.select("module", F.lit("run").alias("method"), names.alias("call")).unionByName(c.select("module", F.lit("run").alias("method"), F.lit("Result.success").alias("call")))
+    schema = "module string, kind string, extended string, implemented array<string>, table_name string, mapper_entity string, service_mapper string"
+    classes = spark.createDataFrame([("FindServiceImpl", "class", None, [], None, None, None), ("OnePort", "class", None, ["Port"], None, None, None), ("OtherPort", "class", None, ["Port"], None, None, None)], schema)
+    own = c.select("module", F.lit("class").alias("kind"), *[F.lit(None).cast(t).alias(n) for n, t in (("extended", "string"), ("implemented", "array<string>"), ("table_name", "string"), ("mapper_entity", "string"), ("service_mapper", "string"))])
+    modules = own.unionByName(classes)
+    fields = c.select("module", F.lit("svc").alias("receiver"), F.lit("FindService").alias("declared")).unionByName(c.select("module", F.lit("port").alias("receiver"), F.lit("Port").alias("declared")))
+    methods = spark.createDataFrame([("FindServiceImpl", "other", True, False)], "module string, method string, has_sql boolean, has_calls boolean")
+    resolved = calls.resolve_calls(made, modules, fields, methods)
+    return calls.unresolved(made, resolved, modules, fields, methods).select("module", "call", "reason")
+
+
+@query("kettle_facts")
+def _(spark, sf_dir):
+    parsed = kettle.parse_exports(samples.exports(spark))
+    return kettle.step_facts(parsed).unionByName(kettle.job_facts(parsed))
+
+
+@query("java_facts")
+def _(spark, sf_dir):
+    found = java.statements(java.with_module(samples.sources(spark)), java.with_module(samples.mappers(spark)))
+    return found.select("module", "method", F.array_join("tables.reads", ",").alias("reads"), F.array_join("tables.writes", ",").alias("writes"))
+
+
+@query("endpoint_facts")
+def _(spark, sf_dir):
+    return java.endpoints(java.with_module(samples.sources(spark)))
