@@ -11,7 +11,7 @@ from tracewell.functions.sqltext import extract_tables, mapper_sql, xml_sql
 
 def read_texts(spark: SparkSession, roots: list[str], pattern: str) -> DataFrame:
     """(path, module, text) of files below roots; each file once. The module is the file's name without its ending."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(roots)
+    raw = spark.read.text(roots, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return with_module(raw.select(F.input_file_name().alias("path"), F.col("value").alias("text")).dropDuplicates(["path"]))
 
 

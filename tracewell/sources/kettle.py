@@ -17,7 +17,7 @@ REPOSITORY = (
 
 def read_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, text) of whole files; folders are searched for .repo and .xml files. Each file comes once."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{repo,xml}").text(paths)
+    raw = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{repo,xml}")
     return raw.select(F.input_file_name().alias("path"), F.col("value").alias("text")).dropDuplicates(["path"])
 
 
