@@ -12,8 +12,10 @@ see the least identifier, and see it first at the same place, make a segment, on
 1. segments are dealt by that q-gram bucket; a bucket with one segment holds no repeated string and is dropped;
 2. within a bucket, segments with equal bytes (equal identifiers at all later offsets) form a class. If a bucket is one
    class, all strings of its segments are repeated;
-3. only in buckets with several classes, one segment of each class is refined to its single strings, named by the pair
-   of identifiers at their start and at the offset that reaches their end. A string that occurs twice is repeated.
+3. only in buckets with several classes, one segment of each class is refined, with a q close to the length: identifiers
+   of that depth come from pairs of those at hand, and steps 1 and 2 are repeated for its far shorter segments;
+4. what is still mixed is refined to its single strings, named by the pair of identifiers at their start and at the
+   offset that reaches their end. A string that occurs twice is repeated.
 
 A hot bucket is never gathered: classes and strings are counted with partial sums, and joins may split a hot key.
 """
@@ -50,6 +52,11 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix((a ^ (a >> np.uint64(29))) * GOLD + b)
 
 
+def deep_q(length: int) -> int:
+    """The second q: close to the length, and at least the deepest power of two in it."""
+    return max(1 << (length.bit_length() - 1), length - max(1, length // 25))
+
+
 class Buckets:
     """Bucket identifiers of all places of some bytes: of q-grams, and of the deepest power of two in `length`."""
 
@@ -57,6 +64,7 @@ class Buckets:
         self.length = length
         self.top = 1 << (length.bit_length() - 1)
         self.q = max(1, self.top // 2)
+        self.deep_q = deep_q(length)
         ids = _BYTE_IDS[np.frombuffer(data, dtype=np.uint8)]
         depth, self.grams = 1, ids
         while depth < self.top:
@@ -70,10 +78,14 @@ class Buckets:
         """The names of the strings of `length` bytes that start at these places."""
         return self.deep[at], self.deep[at + (self.length - self.top)]
 
-    def least(self) -> tuple[np.ndarray, np.ndarray]:
+    def least(self, deep: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """For each string, the least identifier of its q-grams, and whether the string's start has it."""
-        w = self.length - self.q + 1
-        x = mix(self.grams.copy())
+        q = self.deep_q if deep else self.q
+        w = self.length - q + 1
+        if deep:
+            x = pair(self.deep[: len(self.deep) - (q - self.top)], self.deep[q - self.top :])
+        else:
+            x = mix(self.grams.copy())
         n = len(x) - w + 1
         if n <= 0:
             return x[:0], np.zeros(0, bool)
@@ -131,25 +143,54 @@ def _segments(held: DataFrame, length: int) -> DataFrame:
         for b in batches:
             for ids, texts in chunks(b.column("row").to_pylist(), unsqueezed(b.column("z")), CHUNK):
                 doc, lo, hi, gram, equal = segments(texts, length)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[doc]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(equal.view(np.int64))], names=["row", "lo", "hi", "gram", "equal"])
+                yield _segment_rows(np.array(ids)[doc], lo, hi, gram, equal, np.ones(len(doc)))
+
+    return held.select("row", "z").mapInArrow(run, SEGMENTS)
+
+
+SEGMENTS = "row long, lo int, hi int, gram long, equal long, members int"
+
+
+def _segment_rows(row: np.ndarray, lo: np.ndarray, hi: np.ndarray, gram: np.ndarray, equal: np.ndarray, members: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(row.astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(equal.view(np.int64)), pa.array(members.astype(np.int32))], names=["row", "lo", "hi", "gram", "equal", "members"])
+
+
+def _finer(held: DataFrame, refined: DataFrame, length: int) -> DataFrame:
+    """Segments by the second q of the segments to be refined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, data, parts in zip(b.column("row").to_pylist(), unsqueezed(b.column("z")), b.column("parts").to_pylist(), strict=True):
+                ids = Buckets(data, length)
+                least, first = ids.least(deep=True)
+                start, n = np.array([p["lo"] for p in parts]), np.array([p["hi"] - p["lo"] + 1 for p in parts])
+                step = spans(n)
+                at = np.repeat(start, n) + step
+                before = np.maximum(at - 1, 0)
+                heads = np.flatnonzero((step == 0) | (least[at] != least[before]) | first[before])
+                lo, hi = at[heads], at[np.append(heads[1:], len(at)) - 1]
+                members = np.minimum([p["members"] for p in parts], 2)
+                yield _segment_rows(np.full(len(lo), row), lo, hi, least[lo], ids.equal(lo, hi), np.repeat(members, n)[heads])
+
+    return held.select("row", "z").join(_per_row(refined), "row").select("row", "z", "parts").mapInArrow(run, SEGMENTS)
+
 
-    return held.select("row", "z").mapInArrow(run, "row long, lo int, hi int, gram long, equal long")
+def _per_row(refined: DataFrame) -> DataFrame:
+    return refined.groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "members")).alias("parts"))  # of one document
 
 
-def repeated_segments(held: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+def settle(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(whole, to refine): segments all of whose strings are repeated, and those to be taken apart.
 
-    Each class in a bucket with several is to be refined, once, with the number of its members.
+    A segment stands for `members` with equal bytes. Each class in a bucket with several is to be refined, once.
     """
-    own = _segments(held, length)
-    shared = own.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    shared = own.groupBy("gram").agg(F.sum("members").alias("n")).where("n > 1").select("gram")
     met = stash(own.join(shared, "gram"), "segments")
     one = F.struct("row", "lo", "hi")
-    classes = met.groupBy("gram", "equal").agg(F.count("*").alias("members"), F.min(one).alias("first"))
-    several = stash(classes, "classes")
+    several = stash(met.groupBy("gram", "equal").agg(F.sum("members").alias("members"), F.min(one).alias("first")), "classes")
     mixed = several.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1").select("gram")
     refined = stash(several.join(mixed, "gram", "left_semi").select("first.row", "first.lo", "first.hi", "members"), "refine")
-    whole = met.join(several.where("members > 1").select("gram", "equal"), ["gram", "equal"], "left_semi").select("row", "lo", "hi")
+    whole = met.where("members = 1").join(several.where("members > 1").select("gram", "equal"), ["gram", "equal"], "left_semi").select("row", "lo", "hi")
     return whole, refined
 
 
@@ -158,8 +199,8 @@ def _strings(held: DataFrame, refined: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, z, parts in zip(b.column("row").to_pylist(), b.column("z").to_pylist(), b.column("parts").to_pylist(), strict=True):
-                ids = Buckets(zstandard.decompress(z), length)
+            for row, data, parts in zip(b.column("row").to_pylist(), unsqueezed(b.column("z")), b.column("parts").to_pylist(), strict=True):
+                ids = Buckets(data, length)
                 lo, n = np.array([p["lo"] for p in parts]), np.array([p["hi"] - p["lo"] + 1 for p in parts])
                 at = np.repeat(lo, n) + spans(n)
                 x, y = ids.strings(at)
@@ -168,8 +209,7 @@ def _strings(held: DataFrame, refined: DataFrame, length: int) -> DataFrame:
                     names=["a", "b", "row", "at", "members"],
                 )
 
-    per_row = refined.groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "members")).alias("parts"))  # of one document
-    return held.select("row", "z").join(per_row, "row").select("row", "z", "parts").mapInArrow(run, "a long, b long, row long, at int, members int")
+    return held.select("row", "z").join(_per_row(refined), "row").select("row", "z", "parts").mapInArrow(run, "a long, b long, row long, at int, members int")
 
 
 RESULT = "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<start:int,end:int>>"
@@ -183,15 +223,16 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     doc_id, or have none, are documents of their own. Other columns aren't read; an empty table gives no rows.
     """
     held = stash(squeezed(own_columns(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "row"), "texts")
-    return _without(held, length).drop("row")
+    return without_repeats(held, length).drop("row")
 
 
-def _without(held: DataFrame, length: int) -> DataFrame:
-    whole, refined = repeated_segments(held, length)
+def without_repeats(held: DataFrame, length: int) -> DataFrame:
+    whole, refined = settle(_segments(held, length))
+    finer, refined = settle(stash(_finer(held, refined, length), "finer"))
     strings = stash(_strings(held, refined, length), "strings")
     twice = strings.groupBy("a", "b").agg(F.sum("members").alias("n")).where("n > 1").select("a", "b")
     found = strings.where("members = 1").join(twice, ["a", "b"], "left_semi").select("row", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    per_row = whole.unionByName(found).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))  # of one document
+    per_row = whole.unionByName(finer).unionByName(found).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))  # of one document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
