@@ -281,7 +281,7 @@ def learned_split(docs: DataFrame) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
     """The rows of docs whose language is identified with at least that score; all columns, lang replaced by it."""
     model = train(sample(own_columns(docs, "doc_id", "text", "lang")))
     marked = docs.withColumn("_row", F.monotonically_increasing_id())
