@@ -239,3 +239,18 @@ def near_matches(docs: DataFrame, queries: DataFrame, within: int) -> DataFrame:
     return lists.groupBy("query_id", "doc_id").applyInPandas(run, "query_id long, doc_id long, start int, end int")
 
 
+
+
+#: The query in DuckDB SQL; the benchmark's windows meet all windows of documents.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+q AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS p FROM (SELECT item_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM (SELECT *, least(13, len(w)) AS n FROM i) WHERE n > 0)),
+a AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS p FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM d, (SELECT DISTINCT n FROM q) WHERE len(w) >= n)),
+h AS (SELECT a.r, a.k, a.n, q.item_id FROM a JOIN q USING (n, p)),
+c AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(generate_series(k, k + n - 1)) AS j FROM (SELECT DISTINCT r, k, n FROM h)) GROUP BY r),
+m AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM h) GROUP BY r)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN m USING (r)
+"""

@@ -76,4 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op2_url_filter": url_filter.ORACLE,
+    "op6_minhash": neardup.ORACLE,
+    "op8_embedding_dedup": embedding_dedup.ORACLE,
+    "op9_decontaminate": decontaminate.ORACLE,
 }
