@@ -294,6 +294,83 @@ def _(spark, sf_dir):
     p = A.read(spark, sf_dir, "pages")
     return p.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("position", "href")).select("page_id", F.col("position").cast("long").alias("position"), "href")
 
+@query("derived_edges", flow_sql("SELECT 'FLOWS_TO' AS type, src, dst, true AS is_derived FROM e WHERE src IN (SELECT 'table:part_' || p_partkey FROM part WHERE p_size % 2 = 0) AND dst IN (SELECT 'table:part_' || p_partkey FROM part WHERE p_size % 2 = 0)", 30))
+def _(spark, sf_dir):
+    known = A.read(spark, sf_dir, "part").where("p_size % 2 = 0").select(F.concat(F.lit("table:part_"), "p_partkey").alias("key"))
+    return lineage.derived_edges(_flows(spark, sf_dir, 30), known)
+
+
+@query("node_upsert", "SELECT 'table:seg_' || lower(c_mktsegment) AS key, 'data_object' AS type, min_by(c_name, c_custkey) AS name, max_by(CASE WHEN c_custkey % 2 = 0 THEN 'data_table' ELSE 'table_view' END, c_custkey) AS object_type FROM customer GROUP BY 1")
+def _(spark, sf_dir):
+    c = A.read(spark, sf_dir, "customer")
+    kind = F.when(F.col("c_custkey") % 2 == 0, "data_table").otherwise("table_view")
+    return lineage.nodes_of(c.select(F.col("c_custkey").alias("seq"), F.lit("data_object").alias("type"), F.concat(F.lit("table:seg_"), F.lower("c_mktsegment")).alias("key"), F.col("c_name").alias("name"), kind.alias("object_type")))
+
+
+@query("edge_upsert", "SELECT DISTINCT 'READS' AS type, 'job:' || o_custkey AS src, 'table:' || lower(o_orderpriority) AS dst, false AS is_derived FROM orders")
+def _(spark, sf_dir):
+    o = A.read(spark, sf_dir, "orders")
+    return lineage.edges_of(o.select(F.lit("READS").alias("type"), F.concat(F.lit("job:"), "o_custkey").alias("src"), F.concat(F.lit("table:"), F.lower("o_orderpriority")).alias("dst"), F.lit(False).alias("is_derived")))
+
+
+@query("graph_assembly", "SELECT DISTINCT CASE WHEN o_custkey % 2 = 0 THEN 'table:' || o_orderstatus ELSE 'job:' || o_custkey END AS source, CASE WHEN o_custkey % 2 = 0 THEN 'api:GET /' || o_custkey ELSE 'table:' || o_orderstatus END AS target FROM orders")
+def _(spark, sf_dir):
+    o = A.read(spark, sf_dir, "orders")
+    src = F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("api:GET /"), "o_custkey")).otherwise(F.concat(F.lit("job:"), "o_custkey"))
+    return lineage.reoriented(o.select(src.alias("src"), F.concat(F.lit("table:"), "o_orderstatus").alias("dst")))
+
+
+@query("describe_objects", _CAT + "SELECT key, 'data_object' AS type, object AS name, object AS display_name, CASE WHEN kind = 'view' THEN 'table_view' ELSE 'data_table' END AS object_type, CASE WHEN size < 40 THEN 3 ELSE 0 END::BIGINT AS column_count FROM m")
+def _(spark, sf_dir):
+    m = metadata.metadata_objects(A.catalogue(spark, sf_dir))
+    size = F.regexp_extract("object", r"_(\d+)$", 1).cast("int")
+    nodes = m.select("key", F.lit("data_object").alias("type"), F.col("object").alias("name"), F.when(F.col("kind") == "view", "table_view").alias("object_type"))
+    return lineage.describe(nodes, m.where(size < 40))
+
+
+@query("endpoint_tables", """SELECT 'api:GET /c/' || o_custkey AS endpoint, string_agg(DISTINCT 'table:part_' || l_partkey, ',' ORDER BY 'table:part_' || l_partkey) AS tables FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 40 GROUP BY o_custkey""")
+def _(spark, sf_dir):
+    lines = A.read(spark, sf_dir, "lineitem").where("l_quantity >= 40")
+    made = A.read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    edges = made.select(F.lit("READS").alias("type"), F.concat(F.lit("api:GET /c/"), "o_custkey").alias("src"), F.concat(F.lit("table:part_"), "l_partkey").alias("dst"))
+    return lineage.module_tables(edges).select(F.col("actor").alias("endpoint"), F.col("reads").alias("tables"))
+
+
+@query("run_status", """SELECT run_id, CASE n % 4 WHEN 0 THEN 'Completed' WHEN 1 THEN 'Failed' WHEN 2 THEN 'Running' ELSE 'Pending' END AS label, strftime(CASE WHEN n % 2 = 0 THEN began ELSE began + INTERVAL 1 DAY END, '%Y-%m-%d') AS latest FROM (SELECT strftime(ts, '%Y-%m-%d') AS run_id, count(*) AS n, min(date_trunc('day', ts)) AS began FROM events GROUP BY 1)""")
+def _(spark, sf_dir):
+    r = A.runs(spark, sf_dir)
+    status = F.element_at(F.array(*[F.lit(x) for x in ("completed", "failed", "running", "pending")]), (F.col("n_events") % 4 + 1).cast("int"))
+    finished = F.when(F.col("n_events") % 2 == 1, F.date_add("created_at", 1).cast("timestamp_ntz"))
+    latest = failures.latest_time(finished, F.lit(None).cast("timestamp_ntz"), F.col("created_at"))
+    return r.select("run_id", failures.status_label(status).alias("label"), F.date_format(latest, "yyyy-MM-dd").alias("latest"))
+
+
+@query("name_functions", """SELECT s_suppkey, lower(CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE 'ods.' || s_name END) AS composed,
+CASE s_suppkey % 3 WHEN 0 THEN '/in/x/' || s_name WHEN 1 THEN s_name ELSE 'only*' END AS file, 'job_' || s_suppkey AS scope, lower(s_name) AS gone, 's' || s_suppkey || '|b' AS statements FROM supplier""")
+def _(spark, sf_dir):
+    s = A.read(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey") % 3
+    base = F.when(k == 0, F.lit("/in/x/")).when(k == 1, F.concat(F.lit("/in/"), "s_name"))
+    mask = F.when(k == 0, F.col("s_name")).when(k == 2, F.lit("only*"))
+    return s.select(
+        "s_suppkey",
+        sqltext.compose_table_name(F.when(k > 0, F.lit(" ODS ")), "s_name").alias("composed"),
+        sqltext.source_file_name(base, mask).alias("file"),
+        sqltext.actor_scope(sqltext.scoped_key(F.concat(F.lit("job_"), "s_suppkey"), "s_name")).alias("scope"),
+        sqltext.truncate_target(F.concat(F.lit(" Truncate TABLE "), "s_name", F.lit(" ;"))).alias("gone"),
+        F.array_join(sqltext.split_statements(F.concat(F.lit(" s"), "s_suppkey", F.lit("; ;b ;"))), "|").alias("statements"),
+    )
+
+
+@query("type_functions", """SELECT n_nationkey, 'T' || n_nationkey AS simple, 'Bean' || n_nationkey AS bean, CASE WHEN n_nationkey % 2 = 0 THEN 'T' || n_nationkey || 'Impl,T' || n_nationkey || ',IT' || n_nationkey || 'Impl,IT' || n_nationkey ELSE 'T' || n_nationkey || 'Impl,T' || n_nationkey END AS candidates,
+CASE n_nationkey % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'PUT' END AS verb FROM nation""")
+def _(spark, sf_dir):
+    n = A.read(spark, sf_dir, "nation")
+    num, k = F.col("n_nationkey").cast("string"), F.col("n_nationkey") % 3
+    declared = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("a.b.IT"), num, F.lit("<X<Y>>"))).otherwise(F.concat(F.lit("T"), num))
+    name, args = F.when(k == 0, "GetMapping").otherwise("RequestMapping"), F.when(k == 1, 'value = "/x", method = RequestMethod.PUT').otherwise('"/x"')
+    return n.select("n_nationkey", javatext.type_name(F.concat(F.lit("c.d.T"), num, F.lit("[]"))).alias("simple"), javatext.bean_class(F.concat(F.lit("bean"), num)).alias("bean"), F.array_join(javatext.implementation_names(declared), ",").alias("candidates"), javatext.http_verb(name, args).alias("verb"))
+
 
 # Calls: customers call their nations, nations their regions; orders are customers' statements.
 def _call_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
