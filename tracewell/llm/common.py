@@ -13,6 +13,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Bytes of text that a task holds in arrays at once; a longer single text is taken alone.
 CHUNK_BYTES = 1 << 20
@@ -40,6 +41,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{next(_serial)}-{uuid.uuid4().hex[:8]}"
 
 
+_tables: list[DataFrame] = []
+
+
+def scratch_tables() -> list[DataFrame]:
+    """Scratch tables that are still there, oldest first."""
+    return list(_tables)
+
+
 def stash(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """df written to a scratch table and read again: lineage is cut, and lost executors cost one task's work."""
     path = scratch_path(df.sparkSession, name)
@@ -47,13 +56,17 @@ def stash(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     writer.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path  # for drop()
+    _tables.append(out)
     return out
 
 
 def drop(*tables: DataFrame) -> None:
     """Deletes scratch tables that no later step reads."""
     for df in tables:
+        _tables[:] = [t for t in _tables if t is not df]
         sc = df.sparkSession.sparkContext
+        if sc._jsc is None:  # of a session that has ended
+            continue
         path = sc._jvm.org.apache.hadoop.fs.Path(df._scratch)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -67,6 +80,22 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+_memory: dict = {}
+
+
+def remembered(kind: object, make: Callable[[], object] | None = None) -> object:
+    """What this Python worker remembers from task to task of one kind, made on first use.
+
+    Only the last kind asked for is kept, so that workers that serve several operators don't hold what earlier ones knew.
+    Without `make`, all is forgotten.
+    """
+    if kind not in _memory:
+        _memory.clear()
+        if make is not None:
+            _memory[kind] = make()
+    return _memory.get(kind)
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
@@ -105,7 +134,20 @@ def squeezed(docs: DataFrame, *keep: str) -> DataFrame:
 
 def unsqueezed(column: pa.Array) -> list[bytes]:
     wide = zstandard.ZstdDecompressor()
-    return [wide.decompress(z) for z in column.to_pylist()]
+    return [b"" if z is None else wide.decompress(z) for z in column.to_pylist()]
+
+
+def with_squeezed(docs: DataFrame) -> DataFrame:
+    """docs with z for text, null where that is; all other columns stay."""
+    others = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            z = pa.array([None if t is None else squeeze.compress(t) for t in as_bytes(b.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), z], names=[*others, "_z"])
+
+    return docs.mapInArrow(run, StructType([*(docs.schema[c] for c in others), StructField("_z", BinaryType())]))
 
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:

@@ -19,7 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import batch, own_columns, ragged, scratch_path, stash
@@ -77,9 +78,9 @@ def encode_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tupl
     """The codes of ids in turn, and the bit offset of each EVERY-th."""
     if not len(ids):
         return b"", np.zeros(0, np.int64)
-    n = lengths[ids].astype(np.int64)
-    at = np.cumsum(n) - n
-    word, shift = at >> 5, (64 - (at & 31) - n).astype(np.uint64)
+    n = lengths.astype(np.int32)[ids]
+    at = np.cumsum(n, dtype=np.int64) - n
+    word, shift = (at >> 5).astype(np.int32), (64 - (at & 31) - n).astype(np.uint64)
     value = codes[ids] << shift
     heads = np.flatnonzero(np.diff(word, prepend=-1))
     words = np.zeros(int(word[-1]) + 2, dtype=np.uint64)  # codes don't share bits, so sums are unions
@@ -129,20 +130,16 @@ DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def count_ids(tokens: DataFrame) -> DataFrame:
-    """(id, n): how often each id occurs in the column ids; summed in tasks before the shuffle."""
+    """(id, n): how often each id occurs, from the rows that tokenize() ends its tasks with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(0, dtype=np.int64)
         for b in batches:
             for blob in b.column("ids").to_pylist():
-                n = np.bincount(unpack_ids(blob))
-                if len(n) > len(sums):
-                    sums = np.concatenate([sums, np.zeros(len(n) - len(sums), np.int64)])
-                sums[: len(n)] += n
-        used = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], names=["id", "n"])
+                n = np.frombuffer(zstandard.decompress(blob), dtype=np.int64)
+                used = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], names=["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.where("n_tokens < 0").select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
@@ -155,8 +152,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
     What reaches the driver is a count for each id of the vocabulary and a sum for each shard.
     """
     spark = docs.sparkSession
-    tokens = stash(tokenize(own_columns(docs, "doc_id", "text"), tokenizer, end_id).drop("salt"), "ids")
+    tokens = stash(tokenize(own_columns(docs, "doc_id", "text"), tokenizer, end_id, counts=True).drop("salt"), "ids")
     counts = {r["id"]: r["n"] for r in count_ids(tokens).collect()}
+    tokens = tokens.where("n_tokens > 0")
     sums = np.zeros(max(counts, default=0) + 1, dtype=np.int64)
     sums[list(counts)] = list(counts.values())
     lengths = code_lengths(sums)
@@ -193,8 +191,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
     ordered.select("shard", "doc_id", "ids").mapInArrow(run, BLOCKS).write.partitionBy("shard").option("compression", "none").parquet(f"{path}/blocks")
 
 
-def read(spark, path: str) -> DataFrame:
-    """Per document of a data set: doc_id, start (over all shards), n_tokens, ids_crc32 and ids as array<int>."""
+def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+    """Per document of a data set: doc_id, start (over all shards), n_tokens, ids_crc32 and, if asked for, ids as array<int>."""
     lengths_of = {r["id"]: r["bits"] for r in spark.read.schema("id long, bits int").parquet(f"{path}/codebook").collect()}
     lengths = np.zeros(max(lengths_of, default=0) + 1, dtype=np.uint8)
     lengths[list(lengths_of)] = list(lengths_of.values())
@@ -209,15 +207,16 @@ def read(spark, path: str) -> DataFrame:
         table = decode_table(lengths)
         for b in batches:
             for shard, doc_ids, starts, sizes, bits, marks in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_ids", "starts", "lengths", "bits", "marks")), strict=True):
-                ids = decode_bits(bits, np.array(marks), sum(sizes), table)
-                parts = np.split(ids, np.cumsum(sizes)[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(np.array(starts, np.int64) + base[shard]), pa.array(sizes, pa.int64()), pa.array([crc32_ids(x) for x in parts], pa.int64()), ragged(ids.astype(np.int32), np.array(sizes))], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                found = decode_bits(bits, np.array(marks), sum(sizes), table)
+                parts = np.split(found, np.cumsum(sizes)[:-1])
+                columns = [pa.array(doc_ids, pa.int64()), pa.array(np.array(starts, np.int64) + base[shard]), pa.array(sizes, pa.int64()), pa.array([crc32_ids(x) for x in parts], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + [ragged(found.astype(np.int32), np.array(sizes))] * ids, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + ids])
 
-    return blocks.mapInArrow(run, DOCS + ", ids array<int>")
+    return blocks.mapInArrow(run, DOCS + ", ids array<int>" * ids)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, ids: bool = True) -> DataFrame:
     """What read() gives of files that write() has written into the shared folder."""
     path = scratch_path(docs.sparkSession, "token-files")
     write(docs, path, tokenizer, end_id)
-    return read(docs.sparkSession, path)
+    return read(docs.sparkSession, path, ids)

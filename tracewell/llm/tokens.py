@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -10,14 +13,55 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-from tracewell.llm.common import CHUNK_BYTES, as_bytes, batch, chunks
+from tracewell.llm.common import as_bytes, batch, chunks, remembered, spans
 
-#: Distinct words whose ids a task remembers; then it forgets all and starts anew.
-REMEMBERED = 1_000_000
-#: Words encoded in one call, separated by a special token whose id marks their ends.
+#: Distinct words whose ids a worker remembers; beyond that it forgets those seen once.
+REMEMBERED = 800_000
+#: Words encoded in one call, with a word of its own between any two.
 AT_ONCE = 64
+MARK = "\x01"
+#: Stands for the end of a text among its words; no text holds these bytes.
+END = b"\xff\xfe"
+#: A word that ends with a letter and then symbols. To the tokenizer those symbols are a word of their own, so both parts
+#: can be looked up. The apostrophe is left out, as some contractions have it.
+_TAIL = re.compile(rb"(.*[a-z])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+_SYMBOLS = frozenset(rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~""")
+
+
+class _Numbers(dict):
+    """A number for each word, in order of first sight."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
+class _Grown:
+    """An array that others are put behind, with room to spare; only its first n values count."""
+
+    def __init__(self, x: np.ndarray):
+        self.data, self.n = x, len(x)
+
+    def append(self, x: np.ndarray) -> None:
+        if (end := self.n + len(x)) > len(self.data):
+            data = np.zeros(max(end, 3 * self.n // 2), self.data.dtype)
+            data[: self.n] = self.data[: self.n]
+            self.data = data
+        self.data[self.n : end] = x
+        self.n = end
+
+
+def _taken(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of ids, sizes many each from starts, in turn."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    shift = (starts - (ends - sizes)).astype(np.int32)
+    return ids[np.repeat(shift, sizes) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
 
 
 class WordEncoder:
@@ -27,67 +71,150 @@ class WordEncoder:
     of its words in turn. Each distinct word is encoded once and remembered. `Encoder` says which tokenizers qualify.
     """
 
-    def __init__(self, tokenizer: Tokenizer, mark: str, mark_id: int):
-        self.tokenizer, self.mark, self.mark_id = tokenizer, f" {mark} ", mark_id
-        self.known: dict[bytes, np.ndarray] = {}
+    def __init__(self, tokenizer: Tokenizer, end_id: int):
+        self.tokenizer = tokenizer
+        # For words that need neither normalising nor splitting: the same model, without the steps before it.
+        self.plain = Tokenizer.from_str(tokenizer.to_str())
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        (self.mark_id,) = tokenizer.encode(MARK, add_special_tokens=False).ids
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+        self._start(_Numbers(), np.zeros(0, np.uint32), np.zeros(0, np.int32))
+        self.numbers[END]
+        self.numbers.fresh.clear()
+        self._add(np.array([end_id], np.uint32), np.array([1], np.int32))
+
+    def _start(self, numbers: _Numbers, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.numbers, self.ids, self.sizes = numbers, _Grown(ids), _Grown(sizes)
+        self.starts = _Grown((np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.int32))
+        self.again = _Grown(np.zeros(len(sizes), bool))  # met in more than one call
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts.append(self.ids.n + np.cumsum(sizes) - sizes)
+        self.sizes.append(sizes)
+        self.ids.append(ids)
+        self.again.append(np.zeros(len(sizes), bool))
+
+    def _known(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words by number, in turn, and how many each has."""
+        sizes = self.sizes.data[at]
+        return _taken(self.ids.data, self.starts.data[at], sizes), sizes
+
+    def _forget(self) -> None:
+        """Keeps words met again, or half as many as may be remembered."""
+        keep = np.union1d([0], np.flatnonzero(self.again.data[: self.again.n])[-REMEMBERED // 2 :])
+        words, numbers = list(self.numbers), _Numbers()
+        for k in keep.tolist():
+            numbers[words[k]]
+        numbers.fresh.clear()
+        self._start(numbers, *self._known(keep))
+
+    def _runs(self, text: list[str], between: str, tokenizer: Tokenizer) -> np.ndarray:
+        runs = [between.join(text[k : k + AT_ONCE]) for k in range(0, len(text), AT_ONCE)]
+        found = tokenizer.encode_batch_fast(runs, add_special_tokens=False)
+        return np.fromiter(chain.from_iterable(x for e in found for x in (e.ids, [self.mark_id])), dtype=np.uint32)
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in turn, and their numbers."""
+        text = [w.decode("utf-8", "replace") for w in words]
+        # Letters alone are one word to the tokenizer, too, whose last id says so; small letters up to \xff stay as they are.
+        # Others get a mark behind them, and those that may hold a special token or the mark are encoded alone.
+        kind = np.array([(3 if max(x) <= "\xff" and x == x.lower() else 0) if x.isalpha() and x.lower().isalpha() else 2 if "<|" in x or MARK in x else 1 for x in text])
+        every: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for k, tokenizer in ((3, self.plain), (0, self.tokenizer)):
+            if len(at := np.flatnonzero(kind == k)):
+                ids = self._runs([text[k] for k in at.tolist()], " ", tokenizer)
+                ids = ids[ids != self.mark_id]
+                every.append((at, ids, np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)))
+        if len(at := np.flatnonzero(kind == 1)):
+            ids = self._runs([text[k] for k in at.tolist()], f" {MARK} ", self.tokenizer)
+            marks = ids == self.mark_id
+            every.append((at, ids[~marks], np.diff(np.flatnonzero(marks), prepend=-1) - 1))
+        if len(at := np.flatnonzero(kind == 2)):
+            alone = [np.array(self.tokenizer.encode(text[k], add_special_tokens=False).ids, np.uint32) for k in at]
+            every.append((at, np.concatenate(alone), np.array([len(x) for x in alone])))
+        sizes = np.zeros(len(words), np.int32)
+        starts, base = np.zeros(len(words), np.int64), 0
+        for at, ids, n in every:
+            assert len(n) == len(at) and n.sum() == len(ids)
+            sizes[at], starts[at] = n, base + np.cumsum(n) - n
+            base += len(ids)
+        ids = np.concatenate([x for _, x, _ in every])
+        return ids[np.repeat(starts, sizes) + spans(sizes)], sizes
 
     def _learn(self, words: list[bytes]) -> None:
-        # A word that might itself hold a special token is encoded alone.
-        odd = [w for w in words if b"<|" in w]
-        plain = [w for w in words if b"<|" not in w]
-        for w in odd:
-            self.known[w] = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=np.uint32)
-        runs = [plain[k : k + AT_ONCE] for k in range(0, len(plain), AT_ONCE)]
-        found = self.tokenizer.encode_batch_fast([self.mark.join(w.decode("utf-8", "replace") for w in run) for run in runs], add_special_tokens=False)
-        for run, e in zip(runs, found, strict=True):
-            ids = np.array(e.ids, dtype=np.uint32)
-            ends = np.flatnonzero(ids == self.mark_id)
-            assert len(ends) == len(run) - 1
-            start = 0
-            for w, end in zip(run, chain(ends.tolist(), (len(ids),)), strict=True):
-                self.known[w] = ids[start:end]
-                start = end + 1
+        known, learned = self.numbers, self.starts.n
+        need: dict[bytes, int] = {}
+        parts, counts = [], np.ones(len(words), np.int64)
+        for k, w in enumerate(words):
+            if w[-1] in _SYMBOLS and (m := _TAIL.fullmatch(w)) and b"<|" not in w:
+                counts[k] = 2
+                for x in m.groups():
+                    at = known.get(x, learned)
+                    parts.append(at if at < learned else learned + need.setdefault(x, len(need)))
+            else:
+                parts.append(learned + need.setdefault(w, len(need)))
+        ids, sizes = self._encoded(list(need))
+        # Parts known before, then those just encoded; a word's own ids are those of its part or two.
+        part = np.array(parts, dtype=np.int64)
+        old = part < learned
+        used, place = np.unique(part[old], return_inverse=True)
+        old_ids, old_sizes = self._known(used)
+        part[~old] += len(used) - learned
+        part[old] = place
+        sizes = np.concatenate([old_sizes, sizes.astype(np.int32)])
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        own = sizes[part]
+        self._add(_taken(np.concatenate([old_ids, ids]), starts[part], own), np.add.reduceat(own, np.cumsum(counts) - counts))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in turn, and the number of each text's."""
-        split = [t.split() for t in texts]
-        known = self.known
-        if fresh := [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in known]:
-            if len(known) + len(fresh) > REMEMBERED:
-                known.clear()
-                fresh = list(dict.fromkeys(chain.from_iterable(split)))
-            self._learn(fresh)
-        parts = [known[w] for w in chain.from_iterable(split)]
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(s) for s in split])]
-        return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), np.diff(ends, prepend=0)
+        """All ids in turn, each text's with the end id behind them, and their numbers."""
+        if len(self.numbers) > REMEMBERED:
+            self._forget()
+        # ASCII letters are lower-cased at once; where a special token's text might be, that is left to the tokenizer.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        for words in split:
+            words.append(END)
+        counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), dtype=np.int32, count=int(counts.sum()))
+        before = self.starts.n
+        if self.numbers.fresh:
+            self._learn(self.numbers.fresh)
+            self.numbers.fresh.clear()
+        self.again.data[at[at < before]] = True
+        ids, sizes = self._known(at)
+        ends = np.cumsum(sizes, dtype=np.int64)[np.cumsum(counts) - 1]
+        return ids, np.diff(ends, prepend=0)
 
 
 class Encoder:
     """Ids of texts; by words where the tokenizer's settings allow it, else by whole texts."""
 
-    def __init__(self, path: str):
-        import json
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str, end_id: int):
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
-        pre = (said.get("pre_tokenizer") or {}).get("pretokenizers") or []
-        special = [t for t in said["added_tokens"] if t["special"] and not t["normalized"] and not t["lstrip"] and not t["rstrip"]]
-        by_words = bool(special) and len(special) == len(said["added_tokens"]) and len(pre) > 1 and pre[0].get("type") == "Split" and pre[0].get("behavior") == "Removed" and pre[0].get("invert") is True and r"[^\s\p{L}\p{N}]+" in str(pre[0].get("pattern")) and " ?" not in str(pre[0].get("pattern")) and not pre[1].get("add_prefix_space")
-        self.words = WordEncoder(self.tokenizer, special[-1]["content"], special[-1]["id"]) if by_words else None
-        self.n_ids = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        pre = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        pattern = (pre[0].get("pattern") or {}).get("Regex", "")
+        by_words = len(pre) == 2 and pre[0].get("behavior") == "Removed" and pre[0].get("invert") is True and pattern.endswith(r"[^\s\p{L}\p{N}]+") and " " not in pattern and not pre[1].get("add_prefix_space")
+        by_words = by_words and all(t["special"] and not t["normalized"] and not t["lstrip"] and not t["rstrip"] and "<|" in t["content"] for t in said["added_tokens"])
+        lower = "Lowercase" in str(said.get("normalizer")) and said["model"].get("end_of_word_suffix") == "</w>"
+        self.words = WordEncoder(self.tokenizer, end_id) if by_words and lower and len(self.tokenizer.encode(MARK, add_special_tokens=False).ids) == 1 else None
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in turn, each text's with the end id behind them, and their numbers."""
         if self.words is not None:
             return self.words.encode(texts)
-        found = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        found = [np.array([*e.ids, self.end_id], dtype=np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
         return (np.concatenate(found) if found else np.zeros(0, np.uint32)), np.array([len(x) for x in found], dtype=np.int64)
 
 
-def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same with end_id behind each text."""
-    return np.insert(ids, np.cumsum(lengths), np.uint32(end_id)), lengths + 1
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """One for a worker: what it remembers serves all its tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return remembered(("tokens", path, end_id), lambda: Encoder(path, end_id))
 
 
 def pack_ids(ids: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
@@ -101,28 +228,35 @@ def unpack_ids(blob: bytes) -> np.ndarray:
 
 def crc32_ids(ids: np.ndarray) -> int:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
-    return zlib.crc32(ids.astype("<u4").tobytes())
+    return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))
 
 
 TOKENIZED = "doc_id long, n_tokens long, ids_crc32 long, ids binary, salt long"
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, end_id: int = 1, counts: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, ids, salt) for each row of docs (doc_id, text).
 
     A null text is empty and has the end id alone. Ids are compressed. salt tells apart rows with the same doc_id that
-    one task reads; it is the row's place in that task's input.
+    one task reads; it is the row's place in that task's input. With `counts`, each task ends with a row whose n_tokens is -1
+    and whose ids are the number of times that each id from 0 on has occurred.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, squeeze = Encoder(path), zstandard.ZstdCompressor(level=1)
+        encoder, squeeze = encoder_of(path, end_id), zstandard.ZstdCompressor(level=1)
         out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("salt", pa.int64())])
-        place = 0
+        place, sums = 0, np.zeros(0, np.int64)
         for b in batches:
-            for doc_ids, texts in chunks(b.column("doc_id").to_pylist(), as_bytes(b.column("text")), 4 * CHUNK_BYTES):
-                ids, lengths = with_end(*encoder.encode(texts), end_id)
+            for doc_ids, texts in chunks(b.column("doc_id").to_pylist(), as_bytes(b.column("text"))):
+                ids, lengths = encoder.encode(texts)
                 parts = np.split(ids, np.cumsum(lengths)[:-1])
                 yield batch(out, doc_id=doc_ids, n_tokens=lengths, ids_crc32=[crc32_ids(x) for x in parts], ids=[pack_ids(x, squeeze) for x in parts], salt=np.arange(place, place + len(parts)))
                 place += len(parts)
+                if counts:
+                    n = np.bincount(ids)
+                    sums = np.concatenate([sums, np.zeros(max(0, len(n) - len(sums)), np.int64)])
+                    sums[: len(n)] += n
+        if counts:
+            yield batch(out, doc_id=[None], n_tokens=[-1], ids_crc32=[0], ids=[squeeze.compress(sums.tobytes())], salt=[place])
 
     return docs.select("doc_id", "text").mapInArrow(run, TOKENIZED)
