@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import as_bytes, chunks, own_columns, spans, stash
+from tracewell.llm.common import as_bytes, chunks, own_columns, remembered, spans, stash
 
 #: Documents of each side (good, junk) that the scorer is trained on, at most.
 SAMPLE = 2000
@@ -83,6 +83,11 @@ class Words:
         return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
 
+def known_words() -> Words:
+    """One for a worker: what it knows of words serves all its tasks."""
+    return remembered("quality", Words)
+
+
 def examine(texts: list[bytes], memory: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words, votes, features, owner): numbers of words, votes -1, 0, 1, and a document's hashed features in turn."""
     split = [t.split() for t in texts]
@@ -162,7 +167,7 @@ def fit(rows: list[tuple[list[int], list[float], float]], prior: float = 0.5, pa
 
 def _votes(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Words()
+        memory = known_words()
         for b in batches:
             for ids, texts in chunks(b.column("doc_id").to_pylist(), as_bytes(b.column("text"))):
                 n, votes, _, _ = examine(texts, memory)
@@ -173,7 +178,7 @@ def _votes(docs: DataFrame) -> DataFrame:
 
 def _vectors(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Words()
+        memory = known_words()
         for b in batches:
             for (_, texts), good in zip(chunks([None] * b.num_rows, as_bytes(b.column("text")), 1), b.column("good").to_pylist(), strict=True):
                 n, _, features, _ = examine(texts, memory)
@@ -191,8 +196,8 @@ def weak_model(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float],
     if not counts:
         return {}, np.full(len(LABELLERS), 0.9), 0.8, np.zeros(WIDTH + 1)
     posterior, accuracy, prior = estimate(counts)
-    good = F.element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in posterior.items())), F.col("votes"))
-    rated = votes.select("doc_id", good.alias("good"))
+    known = docs.sparkSession.createDataFrame(list(posterior.items()), "votes string, good double")  # as many rows as counts
+    rated = votes.join(F.broadcast(known), "votes").select("doc_id", "good")
     sides = {True: sum(n for p, n in counts.items() if posterior[p] > 0.5), False: sum(n for p, n in counts.items() if posterior[p] <= 0.5)}
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / (1 << 30)
     limit = F.when(F.col("good") > 0.5, min(1.0, 2 * sample / max(1, sides[True]))).otherwise(min(1.0, 2 * sample / max(1, sides[False])))
@@ -213,7 +218,7 @@ def judge(docs: DataFrame, posterior: dict[str, float], weights: np.ndarray, lea
     shared = docs.sparkSession.sparkContext.broadcast((posterior, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (known, w), memory = shared.value, Words()
+        (known, w), memory = shared.value, known_words()
         for b in batches:
             for ids, texts in chunks(b.column("doc_id").to_pylist(), as_bytes(b.column("text"))):
                 n, votes, features, owner = examine(texts, memory)
