@@ -74,8 +74,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     page = pages.select("page_id", "url").select("page_id", F.coalesce("url", F.lit("")).alias("url"))
     page = page.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.pmod(F.xxhash64("page_id", "url"), F.lit(width)).alias("share"), F.monotonically_increasing_id().alias("row"))
     edges = boundaries(rules)
-    depths = edges.agg(F.array_sort(F.collect_set("depth")).alias("depths"))  # label counts: a few numbers
-    probes = page.join(F.broadcast(depths)).select("page_id", "host", "path", "share", "row", F.split("host", r"\.").alias("labels"), F.explode(F.concat(F.array(F.lit(0)), F.col("depths"))).alias("depth"))
+    depths = sorted(r["depth"] for r in edges.select("depth").distinct().collect())  # label counts: a few numbers
+    probes = page.select("page_id", "host", "path", "share", "row", F.split("host", r"\.").alias("labels"), F.explode(F.array(*map(F.lit, [0, *depths]))).alias("depth"))
     probes = probes.where("depth = 0 or depth <= size(labels)").select("page_id", "host", "path", "share", "row", "depth", F.concat(_reversed(F.expr("slice(labels, greatest(size(labels) - depth, 0) + 1, depth)")), F.lit(SEP), "path").alias("at"), F.lit(1).alias("is_url"), F.lit(None).cast("struct<weight:int,rule:string,verdict:string>").alias("top"))
     spread = edges.select("at", "depth", "top", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint"))).alias("share"), F.lit(0).alias("is_url"))
     swept = probes.unionByName(spread, allowMissingColumns=True).repartition("share")  # serves the sweep and the choice below
