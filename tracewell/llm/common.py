@@ -53,7 +53,8 @@ def stash(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     """df written to a scratch table and read again: lineage is cut, and lost executors cost one task's work."""
     path = scratch_path(df.sparkSession, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.option("compression", "zstd").parquet(path)
+    # Small row groups: a task that writes long texts holds one in memory.
+    writer.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path  # for drop()
     _tables.append(out)
@@ -91,11 +92,18 @@ def remembered(kind: object, make: Callable[[], object] | None = None) -> object
     """
     if kind not in _memory:
         _memory.clear()
+        pa.default_memory_pool().release_unused()
         if make is not None:
             _memory[kind] = make()
     return _memory.get(kind)
 
 
+def slices(b: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """A batch in smaller ones, so that what is made of its texts stays small."""
+    for k in range(0, b.num_rows, rows):
+        yield b.slice(k, rows)
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
@@ -125,7 +133,7 @@ def squeezed(docs: DataFrame, *keep: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in itertools.chain.from_iterable(map(slices, batches)):
             z = pa.array([squeeze.compress(t or b"") for t in as_bytes(b.column("text"))], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), z], names=[*names, "z"])
 
@@ -143,7 +151,7 @@ def with_squeezed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in itertools.chain.from_iterable(map(slices, batches)):
             z = pa.array([None if t is None else squeeze.compress(t) for t in as_bytes(b.column("text"))], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), z], names=[*others, "_z"])
 

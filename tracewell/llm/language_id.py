@@ -8,6 +8,7 @@ and a document's language is that of most probability over its words with letter
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import as_bytes, chunks, crc32_text, own_columns, spans, stash
+from tracewell.llm.common import as_bytes, chunks, crc32_text, own_columns, remembered, slices, spans
 
 #: Training documents of each language, at most; languages, at most (the most frequent).
 SAMPLE, LANGUAGES = 300, 256
@@ -30,7 +31,7 @@ WIDTH, LEXICON = 1 << 16, 200
 #: Words that one forward-backward run decides, and words of context on each side of them.
 RUN, CONTEXT = 224, 32
 #: Distinct words whose scores a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def core(word: bytes) -> bytes:
@@ -51,6 +52,14 @@ def features(c: bytes) -> list[int]:
     return [x & (WIDTH - 1) for x in out]
 
 
+class Rated:
+    """Distinct words met so far, with their scores and whether they have letters."""
+
+    def __init__(self, languages: int):
+        self.known: dict[bytes, int] = {}
+        self.scores, self.letters = np.zeros((0, languages), np.float32), np.zeros(0, bool)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -58,8 +67,7 @@ class Model:
     lexicon: dict[bytes, np.ndarray]
     lexical: np.ndarray
     transitions: np.ndarray
-    known: dict[bytes, int] = field(default_factory=dict)
-    scores: np.ndarray | None = None
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def emissions(self, cores: list[bytes]) -> np.ndarray:
         """Log scores of each language for words given by their letters; zero for words without."""
@@ -76,19 +84,37 @@ class Model:
 
     def rate(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Emissions of words, and which have letters; distinct words are rated once and remembered."""
-        if self.scores is None or len(self.known) > REMEMBERED:
-            self.known, self.scores, self.letters = {}, np.zeros((0, len(self.languages)), np.float32), np.zeros(0, bool)
-        known, fresh = self.known, []
+        rated = remembered(("language", self.name), lambda: Rated(len(self.languages)))
+        if len(rated.known) > REMEMBERED:
+            rated.__init__(len(self.languages))
+        known, fresh = rated.known, []
         for w in words:
             if w not in known:
                 known[w] = len(known)
                 fresh.append(w)
         if fresh:
             cores = [core(w) for w in fresh]
-            self.scores = np.concatenate([self.scores, self.emissions(cores).astype(np.float32)])
-            self.letters = np.concatenate([self.letters, np.array([bool(c) for c in cores])])
+            parts = [self.emissions(cores[k : k + 8192]).astype(np.float32) for k in range(0, len(cores), 8192)]
+            rated.scores = np.concatenate([rated.scores, *parts])
+            rated.letters = np.concatenate([rated.letters, np.array([bool(c) for c in cores])])
         at = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-        return self.scores[at], self.letters[at]
+        return rated.scores[at], rated.letters[at]
+
+    def judge(self, texts: list[bytes], runs: bool = False) -> tuple[np.ndarray, list[str], np.ndarray, list]:
+        """(words, language, score, runs) of texts."""
+        split = [t.split() for t in texts]
+        n = np.array([len(w) for w in split], dtype=np.int64)
+        e, letters = self.rate(list(chain.from_iterable(split)))
+        known = len(self.languages) > 0
+        gamma = _decided(e, n, self.transitions) if known and len(e) else np.zeros((len(e), max(1, len(self.languages))))
+        ends = np.cumsum(n)
+        sums = np.concatenate([np.zeros((1, gamma.shape[1])), np.cumsum(gamma * letters[:, None], axis=0)])
+        votes, of = sums[ends] - sums[ends - n], np.diff(np.concatenate([[0], np.cumsum(letters)])[ends], prepend=0)
+        best = votes.argmax(1)
+        told = [self.languages[k] if c and known else "und" for k, c in zip(best, of, strict=True)]
+        score = np.where((of > 0) & known, np.clip(votes[np.arange(len(n)), best] / np.maximum(of, 1), 0, 1), 0.0)
+        listed = [_runs(gamma[e - k : e].argmax(1), self.languages) if known else [] for e, k in zip(ends, n, strict=True)] if runs else [None] * len(n)
+        return n, told, score, listed
 
 
 def forward_backward(e: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
@@ -230,19 +256,9 @@ def identify(docs: DataFrame, model: Model, runs: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in chain.from_iterable(map(slices, batches)):
             for ids, texts in chunks(b.column("doc_id").to_pylist(), as_bytes(b.column("text"))):
-                split = [t.split() for t in texts]
-                n = np.array([len(w) for w in split], dtype=np.int64)
-                e, letters = m.rate(list(chain.from_iterable(split)))
-                gamma = _decided(e, n, m.transitions) if len(m.languages) and len(e) else np.zeros((len(e), max(1, len(m.languages))))
-                ends = np.cumsum(n)
-                sums = np.concatenate([np.zeros((1, gamma.shape[1])), np.cumsum(gamma * letters[:, None], axis=0)])
-                votes, of = sums[ends] - sums[ends - n], np.diff(np.concatenate([[0], np.cumsum(letters)])[ends], prepend=0)
-                best = votes.argmax(1)
-                told = [m.languages[k] if c and m.languages else "und" for k, c in zip(best, of, strict=True)]
-                score = np.where((of > 0) & (len(m.languages) > 0), np.clip(votes[np.arange(len(n)), best] / np.maximum(of, 1), 0, 1), 0.0)
-                listed = [_runs(gamma[e - k : e].argmax(1), m.languages) if m.languages else [] for e, k in zip(ends, n, strict=True)] if runs else [None] * len(n)
+                n, told, score, listed = m.judge(texts, runs)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(told), pa.array(score), pa.array(n), pa.array(listed, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("words", pa.int32())])))], names=["doc_id", "lang_pred", "score", "words", "runs"])
 
     return docs.select("doc_id", "text").mapInArrow(run, RESULT)
@@ -283,9 +299,16 @@ def learned_split(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
     """The rows of docs whose language is identified with at least that score; all columns, lang replaced by it."""
-    model = train(sample(own_columns(docs, "doc_id", "text", "lang")))
-    marked = docs.withColumn("_row", F.monotonically_increasing_id())
-    held = stash(marked, "docs")
-    told = identify(held.select(F.col("_row").alias("doc_id"), "text"), model)
-    kept = told.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(F.col("doc_id").alias("_row"), F.col("lang_pred").alias("_lang"))
-    return held.join(kept, "_row").select(*[F.col("_lang").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    shared = docs.sparkSession.sparkContext.broadcast(train(sample(own_columns(docs, "doc_id", "text", "lang"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chain.from_iterable(map(slices, batches)):
+            told, keep = [], []
+            for _, texts in chunks([None] * b.num_rows, as_bytes(b.column("text"))):
+                _, langs, score, _ = shared.value.judge(texts)
+                told += langs
+                keep += [lang != "und" and x >= least_score for lang, x in zip(langs, score, strict=True)]
+            at = b.schema.get_field_index("lang")
+            yield b.set_column(at, b.schema.field(at), pa.array(told, pa.string()).cast(b.schema.field(at).type)).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

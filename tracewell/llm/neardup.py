@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import as_bytes, blobs, chunks, components, drop, forest, groups, mix, own_columns, squeezed, stash, unsqueezed
+from tracewell.llm.common import as_bytes, blobs, chunks, components, drop, forest, groups, mix, own_columns, remembered, slices, squeezed, stash, unsqueezed
 from tracewell.llm.shingles import shingle_set, words
 
 #: Bands and rows of a signature. At a similarity of 0.85 a pair shares no band with probability 1.2e-5, at 0.8 with 6e-4 a
@@ -139,7 +140,8 @@ def spanning(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
 
 def _signed(docs: DataFrame, shingle: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        remembered(None)
+        for b in chain.from_iterable(map(slices, batches)):
             for ids, texts in chunks(b.column("doc_id").to_pylist(), as_bytes(b.column("text"))):
                 sets = [shingle_set(words(t), shingle) for t in texts]
                 full = [s for s in sets if len(s)]
@@ -154,7 +156,8 @@ def _signed(docs: DataFrame, shingle: int, k: int) -> DataFrame:
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        remembered(None)
+        for b in chain.from_iterable(map(slices, batches)):
             for ids, texts in chunks(b.column("doc_id").to_pylist(), unsqueezed(b.column("z"))):
                 sets = [shingle_set(words(t), shingle) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), blobs(np.concatenate(sets), [len(s) for s in sets])], names=["id", "shingles"])
@@ -211,6 +214,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
                     good.append(linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
                 yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+        pairs = stash(pairs, "pairs")  # else tasks run workers for pruning and verifying side by side
         full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 

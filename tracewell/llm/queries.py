@@ -21,7 +21,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"), length=200).drop("kept", "removed")
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"), length=200, kept=None).drop("removed")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import neardup, suffix_dedup
-from tracewell.llm.common import squeezed, stash
+from tracewell.llm.common import stash, with_squeezed
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -27,19 +26,15 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     return held.join(stay.select(F.col("first.r").alias("_row")), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _decoded(kept: pd.Series) -> pd.Series:
-    return kept.map(lambda b: b.decode("utf-8", "ignore"))
-
-
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """docs with every repeated string of `length` bytes removed from the text; n_chars follows the text.
 
     Characters of which a cut leaves only some bytes go, too. A row of which nothing but white space is left is dropped; a
     row that had no repeats stays as it is, also with a null or empty text.
     """
-    held = numbered(docs)
-    kept = suffix_dedup.without_repeats(stash(squeezed(held.select("doc_id", "text", F.col("_row").alias("row")), "row"), "texts"), length)
-    cut = kept.where("n_removed > 0").select(F.col("row").alias("_row"), F.pandas_udf(_decoded, "string")("kept").alias("_text"))
-    joined = held.join(cut, "_row", "left").where("_text is null or _text rlike '\\\\S'")
-    new = {"text": F.coalesce("_text", "text"), "n_chars": F.when(F.col("_text").isNotNull(), F.length("_text").cast("long")).otherwise(F.col("n_chars"))}
+    held = stash(with_squeezed(docs.withColumn("_row", F.monotonically_increasing_id())), "docs")
+    kept = suffix_dedup.without_repeats(held.select(F.col("_row").alias("row"), "doc_id", F.col("_z").alias("z")), length, "string")
+    told = kept.select(F.col("row").alias("_row"), (F.col("n_removed") > 0).alias("_cut"), F.col("kept").alias("_text"))
+    joined = held.select(F.col("_z").isNull().alias("_null"), *[F.col(f"`{c}`") for c in held.columns if c != "_z"]).join(told, "_row").where("not _cut or _text rlike '\\\\S'")
+    new = {"text": F.when(~F.col("_null"), F.col("_text")), "n_chars": F.when(F.col("_cut"), F.length("_text").cast("long")).otherwise(F.col("n_chars"))}
     return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import GOLD, chunks, mix, own_columns, spans, squeezed, stash, unsqueezed
+from tracewell.llm.common import GOLD, chunks, mix, own_columns, remembered, slices, spans, squeezed, stash, unsqueezed
 
 _BYTE_IDS = mix(np.arange(1, 257, dtype=np.uint64) * GOLD)
 _K = np.uint64(0xD6E8FEB86659FD93)
@@ -140,7 +141,8 @@ def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
 
 def _segments(held: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        remembered(None)
+        for b in chain.from_iterable(map(slices, batches)):
             for ids, texts in chunks(b.column("row").to_pylist(), unsqueezed(b.column("z")), CHUNK):
                 doc, lo, hi, gram, equal = segments(texts, length)
                 yield _segment_rows(np.array(ids)[doc], lo, hi, gram, equal, np.ones(len(doc)))
@@ -212,21 +214,24 @@ def _strings(held: DataFrame, refined: DataFrame, length: int) -> DataFrame:
     return held.select("row", "z").join(_per_row(refined), "row").select("row", "z", "parts").mapInArrow(run, "a long, b long, row long, at int, members int")
 
 
-RESULT = "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<start:int,end:int>>"
+RESULT = "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,end:int>>"
 
 
-def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
-    """Per row of docs (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256, kept, removed.
+def remove_repeats(docs: DataFrame, length: int = 200, kept: str | None = "binary") -> DataFrame:
+    """Per row of docs (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256, removed, and kept.
 
     Removed is each byte of the UTF-8 text that is covered by a string of `length` bytes which also starts anywhere else, in
     this row or another; all occurrences go. Matches don't cross rows. A null text counts as empty. Rows that share a
     doc_id, or have none, are documents of their own. Other columns aren't read; an empty table gives no rows.
+
+    kept is the type in which what remains is returned: binary, or string without characters of which a cut leaves only
+    some bytes; None leaves the column out.
     """
     held = stash(squeezed(own_columns(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "row"), "texts")
-    return without_repeats(held, length).drop("row")
+    return without_repeats(held, length, kept).drop("row")
 
 
-def without_repeats(held: DataFrame, length: int) -> DataFrame:
+def without_repeats(held: DataFrame, length: int, kept: str | None) -> DataFrame:
     whole, refined = settle(_segments(held, length))
     finer, refined = settle(stash(_finer(held, refined, length), "finer"))
     strings = stash(_strings(held, refined, length), "strings")
@@ -234,11 +239,15 @@ def without_repeats(held: DataFrame, length: int) -> DataFrame:
     found = strings.where("members = 1").join(twice, ["a", "b"], "left_semi").select("row", F.col("at").alias("lo"), F.col("at").alias("hi"))
     per_row = whole.unionByName(finer).unionByName(found).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))  # of one document
 
+    last = {"binary": pa.binary(), "string": pa.string()}.get(kept)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        remembered(None)
+        for b in chain.from_iterable(map(slices, batches)):
             out = []
             for row, doc_id, z, parts in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "z", "parts")), strict=True):
-                data, gone = zstandard.decompress(z), []
+                data, gone = zstandard.decompress(z) if z is not None else b"", []
+                left = data
                 if parts:
                     edge = np.zeros(len(data) + 1, dtype=np.int64)
                     np.add.at(edge, [p["lo"] for p in parts], 1)
@@ -246,11 +255,9 @@ def without_repeats(held: DataFrame, length: int) -> DataFrame:
                     covered = np.cumsum(edge)[:-1] > 0
                     turns = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0))
                     gone = list(zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True))
-                    kept = np.frombuffer(data, dtype=np.uint8)[~covered].tobytes()
-                else:
-                    kept = data
-                out.append((row, doc_id, len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept, [{"start": s, "end": e} for s, e in gone]))
-            types = [pa.int64()] * 5 + [pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"])
-
-    return held.join(per_row, "row", "left").select("row", "doc_id", "z", "parts").mapInArrow(run, RESULT)
+                    left = np.frombuffer(data, dtype=np.uint8)[~covered].tobytes()
+                out.append((row, doc_id, len(data), len(data) - len(left), len(gone), hashlib.sha256(left).hexdigest(), [{"start": s, "end": e} for s, e in gone], left.decode("utf-8", "ignore") if kept == "string" else left))
+            types = [pa.int64()] * 5 + [pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), *([last] if kept else [])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept"][: len(types)])
+
+    return held.join(per_row, "row", "left").select("row", "doc_id", "z", "parts").mapInArrow(run, RESULT + (f", kept {kept}" if kept else ""))
