@@ -46,3 +46,27 @@ def test_filter_recalls_levels():
 def test_pressed_numbers():
     x = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 100, dtype=np.uint64))
     assert (M.unpress_sorted(M.press_sorted(x)) == x).all() and len(M.unpress_sorted(M.press_sorted(x[:0]))) == 0
+
+
+def test_pairs_seen_once_count(spark, monkeypatch):
+    found, mixture = [], M.mixture
+    monkeypatch.setattr(M, "mixture", lambda h: found.append(mixture(h)) or found[-1])
+    trained = ["a b c d e f g h", "h g f a b", "c a h b", "a b d d"]
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][:4] + [next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)]
+    texts = [*trained, "d e f g h b x"]
+    one, two = Counter(), Counter()
+    for t in trained:
+        w = [*t.split(), None]
+        one.update(w)
+        two.update(zip([None, *w], w))
+    assert set(two.values()) == {1, 2, 3}
+    total, types, want = sum(one.values()), len(one), {}
+    out = M.held_out_scores(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()
+    for i, t in zip(ids, texts, strict=True):
+        w, p = [*t.split(), None], 0.0
+        for a, b in zip([None, *w], w):
+            weight = found[0][int(math.log2(one[a]))] if one[a] else 0.0
+            p += math.log10(weight * min(two[a, b] / max(one[a], 1), 1) + (1 - weight) * (one[b] + 1) / (total + types + 1))
+        want[i] = round(p, 6)
+    assert {r.doc_id: round(r.score, 6) for r in out} == want
+    assert (M.count_of(M.levels(np.array([1, 2, 3]))) == [1, 2, 3]).all()

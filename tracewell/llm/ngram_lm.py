@@ -1,7 +1,7 @@
 """A bigram language model in a log-frequency Bloom filter.
 
-Words and pairs of neighbouring words are counted over all training texts. Pairs that occur at least twice go into the filter:
-a pair of count c has the level 1 + log_BASE(c / 2), rounded down, and is entered once for each level from 1 to its own. A
+Words and pairs of neighbouring words are counted over all training texts. All pairs go into the filter: a pair of count 1
+has level 1, one of count c level 2 + log_BASE(c / 2), rounded down, and is entered once for each level from 1 to its own. A
 pair's count is read back by probing level after level until one is absent; the last one present gives the count, rounded
 down. An absent pair has no level but by a false positive, of which RATE says how likely it is.
 
@@ -35,8 +35,8 @@ BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 16 << 20
 #: Tokens whose counts a task gathers before it gives them on.
 FLUSH = 4_000_000
-#: Between levels; least count that is entered; bits and probes for each entry.
-BASE, LEAST, BITS, PROBES = 1.5, 2, 12, 8
+#: Between levels from the second on; bits and probes for each entry.
+BASE, BITS, PROBES = 1.5, 12, 8
 RATE = (1 - math.exp(-PROBES / BITS)) ** PROBES
 #: Filters up to this size are broadcast.
 FILTER_BYTES = 96 << 20
@@ -102,11 +102,11 @@ def by_shard(x: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(counts / LEAST) / math.log(BASE) + 1e-9).astype(np.int64) + 1
+    return np.where(counts > 1, np.floor(np.log(np.maximum(counts, 2) / 2) / math.log(BASE) + 1e-9).astype(np.int64) + 2, 1)
 
 
 def count_of(level: np.ndarray) -> np.ndarray:
-    return np.where(level > 0, LEAST * BASE ** (level - 1.0), 0.0)
+    return np.where(level > 1, 2 * BASE ** (level - 2.0), np.where(level > 0, 1.0, 0.0))
 
 
 def _hashes(x: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +120,7 @@ def _bit(h: np.ndarray, step: np.ndarray, k: int, size: np.ndarray | np.uint64)
 
 
 def build_filter(x: np.ndarray, counts: np.ndarray) -> bytes:
-    """A filter for names x with counts of LEAST or more."""
+    """A filter for names x with counts of 1 or more."""
     top = levels(counts)
     size = max(64, int(top.sum()) * BITS)
     size += -size % 8
@@ -235,7 +235,7 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
         if kind == 1:
             out |= {"names": [press_sorted(x)], "counts": [press(n)], "tokens": [int(n.sum())], "types": [len(x)]}
         else:
-            out |= {"segment": [build_filter(x[n >= LEAST], n[n >= LEAST])]}
+            out |= {"segment": [build_filter(x, n)]}
     return pd.DataFrame(out)
 
 
@@ -368,7 +368,7 @@ def score_all(docs: DataFrame) -> DataFrame:
                 if texts := [t for t, h in zip(texts, hs, strict=True) if not h]:
                     t, _ = tokens(texts)
                     _, alone, context, pair = _rated(t, tables, total, types)
-                    pair = np.where(pair > LEAST, pair - 1, 0.0)  # without this occurrence
+                    pair = np.maximum(pair - 1, 0.0)  # without this occurrence
                     ratio = pair / np.maximum(context - 1, 1) / alone
                     place = np.where(pair > 0, np.clip(np.round(np.log2(np.maximum(ratio, 1e-9))) + 16, 1, 47), 0).astype(np.int64)
                     np.add.at(out, (_slot(context), place), 1)
