@@ -70,3 +70,16 @@ def test_pairs_seen_once_count(spark, monkeypatch):
         want[i] = round(p, 6)
     assert {r.doc_id: round(r.score, 6) for r in out} == want
     assert (M.count_of(M.levels(np.array([1, 2, 3]))) == [1, 2, 3]).all()
+
+
+def test_weights_from_all_training_tokens(docs, monkeypatch):
+    seen, mixture = [], M.mixture
+    monkeypatch.setattr(M, "mixture", lambda h: seen.append(h) or mixture(h))
+    monkeypatch.setattr(M, "BLOCK_BYTES", 1)  # a block for each document
+    first = M.held_out_scores(docs).first()
+    assert len(seen) == 1 and seen[0].sum() == first.train_tokens > 0
+
+
+def test_pressed_repeats():
+    x = np.random.default_rng(1).zipf(1.5, 3000).astype(np.int64) % 100000
+    assert (M.unpress_few(*M.press_few(x)) == x).all() and len(M.unpress_few(*M.press_few(x[:0]))) == 0

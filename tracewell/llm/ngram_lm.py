@@ -6,7 +6,7 @@ pair's count is read back by probing level after level until one is absent; the
 down. An absent pair has no level but by a false positive, of which RATE says how likely it is.
 
 P(w | h) mixes the pair's share of h's count with the add-one probability of w alone; the mixture's weight depends on how
-often h occurs, and is estimated on a bounded sample of training blocks with each pair's own occurrence left out.
+often h occurs, and is estimated on all training texts with each pair's own occurrence left out.
 
 Texts are kept in blocks of about BLOCK_BYTES. A block asks for the counts of its distinct words once: questions are dealt
 to shards by a hash of the word, met there by the shard's counts, and answers go back to the block. No shard, block or
@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import as_bytes, chunks, crc32_text, mix, own_columns, stash
+from tracewell.llm.common import as_bytes, chunks, crc32_text, drop, mix, own_columns, stash
 from tracewell.llm.shingles import hashes, words
 
 BLOCK_BYTES = 4 << 20
@@ -40,8 +40,6 @@ BASE, BITS, PROBES = 1.5, 12, 8
 RATE = (1 - math.exp(-PROBES / BITS)) ** PROBES
 #: Filters up to this size are broadcast.
 FILTER_BYTES = 96 << 20
-#: Blocks whose training texts set the mixture's weights, at most.
-TUNED = 16
 #: The token before the first word and behind the last.
 EDGE = np.uint64(0x5851F42D4C957F2D)
 
@@ -66,6 +64,19 @@ def unpress_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unpress(b, np.uint64), dtype=np.uint64)
 
 
+def press_few(x: np.ndarray) -> tuple[bytes, bytes]:
+    """Numbers that repeat: the distinct ones by frequency, and for each its place among them."""
+    kinds, at, n = np.unique(x, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    return press(kinds[order]), press(place[at])
+
+
+def unpress_few(kinds: bytes, places: bytes) -> np.ndarray:
+    return unpress(kinds, np.int64)[unpress(places, np.uint32)]
+
+
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of texts in turn, an EDGE before and behind each, and the number of words of each."""
     split = [words(t) for t in texts]
@@ -312,10 +323,9 @@ def _slot(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(context, 1)).astype(np.int64), 39)
 
 
-def _rated(t: np.ndarray, tables: Tables, total: int, types: int) -> tuple[np.ndarray, ...]:
+def _rated(c: np.ndarray, level: np.ndarray, total: int, types: int) -> tuple[np.ndarray, ...]:
     """For each token but the first: its count, its add-one probability, the context's count, and the pair's count."""
-    c = tables.count(t)
-    return c[1:], (c[1:] + 1.0) / (total + types + 1.0), c[:-1], np.where(c[:-1] > 0, count_of(tables.level(pairs(t))), 0.0)
+    return c[1:], (c[1:] + 1.0) / (total + types + 1.0), c[:-1], np.where(c[:-1] > 0, count_of(level), 0.0)
 
 
 def mixture(histogram: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -328,6 +338,7 @@ def mixture(histogram: np.ndarray, rounds: int = 60) -> np.ndarray:
     return weight
 
 
+RATED = "doc_ids array<long>, held array<boolean>, sizes array<long>, kinds binary, counts binary, levels binary, cells array<long>, n array<long>"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -357,46 +368,49 @@ def score_all(docs: DataFrame) -> DataFrame:
     else:
         told = told.unionByName(_told(_asked(blocks, shards, 2), model, 2))
     told = stash(told, "told")
+    drop(model)
 
     def known(right: pd.DataFrame) -> Tables:
         return Tables(right, None if shared is None else shared.value)
 
-    def tune(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        tables, out = known(right), np.zeros((40, 48), np.int64)
-        for z, sizes, held in zip(left["z"], left["sizes"], left["held"], strict=True):
-            for hs, texts in chunks(list(held), _texts(z, sizes)):
-                if texts := [t for t, h in zip(texts, hs, strict=True) if not h]:
-                    t, _ = tokens(texts)
-                    _, alone, context, pair = _rated(t, tables, total, types)
-                    pair = np.maximum(pair - 1, 0.0)  # without this occurrence
-                    ratio = pair / np.maximum(context - 1, 1) / alone
-                    place = np.where(pair > 0, np.clip(np.round(np.log2(np.maximum(ratio, 1e-9))) + 16, 1, 47), 0).astype(np.int64)
-                    np.add.at(out, (_slot(context), place), 1)
-        at = np.argwhere(out)
-        return pd.DataFrame({"slot": at[:, 0], "bin": at[:, 1], "n": out[at[:, 0], at[:, 1]]})
-
-    some = [r["block"] for r in blocks.select("block").orderBy(F.xxhash64("block", F.lit(9))).limit(TUNED).collect()]
-    part = F.col("block").isin(some)
-    seen = blocks.where(part).groupBy("block").cogroup(told.where(part).groupBy("block")).applyInPandas(tune, "slot int, bin int, n long")
-    histogram = np.zeros((40, 48))
-    for r in seen.groupBy("slot", "bin").agg(F.sum("n").alias("n")).collect():
-        histogram[r["slot"], r["bin"]] = r["n"]
-    weight = mixture(histogram)
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        tables, out = known(right), []
+    def rate(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Texts' counts and levels for the scores, and what their training tokens add to the histogram."""
+        tables, rows = known(right), []
         for ids, held, z, sizes in zip(left["doc_ids"], left["held"], left["z"], left["sizes"], strict=True):
             for own, texts in chunks(list(zip(ids, held, strict=True)), _texts(z, sizes), BLOCK_BYTES):
                 t, n = tokens(texts)
-                count, alone, context, pair = _rated(t, tables, total, types)
+                count, level = tables.count(t), tables.level(pairs(t))
+                _, alone, context, pair = _rated(count, level, total, types)
+                own_held = np.array([bool(h) for _, h in own])
+                learned = np.repeat(~own_held, n + 1)
+                pair, context, alone = np.maximum(pair[learned] - 1, 0.0), context[learned], alone[learned]  # without this occurrence
+                ratio = pair / np.maximum(context - 1, 1) / alone
+                place = np.where(pair > 0, np.clip(np.round(np.log2(np.maximum(ratio, 1e-9))) + 16, 1, 47), 0).astype(np.int64)
+                cells = np.bincount(_slot(context) * 48 + place, minlength=40 * 48)
+                some = np.flatnonzero(cells)
+                rows.append(([None if i is None or i != i else int(i) for i, _ in own], own_held, n + 1, *press_few(count), press(level.astype(np.uint8)), some, cells[some]))
+        return pd.DataFrame(rows, columns=["doc_ids", "held", "sizes", "kinds", "counts", "levels", "cells", "n"])
+
+    rated = stash(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(rate, RATED), "rated")
+    drop(blocks, told)
+    histogram = np.zeros(40 * 48)
+    for r in rated.select(F.explode(F.arrays_zip("cells", "n")).alias("c")).groupBy("c.cells").agg(F.sum("c.n").alias("n")).collect():
+        histogram[r["cells"]] = r["n"]
+    weight = mixture(histogram.reshape(40, 48))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                ids, held, sizes, kinds, counts, level = (b.column(c)[k] for c in ("doc_ids", "held", "sizes", "kinds", "counts", "levels"))
+                count, alone, context, pair = _rated(unpress_few(kinds.as_py(), counts.as_py()), unpress(level.as_py(), np.uint8), total, types)
                 w = np.where(context > 0, weight[_slot(context)], 0.0)
                 p = w * np.minimum(pair / np.maximum(context, 1), 1.0) + (1 - w) * alone
-                ends = np.cumsum(n + 1)
-                starts = ends - n - 1
-                out.append(pd.DataFrame({"doc_id": pd.array([None if i is None or i != i else int(i) for i, _ in own], dtype="Int64"), "held_out": [bool(h) for _, h in own], "n_tokens": n + 1, "n_known": np.add.reduceat((count > 0).astype(np.int64), starts), "train_tokens": total, "base_score": np.add.reduceat(np.log10(alone), starts), "score": np.add.reduceat(np.log10(p), starts)}))
-        return pd.concat(out)
+                n = sizes.values.to_numpy()
+                starts = np.cumsum(n) - n
+                out = {"doc_id": ids.values, "held_out": held.values, "n_tokens": pa.array(n), "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)), "train_tokens": pa.array(np.full(len(n), total, np.int64)), "base_score": pa.array(np.add.reduceat(np.log10(alone), starts)), "score": pa.array(np.add.reduceat(np.log10(p), starts))}
+                yield pa.RecordBatch.from_pydict(out)
 
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(score, SCORES)
+    return rated.select("doc_ids", "held", "sizes", "kinds", "counts", "levels").mapInArrow(score, SCORES)
 
 
 def held_out_scores(docs: DataFrame) -> DataFrame:
