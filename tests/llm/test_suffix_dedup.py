@@ -47,3 +47,11 @@ def test_stage_keeps_columns(docs):
     assert out.columns == docs.columns
     kept = {r.doc_id: r.text for r in out.collect()}
     assert all("�" not in (t or "") for t in kept.values()) and kept[1] == docs.where("doc_id = 1").first().text
+
+
+def test_stage_keeps_emptied_rows(spark):
+    passage = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(230))
+    rows = [(1, passage, 230), (2, "before it " + passage + " behind it", 250), (3, "alone", 5), (4, None, None), (5, "", 0)]
+    out = stages.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()
+    got = {r.doc_id: (r.text, r.n_chars) for r in out}
+    assert got == {1: ("", 0), 2: ("before it  behind it", 20), 3: ("alone", 5), 4: (None, None), 5: ("", 0)}

@@ -29,12 +29,12 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """docs with every repeated string of `length` bytes removed from the text; n_chars follows the text.
 
-    Characters of which a cut leaves only some bytes go, too. A row of which nothing but white space is left is dropped; a
-    row that had no repeats stays as it is, also with a null or empty text.
+    Characters of which a cut leaves only some bytes go, too. All rows stay, also those of which nothing but white space is
+    left; a row that had no repeats stays as it is, also with a null or empty text.
     """
     held = stash(with_squeezed(docs.withColumn("_row", F.monotonically_increasing_id())), "docs")
     kept = suffix_dedup.without_repeats(held.select(F.col("_row").alias("row"), "doc_id", F.col("_z").alias("z")), length, "string")
     told = kept.select(F.col("row").alias("_row"), (F.col("n_removed") > 0).alias("_cut"), F.col("kept").alias("_text"))
-    joined = held.select(F.col("_z").isNull().alias("_null"), *[F.col(f"`{c}`") for c in held.columns if c != "_z"]).join(told, "_row").where("not _cut or _text rlike '\\\\S'")
+    joined = held.select(F.col("_z").isNull().alias("_null"), *[F.col(f"`{c}`") for c in held.columns if c != "_z"]).join(told, "_row")
     new = {"text": F.when(~F.col("_null"), F.col("_text")), "n_chars": F.when(F.col("_cut"), F.length("_text").cast("long")).otherwise(F.col("n_chars"))}
     return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
