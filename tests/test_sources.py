@@ -106,3 +106,13 @@ def test_describe(spark):
     assert [tuple(r) for r in lineage.describe(n, m).orderBy("key").collect()] == [("k", "data_object", "nm", "nm", "data_table", 2), ("l", "data_object", "x", "x", "table_view", 0)]
     assert lineage.reoriented(spark.createDataFrame([("api:x", "t"), ("t", "u")], "src string, dst string")).orderBy("source").collect()[0].target == "api:x"
     assert n.select(lineage.type_label(F.col("object_type"))).collect()[0][0] == "Table"
+
+
+def test_java_locals_of_deep_blocks_are_no_fields(spark):
+    body = "int a = 1;\nOther repo = make();\n"
+    for k in range(7):
+        body = f"if (x{k}) {{\n{body}}}\nOther repo = make();\n"
+    lists = "Runnable r = () -> {\nOther repo = make();\n};\nint[] n = {1, 2};\n"
+    text = f"public class Deep {{\n  private OrderRepo repo;\n  Deep(int x) {{\n{body}}}\n  public void run() throws A, B {{\n{body}{lists}}}\n  private Last last;\n}}\n"
+    got = {(r.receiver, r.declared) for r in java.fields(java.with_module(spark.createDataFrame([("/s/Deep.java", text)], "path string, text string"))).collect()}
+    assert got == {("repo", "OrderRepo"), ("last", "Last")}

@@ -134,3 +134,25 @@ def _listed(source: pd.Series) -> pd.Series:
 def methods(source: Column | str) -> Column:
     """Methods of a type: name, body (empty without), the annotations before it, and its place."""
     return F.pandas_udf(_listed, METHODS)(_c(source))
+
+
+_BLOCK = re.compile(r"\)\s*(?:throws [\w., ]+)?\{[^{}]*\}|\b(?:try|else|do|finally)\s*\{[^{}]*\}")
+
+
+def _without_bodies(source: str | None) -> str | None:
+    """Bodies of methods go by their brackets, then blocks outside of them, innermost first, at any depth."""
+    out, at = [], 0
+    for _, body, _, start in _methods(source):
+        if body:
+            begin = source.index("{" + body, start)
+            out.append(source[at : begin + 1])
+            at = begin + 1 + len(body)
+    text, n = "".join(out) + (source or "")[at:], 1
+    while n:
+        text, n = _BLOCK.subn(");", text)
+    return None if source is None else text
+
+
+def without_bodies(source: Column | str) -> Column:
+    """A type's text without the bodies of its methods and constructors."""
+    return F.pandas_udf(lambda s: s.map(_without_bodies), "string")(_c(source))

@@ -33,9 +33,7 @@ def methods(files: DataFrame) -> DataFrame:
 
 def fields(files: DataFrame) -> DataFrame:
     """(module, receiver, declared): fields of types, by their text without method bodies; the last of a name counts."""
-    text = J.strip_comments("text")
-    for _ in range(4):  # innermost blocks first; four levels reach below a type's own bracket
-        text = F.regexp_replace(text, r"\)\s*(?:throws [\w., ]+)?\{[^{}]*\}|\b(?:try|else|do|finally)\s*\{[^{}]*\}", ");")
+    text = J.without_bodies(J.strip_comments("text"))
     field = r"(?m)^\s*(?:@\w+(?:\([^)]*\))?\s*)*(?:(?:public|private|protected|static|final)\s+)*([\w<>\[\].,?]+(?:\s*,\s*[\w<>?]+)*)\s+(\w+)\s*(?:=[^;]*)?;"
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(field), F.lit(1)).alias("t"), F.regexp_extract_all(text, F.lit(field), F.lit(2)).alias("n"))
     each = files.select("module", F.posexplode(pairs).alias("at", "f")).where("f.t not in ('return', 'package', 'import', 'throw')")
