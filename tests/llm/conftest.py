@@ -20,7 +20,7 @@ def texts():
         words = base[6].split()
         words[rng.randrange(len(words))] = f"edit{k}"
         out.append(" ".join(words))
-    out += [prose(rng, 30) + " " + passage + " " + prose(rng, 20), passage, prose(rng, 9) + "\n" + passage + "!", "x" * 700, "xy" * 300, "é" * 150 + " " + "é" * 150, "", " \t\n ", "!!! ...", None, prose(rng, 4000), "It's <|endoftext|> \x01 Straße ǅ 12½"]
+    out += [prose(rng, 30) + " " + passage + " " + prose(rng, 20), passage, prose(rng, 9) + "\n" + passage + "!", "x" * 700, "xy" * 300, "é" * 150 + " " + "é" * 150, "", " \t\n ", "!!! ...", None, prose(rng, 4000), "It's <|endoftext|> \x01 Straße ǅ 12½", "\u0958 \u0958\u0932\u092e J\u030c"]
     return out
 
 
@@ -30,7 +30,7 @@ def docs(spark, texts):
     langs = ["en", "fr", None]
     rows = [(k + 1, t, langs[k % 3], "s", len(t or "")) for k, t in enumerate(texts)]
     rows += [(None, texts[5], None, None, None), rows[7]]
-    clash = "row long, id long, kept boolean, score double, component_id long, z binary, start long, found string, held_out boolean, salt long, grp long".split(", ")
+    clash = "row long, id long, kept boolean, score double, component_id long, z binary, start long, found string, held_out boolean, salt long, grp long, pick string, _row string, _z string, _cut string, _text string, _null string, share string, top string, at string, label string, block string, digest string, host string, path string, url string, ids string, votes string, n_words string, good string, term string, phrase string, items string, positions string".split(", ")
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3, "n_chars")
     return df.selectExpr("*", *[f"cast(null as {c.split()[1]}) as {c.split()[0]}" for c in clash])
 

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -30,6 +31,19 @@ def test_words_give_the_same_ids(parts):
     assert ids[: sizes[0]].tolist() == [*want, 1] == ids[len(ids) - sizes[2] :].tolist()
 
 
+def test_letters_and_marks_of_all_scripts():
+    every = [chr(c) for c in range(0x80, 0x110000) if unicodedata.category(chr(c))[0] in "LM"]
+    marks = [c for c in every if unicodedata.category(c)[0] == "M"]
+    rng = random.Random(4)
+    texts = [c + " b" + c + " " for c in every[::7]]
+    for _ in range(4000):
+        own = rng.choice([every, marks, every[:600]])
+        texts.append("".join(rng.choice(own) if rng.random() < 0.7 else rng.choice("aBJHTWY .'!\x85\u3000\u0958\u0932") for _ in range(rng.randrange(1, 12))))
+    ids, sizes = tokens.encoder_of(PATH, 1).encode([t.encode() for t in texts])
+    want = [[*e.ids, 1] for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+
+
 def test_forgetting(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 50)
     encoder, rng = tokens.Encoder(PATH, 1), random.Random(1)

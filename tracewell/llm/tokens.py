@@ -116,29 +116,35 @@ class WordEncoder:
         found = tokenizer.encode_batch_fast(runs, add_special_tokens=False)
         return np.fromiter(chain.from_iterable(x for e in found for x in (e.ids, [self.mark_id])), dtype=np.uint32)
 
+    def _alone(self, text: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32) for x in text]
+        return np.concatenate(each), np.array([len(x) for x in each])
+
     def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words in turn, and their numbers."""
         text = [w.decode("utf-8", "replace") for w in words]
-        # Letters alone are one word to the tokenizer, too, whose last id says so; small letters up to \xff stay as they are.
-        # Others get a mark behind them, and those that may hold a special token or the mark are encoded alone.
-        kind = np.array([(3 if max(x) <= "\xff" and x == x.lower() else 0) if x.isalpha() and x.lower().isalpha() else 2 if "<|" in x or MARK in x else 1 for x in text])
+        # Small letters up to \xff stay as they are and make one word, whose last id says so. Of others it is up to the
+        # tokenizer what they become, so they get a mark behind them; those that may hold a special token or the mark are
+        # encoded alone.
+        kind = np.array([0 if x.isalpha() and max(x) <= "\xff" and x == x.lower() else 2 if "<|" in x or MARK in x else 1 for x in text])
         every: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for k, tokenizer in ((3, self.plain), (0, self.tokenizer)):
-            if len(at := np.flatnonzero(kind == k)):
-                ids = self._runs([text[k] for k in at.tolist()], " ", tokenizer)
-                ids = ids[ids != self.mark_id]
-                every.append((at, ids, np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)))
-        if len(at := np.flatnonzero(kind == 1)):
-            ids = self._runs([text[k] for k in at.tolist()], f" {MARK} ", self.tokenizer)
-            marks = ids == self.mark_id
-            every.append((at, ids[~marks], np.diff(np.flatnonzero(marks), prepend=-1) - 1))
-        if len(at := np.flatnonzero(kind == 2)):
-            alone = [np.array(self.tokenizer.encode(text[k], add_special_tokens=False).ids, np.uint32) for k in at]
-            every.append((at, np.concatenate(alone), np.array([len(x) for x in alone])))
+        for k, between, tokenizer in ((0, " ", self.plain), (1, f" {MARK} ", self.tokenizer), (2, None, None)):
+            if not len(at := np.flatnonzero(kind == k)):
+                continue
+            own = [text[k] for k in at.tolist()]
+            if between is None:
+                ids, n = self._alone(own)
+            else:
+                ids = self._runs(own, between, tokenizer)
+                marks = ids == self.mark_id
+                n = np.diff(np.flatnonzero(self.ends_word[ids[~marks]]), prepend=-1) if k == 0 else np.diff(np.flatnonzero(marks), prepend=-1) - 1
+                ids = ids[~marks]
+                if len(n) != len(own) or n.sum() != len(ids):  # a tokenizer that sees other words than these
+                    ids, n = self._alone(own)
+            every.append((at, ids, n))
         sizes = np.zeros(len(words), np.int32)
         starts, base = np.zeros(len(words), np.int64), 0
         for at, ids, n in every:
-            assert len(n) == len(at) and n.sum() == len(ids)
             sizes[at], starts[at] = n, base + np.cumsum(n) - n
             base += len(ids)
         ids = np.concatenate([x for _, x, _ in every])
@@ -173,8 +179,9 @@ class WordEncoder:
         """All ids in turn, each text's with the end id behind them, and their numbers."""
         if len(self.numbers) > REMEMBERED:
             self._forget()
-        # ASCII letters are lower-cased at once; where a special token's text might be, that is left to the tokenizer.
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        # ASCII letters are lower-cased at once. Where a special token's text might be, that is left to the tokenizer, and
+        # where combining marks are (their first bytes are \xcc and \xcd): it composes before it lower-cases.
+        split = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
         for words in split:
             words.append(END)
         counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
