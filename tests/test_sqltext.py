@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import sqltext as S
+from tracewell.plans.statements import STATEMENTS
 
 CASES = [
     ("select * from ods.orders \\\nwhere id = 1", ["ods.orders"], [], None),
@@ -20,7 +21,7 @@ CASES = [
     ("insert into dm.t (a, b) select a, b from ods.x, ods.y z", ["ods.x", "ods.y"], ["dm.t"], None),
     ("insert into dm.t select * from dm.t where a = 'from x.y'", [], ["dm.t"], None),
     ("create table if not exists dm.n as select extract(year from d) from ods.x", ["ods.x"], ["dm.n"], None),
-    ("merge into dm.t using ods.s on 1 = 1", ["dm.t"], [], None),
+    ("merge into dm.t using ods.s on 1 = 1", ["dm.t", "ods.s"], [], None),
     ("select * from", [], [], "Expected table name"),
     ("select * from ods.orders where id in (", [], [], "Unbalanced parentheses"),
     ("select `a`.x from `db`.`tab` a", ["db.tab"], [], None),
@@ -30,9 +31,11 @@ CASES = [
 
 
 def test_extract_tables(spark):
-    df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(CASES)], "k int, sql string")
+    names = lambda text: [x for x in text.replace("{n}", "7").split(",") if x]
+    cases = [*CASES, *((sql.replace("{n}", "7"), names(reads), names(writes), error) for sql, reads, writes, error in STATEMENTS)]
+    df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k int, sql string")
     got = {r.k: r.t for r in df.select("k", S.extract_tables("sql").alias("t")).collect()}
-    for k, (sql, reads, writes, error) in enumerate(CASES):
+    for k, (sql, reads, writes, error) in enumerate(cases):
         assert (got[k].reads or [], got[k].writes or [], got[k].error) == (reads, writes, error), sql
 
 

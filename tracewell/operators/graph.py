@@ -6,7 +6,7 @@ stay small and a lost executor costs one round. Rounds follow the graph's depth,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.sqltext import actor_scope
@@ -88,16 +88,15 @@ def components(flows: DataFrame) -> DataFrame:
     on.
     """
     edges = cut(flows.where("src <> dst").select("src", "dst").distinct())
-    found = None
+    found, n = None, edges.count()
     while True:
         while True:
-            n = edges.count()
             keep = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
             edges = cut(keep.select("src", "dst"))
-            left = edges.count()
+            left, n = n, edges.count()
             if left == n:
                 break
-        if not left:
+        if not n:
             break
         keys = edges.select(F.col("src").alias("key")).distinct()
         colour = _spread(edges, cut(keys.select("key", F.col("key").alias("value"))))
@@ -107,11 +106,27 @@ def components(flows: DataFrame) -> DataFrame:
         found = part if found is None else found.unionByName(part)
         out = part.select(F.col("key"))
         edges = cut(edges.join(out.withColumnRenamed("key", "src"), "src", "left_anti").join(out.withColumnRenamed("key", "dst"), "dst", "left_anti"))
+        n = edges.count()
     if found is None:
         return edges.select(F.col("src").alias("key"), F.col("dst").alias("component"))
     return found.join(found.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi").select("key", "component")
 
 
+def ranked(rows: DataFrame, name: str, *order: Column, within: str | None = None) -> DataFrame:
+    """rows with their place (from 1) in an order without ties, of all rows or of those with one value of `within`.
+
+    Rows are dealt to tasks by ranges of the order and numbered there; how many a task has of each value is then added up
+    over the tasks before it. So neither all rows nor one large group meet in a task, only those counts.
+    """
+    keys = [F.col(within)] if within else []
+    split = cut(rows.repartitionByRange(*keys, *order).withColumn("_task", F.spark_partition_id()))
+    group = ["_task", *([within] if within else [])]
+    before = Window.partitionBy(*([within] if within else [F.lit(0)])).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = split.groupBy(*group).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return split.withColumn("_own", own).join(counts, group).select(*rows.columns, (F.col("_own") + F.col("_before")).cast("long").alias(name))
+
+
 def cycle_groups(flows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(groups, members) of cycles. Groups: group_key, size, edges, ordered by size and names. Members: group_key, key, degree
     and position by degree and name. Degree counts flows in and out within the group, without self pairs."""
@@ -119,14 +134,14 @@ def cycle_groups(flows: DataFrame) -> tuple[DataFrame, DataFrame]:
     inner = flows.where("src <> dst").join(part.select(F.col("key").alias("src"), F.col("component").alias("a")), "src")
     inner = inner.join(part.select(F.col("key").alias("dst"), F.col("component").alias("b")), "dst").where("a = b")
     degree = inner.select(F.explode(F.array("src", "dst")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
-    size = part.groupBy("component").agg(F.count("*").alias("size"), F.min("key").alias("first"), F.array_sort(F.collect_list("key")).alias("names"))
+    size = part.groupBy("component").agg(F.count("*").alias("size"), F.min("key").alias("first"))
     edges = inner.groupBy(F.col("a").alias("component")).agg(F.count("*").alias("edges"))
-    # Groups are few: one window over them gives their numbers.
-    numbered = size.join(edges, "component").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "names")))
+    # Groups have no key in common, so of their sorted names the first decides.
+    numbered = ranked(size.join(edges, "component"), "rank", F.desc("size"), F.asc("first"))
     numbered = numbered.withColumn("group_key", F.concat(F.lit("cycle_group:"), "rank"))
     groups = numbered.select("group_key", "size", "edges", "first")
-    order = Window.partitionBy("group_key").orderBy(F.desc("degree"), "key")
-    members = part.join(numbered.select("component", "group_key"), "component").join(degree, "key").select("group_key", "key", "degree", F.row_number().over(order).cast("long").alias("position"))
+    members = part.join(numbered.select("component", "group_key"), "component").join(degree, "key").select("group_key", "key", "degree")
+    members = ranked(members, "position", F.desc("degree"), F.asc("key"), within="group_key")
     return groups, members
 
 
@@ -160,8 +175,8 @@ def levels(flows: DataFrame) -> DataFrame:
 
 def layout(flows: DataFrame, gap_x: int = 280, gap_y: int = 140) -> DataFrame:
     """(key, level, row, x, y): keys of a level below one another by name."""
-    row = F.row_number().over(Window.partitionBy("level").orderBy("key")) - 1
-    return levels(flows).withColumn("row", row).select("key", "level", "row", (F.col("level") * gap_x).alias("x"), (F.col("row") * gap_y).alias("y"))
+    placed = ranked(levels(flows), "row", F.asc("key"), within="level").withColumn("row", F.col("row") - 1)
+    return placed.select("key", "level", "row", (F.col("level") * gap_x).alias("x"), (F.col("row") * gap_y).alias("y"))
 
 
 def highlight(flows: DataFrame, focus: DataFrame) -> DataFrame:

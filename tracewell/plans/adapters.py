@@ -10,9 +10,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def facts(spark: SparkSession, sf_dir: str, least: float = 40) -> DataFrame:
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as actors that read or write parts."""
-    lines = read(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= least)
+    lines = read(spark, sf_dir, "lineitem")
     return lines.select(
         F.when(F.col("l_linestatus") == "O", "READS").otherwise("WRITES").alias("edge_type"),
         F.concat(F.lit("job_"), "l_orderkey", F.lit("::line_"), "l_linenumber").alias("actor"),
@@ -22,7 +22,7 @@ def facts(spark: SparkSession, sf_dir: str, least: float = 40) -> DataFrame:
 
 def coarse_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over a hundred groups of parts, so that some read what they write."""
-    lines = read(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= 40)
+    lines = read(spark, sf_dir, "lineitem")
     return lines.select(F.when(F.col("l_linestatus") == "O", "READS").otherwise("WRITES").alias("edge_type"), F.concat(F.lit("job_"), "l_orderkey").alias("actor"), F.concat(F.lit("table:group_"), F.col("l_partkey") % 100).alias("object"))
 
 
@@ -34,6 +34,16 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return touched.unionByName(orders).withColumn("is_derived", F.lit(False)).distinct()
 
 
+def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst) from regions by way of nations, customers, suppliers and orders to parts: a graph without cycles."""
+    pairs = (("nation", "region_", "n_regionkey", "nation_", "n_nationkey"), ("customer", "nation_", "c_nationkey", "customer_", "c_custkey"), ("supplier", "nation_", "s_nationkey", "supplier_", "s_suppkey"), ("orders", "customer_", "o_custkey", "order_", "o_orderkey"), ("lineitem", "order_", "l_orderkey", "part_", "l_partkey"), ("lineitem", "supplier_", "l_suppkey", "part_", "l_partkey"))
+    out = None
+    for table, a, src, b, dst in pairs:
+        one = read(spark, sf_dir, table).select(F.concat(F.lit(a), src).alias("src"), F.concat(F.lit(b), dst).alias("dst"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def busiest(flows: DataFrame) -> DataFrame:
     """(key) with most flows out; of equals the first by name."""
     return flows.groupBy(F.col("src").alias("key")).count().orderBy(F.desc("count"), "key").limit(1).select("key")

@@ -11,6 +11,7 @@ from tracewell.functions import javatext, sqltext
 from tracewell.operators import calls, failures, graph, lineage
 from tracewell.plans import adapters as A
 from tracewell.plans import samples
+from tracewell.plans.statements import STATEMENTS
 from tracewell.sources import java, kettle, metadata
 
 #: The folder that holds the package: Python workers must find it as the driver does.
@@ -34,18 +35,18 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def flow_sql(tail: str, least: float = 40, more: str = "") -> str:
+def flow_sql(tail: str, more: str = "") -> str:
     return f"""WITH RECURSIVE f AS (
   SELECT 'job_' || l_orderkey AS scope, 'table:part_' || l_partkey AS o, CASE WHEN l_linestatus = 'O' THEN 'READS' ELSE 'WRITES' END AS t
-  FROM lineitem WHERE l_quantity >= {least}),
+  FROM lineitem),
 e AS (SELECT DISTINCT r.o AS src, w.o AS dst FROM f r JOIN f w USING (scope) WHERE r.t = 'READS' AND w.t = 'WRITES'),
 x AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst),
 seed AS (SELECT src AS key FROM e GROUP BY src ORDER BY count(*) DESC, src LIMIT 1){more}
 {tail}"""
 
 
-def _flows(spark: SparkSession, sf_dir: str, least: float = 40) -> DataFrame:
-    return graph.table_flows(A.facts(spark, sf_dir, least))
+def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.table_flows(A.facts(spark, sf_dir))
 
 
 @query("table_flows", flow_sql("SELECT src, dst FROM e"))
@@ -53,9 +54,9 @@ def _(spark, sf_dir):
     return _flows(spark, sf_dir)
 
 
-@query("table_flows_wide", flow_sql("SELECT src, count(*) AS n_out, min(dst) AS first_dst FROM e GROUP BY src", 10))
+@query("table_flows_wide", flow_sql("SELECT src, count(*) AS n_out, min(dst) AS first_dst FROM e GROUP BY src"))
 def _(spark, sf_dir):
-    return _flows(spark, sf_dir, 10).groupBy("src").agg(F.count("*").alias("n_out"), F.min("dst").alias("first_dst"))
+    return _flows(spark, sf_dir).groupBy("src").agg(F.count("*").alias("n_out"), F.min("dst").alias("first_dst"))
 
 
 @query("direct_neighbors", flow_sql("SELECT 'up' AS direction, src AS key FROM e WHERE dst IN (SELECT key FROM seed) UNION ALL SELECT 'down', dst FROM e WHERE src IN (SELECT key FROM seed)"))
@@ -93,25 +94,18 @@ def _(spark, sf_dir):
     return graph.connected_flows(flows, A.busiest(flows))
 
 
-_SCC = """, c AS (SELECT src, dst FROM x UNION SELECT c.src, x.dst FROM c JOIN x ON x.src = c.dst),
-m AS (SELECT a.src AS key, max(a.dst) AS component FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src WHERE a.src IN (SELECT src FROM c WHERE src = dst) GROUP BY a.src),
-g AS (SELECT component, count(*) AS size, min(key) AS first, string_agg(key, ',' ORDER BY key) AS names FROM m GROUP BY component HAVING count(*) > 1),
-i AS (SELECT e.src, e.dst, a.component FROM e JOIN m a ON a.key = e.src JOIN m b ON b.key = e.dst AND a.component = b.component WHERE e.src <> e.dst),
-n AS (SELECT g.*, count(i.src) AS edges FROM g JOIN i USING (component) GROUP BY ALL),
-k AS (SELECT *, 'cycle_group:' || row_number() OVER (ORDER BY size DESC, names) AS group_key FROM n)"""
-
-
-@query("cycle_groups", flow_sql("SELECT group_key, size, edges, first FROM k", more=_SCC))
+# SQL would need all pairs of a closure for these; tests compare them with brute force.
+@query("cycle_groups")
 def _(spark, sf_dir):
     return graph.cycle_groups(_flows(spark, sf_dir))[0]
 
 
-@query("cycle_members", flow_sql("SELECT group_key, key, degree, row_number() OVER (PARTITION BY group_key ORDER BY degree DESC, key) AS position FROM (SELECT k.group_key, m.key, (SELECT count(*) FROM i WHERE i.src = m.key) + (SELECT count(*) FROM i WHERE i.dst = m.key) AS degree FROM k JOIN m USING (component))", more=_SCC))
+@query("cycle_members")
 def _(spark, sf_dir):
     return graph.cycle_groups(_flows(spark, sf_dir))[1]
 
 
-_COARSE = """WITH f AS (SELECT l_orderkey AS scope, 'table:group_' || (l_partkey % 100) AS o, CASE WHEN l_linestatus = 'O' THEN 'READS' ELSE 'WRITES' END AS t FROM lineitem WHERE l_quantity >= 40),
+_COARSE = """WITH f AS (SELECT l_orderkey AS scope, 'table:group_' || (l_partkey % 100) AS o, CASE WHEN l_linestatus = 'O' THEN 'READS' ELSE 'WRITES' END AS t FROM lineitem),
 e AS (SELECT DISTINCT r.o AS src, w.o AS dst FROM f r JOIN f w USING (scope) WHERE r.t = 'READS' AND w.t = 'WRITES')
 """
 
@@ -129,18 +123,23 @@ def _(spark, sf_dir):
     return graph.roles(_flows(spark, sf_dir))
 
 
-_LEVELS = """, l AS (SELECT DISTINCT src AS key, 0 AS level FROM x WHERE src NOT IN (SELECT dst FROM x) UNION SELECT x.dst, l.level + 1 FROM l JOIN x ON x.src = l.key),
-v AS (SELECT key, max(level) AS level FROM l GROUP BY key)"""
+_LEVELS = """WITH RECURSIVE x AS (SELECT DISTINCT 'region_' || n_regionkey AS src, 'nation_' || n_nationkey AS dst FROM nation
+UNION SELECT 'nation_' || c_nationkey, 'customer_' || c_custkey FROM customer UNION SELECT 'nation_' || s_nationkey, 'supplier_' || s_suppkey FROM supplier
+UNION SELECT 'customer_' || o_custkey, 'order_' || o_orderkey FROM orders UNION SELECT 'order_' || l_orderkey, 'part_' || l_partkey FROM lineitem
+UNION SELECT 'supplier_' || l_suppkey, 'part_' || l_partkey FROM lineitem),
+l AS (SELECT DISTINCT src AS key, 0 AS level FROM x WHERE src NOT IN (SELECT dst FROM x) UNION SELECT x.dst, l.level + 1 FROM l JOIN x ON x.src = l.key),
+v AS (SELECT key, max(level) AS level FROM l GROUP BY key)
+"""
 
 
-@query("graph_levels", flow_sql("SELECT key, level FROM v", 46, _LEVELS))
+@query("graph_levels", _LEVELS + "SELECT key, level FROM v")
 def _(spark, sf_dir):
-    return graph.levels(_flows(spark, sf_dir, 46))
+    return graph.levels(A.containment(spark, sf_dir))
 
 
-@query("graph_layout", flow_sql("SELECT key, level, n::INT AS row, level * 280 AS x, n::INT * 140 AS y FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY key) - 1 AS n FROM v)", 46, _LEVELS))
+@query("graph_layout", _LEVELS + "SELECT key, level, n AS row, level * 280 AS x, n * 140 AS y FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY key) - 1 AS n FROM v)")
 def _(spark, sf_dir):
-    return graph.layout(_flows(spark, sf_dir, 46))
+    return graph.layout(A.containment(spark, sf_dir))
 
 
 @query("highlight", flow_sql("SELECT key FROM seed UNION SELECT src FROM e WHERE dst IN (SELECT key FROM seed) UNION SELECT dst FROM e WHERE src IN (SELECT key FROM seed)"))
@@ -178,7 +177,7 @@ def _(spark, sf_dir):
     return n.select("key", lineage.type_label(F.col("object_type")).alias("label"))
 
 
-_EDGES = """WITH f AS (SELECT DISTINCT 'transformation:job_' || l_orderkey AS src, CASE WHEN l_linestatus = 'O' THEN 'READS' ELSE 'WRITES' END AS type, 'table:part_' || l_partkey AS dst FROM lineitem WHERE l_quantity >= 40),
+_EDGES = """WITH f AS (SELECT DISTINCT 'transformation:job_' || l_orderkey AS src, CASE WHEN l_linestatus = 'O' THEN 'READS' ELSE 'WRITES' END AS type, 'table:part_' || l_partkey AS dst FROM lineitem),
 c AS (SELECT 'job:customer_' || o_custkey AS job, 'transformation:job_' || o_orderkey AS t FROM orders),
 a AS (SELECT DISTINCT src AS actor, dst AS object FROM f UNION SELECT DISTINCT job, dst FROM c JOIN f ON f.src = c.t)
 """
@@ -265,6 +264,22 @@ def _(spark, sf_dir):
     return t.select("custkey", F.array_join("t.reads", ",").alias("reads"), F.array_join("t.writes", ",").alias("writes"), "t.error")
 
 
+def _quoted(text: str | None) -> str:
+    return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+_HARD = ", ".join(f"({k}, {_quoted(r)}, {_quoted(w)}, {_quoted(e)})" for k, (_, r, w, e) in enumerate(STATEMENTS))
+
+
+@query("sql_hard_cases", f"WITH s(k, reads, writes, error) AS (VALUES {_HARD}) SELECT c_custkey AS custkey, replace(reads, '{{n}}', c_nationkey::VARCHAR) AS reads, replace(writes, '{{n}}', c_nationkey::VARCHAR) AS writes, error FROM customer JOIN s ON k = c_custkey % {len(STATEMENTS)}")
+def _(spark, sf_dir):
+    c = A.read(spark, sf_dir, "customer")
+    shapes = F.array(*[F.lit(sql) for sql, *_ in STATEMENTS])
+    sql = F.replace(F.get(shapes, (F.col("c_custkey") % len(STATEMENTS)).cast("int")), F.lit("{n}"), F.col("c_nationkey").cast("string"))
+    t = c.select(F.col("c_custkey").alias("custkey"), sqltext.extract_tables(sql).alias("t"))
+    return t.select("custkey", F.array_join("t.reads", ",").alias("reads"), F.array_join("t.writes", ",").alias("writes"), "t.error")
+
+
 @query("sql_flows", _SQL + "SELECT DISTINCT reads AS src, writes AS dst FROM x WHERE reads <> '' AND writes <> ''")
 def _(spark, sf_dir):
     t = A.sql_texts(spark, sf_dir).select(F.concat(F.lit("c::"), "custkey").alias("a"), "custkey", sqltext.extract_tables("sql").alias("t"))
@@ -294,10 +309,10 @@ def _(spark, sf_dir):
     p = A.read(spark, sf_dir, "pages")
     return p.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("position", "href")).select("page_id", F.col("position").cast("long").alias("position"), "href")
 
-@query("derived_edges", flow_sql("SELECT 'FLOWS_TO' AS type, src, dst, true AS is_derived FROM e WHERE src IN (SELECT 'table:part_' || p_partkey FROM part WHERE p_size % 2 = 0) AND dst IN (SELECT 'table:part_' || p_partkey FROM part WHERE p_size % 2 = 0)", 30))
+@query("derived_edges", flow_sql("SELECT 'FLOWS_TO' AS type, src, dst, true AS is_derived FROM e WHERE src IN (SELECT 'table:part_' || p_partkey FROM part WHERE p_size % 2 = 0) AND dst IN (SELECT 'table:part_' || p_partkey FROM part WHERE p_size % 2 = 0)"))
 def _(spark, sf_dir):
     known = A.read(spark, sf_dir, "part").where("p_size % 2 = 0").select(F.concat(F.lit("table:part_"), "p_partkey").alias("key"))
-    return lineage.derived_edges(_flows(spark, sf_dir, 30), known)
+    return lineage.derived_edges(_flows(spark, sf_dir), known)
 
 
 @query("node_upsert", "SELECT 'table:seg_' || lower(c_mktsegment) AS key, 'data_object' AS type, min_by(c_name, c_custkey) AS name, max_by(CASE WHEN c_custkey % 2 = 0 THEN 'data_table' ELSE 'table_view' END, c_custkey) AS object_type FROM customer GROUP BY 1")
@@ -328,9 +343,9 @@ def _(spark, sf_dir):
     return lineage.describe(nodes, m.where(size < 40))
 
 
-@query("endpoint_tables", """SELECT 'api:GET /c/' || o_custkey AS endpoint, string_agg(DISTINCT 'table:part_' || l_partkey, ',' ORDER BY 'table:part_' || l_partkey) AS tables FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 40 GROUP BY o_custkey""")
+@query("endpoint_tables", """SELECT 'api:GET /c/' || o_custkey AS endpoint, string_agg(DISTINCT 'table:part_' || l_partkey, ',' ORDER BY 'table:part_' || l_partkey) AS tables FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey""")
 def _(spark, sf_dir):
-    lines = A.read(spark, sf_dir, "lineitem").where("l_quantity >= 40")
+    lines = A.read(spark, sf_dir, "lineitem")
     made = A.read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     edges = made.select(F.lit("READS").alias("type"), F.concat(F.lit("api:GET /c/"), "o_custkey").alias("src"), F.concat(F.lit("table:part_"), "l_partkey").alias("dst"))
     return lineage.module_tables(edges).select(F.col("actor").alias("endpoint"), F.col("reads").alias("tables"))
