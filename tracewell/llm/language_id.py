@@ -28,8 +28,8 @@ SAMPLE, LANGUAGES = 300, 256
 SEQUENCES, STRETCH, PASSES = 1600, 64, 4
 #: Hashed features, and words in each language's lexicon.
 WIDTH, LEXICON = 1 << 16, 200
-#: Words that one forward-backward run decides, and words of context on each side of them.
-RUN, CONTEXT = 224, 32
+#: Words of a run. Runs of a chain are gone through side by side; messages between them keep the chain whole.
+RUN = 224
 #: Distinct words whose scores a worker remembers.
 REMEMBERED = 300_000
 
@@ -41,14 +41,16 @@ def core(word: bytes) -> bytes:
 
 
 def features(c: bytes) -> list[int]:
-    """Hashed affixes (up to 4 bytes), n-grams (2 to 4 bytes) and the whole of a word's letters."""
+    """Hashed affixes (up to 4 letters), n-grams (1 to 4 letters) and the whole of a word's letters."""
     out = [zlib.crc32(c, 1)]
-    n = len(c)
-    for k in (1, 2, 3, 4):
-        out.append(zlib.crc32(c[:k], 10 + k))
-        out.append(zlib.crc32(c[-k:], 20 + k))
-    for k in (2, 3, 4):
-        out += [zlib.crc32(c[i : i + k], 30 + k) for i in range(n - k + 1)]
+    # Where each letter begins among the bytes, and the end.
+    at = [k for k, x in enumerate(c) if x & 0xC0 != 0x80] if not c.isascii() else range(len(c))
+    n, at = len(at), [*at, len(c)]
+    for k in range(1, min(4, n) + 1):
+        out.append(zlib.crc32(c[: at[k]], 10 + k))
+        out.append(zlib.crc32(c[at[n - k] :], 20 + k))
+    for k in (1, 2, 3, 4) if n < len(c) else (2, 3, 4):  # a letter beyond ASCII tells by itself
+        out += [zlib.crc32(c[at[i] : at[i + k]], 30 + k) for i in range(n - k + 1)]
     return [x & (WIDTH - 1) for x in out]
 
 
@@ -117,29 +119,65 @@ class Model:
         return n, told, score, listed
 
 
-def forward_backward(e: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Label probabilities at each place of sequences; e: log scores (sequences, places, labels), beyond lengths ignored."""
+def forward_backward(e: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, before: np.ndarray | None = None, behind: np.ndarray | None = None) -> np.ndarray:
+    """Label probabilities at each place of sequences; e: log scores (sequences, places, labels), beyond lengths ignored.
+
+    A row of `before` is what the words in front of a sequence say of its first label (all 1: there are none), a row of
+    `behind` what those after it say of its last.
+    """
     n, places, labels = e.shape
     x = np.exp(e - e.max(2, keepdims=True))
     a = np.exp(transitions - transitions.max())
     forward, backward = np.empty_like(x), np.empty_like(x)
-    now = x[:, 0] / x[:, 0].sum(1, keepdims=True)
+    now = x[:, 0] if before is None else x[:, 0] * before
+    now = now / now.sum(1, keepdims=True)
     forward[:, 0] = now
     for t in range(1, places):
         now = (now @ a) * x[:, t]
         now /= now.sum(1, keepdims=True)
         forward[:, t] = now
-    now = np.ones((n, labels), x.dtype) / labels
+    end = np.full((n, labels), 1 / labels) if behind is None else behind
+    now = end.copy()
     backward[:, -1] = now
     for t in range(places - 2, -1, -1):
         now = (now * x[:, t + 1]) @ a.T
         now /= now.sum(1, keepdims=True)
-        now[t + 1 >= lengths] = 1 / labels
+        last = t + 1 >= lengths
+        now[last] = end[last]
         backward[:, t] = now
     out = forward * backward
     return out / out.sum(2, keepdims=True)
 
 
+def _passage(e: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """For each sequence a matrix, up to a factor: from its first word's label (before that word is seen) to its last."""
+    x = np.exp(e - e.max(2, keepdims=True))
+    a = np.exp(transitions - transitions.max())
+    n, places, labels = x.shape
+    now = np.eye(labels)[None] * x[:, :1]
+    for t in range(1, places):
+        new = (now.reshape(-1, labels) @ a).reshape(n, labels, labels) * x[:, t][:, None]
+        new /= new.sum((1, 2), keepdims=True)
+        on = t < lengths
+        now = new if on.all() else np.where(on[:, None, None], new, now)
+    return now
+
+
+def _messages(passages: np.ndarray, first: np.ndarray, count: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each run is told from before and from behind, for chains of runs first[k], ..., first[k] + count[k] - 1."""
+    a = np.exp(transitions - transitions.max())
+    labels = len(a)
+    before, behind = np.ones((len(passages), labels)), np.full((len(passages), labels), 1 / labels)
+    for k in range(1, int(count.max(initial=1))):
+        at = first[count > k] + k
+        told = np.einsum("ni,nij->nj", before[at - 1], passages[at - 1]) @ a
+        before[at] = told / told.sum(1, keepdims=True)
+        at = (first + count)[count > k] - k
+        told = np.einsum("nij,nj->ni", passages[at], behind[at]) @ a.T
+        behind[at - 1] = told / told.sum(1, keepdims=True)
+    return before, behind
+
+
 def _expected(e: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Label probabilities, and expected numbers of neighbouring labels."""
     places = e.shape[1]
@@ -248,8 +286,8 @@ def identify(docs: DataFrame, model: Model, runs: bool = False) -> DataFrame:
 
     lang_pred is a learned language, or `und` with score 0 if the text is null or has no letter. score is the mean
     probability of that language over the words with letters, in 0 to 1; equal sums go to the first language by name.
-    With `runs`, stretches of words that most probably have one language are listed (else null). Whole texts are read, in
-    runs of words that see CONTEXT words beyond both ends. Rows with the same or no doc_id are kept. Other columns of docs
+    With `runs`, stretches of words that most probably have one language are listed (else null). A whole text is
+    one chain. Rows with the same or no doc_id are kept. Other columns of docs
     aren't read. Without any learned language every row is `und`.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -270,22 +308,30 @@ def _runs(best: np.ndarray, languages: list[str]) -> list[dict]:
 
 
 def _decided(e: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Label probabilities of all words of documents with these lengths, in runs with context."""
+    """Label probabilities of all words of documents with these lengths, each of which is one chain."""
     pieces = -(-lengths // RUN)
-    start = np.repeat(np.cumsum(lengths) - lengths, pieces)
-    left = np.repeat(lengths, pieces)
-    own = spans(pieces) * RUN  # where a run's own words begin in its document
-    lo, hi = np.maximum(own - CONTEXT, 0), np.minimum(own + RUN + CONTEXT, left)
-    size, out = hi - lo, np.empty(e.shape, np.float64)
-    order = np.argsort(size, kind="stable")
-    for s in range(0, len(order), 512):  # runs of about one size together
-        at = order[s : s + 512]
-        widest = int(size[at].max())
-        take = np.minimum(np.arange(widest)[None], size[at][:, None] - 1) + (start + lo)[at][:, None]
-        gamma = forward_backward(e[take].astype(np.float64), size[at], transitions)
-        for_words = np.minimum(RUN, left[at] - own[at])
-        rows, cols = np.repeat(np.arange(len(at)), for_words), spans(for_words)
-        out[(start + own)[at][rows] + cols] = gamma[rows, (own - lo)[at][rows] + cols]
+    left, own = np.repeat(lengths, pieces), spans(pieces) * RUN
+    start, size = np.repeat(np.cumsum(lengths) - lengths, pieces) + own, np.minimum(left - own, RUN)
+    first = np.cumsum(pieces) - pieces
+    out = np.empty(e.shape, np.float64)
+
+    def grouped(runs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Runs of about one size together, and their words' scores."""
+        runs = runs[np.argsort(size[runs], kind="stable")]
+        for s in range(0, len(runs), 512):
+            at = runs[s : s + 512]
+            take = np.minimum(np.arange(int(size[at].max()))[None], size[at][:, None] - 1) + start[at][:, None]
+            yield at, e[take].astype(np.float64)
+
+    labels = e.shape[1]
+    passages = np.ones((len(size), labels, labels))
+    for at, x in grouped(np.flatnonzero(left > RUN)):
+        passages[at] = _passage(x, size[at], transitions)
+    before, behind = _messages(passages, first, pieces, transitions)
+    for at, x in grouped(np.arange(len(size))):
+        gamma = forward_backward(x, size[at], transitions, before[at], behind[at])
+        rows, cols = np.repeat(np.arange(len(at)), size[at]), spans(size[at])
+        out[start[at][rows] + cols] = gamma[rows, cols]
     return out
 
 
@@ -297,8 +343,8 @@ def learned_split(docs: DataFrame) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
-    """The rows of docs whose language is identified with at least that score; all columns, lang replaced by it."""
+def keep_identified(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
+    """The rows of docs whose language isn't `und`, with at least that score; all columns, lang replaced by it."""
     shared = docs.sparkSession.sparkContext.broadcast(train(sample(own_columns(docs, "doc_id", "text", "lang"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
