@@ -201,10 +201,12 @@ def weak_model(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float],
     sides = {True: sum(n for p, n in counts.items() if posterior[p] > 0.5), False: sum(n for p, n in counts.items() if posterior[p] <= 0.5)}
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / (1 << 30)
     limit = F.when(F.col("good") > 0.5, min(1.0, 2 * sample / max(1, sides[True]))).otherwise(min(1.0, 2 * sample / max(1, sides[False])))
-    some = rated.withColumn("drawn", drawn).where(F.col("drawn") <= limit)
+    # A doc_id that rows share is drawn once, with one of their labels.
+    some = rated.withColumn("drawn", drawn).where(F.col("drawn") <= limit).groupBy("doc_id").agg(F.min("good").alias("good"), F.first("drawn").alias("drawn"))
     picked = [r for side in ("good > 0.5", "good <= 0.5") for r in some.where(side).orderBy("drawn", "doc_id").limit(sample).collect()]
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["good"]) for r in picked if r["doc_id"] is not None] or [(0, 0.5)], "doc_id long, good double").dropDuplicates(["doc_id"])
-    rows = [(r["at"], r["value"], r["good"]) for r in _vectors(docs.join(F.broadcast(ids), "doc_id")).collect()]  # at most 2 * sample
+    texts = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("good").alias("good"))
+    rows = [(r["at"], r["value"], r["good"]) for r in _vectors(texts).collect()]  # at most 2 * sample
     return posterior, accuracy, prior, fit(sorted(rows), prior)
 
 
@@ -234,5 +236,3 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """judge() with the model that weak_model() finds in the same documents."""
     posterior, _, _, weights = weak_model(docs, sample)
     return judge(docs, posterior, weights)
-
-
