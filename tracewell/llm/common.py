@@ -25,11 +25,13 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder of this session for scratch tables, below the one that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder of this machine is made and set.
+    Only where that setting is absent and all runs on this machine (tests, a laptop) a temporary folder is made and set.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _own_dirs.get(sc.applicationId)
         if base is None:
             base = _own_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="tracewell-")
@@ -108,10 +110,6 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
 def chunks(ids: list, texts: list[bytes | None], most: int = CHUNK_BYTES) -> Iterator[tuple[list, list[bytes]]]:
     """Runs of documents of about `most` bytes; null texts come as empty ones."""
     a, b, size = [], [], 0
@@ -145,6 +143,19 @@ def unsqueezed(column: pa.Array) -> list[bytes]:
     return [b"" if z is None else wide.decompress(z) for z in column.to_pylist()]
 
 
+def boxed(docs: DataFrame, *apart: str) -> DataFrame:
+    """(row, rest): a number for each row, and its columns but `apart` in a struct, where their names clash with nothing.
+
+    The numbers hold only once they are written down.
+    """
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in apart] or [F.lit(None).cast("string").alias("none")]
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*rest).alias("rest"), *[F.col(f"`{c}`") for c in apart])
+
+
+def unboxed(name: str) -> Column:
+    return F.col("rest").getField(name).alias(name)
+
+
 def with_squeezed(docs: DataFrame) -> DataFrame:
     """docs with z for text, null where that is; all other columns stay."""
     others = [c for c in docs.columns if c != "text"]
@@ -153,9 +164,9 @@ def with_squeezed(docs: DataFrame) -> DataFrame:
         squeeze = zstandard.ZstdCompressor(level=1)
         for b in itertools.chain.from_iterable(map(slices, batches)):
             z = pa.array([None if t is None else squeeze.compress(t) for t in as_bytes(b.column("text"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), z], names=[*others, "_z"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), z], names=[*others, "z"])
 
-    return docs.mapInArrow(run, StructType([*(docs.schema[c] for c in others), StructField("_z", BinaryType())]))
+    return docs.mapInArrow(run, StructType([*(docs.schema[c] for c in others), StructField("z", BinaryType())]))
 
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import as_bytes, chunks, mix, own_columns, ragged, spans, stash
+from tracewell.llm.common import as_bytes, boxed, chunks, mix, own_columns, ragged, spans, stash, unboxed
 from tracewell.llm.shingles import hashes
 
 #: Bytes of benchmark text in a block of queries.
@@ -124,10 +124,11 @@ def build_index(docs: DataFrame, vocabulary: list[str] | None = None) -> DataFra
 
 
 def candidates(docs: DataFrame, wanted: DataFrame, lists: int = LISTS) -> DataFrame:
-    """(doc_id, start, phrase, n, items): where all looked-up terms of a phrase stand at their offsets."""
+    """(doc_id, phrase, n, items, starts): where all looked-up terms of a phrase stand at their offsets."""
     vocabulary = [r[0] for r in wanted.select(F.explode("terms")).distinct().collect()]  # of a block of queries
     counts = term_counts(docs, vocabulary)
-    spread = wanted.select("phrase", F.posexplode("terms").alias("offset", "term")).join(counts, "term", "left")
+    # counts has no more rows than the vocabulary, which the tasks have had already.
+    spread = wanted.select("phrase", F.posexplode("terms").alias("offset", "term")).join(F.broadcast(counts), "term", "left")
     rank = Window.partitionBy("phrase").orderBy(F.coalesce("count", F.lit(0)), "offset")
     chosen = spread.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= lists)
     possible = chosen.groupBy("phrase").agg(F.min(F.coalesce("count", F.lit(0))).alias("least"), F.count("*").alias("lists")).where("least > 0")
@@ -136,7 +137,8 @@ def candidates(docs: DataFrame, wanted: DataFrame, lists: int = LISTS) -> DataFr
     starts = index.join(chosen, "term").select("phrase", "lists", "doc_id", F.explode("positions").alias("at"), "offset").withColumn("start", F.col("at") - F.col("offset")).where("start >= 0")
     # A document's id may be null or repeated; verification settles what a row really holds.
     met = starts.groupBy("phrase", "doc_id", "start").agg(F.count("*").alias("met"), F.first("lists").alias("lists")).where("met >= lists")
-    return met.select("phrase", "doc_id", "start").join(wanted.select("phrase", "n", "items"), "phrase")
+    found = met.groupBy("phrase", "doc_id").agg(F.collect_list("start").alias("starts"))  # of one document
+    return found.join(wanted.select("phrase", "n", "items"), "phrase")
 
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>, hit_spans array<struct<start:int,end:int>>, pick long"
@@ -150,22 +152,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, percent:
     or id have no windows; repeated items count once. Rows with the same doc_id are judged each on its own text; a row
     with a null doc_id, too. Other columns aren't read. Without items nothing is hit; an empty table gives no rows.
     """
-    return _judged(docs, items, window, percent).drop("pick")
+    own = own_columns(docs, "doc_id", "text").withColumn("pick", F.lit(0).cast("long"))
+    return _judged(own, items, window, percent).drop("pick")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = 13, percent: int = 5) -> DataFrame:
     """The rows of docs, all columns, that aren't contaminated."""
-    marked = docs.withColumn("_row", F.monotonically_increasing_id())
-    held = stash(marked, "docs")
-    judged = _judged(held.select("doc_id", "text", F.col("_row").alias("pick")), items, window, percent)
-    return held.join(judged.where("not contaminated").select(F.col("pick").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    held = stash(boxed(docs), "docs")
+    judged = _judged(held.select(F.col("rest.doc_id").alias("doc_id"), F.col("rest.text").alias("text"), F.col("row").alias("pick")), items, window, percent)
+    return held.join(judged.where("not contaminated").select(F.col("pick").alias("row")), "row", "left_semi").select(*map(unboxed, docs.columns))
 
 
 def _judged(docs: DataFrame, items: DataFrame, window: int, percent: int) -> DataFrame:
-    if "pick" in docs.columns:
-        docs = own_columns(docs, "doc_id", "text", "pick")
-    else:
-        docs = own_columns(docs, "doc_id", "text").withColumn("pick", F.lit(0).cast("long"))
+    """docs: (doc_id, text, pick); pick goes with the row."""
     items = own_columns(items, "item_id", "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
@@ -174,7 +173,7 @@ def _judged(docs: DataFrame, items: DataFrame, window: int, percent: int) -> Dat
         part = stash(phrases(items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k), window), "phrases")
         one = candidates(docs, part)
         found = one if found is None else found.unionByName(one)
-    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "phrase", "items")).alias("found"))
+    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "n", "phrase", "items")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,14 +184,16 @@ def _judged(docs: DataFrame, items: DataFrame, window: int, percent: int) -> Dat
                 if hits:
                     h = hashes(w)
                     for n in {x["n"] for x in hits}:
-                        own = [x for x in hits if x["n"] == n and x["start"] + n <= len(w)]
-                        if not own:
+                        own = [x for x in hits if x["n"] == n]
+                        at, of = np.concatenate([x["starts"] for x in own]), np.repeat(np.arange(len(own)), [len(x["starts"]) for x in own])
+                        fits = at + n <= len(w)
+                        at, of = at[fits], of[fits]
+                        if not len(at):
                             continue
-                        at = np.array([x["start"] for x in own])
-                        same = phrase_hash(h[at[:, None] + np.arange(n)]).view(np.int64) == np.array([x["phrase"] for x in own])
+                        same = phrase_hash(h[at[:, None] + np.arange(n)]).view(np.int64) == np.array([x["phrase"] for x in own])[of]
                         np.add.at(hit, at[same], 1)
                         np.add.at(hit, at[same] + n, -1)
-                        for k in np.flatnonzero(same):
+                        for k in np.unique(of[same]):
                             met.update(own[k]["items"])
                 covered = np.cumsum(hit)[:-1] > 0 if len(w) else np.zeros(0, bool)
                 n_hit = int(covered.sum())
@@ -212,8 +213,9 @@ def near_matches(docs: DataFrame, queries: DataFrame, within: int) -> DataFrame:
     A term that a query repeats counts once. Queries without words match nothing. For each query and document the
     postings of the query's terms meet in one task; these are the document's own words.
     """
-    split = F.udf(lambda t: sorted({w.decode("utf-8", "replace") for w in words((t or "").encode())}), "array<string>")
-    wanted = queries.select("query_id", split("text").alias("terms")).where("size(terms) > 0")
+    low = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    terms = F.array_distinct(F.regexp_extract_all(low, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)))
+    wanted = queries.select("query_id", terms.alias("terms")).where("size(terms) > 0")
     vocabulary = [r[0] for r in wanted.select(F.explode("terms")).distinct().collect()]  # the stated queries' terms
     index = build_index(docs, vocabulary)
     lists = index.join(wanted.select("query_id", F.size("terms").alias("need"), F.explode("terms").alias("term")), "term")
@@ -239,8 +241,6 @@ def near_matches(docs: DataFrame, queries: DataFrame, within: int) -> DataFrame:
     return lists.groupBy("query_id", "doc_id").applyInPandas(run, "query_id long, doc_id long, start int, end int")
 
 
-
-
 #: The query in DuckDB SQL; the benchmark's windows meet all windows of documents.
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
