@@ -186,11 +186,12 @@ def settle(own: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A segment stands for `members` with equal bytes. Each class in a bucket with several is to be refined, once.
     """
-    shared = own.groupBy("gram").agg(F.sum("members").alias("n")).where("n > 1").select("gram")
+    # What is written down first reaches a join by an exchange alone, so that a hot bucket's rows can be split there.
+    shared = stash(own.groupBy("gram").agg(F.sum("members").alias("n")).where("n > 1").select("gram"), "shared")
     met = stash(own.join(shared, "gram"), "segments")
     one = F.struct("row", "lo", "hi")
     several = stash(met.groupBy("gram", "equal").agg(F.sum("members").alias("members"), F.min(one).alias("first")), "classes")
-    mixed = several.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1").select("gram")
+    mixed = stash(several.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1").select("gram"), "mixed")
     refined = stash(several.join(mixed, "gram", "left_semi").select("first.row", "first.lo", "first.hi", "members"), "refine")
     whole = met.where("members = 1").join(several.where("members > 1").select("gram", "equal"), ["gram", "equal"], "left_semi").select("row", "lo", "hi")
     return whole, refined
@@ -235,7 +236,7 @@ def without_repeats(held: DataFrame, length: int, kept: str | None) -> DataFrame
     whole, refined = settle(_segments(held, length))
     finer, refined = settle(stash(_finer(held, refined, length), "finer"))
     strings = stash(_strings(held, refined, length), "strings")
-    twice = strings.groupBy("a", "b").agg(F.sum("members").alias("n")).where("n > 1").select("a", "b")
+    twice = stash(strings.groupBy("a", "b").agg(F.sum("members").alias("n")).where("n > 1").select("a", "b"), "twice")
     found = strings.where("members = 1").join(twice, ["a", "b"], "left_semi").select("row", F.col("at").alias("lo"), F.col("at").alias("hi"))
     per_row = whole.unionByName(finer).unionByName(found).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))  # of one document
 
