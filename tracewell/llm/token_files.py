@@ -152,7 +152,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
     What reaches the driver is a count for each id of the vocabulary and a sum for each shard.
     """
     spark = docs.sparkSession
-    tokens = stash(tokenize(own_columns(docs, "doc_id", "text"), tokenizer, end_id, counts=True).drop("salt"), "ids")
+    tokens = stash(tokenize(own_columns(docs, "doc_id", "text"), tokenizer, end_id, counts=True), "ids")
     counts = {r["id"]: r["n"] for r in count_ids(tokens).collect()}
     tokens = tokens.where("n_tokens > 0")
     sums = np.zeros(max(counts, default=0) + 1, dtype=np.int64)
@@ -187,7 +187,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
         if held:
             yield flush()
 
-    ordered = tokens.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids_crc32").withColumn("shard", F.spark_partition_id())
+    # salt differs for rows that share all else, so that even those needn't meet in one shard.
+    order = ["doc_id", "n_tokens", "ids_crc32", "salt"]
+    ordered = tokens.repartitionByRange(shards, *order).sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id())
     ordered.select("shard", "doc_id", "ids").mapInArrow(run, BLOCKS).write.partitionBy("shard").option("compression", "none").parquet(f"{path}/blocks")
 
 
