@@ -16,11 +16,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import own_columns
+from tracewell.llm.common import own_columns, shuffle_width
 from tracewell.llm.tokens import crc32_ids, pack_ids, tokenize, unpack_ids
 
 #: Bytes of text that make a group; a group is packed in one task.
 GROUP_BYTES = 4 << 20
+#: Bytes of text for which there is a task, at least as many as shuffles have.
+TASK_BYTES = 64 << 20
 #: sequence_id is the group times this plus the sequence's number in its group.
 STRIDE = 1 << 24
 #: The attention's weight against the linear part for a piece of full length.
@@ -98,4 +100,6 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, q
         made.insert(0, "doc_id", pdf["doc_id"].astype("Int64").take(made.pop("doc")).reset_index(drop=True))
         return made
 
-    return rows.groupBy("grp").applyInPandas(run, PIECES)
+    # Tasks have about TASK_BYTES of text; more of them, not larger ones, as the table grows.
+    tasks = max(shuffle_width(docs.sparkSession), -(-size // TASK_BYTES))
+    return rows.repartition(tasks, "grp").groupBy("grp").applyInPandas(run, PIECES)
