@@ -4,7 +4,7 @@ A rule is a host and a path prefix. Written as a reversed host and then the path
 all urls under it, thus an interval of the sorted keys, and two rules' intervals are nested or disjoint. A sweep over
 sorted keys therefore needs a stack of active rules: a rule is pushed where its interval starts, and popped where it
 ends, when the rule around it is on top again. `boundaries` is that stack's history: for each place where the top
-changes, the new top. Urls are then merged into the boundaries in key order, and each takes the last top before it.
+changes, the new top. Urls and boundaries are then sorted together by ranges, and each url takes the last top before it.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import shuffle_width
+from tracewell.llm.common import shuffle_width, stash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Sorts behind every character in byte order, so that prefix + LAST ends the prefix's interval.
@@ -67,23 +67,29 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     url have an empty host and path, which no rule fits. Repeated rows and null page ids stay as they are; columns of
     pages that clash with the result's are not read. An empty table gives an empty result.
 
-    Urls are dealt to sweeps by a hash of the row, not of the host, so a hot host is spread evenly; each sweep sorts
-    its share and merges it with all boundaries, of which there are two a rule and sweep.
+    Urls and boundaries are sorted together by ranges of the key, and the row's number parts equal keys, so neither a hot
+    host nor a hot url meets in one sweep. A sweep begins with the top that the sweeps before it have left: of each range
+    only the last boundary is needed for that.
     """
-    width = 4 * shuffle_width(pages.sparkSession)
-    page = pages.select("page_id", "url").select("page_id", F.coalesce("url", F.lit("")).alias("url"))
-    page = page.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.pmod(F.xxhash64("page_id", "url"), F.lit(width)).alias("share"), F.monotonically_increasing_id().alias("row"))
+    spark = pages.sparkSession
+    page = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"))
+    page = page.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.monotonically_increasing_id().alias("row"))
     edges = boundaries(rules)
     depths = sorted(r["depth"] for r in edges.select("depth").distinct().collect())  # label counts: a few numbers
-    probes = page.select("page_id", "host", "path", "share", "row", F.split("host", r"\.").alias("labels"), F.explode(F.array(*map(F.lit, [0, *depths]))).alias("depth"))
-    probes = probes.where("depth = 0 or depth <= size(labels)").select("page_id", "host", "path", "share", "row", "depth", F.concat(_reversed(F.expr("slice(labels, greatest(size(labels) - depth, 0) + 1, depth)")), F.lit(SEP), "path").alias("at"), F.lit(1).alias("is_url"), F.lit(None).cast("struct<weight:int,rule:string,verdict:string>").alias("top"))
-    spread = edges.select("at", "depth", "top", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint"))).alias("share"), F.lit(0).alias("is_url"))
-    swept = probes.unionByName(spread, allowMissingColumns=True).repartition("share")  # serves the sweep and the choice below
-    order = Window.partitionBy("share", "depth").orderBy("at", "is_url").rowsBetween(Window.unboundedPreceding, 0)
+    probes = page.select("*", F.split("host", r"\.").alias("labels"), F.explode(F.array(*map(F.lit, [0, *depths]))).alias("depth")).where("depth = 0 or depth <= size(labels)")
+    probes = probes.select("row", "page_id", "host", "path", "depth", F.concat(_reversed(F.expr("slice(labels, greatest(size(labels) - depth, 0) + 1, depth)")), F.lit(SEP), "path").alias("at"), F.lit(1).alias("is_url"), F.lit(None).cast("struct<weight:int,rule:string,verdict:string>").alias("top"))
+    both = probes.unionByName(edges.select("at", "depth", "top", F.lit(0).alias("is_url"), F.lit(-1).cast("bigint").alias("row")), allowMissingColumns=True)
+    # Written down, as a range's number must stay what it is.
+    swept = stash(both.repartitionByRange(4 * shuffle_width(spark), "depth", "at", "is_url", "row").withColumn("sweep", F.spark_partition_id()), "sweeps")
+
     # A pop to no rule must hide what lies before it, so the top is wrapped: a null inside counts, an absent one doesn't.
-    active = F.last(F.when(F.col("is_url") == 0, F.struct(F.col("top").alias("rule"))), ignorenulls=True).over(order)
-    hits = swept.select("share", "row", "page_id", "host", "path", "is_url", active.alias("active")).where("is_url = 1")
-    best = hits.groupBy("share", "row").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), F.max("active.rule").alias("top"))
+    top = F.when(F.col("is_url") == 0, F.struct(F.col("top").alias("rule")))
+    left = swept.groupBy("depth", "sweep").agg(F.max_by(top, F.when(F.col("is_url") == 0, F.col("at"))).alias("left"))
+    before = Window.partitionBy("depth").orderBy("sweep").rowsBetween(Window.unboundedPreceding, -1)
+    carried = left.select("depth", "sweep", F.last("left", ignorenulls=True).over(before).alias("carried"))  # a row for each range
+    order = Window.partitionBy("depth", "sweep").orderBy("at", "is_url").rowsBetween(Window.unboundedPreceding, 0)
+    hits = swept.withColumn("active", F.last(top, ignorenulls=True).over(order)).where("is_url = 1").join(F.broadcast(carried), ["depth", "sweep"])
+    best = hits.groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), F.max(F.coalesce("active", "carried")["rule"]).alias("top"))
     return best.select("page_id", "host", "path", F.col("top.rule").alias("rule"), F.coalesce("top.verdict", F.lit(default)).alias("verdict"))
 
 
