@@ -8,11 +8,11 @@ down. An absent pair has no level but by a false positive, of which RATE says ho
 P(w | h) mixes the pair's share of h's count with the add-one probability of w alone; the mixture's weight depends on how
 often h occurs, and is estimated on all training texts with each pair's own occurrence left out.
 
-Texts are kept in blocks of about BLOCK_BYTES. A block asks for the counts of its distinct words once: questions are dealt
-to shards by a hash of the word, met there by the shard's counts, and answers go back to the block. No shard, block or
-task grows with the corpus, only their number; hot words are counted in tasks first. The filter has a segment for each
-shard. Segments are broadcast to the workers when they have at most FILTER_BYTES together; beyond, a block's pairs are
-asked for in the same manner as its words.
+Texts are kept in blocks of about BLOCK_BYTES. The HOT most frequent words are broadcast with their counts. A block asks for
+those of its other distinct words once: questions are dealt to shards by a hash of the word and stream past the shard's
+counts, and answers go back to the block. Shards and blocks don't grow with the corpus, only their number; counts are summed
+in tasks first, and then in steps of FAN. The filter has a segment for each shard. Segments are broadcast to the workers
+when they have at most FILTER_BYTES together; beyond, a block's pairs are asked for in the same manner as its words.
 """
 
 from __future__ import annotations
@@ -24,10 +24,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import as_bytes, chunks, crc32_text, drop, mix, own_columns, stash
+from tracewell.llm.common import as_bytes, chunks, crc32_text, drop, mix, own_columns, shuffle_width, stash
 from tracewell.llm.shingles import hashes, words
 
 BLOCK_BYTES = 4 << 20
@@ -35,6 +36,8 @@ BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 16 << 20
 #: Tokens whose counts a task gathers before it gives them on.
 FLUSH = 4_000_000
+#: Words that are broadcast, at most; tables of counts that are summed at once.
+HOT, FAN = 1 << 18, 64
 #: Between levels from the second on; bits and probes for each entry.
 BASE, BITS, PROBES = 1.5, 12, 8
 RATE = (1 - math.exp(-PROBES / BITS)) ** PROBES
@@ -204,19 +207,19 @@ def _texts(z: bytes, sizes: list[int]) -> list[bytes]:
 
 
 def _counted(blocks: DataFrame, shards: int) -> DataFrame:
-    """(shard, kind, names, counts) of training tokens (kind 1) and pairs (kind 2), summed in tasks."""
+    """(shard, kind, part, names, counts) of training tokens (kind 1) and pairs (kind 2), summed in tasks; part is the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one: list[np.ndarray] = []
+        part, one = TaskContext.get().partitionId(), []
         two: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             for kind, parts in ((1, one), (2, two)):
                 x, n = np.unique(np.concatenate(parts), return_counts=True)
                 order, cut = by_shard(x, shards)
-                x, n = x[order], n[order].astype(np.uint32)
+                x, n = x[order], n[order]
                 some = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(some), "kind": pa.array(np.full(len(some), kind, np.int32)), "names": pa.array([press_sorted(x[cut[s] : cut[s + 1]]) for s in some], pa.binary()), "counts": pa.array([press(n[cut[s] : cut[s + 1]]) for s in some], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"shard": pa.array(some), "kind": pa.array(np.full(len(some), kind, np.int32)), "part": pa.array(np.full(len(some), part, np.int64)), "names": pa.array([press_sorted(x[cut[s] : cut[s + 1]]) for s in some], pa.binary()), "counts": pa.array([press(n[cut[s] : cut[s + 1]]) for s in some], pa.binary())})
             one.clear()
             two.clear()
 
@@ -232,35 +235,70 @@ def _counted(blocks: DataFrame, shards: int) -> DataFrame:
         if one:
             yield from flush()
 
-    return blocks.select("z", "sizes", "held").mapInArrow(run, "shard long, kind int, names binary, counts binary")
+    return blocks.select("z", "sizes", "held").mapInArrow(run, COUNTED)
+
+
+COUNTED = "shard long, kind int, part long, names binary, counts binary"
+
+
+def _added(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    x = np.concatenate([unpress_sorted(b) for b in rows["names"]] or [np.zeros(0, np.uint64)])
+    return summed(x, np.concatenate([unpress(b, np.int64) for b in rows["counts"]] or [np.zeros(0, np.int64)]))
+
+
+def _add(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one shard, kind and part as one."""
+    x, n = _added(pdf)
+    return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "kind": pdf["kind"].iloc[:1], "part": pdf["part"].iloc[:1], "names": [press_sorted(x)], "counts": [press(n)]})
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A shard's row: its words with counts, its filter segment, and sums."""
+    """A shard's row: its words with counts, how many of them have a count of 2^k and more up to the next, its filter segment."""
     out = {"shard": [int(pdf["shard"].iat[0])]}
     for kind in (1, 2):
-        own = pdf[pdf["kind"] == kind]
-        x = np.concatenate([unpress_sorted(b) for b in own["names"]] or [np.zeros(0, np.uint64)])
-        n = np.concatenate([unpress(b, np.uint32) for b in own["counts"]] or [np.zeros(0, np.uint32)]).astype(np.int64)
-        x, n = summed(x, n)
+        x, n = _added(pdf[pdf["kind"] == kind])
         if kind == 1:
-            out |= {"names": [press_sorted(x)], "counts": [press(n)], "tokens": [int(n.sum())], "types": [len(x)]}
+            out |= {"names": [press_sorted(x)], "counts": [press(n)], "tokens": [int(n.sum())], "types": [len(x)], "kinds": [np.bincount(_slot(n), minlength=40).tolist()]}
         else:
             out |= {"segment": [build_filter(x, n)]}
     return pd.DataFrame(out)
 
 
-SHARD = "shard long, names binary, counts binary, tokens long, types long, segment binary"
+SHARD = "shard long, names binary, counts binary, tokens long, types long, kinds array<long>, segment binary"
 
 
-def _asked(blocks: DataFrame, shards: int, kind: int) -> DataFrame:
-    """(shard, block, names): distinct words (kind 1) or pairs (kind 2) of each block."""
+def hot_words(model: DataFrame, kinds: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent words and their counts: those with a count of 2^k and more, for the least k with at most `most`."""
+    behind = np.cumsum(kinds[::-1])[::-1]
+    least = 1 << int((behind > most).sum())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for names, counts in zip(b.column("names").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                x, n = unpress_sorted(names), unpress(counts, np.int64)
+                some = n >= least
+                yield pa.RecordBatch.from_arrays([pa.array([press_sorted(x[some])], pa.binary()), pa.array([press(n[some])], pa.binary())], names=["names", "counts"])
+
+    found = model.select("names", "counts").mapInArrow(run, "names binary, counts binary").collect()  # `most` words
+    return _added(pd.DataFrame(found, columns=["names", "counts"]))
+
+
+def _found(x: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which names are among sorted x."""
+    return x[np.minimum(np.searchsorted(x, names), len(x) - 1)] == names if len(x) else np.zeros(len(names), bool)
+
+
+def _asked(blocks: DataFrame, shards: int, kind: int, hot: np.ndarray) -> DataFrame:
+    """(shard, block, names): distinct words that aren't hot (kind 1) or pairs (kind 2) of each block."""
+    known = blocks.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, z, sizes in zip(b.column("block").to_pylist(), b.column("z").to_pylist(), b.column("sizes").to_pylist(), strict=True):
                 t, _ = tokens(_texts(z, sizes))
                 x = np.unique(t if kind == 1 else pairs(t))
+                if kind == 1:
+                    x = x[~_found(known.value, x)]
                 order, cut = by_shard(x, shards)
                 x, some = x[order], np.flatnonzero(np.diff(cut))
                 yield pa.RecordBatch.from_pydict({"shard": pa.array(some), "block": pa.array(np.full(len(some), block)), "names": pa.array([press_sorted(x[cut[s] : cut[s + 1]]) for s in some], pa.binary())})
@@ -268,37 +306,49 @@ def _asked(blocks: DataFrame, shards: int, kind: int) -> DataFrame:
     return blocks.select("block", "z", "sizes").mapInArrow(run, "shard long, block long, names binary")
 
 
-def _told(asked: DataFrame, model: DataFrame, kind: int) -> DataFrame:
-    """(block, kind, names, counts): what the shards know; pairs' counts are levels."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        known = None if right.empty else right.iloc[0]
-        if known is not None and kind == 1:
-            x, n = unpress_sorted(known["names"]), unpress(known["counts"], np.int64)
-        out = []
-        for names in left["names"]:
-            q = unpress_sorted(names)
-            if known is None:
-                found = np.zeros(len(q), np.int64)
-            elif kind == 2:
-                found = Filter([known["segment"]]).levels(q)
-            elif not len(x):
-                found = np.zeros(len(q), np.int64)
-            else:
-                at = np.minimum(np.searchsorted(x, q), len(x) - 1)
-                found = np.where(x[at] == q, n[at], 0)
-            out.append(press(found))
-        return pd.DataFrame({"block": left["block"], "kind": kind, "names": left["names"], "counts": out})
-
-    columns = ["shard", "names", "counts"] if kind == 1 else ["shard", "segment"]
-    return asked.groupBy("shard").cogroup(model.select(*columns).groupBy("shard")).applyInPandas(run, "block long, kind int, names binary, counts binary")
+def _told(asked: DataFrame, model: DataFrame, kind: int, shards: int) -> DataFrame:
+    """(block, kind, names, counts): what the shards know; pairs' counts are levels.
+
+    In a task, a shard's own row comes before the questions to it, which then pass one by one, however many there are.
+    """
+    knows = F.col("counts") if kind == 1 else F.col("segment")
+    own = model.select("shard", F.lit(None).cast("long").alias("block"), ("names" if kind == 1 else F.lit(None).cast("binary").alias("names")), knows.alias("knows"))
+    both = own.unionByName(asked.select("shard", "block", "names", F.lit(None).cast("binary").alias("knows")))
+    tasks = max(shuffle_width(model.sparkSession), -(-shards // 8))
+    dealt = both.repartition(tasks, "shard").sortWithinPartitions("shard", F.col("block").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, x, n, segment = None, None, None, None
+        for b in batches:
+            blocks, names, counts = [], [], []
+            for shard, block, asks, knows in zip(*(b.column(c).to_pylist() for c in ("shard", "block", "names", "knows")), strict=True):
+                if block is None:
+                    at = shard
+                    if kind == 1:
+                        x, n = unpress_sorted(asks), unpress(knows, np.int64)
+                    else:
+                        segment = Filter([knows])
+                    continue
+                q = unpress_sorted(asks)
+                if at != shard:
+                    found = np.zeros(len(q), np.int64)  # a shard that has learned nothing
+                elif kind == 2:
+                    found = segment.levels(q)
+                else:
+                    found = np.where(_found(x, q), n[np.minimum(np.searchsorted(x, q), len(x) - 1)], 0) if len(x) else np.zeros(len(q), np.int64)
+                blocks.append(block)
+                names.append(asks)
+                counts.append(press(found))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([kind] * len(blocks), pa.int32()), pa.array(names, pa.binary()), pa.array(counts, pa.binary())], names=["block", "kind", "names", "counts"])
+
+    return dealt.select("shard", "block", "names", "knows").mapInArrow(run, "block long, kind int, names binary, counts binary")
 
 
 class Tables:
-    """What a block knows: counts of its words, and levels of its pairs, by filter or as told."""
+    """What a block knows: counts of hot words and of those it was told, and levels of its pairs, by filter or as told."""
 
-    def __init__(self, told: pd.DataFrame, filter: Filter | None):
-        self.one, self.filter = self._table(told[told["kind"] == 1]), filter
+    def __init__(self, told: pd.DataFrame, hot: tuple[np.ndarray, np.ndarray], filter: Filter | None):
+        self.one, self.hot, self.filter = self._table(told[told["kind"] == 1]), hot, filter
         self.two = None if filter is not None else self._table(told[told["kind"] == 2])
 
     @staticmethod
@@ -309,7 +359,14 @@ class Tables:
         return x[order], n[order]
 
     def count(self, t: np.ndarray) -> np.ndarray:
-        return self.one[1][np.searchsorted(self.one[0], t)]
+        out = np.zeros(len(t), np.int64)
+        left = np.arange(len(t))
+        for x, n in (self.hot, self.one):  # a word is in one of both
+            there = _found(x, t[left])
+            if there.any():
+                out[left[there]] = n[np.searchsorted(x, t[left[there]])]
+            left = left[~there]
+        return out
 
     def level(self, p: np.ndarray) -> np.ndarray:
         if self.two is not None:
@@ -354,10 +411,18 @@ def score_all(docs: DataFrame) -> DataFrame:
     blocks = stash(_blocks(docs), "blocks")
     size = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    model = stash(_counted(blocks, shards).groupBy("shard").applyInPandas(_merge, SHARD), "model")
+    counted, tables = _counted(blocks, shards), size / (4 * FLUSH)  # of about that many bytes each
+    while tables > FAN:
+        counted, tables = counted.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("shard", "kind", "part").applyInPandas(_add, COUNTED), tables / FAN
+    model = stash(counted.groupBy("shard").applyInPandas(_merge, SHARD), "model")
     sums = model.agg(F.sum("tokens"), F.sum("types"), F.sum(F.octet_length("segment"))).first()
     total, types, filter_bytes = (x or 0 for x in sums)
-    told = _told(_asked(blocks, shards, 1), model, 1)
+    kinds = np.zeros(40, np.int64)
+    for r in model.select(F.posexplode("kinds").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
+        kinds[r["k"]] = r["n"]
+    hot = hot_words(model, kinds, HOT)
+    told = _told(_asked(blocks, shards, 1, hot[0]), model, 1, shards)
+    given = spark.sparkContext.broadcast(hot)
     shared = None
     if filter_bytes <= FILTER_BYTES:
         segments = [bytes(8)] * shards
@@ -366,12 +431,12 @@ def score_all(docs: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(Filter(segments))
         del segments
     else:
-        told = told.unionByName(_told(_asked(blocks, shards, 2), model, 2))
+        told = told.unionByName(_told(_asked(blocks, shards, 2, hot[0]), model, 2, shards))
     told = stash(told, "told")
     drop(model)
 
     def known(right: pd.DataFrame) -> Tables:
-        return Tables(right, None if shared is None else shared.value)
+        return Tables(right, given.value, None if shared is None else shared.value)
 
     def rate(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Texts' counts and levels for the scores, and what their training tokens add to the histogram."""
