@@ -36,6 +36,14 @@ def test_against_brute_force(docs, rows, shingle, percent):
     assert null.component_id == want[6][1] and not null.kept
 
 
+def test_rows_that_share_an_id_are_one_node(spark):
+    text = lambda k: " ".join(f"{k}w{j}" for j in range(20))
+    rows = [(9, text(1)), (9, text(2)), (3, text(1)), (12, text(2)), (5, text(2)), (7, text(4)), (8, None), (8, ""), (None, text(5)), (None, None)]
+    got = sorted(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect(), key=str)
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(9, 3, False), (3, 3, True), (12, 3, False), (5, 3, False), (7, 7, True), (8, 8, True), (None, None, True)}
+    assert len(got) == len(rows)
+
+
 def test_empty_table(docs):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 

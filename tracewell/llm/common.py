@@ -267,6 +267,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def joined_on(found: DataFrame, edges: DataFrame, name: str = "components") -> DataFrame:
+    """The components (id, component) of what `found` joins already and of more links (a, b), from those links alone."""
+    at = found.select("id", "component")
+    ends = edges.join(at.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(at.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+    top = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), name).select("id", F.col("component").alias("top"))
+    moved = at.join(top.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    return moved.unionByName(top.join(at.select("id"), "id", "left_anti").select("id", F.col("top").alias("component")))
+
+
 def crc32_text(c: Column) -> Column:
     """crc32 of an id written as text, as the contracts' splits use it (null: null)."""
     return F.crc32(c.cast("string").cast("binary"))

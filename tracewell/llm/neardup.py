@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import as_bytes, blobs, chunks, components, drop, forest, groups, mix, own_columns, remembered, slices, squeezed, stash, unsqueezed
+from tracewell.llm.common import as_bytes, blobs, chunks, components, drop, forest, groups, joined_on, mix, own_columns, remembered, slices, squeezed, stash, unsqueezed
 from tracewell.llm.shingles import shingle_set, words
 
 #: Bands and rows of a signature. At a similarity of 0.85 a pair shares no band with probability 1.2e-5, at 0.8 with 6e-4 a
@@ -33,8 +33,8 @@ from tracewell.llm.shingles import shingle_set, words
 BATCH = 24
 #: Probability of dropping a pair over the threshold in one comparison of batches.
 MISS = 1e-6
-#: Classes of a block; a task compares two blocks.
-BLOCK = 512
+#: Classes of a block, and bytes of full sets; a task compares two blocks.
+BLOCK, SET_BYTES = 512, 32 << 20
 
 
 def bands_for(threshold: float, miss: float = 2e-5) -> tuple[int, int]:
@@ -112,9 +112,9 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def tiles(members: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """members (keys, id, component, n of the key's members), once for each pair (i, j) of blocks that their own is in."""
-    blocks = F.ceil(F.col("n") / size).cast("int")
+def tiles(members: DataFrame, keys: list[str]) -> DataFrame:
+    """members (keys, id, component, blocks of the key), once for each pair (i, j) of blocks that their own is in."""
+    blocks = F.col("blocks").cast("int")
     dealt = members.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return dealt.select(*keys, "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
@@ -158,11 +158,11 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembered(None)
         for b in chain.from_iterable(map(slices, batches)):
-            for ids, texts in chunks(b.column("doc_id").to_pylist(), unsqueezed(b.column("z"))):
+            for _, texts in chunks([None] * b.num_rows, unsqueezed(b.column("z"))):
                 sets = [shingle_set(words(t), shingle) for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), blobs(np.concatenate(sets), [len(s) for s in sets])], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), blobs(np.concatenate(sets), [len(s) for s in sets])], names=["digest", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles binary")
+    return docs.select("z").mapInArrow(run, "digest binary, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -178,8 +178,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     k = bands * rows
     docs = own_columns(docs, "doc_id", "text")
     signed = stash(_signed(docs, shingle, k), "signed")
-    classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")).where("id is not null")
-    reps = stash(classes.select("id", "sig"), "classes")
+    # A class is a node with a number of its own: rows that share a doc_id may be in several.
+    classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")).where("doc_id is not null")
+    reps = stash(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    rows_of = stash(signed.where("digest is not null").select("doc_id", "n_shingles", "digest").join(reps.select("digest", "id"), "digest", "left").select("doc_id", "n_shingles", "id"), "rows")
+    one_id = rows_of.where("doc_id is not null and id is not null").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("doc_id", "a")
+    same_id = stash(rows_of.where("id is not null").join(one_id, "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "same")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,9 +195,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     members = reps.mapInArrow(keys, "key long, band int, id long")
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.min_by("id", F.xxhash64("id", "key")).alias("hub")).where("n > 1")
     buckets = stash(members.join(sizes, "key"), "buckets")
-    shared = buckets.select("id").distinct()
-    sets = stash(_sets(squeezed(docs).join(shared.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), shingle).dropDuplicates(["id"]), "sets")
-    sig = reps.join(shared, "id", "left_semi")
+    sig = stash(reps.join(buckets.select("id").distinct(), "id", "left_semi"), "shared")
+    texts = squeezed(docs).join(sig.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = stash(_sets(texts, shingle).join(sig.select("digest", "id"), "digest").dropDuplicates(["digest"]).select("id", "shingles"), "sets")
+    sig = sig.select("id", "sig")
 
     def pruned(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,15 +231,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     pairs_with_hub = buckets.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     lowest = buckets.groupBy("id").agg(F.min("low").alias("b")).where("id > b").select(F.col("b").alias("a"), F.col("id").alias("b"))
-    links = stash(verified(pruned(lowest)), "links")
-    found = components(links)
-    links = links.unionByName(stash(verified(pruned(apart(pairs_with_hub, found))), "links"))
-    found = stash(components(links), "found")
+    found = components(verified(pruned(lowest)).unionByName(same_id))
+    found = stash(joined_on(found, stash(verified(pruned(apart(pairs_with_hub, found))), "links")), "found")
 
     # What is left: buckets with more than one component.
     where = buckets.where("n > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = where.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    left = tiles(where.join(mixed, "key", "left_semi"), ["key", "band"], BLOCK).join(sig, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    where = where.join(mixed, "key", "left_semi").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    left = tiles(where, ["key", "band"]).join(sig, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ["key", "i", "j"]):
@@ -249,8 +253,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     near = components(stash(left.select("key", "band", "id", "component", "block", "i", "j", "sig").mapInArrow(across, "a long, b long"), "survivors"), "survivors")
     near = near.withColumnRenamed("component", "near")
-    near = near.join(near.groupBy("near").agg(F.count("*").alias("n")), "near").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rest = tiles(near, ["near"], BLOCK // 2).join(sig, "id").join(sets, "id").repartition("near", "i", "j").sortWithinPartitions("near", "i", "j")
+    near = near.join(sets.select("id", F.octet_length("shingles").alias("size")), "id")
+    blocks = F.greatest(F.ceil(F.count("*") / (BLOCK // 2)), F.ceil(F.sum("size") / SET_BYTES))
+    near = near.join(near.groupBy("near").agg(blocks.alias("blocks")), "near").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rest = tiles(near, ["near"]).join(sig, "id").join(sets, "id").repartition("near", "i", "j").sortWithinPartitions("near", "i", "j")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ["near", "i", "j"]):
@@ -262,12 +268,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
                 good = np.array([linked(full[i], full[j], percent) for i, j in zip(x[alive], y[alive], strict=True)], dtype=bool)
                 yield spanning(ids, x[alive][good], y[alive][good])
 
-    links = links.unionByName(stash(rest.select("near", "id", "component", "block", "i", "j", "sig", "shingles").mapInArrow(settle, "a long, b long"), "links"))
-    found = stash(components(links), "found")
+    found = stash(joined_on(found, stash(rest.select("near", "id", "component", "block", "i", "j", "sig", "shingles").mapInArrow(settle, "a long, b long"), "links")), "found")
     drop(buckets, sets)
 
-    named = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id")).join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    # By classes first, so that what joins the rows has one row for each, and rows of a large class can be split.
+    named = reps.select("id", "doc_id").join(found, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("node"))
+    first = named.groupBy("node").agg(F.min("doc_id").alias("class_id"))
+    named = stash(named.join(first, "node").select("id", "class_id"), "named")
+    # Rows without a class have no shingles, or no doc_id and no equal that has one.
+    alone = signed.where("digest is null").select("doc_id", "n_shingles").unionByName(rows_of.where("id is null").select("doc_id", "n_shingles"))
+    out = rows_of.where("id is not null").join(named, "id").select("doc_id", "n_shingles", "class_id").unionByName(alone.withColumn("class_id", F.lit(None).cast("long")))
     component = F.coalesce("class_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
