@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tracewell.functions import javatext
 from tracewell.operators import lineage
 from tracewell.plans import samples
 from tracewell.plans.scan import input_values, scan, scan_paths, split_list
@@ -108,6 +109,38 @@ def test_describe(spark):
     assert n.select(lineage.type_label(F.col("object_type"))).collect()[0][0] == "Table"
 
 
+JAVA = r'''package a.b; import java.util.*;
+/* class Wrong { */ // "open
+@TableName("T0") @TableName("T1") public final class A<T extends B<C>> extends ServiceImpl<M, E> implements I<K, V>, J {
+  @Autowired @Qualifier("a(b") private Map<String, List<Foo>> map = new HashMap<>(), other; static { init(); } int[] arr = {1,2}; char c = '{'; String s = "} // no comment";
+  A(int x) { this.y = x; }
+  public <T extends Q> List<T> gen(Map<String, Integer> m, int... n) throws E1, E2 { if (a) { b("}"); /* gone("x") */ } String q = "select '\u4e2d\101\t' from 表\u0031 where x = 'it\'s' \n"; return this.run(q).then(z -> z.go()); }
+  // String dead = "select * from no.where";
+  abstract void nothing(); private Other o;
+  static class In implements Z { private Deep deep; void inner() { c.d(); @Note("x(") int k = new Thing(1).f(); call( "a.b(" ); } }
+  enum Kind { X(1) { void f() {} }, Y; private final Lock lock = null; int g() { return 1; } }
+}'''
+
+
+def test_java_grammar(spark):
+    files = java.with_module(spark.createDataFrame([("/s/A.java", JAVA), ("/s/Open.java", "class Open { void f( { int x = "), ("/s/None.java", None), ("/s/Empty.java", "")], "path string, text string"))
+    m = {r.module: r for r in java.modules(files).collect()}
+    assert tuple(m["A"])[1:] == ("class", "ServiceImpl<M,E>", ["I", "J"], "T1", None, "M") and m["Empty"].kind is None and m["Open"].kind == "class"
+    assert [r.method for r in java.methods(files).where("module = 'A'").orderBy("start").collect()] == ["A", "gen", "nothing", "inner", "g"]
+    got = {(r.receiver, r.declared) for r in java.fields(files).where("module = 'A'").collect()}
+    assert got == {("map", "Map<String, List<Foo>>"), ("arr", "int[]"), ("c", "char"), ("s", "String"), ("o", "Other"), ("deep", "Deep"), ("lock", "Lock")}
+    calls = {(r.method, r.call) for r in java.method_calls(files).collect()}
+    assert calls == {("gen", "this.run"), ("gen", "then"), ("gen", "z.go"), ("gen", "b"), ("inner", "c.d"), ("inner", "Thing"), ("inner", "f"), ("inner", "call")}
+    (sql,) = java.statements(files).collect()
+    assert sql.sql == "select '中A\t' from 表1 where x = 'it's' \n".strip() and sql.method == "gen"
+
+
+def test_java_escapes(spark):
+    cases = {r"a\u0041\uuu0042": "aAB", r"\u4e2d\uD83D\uDE00": "中😀", r"\0\12\377x\8": "\0\n\xffx8", r"a\"b\\\\c": 'a"b\\c', r"\\n|\n": "\n|\n", "": "", "é": "é"}
+    got = {r.t: r.d for r in spark.createDataFrame([(k,) for k in cases], "t string").select("t", javatext.decode_literal("t").alias("d")).collect()}
+    assert got == cases
+
+
 def test_java_locals_of_deep_blocks_are_no_fields(spark):
     body = "int a = 1;\nOther repo = make();\n"
     for k in range(7):

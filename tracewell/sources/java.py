@@ -19,25 +19,38 @@ def with_module(files: DataFrame) -> DataFrame:
     return files.select("path", F.regexp_extract("path", r"([^/]+)\.\w+$", 1).alias("module"), "text")
 
 
+def outlined(files: DataFrame) -> DataFrame:
+    """files with a struct `o`, see javatext.outline."""
+    return files.withColumn("o", J.outline("text"))
+
+
 def modules(files: DataFrame) -> DataFrame:
     """(module, kind, extended, implemented, table_name, mapper_entity, service_mapper); of one name the last path counts."""
-    last = files.groupBy("module").agg(F.max_by("text", "path").alias("text"))
-    d = last.withColumn("d", J.declaration("text"))
-    return d.select("module", "d.kind", "d.extended", "d.implemented", J.entity_table("text").alias("table_name"), J.mapper_entity("text").alias("mapper_entity"), J.service_mapper("d.extended").alias("service_mapper"))
+    last = outlined(files.groupBy("module").agg(F.max_by("text", "path").alias("text")))
+    names = F.array_distinct(F.filter(F.transform("o.implemented", J.type_name), lambda x: x != ""))
+    kind = F.when(F.col("o.kind").isin("class", "interface"), F.col("o.kind"))
+    return last.select("module", kind.alias("kind"), F.get("o.extended", F.lit(0)).alias("extended"), names.alias("implemented"), J.entity_table("o.annotations").alias("table_name"), J.mapper_entity("o.extended").alias("mapper_entity"), J.service_mapper("o.extended").alias("service_mapper"))
 
 
 def methods(files: DataFrame) -> DataFrame:
-    """(path, module, method, body, annotations, start)."""
-    return files.select("path", "module", F.explode(J.methods("text")).alias("m")).select("path", "module", F.col("m.name").alias("method"), "m.body", "m.annotations", "m.start")
+    """(path, module, method, body, annotations, start); annotations have names and args."""
+    each = outlined(files).select("path", "module", F.explode("o.methods").alias("m"))
+    return each.select("path", "module", F.col("m.name").alias("method"), "m.body", "m.annotations", "m.start")
 
 
 def fields(files: DataFrame) -> DataFrame:
-    """(module, receiver, declared): fields of types, by their text without method bodies; the last of a name counts."""
-    text = J.without_bodies(J.strip_comments("text"))
-    field = r"(?m)^\s*(?:@\w+(?:\([^)]*\))?\s*)*(?:(?:public|private|protected|static|final)\s+)*([\w<>\[\].,?]+(?:\s*,\s*[\w<>?]+)*)\s+(\w+)\s*(?:=[^;]*)?;"
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(field), F.lit(1)).alias("t"), F.regexp_extract_all(text, F.lit(field), F.lit(2)).alias("n"))
-    each = files.select("module", F.posexplode(pairs).alias("at", "f")).where("f.t not in ('return', 'package', 'import', 'throw')")
-    return each.groupBy("module", F.col("f.n").alias("receiver")).agg(F.max_by("f.t", "at").alias("declared"))
+    """(module, receiver, declared): fields of types, not what methods declare; the last of a name counts."""
+    each = outlined(files).select("module", F.posexplode("o.fields").alias("at", "f"))
+    return each.groupBy("module", F.col("f.receiver").alias("receiver")).agg(F.max_by("f.declared", "at").alias("declared"))
+
+
+def xml_statements(mappers: DataFrame) -> DataFrame:
+    """(module, folder, id, body) of the statements in mapper files, each up to its own closing tag."""
+    whole = F.regexp_replace("text", r"(?s)<!--.*?-->", " ")
+    tag = r"(?is)<(select|insert|update|delete)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(.*?)</\1\s*>"
+    pairs = F.arrays_zip(*[F.regexp_extract_all(whole, F.lit(tag), F.lit(k)).alias(n) for k, n in ((2, "attributes"), (3, "body"))])
+    each = mappers.select("module", "path", F.explode(pairs).alias("s"))
+    return each.select("module", "path", F.regexp_extract("s.attributes", r"\bid\s*=\s*[\"']([^\"']+)", 1).alias("id"), "s.body").where("id <> ''")
 
 
 def statements(files: DataFrame, mappers: DataFrame | None = None) -> DataFrame:
@@ -48,15 +61,14 @@ def statements(files: DataFrame, mappers: DataFrame | None = None) -> DataFrame:
     """
     m = methods(files)
     body = m.select("path", "module", "method", F.explode(J.sql_literals("body")).alias("sql"))
-    marked = m.select("path", "module", "method", F.regexp_extract("annotations", r"(?s)@(?:Select|Insert|Update|Delete)\s*\((.*)\)", 1).alias("args")).where("args <> ''")
-    annotated = marked.select("path", "module", "method", mapper_sql(F.array_join(F.transform(J.string_literals("args"), F.trim), " ")).alias("sql"))
+    marked = m.select("path", "module", "method", F.explode(F.filter("annotations", lambda a: a["name"].isin("Select", "Insert", "Update", "Delete"))).alias("a"))
+    literals = F.filter(F.transform(J.string_literals("a.args"), J.trimmed), lambda x: x != "")
+    annotated = marked.select("path", "module", "method", mapper_sql(F.array_join(literals, " ")).alias("sql"))
     found = body.unionByName(annotated.where("sql <> ''"))
     if mappers is not None:
-        pattern = r'(?is)<(select|insert|update|delete)\s+[^>]*id="([^"]+)"[^>]*>(.*?)</\1>'
-        pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("id"), F.regexp_extract_all("text", F.lit(pattern), F.lit(3)).alias("body"))
         folder = lambda c: F.regexp_replace(c, r"/[^/]+$", "")
-        xml = mappers.select("module", folder("path").alias("at"), F.explode(pairs).alias("s"))
-        xml = xml.select("module", F.regexp_replace("at", r"/resources/mapper$", "").alias("folder"), F.when(F.col("at").endswith("/resources/mapper"), 2).otherwise(1).alias("rank"), F.col("s.id").alias("method"), xml_sql("s.body").alias("sql"))
+        xml = xml_statements(mappers).withColumn("at", folder("path"))
+        xml = xml.select("module", F.regexp_replace("at", r"/resources/mapper$", "").alias("folder"), F.when(F.col("at").endswith("/resources/mapper"), 2).otherwise(1).alias("rank"), F.col("id").alias("method"), xml_sql("body").alias("sql"))
         near = files.select("path", "module", folder("path").alias("folder")).join(xml, ["module", "folder"])
         first = near.groupBy("path").agg(F.min("rank").alias("rank"))  # the file next to it hides the other
         found = found.unionByName(near.join(first, ["path", "rank"]).where("sql <> ''").select("path", "module", "method", "sql"))
@@ -76,12 +88,9 @@ def method_calls(files: DataFrame) -> DataFrame:
 
 def endpoints(files: DataFrame) -> DataFrame:
     """(endpoint, http_method, route, module, method) of controllers' mapped methods; the first mapping of a method counts."""
-    head = F.regexp_extract("text", r"(?s)((?:@\w+(?:\([^)]*\))?\s*)*)\b(?:public\s+)?(?:final\s+)?class\s+\w+", 1)
-    owner = files.select("path", head.alias("head")).where(F.col("head").rlike(r"@(?:Rest)?Controller\b"))
-    base = owner.select("path", J.route_literal(F.regexp_extract("head", r"@RequestMapping\(([^)]*)\)", 1)).alias("base"))
-    mark = r"@(\w*Mapping)(?:\(((?:[^()]|\([^()]*\))*)\))?"
-    marks = F.arrays_zip(F.regexp_extract_all("annotations", F.lit(mark), F.lit(1)).alias("name"), F.regexp_extract_all("annotations", F.lit(mark), F.lit(2)).alias("args"))
-    each = methods(files).join(base, "path").select("module", "method", "start", "base", F.posexplode(marks).alias("at", "a"))
+    o = outlined(files).select("path", "module", "o.annotations", "o.methods").where(F.exists("annotations", lambda a: a["name"].isin("RestController", "Controller")))
+    base = J.route_literal(F.try_element_at(F.filter("annotations", lambda a: a["name"] == "RequestMapping"), F.lit(1))["args"])
+    each = o.select("module", F.coalesce(base, F.lit("")).alias("base"), F.explode("methods").alias("m")).select("module", "base", F.col("m.name").alias("method"), F.col("m.start").alias("start"), F.posexplode("m.annotations").alias("at", "a"))
     each = each.select("*", J.http_verb("a.name", "a.args").alias("http_method"), J.join_path("base", J.route_literal("a.args")).alias("route")).where("http_method is not null")
     first = each.groupBy("module", "method", "start").agg(F.min_by(F.struct("http_method", "route"), "at").alias("e"))
     return first.select(F.concat_ws("", F.lit("api:"), "e.http_method", F.lit(" "), "e.route").alias("endpoint"), "e.http_method", "e.route", "module", "method")
