@@ -1,4 +1,5 @@
 import itertools
+import zlib
 
 import numpy as np
 
@@ -62,3 +63,29 @@ def test_query_and_stage(spark, docs):
 def test_without_labels_all_is_undetermined(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in L.learned_split(df).collect()] == ["und"]
+
+
+def test_query_against_plain_chains(spark, docs, monkeypatch):
+    """Predictions of the query as a chain over each whole text gives them, word by word, with the query's own model."""
+    models, trained = [], L.train
+    monkeypatch.setattr(L, "train", lambda texts: models.append(trained(texts)) or models[-1])
+    got = sorted(L.learned_split(docs).collect(), key=str)
+    (m,) = models
+    want = []
+    for i, text in sorted(((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()), key=str):
+        words = (text or "").encode().split()
+        e, letters = np.exp(m.emissions([L.core(w) for w in words])), [bool(L.core(w)) for w in words]
+        a, lang, score = np.exp(m.transitions), "und", 0.0
+        if any(letters):
+            forward, backward = [e[0] / e[0].sum()], [np.ones(len(a))]
+            for x in e[1:]:
+                forward.append((forward[-1] @ a) * x)
+                forward[-1] = forward[-1] / forward[-1].sum()
+            for x in e[:0:-1]:
+                backward.append(a @ (backward[-1] * x))
+                backward[-1] = backward[-1] / backward[-1].sum()
+            each = [f * b / (f * b).sum() for f, b, own in zip(forward, backward[::-1], letters, strict=True) if own]
+            mean = np.mean(each, axis=0)
+            lang, score = m.languages[int(mean.argmax())], float(mean.max())
+        want.append((i, i is not None and zlib.crc32(str(i).encode()) % 4 == 2, lang, round(score, 4)))
+    assert sorted(((r.doc_id, r.held_out, r.lang_pred, round(r.score, 4)) for r in got), key=str) == sorted(want, key=str)

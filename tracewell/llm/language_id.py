@@ -30,6 +30,8 @@ SEQUENCES, STRETCH, PASSES = 1600, 64, 4
 WIDTH, LEXICON = 1 << 16, 200
 #: Words of a run. Runs of a chain are gone through side by side; messages between them keep the chain whole.
 RUN = 224
+#: Words after which numbers are brought back to a sum of 1.
+SCALED = 4
 #: Distinct words whose scores a worker remembers.
 REMEMBERED = 300_000
 
@@ -42,15 +44,19 @@ def core(word: bytes) -> bytes:
 
 def features(c: bytes) -> list[int]:
     """Hashed affixes (up to 4 letters), n-grams (1 to 4 letters) and the whole of a word's letters."""
-    out = [zlib.crc32(c, 1)]
-    # Where each letter begins among the bytes, and the end.
-    at = [k for k, x in enumerate(c) if x & 0xC0 != 0x80] if not c.isascii() else range(len(c))
-    n, at = len(at), [*at, len(c)]
-    for k in range(1, min(4, n) + 1):
-        out.append(zlib.crc32(c[: at[k]], 10 + k))
-        out.append(zlib.crc32(c[at[n - k] :], 20 + k))
-    for k in (1, 2, 3, 4) if n < len(c) else (2, 3, 4):  # a letter beyond ASCII tells by itself
-        out += [zlib.crc32(c[at[i] : at[i + k]], 30 + k) for i in range(n - k + 1)]
+    out, n = [zlib.crc32(c, 1)], len(c)
+    if c.isascii():
+        for k in range(1, min(4, n) + 1):
+            out += (zlib.crc32(c[:k], 10 + k), zlib.crc32(c[n - k :], 20 + k))
+        for k in (2, 3, 4):
+            out += [zlib.crc32(c[i : i + k], 30 + k) for i in range(n - k + 1)]
+    else:
+        at = [k for k, x in enumerate(c) if x & 0xC0 != 0x80]  # where letters begin among the bytes, and the end
+        n, at = len(at), [*at, n]
+        for k in range(1, min(4, n) + 1):
+            out += (zlib.crc32(c[: at[k]], 10 + k), zlib.crc32(c[at[n - k] :], 20 + k))
+        for k in (1, 2, 3, 4):  # a letter beyond ASCII tells by itself
+            out += [zlib.crc32(c[at[i] : at[i + k]], 30 + k) for i in range(n - k + 1)]
     return [x & (WIDTH - 1) for x in out]
 
 
@@ -134,16 +140,20 @@ def forward_backward(e: np.ndarray, lengths: np.ndarray, transitions: np.ndarray
     forward[:, 0] = now
     for t in range(1, places):
         now = (now @ a) * x[:, t]
-        now /= now.sum(1, keepdims=True)
+        if not t % SCALED:  # factors that a place's probabilities have in common don't matter
+            now /= now.sum(1, keepdims=True)
         forward[:, t] = now
+    shortest = int(lengths.min())
     end = np.full((n, labels), 1 / labels) if behind is None else behind
     now = end.copy()
     backward[:, -1] = now
     for t in range(places - 2, -1, -1):
         now = (now * x[:, t + 1]) @ a.T
-        now /= now.sum(1, keepdims=True)
-        last = t + 1 >= lengths
-        now[last] = end[last]
+        if not t % SCALED:
+            now /= now.sum(1, keepdims=True)
+        if t + 1 >= shortest:
+            last = t + 1 >= lengths
+            now[last] = end[last]
         backward[:, t] = now
     out = forward * backward
     return out / out.sum(2, keepdims=True)
@@ -154,13 +164,14 @@ def _passage(e: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.
     x = np.exp(e - e.max(2, keepdims=True))
     a = np.exp(transitions - transitions.max())
     n, places, labels = x.shape
-    now = np.eye(labels)[None] * x[:, :1]
+    now, shortest = np.eye(labels)[None] * x[:, :1], int(lengths.min())
     for t in range(1, places):
-        new = (now.reshape(-1, labels) @ a).reshape(n, labels, labels) * x[:, t][:, None]
-        new /= new.sum((1, 2), keepdims=True)
-        on = t < lengths
-        now = new if on.all() else np.where(on[:, None, None], new, now)
-    return now
+        new = (now.reshape(-1, labels) @ a).reshape(n, labels, labels)
+        new *= x[:, t][:, None]
+        if not t % SCALED:
+            new /= new.sum((1, 2), keepdims=True)
+        now = new if t < shortest else np.where((t < lengths)[:, None, None], new, now)
+    return now / now.sum((1, 2), keepdims=True)
 
 
 def _messages(passages: np.ndarray, first: np.ndarray, count: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
