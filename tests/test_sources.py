@@ -1,9 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import javatext
-from tracewell.operators import lineage
+from tracewell.operators import failures, lineage
 from tracewell.plans import samples
-from tracewell.plans.scan import input_values, scan, scan_paths, split_list
+from tracewell.plans.scan import input_values, scan, scan_paths, scan_to, split_list
 from tracewell.sources import java, kettle, metadata
 from tracewell.streaming import incremental
 
@@ -149,3 +150,27 @@ def test_java_locals_of_deep_blocks_are_no_fields(spark):
     text = f"public class Deep {{\n  private OrderRepo repo;\n  Deep(int x) {{\n{body}}}\n  public void run() throws A, B {{\n{body}{lists}}}\n  private Last last;\n}}\n"
     got = {(r.receiver, r.declared) for r in java.fields(java.with_module(spark.createDataFrame([("/s/Deep.java", text)], "path string, text string"))).collect()}
     assert got == {("repo", "OrderRepo"), ("last", "Last")}
+
+
+def test_unreachable_catalogue_is_a_failed_run(spark, tmp_path):
+    s = scan_to(spark, str(tmp_path / "g"), jdbc_url="jdbc:nothing://u:secret@h/db")
+    runs = failures.run_states(spark.read.parquet(str(tmp_path / "g/runs"))).collect()
+    assert [r.status for r in runs] == ["failed"] and s.nodes.count() == 0
+    (bad,) = spark.read.parquet(str(tmp_path / "g/failures")).collect()
+    assert (bad.source_type, bad.failure_type, bad.run_id) == ("metadata", "MetadataConnectionError", runs[0].run_id) and "secret" not in bad.file_path
+    with pytest.raises(metadata.MetadataConfigurationError):
+        scan_paths(spark, jdbc_url="jdbc:mysql://h")
+
+
+def test_states_of_runs(spark):
+    rows = [("a", "running", {}, 1, None), ("a", "completed", {"x": "y"}, 1, 2), ("b", "running", {}, 3, None)]
+    got = failures.run_states(spark.createDataFrame(rows, "run_id string, status string, inputs map<string,string>, created_at long, finished_at long"))
+    assert {(r.run_id, r.status, r.finished_at) for r in got.collect()} == {("a", "completed", 2), ("b", "running", None)}
+
+
+def test_lineage_of_unknown_keys_is_empty(spark):
+    nodes = spark.createDataFrame([("table:a", "data_object", "a"), ("job:j", "job", "j")], "key string, type string, name string")
+    edges = spark.createDataFrame([("READS", "job:j", "table:a", False)], "type string, src string, dst string, is_derived boolean")
+    got = {r.key: r for r in lineage.object_lineage(nodes, edges, spark.createDataFrame([("table:a",), ("table:x",), ("job:j",)], "key string")).collect()}
+    assert got["table:a"].found and got["table:a"].jobs == ["job:j"] and got["table:a"].upstream == []
+    assert not got["table:x"].found and not got["job:j"].found and list(got["table:x"])[2:] == [[]] * 6

@@ -14,6 +14,11 @@ def latest_run(runs: DataFrame) -> DataFrame:
     return runs.orderBy(F.desc("created_at"), F.desc("run_id")).limit(1)
 
 
+def run_states(runs: DataFrame) -> DataFrame:
+    """Of each run in runs (run_id, status, ..., finished_at) the last state: the finished one, if it has been written."""
+    return runs.groupBy("run_id").agg(F.max(F.struct(F.col("finished_at").isNotNull().alias("done"), F.struct(*[F.col(c) for c in runs.columns if c not in ("run_id", "inputs")]).alias("state"))).alias("last"), F.first("inputs").alias("inputs")).select("run_id", "last.state.*", "inputs")
+
+
 def latest_time(finished: Column, started: Column, created: Column) -> Column:
     return F.coalesce(finished, started, created)
 

@@ -145,6 +145,12 @@ def cycle_groups(flows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return groups, members
 
 
+def cycle_summary(groups: DataFrame) -> DataFrame:
+    """(group_count, table_count, edge_count) of cycle_groups()."""
+    zero = F.lit(0).cast("long")
+    return groups.agg(F.count("*").alias("group_count"), F.coalesce(F.sum("size"), zero).alias("table_count"), F.coalesce(F.sum("edges"), zero).alias("edge_count"))
+
+
 def self_loops(flows: DataFrame) -> DataFrame:
     """(key, edges): flows of a key into itself, counted as they are listed."""
     return flows.where("src = dst").groupBy(F.col("src").alias("key")).agg(F.count("*").alias("edges"))

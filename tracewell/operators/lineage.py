@@ -41,6 +41,56 @@ def search(nodes: DataFrame, query: str) -> DataFrame:
     return nodes.where(F.col("type").isin(*SEARCHED_TYPES)).where(F.col("key").ilike(pattern) | F.col("name").ilike(pattern)).orderBy("name", "key")
 
 
+def list_jobs(nodes: DataFrame) -> DataFrame:
+    return nodes.where("type = 'job'").orderBy("name", "key")
+
+
+def lookup(nodes: DataFrame, focus: DataFrame, *types: str) -> DataFrame:
+    """Nodes of some types (without: those that searches treat as tables) whose keys are in focus (key), a few keys."""
+    return nodes.where(F.col("type").isin(*(types or SEARCHED_TYPES))).join(F.broadcast(focus), "key", "left_semi")
+
+
+def endpoints_of(nodes: DataFrame, edges: DataFrame, focus: DataFrame) -> DataFrame:
+    """(table, key, name): endpoints that read or write what is in focus (key), once for each such edge."""
+    near = edges.where("type in ('READS', 'WRITES')").join(F.broadcast(focus.withColumnRenamed("key", "dst")), "dst")
+    own = nodes.where("type = 'api_endpoint'").select(F.col("key").alias("src"), "name")
+    return near.join(own, "src").select(F.col("dst").alias("table"), F.col("src").alias("key"), "name")
+
+
+#: Related objects by the beginning of their keys.
+RELATED = {"job": "jobs", "java_module": "java_modules", "api": "api_endpoints", "transformation": "transformations"}
+
+
+def object_lineage(nodes: DataFrame, edges: DataFrame, focus: DataFrame) -> DataFrame:
+    """One row for each key in focus (key), a few keys: found, upstream, downstream, and a list for each kind of RELATED.
+
+    Lists hold keys in the order of name and key. Downstream of a table are also endpoints that read or write it, once an
+    edge. An endpoint has what it touches downstream and nothing else. A key that no table or endpoint has gets empty lists.
+    """
+    known = lookup(nodes, focus).select("key", (F.col("type") == "api_endpoint").alias("is_endpoint"))
+    named = nodes.select("key", "name")
+    ends = edges.select("type", "src", "dst")
+    touches = ends.where("type in ('READS', 'WRITES')")
+    table, endpoint = known.where("not is_endpoint").select("key"), known.where("is_endpoint").select("key")
+    at = lambda df, key, kind, other: df.join(F.broadcast(key.withColumnRenamed("key", "focus")), F.col("focus") == F.col(kind)).select("focus", F.col(other).alias("key"))
+    flows = ends.where("type = 'FLOWS_TO'")
+    actors = related_actors(edges, table).select(F.col("table").alias("focus"), F.col("actor").alias("key"))
+    parts = [
+        at(flows, table, "dst", "src").withColumn("part", F.lit("upstream")),
+        at(flows, table, "src", "dst").withColumn("part", F.lit("downstream")),
+        endpoints_of(nodes, edges, table).select(F.col("table").alias("focus"), "key").withColumn("part", F.lit("downstream")),
+        at(touches, endpoint, "src", "dst").withColumn("part", F.lit("downstream")),
+        actors.withColumn("part", F.try_element_at(F.create_map(*[F.lit(x) for kv in RELATED.items() for x in kv]), F.substring_index("key", ":", 1))),
+    ]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    listed = every.join(named, "key").groupBy("focus").pivot("part", ["upstream", "downstream", *RELATED.values()]).agg(F.array_sort(F.collect_list(F.struct("name", "key"))))
+    empty = F.array().cast("array<string>")
+    lists = [F.coalesce(F.transform(c, lambda x: x["key"]), empty).alias(c) for c in ("upstream", "downstream", *RELATED.values())]
+    return focus.join(known, "key", "left").join(listed, focus["key"] == listed["focus"], "left").select("key", F.col("is_endpoint").isNotNull().alias("found"), *lists)
+
+
 def list_objects(nodes: DataFrame, object_type: str, text: str) -> DataFrame:
     """Nodes of one object type (data_table where there is none) with `text` in their names, whatever the case."""
     return nodes.where(F.coalesce("object_type", F.lit("data_table")) == object_type).where(F.contains(F.lower("name"), F.lit(text.strip().lower())))

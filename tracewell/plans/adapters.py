@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.operators.graph import table_flows
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -17,6 +19,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linestatus") == "O", "READS").otherwise("WRITES").alias("edge_type"),
         F.concat(F.lit("job_"), "l_orderkey", F.lit("::line_"), "l_linenumber").alias("actor"),
         F.concat(F.lit("table:part_"), "l_partkey").alias("object"),
+        F.col("l_suppkey").alias("supplier"),
     )
 
 
@@ -44,6 +47,24 @@ def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def supplier_of() -> Column:
+    """The endpoint that stands for a line's supplier."""
+    return F.concat(F.lit("api:GET /s/"), "supplier").alias("endpoint")
+
+
+def lineage_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): customers' jobs, orders' transformations, parts, suppliers' endpoints, and flows between parts."""
+    own = edges(spark, sf_dir)
+    f = facts(spark, sf_dir)
+    api = f.select(F.col("edge_type").alias("type"), supplier_of().alias("src"), F.col("object").alias("dst")).distinct()
+    flows = table_flows(f).select(F.lit("FLOWS_TO").alias("type"), "src", "dst")
+    every = own.unionByName(api.withColumn("is_derived", F.lit(False))).unionByName(flows.withColumn("is_derived", F.lit(True)))
+    keys = every.select(F.explode(F.array("src", "dst")).alias("key")).distinct()
+    prefix = F.substring_index("key", ":", 1)
+    kind = F.when(prefix == "table", "data_object").when(prefix == "api", "api_endpoint").otherwise(prefix)
+    return keys.select("key", kind.alias("type"), F.expr("substring(key, instr(key, ':') + 1)").alias("name"), F.lit(None).cast("string").alias("object_type")), every
+
+
 def busiest(flows: DataFrame) -> DataFrame:
     """(key) with most flows out; of equals the first by name."""
     return flows.groupBy(F.col("src").alias("key")).count().orderBy(F.desc("count"), "key").limit(1).select("key")

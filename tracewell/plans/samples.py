@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 EXPORT = """<repository>
   <jobs>
@@ -92,3 +93,146 @@ def sources(spark: SparkSession) -> DataFrame:
 
 def mappers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("/j/OrderMapper.xml", MAPPER)], "path string, text string")
+
+
+#: Files of a supplier whose number is {k}, with what is to be found in them further below.
+EXPORT_OF = """<repository><jobs><job><name>Job_{k}</name><transformation>load_{k}</transformation><entries>
+  <entry><name>run</name><type>TRANS</type><transname>publish_{k}</transname></entry>
+  <entry><name>clean</name><type>SQL</type><sql>truncate table DM.Stage_{k}; insert into dm.log_{k} select * from ods.audit_{k}, ods.more_{k}; select * from</sql></entry>
+</entries></job></jobs><transformations>
+  <transformation><name>load_{k}</name><steps>
+    <step><name>in</name><type>TableInput</type><sql>select * from ODS.Orders_{k} o join (dim.u_{k} u, dim.v_{k} v) on u.id = o.id</sql></step>
+    <step><name>out</name><type>TableOutput</type><schema>dm</schema><table>Facts_{k}</table></step>
+    <step><name>sheet</name><type>ExcelInput</type><file><name>/data/in/</name><filemask>orders_{k}*.xlsx</filemask></file></step>
+    <step><name>plain</name><type>TableInput</type><schema>ods</schema><table>Plain_{k}</table></step>
+  </steps></transformation>
+  <transformation><info><name>publish_{k}</name></info>
+    <step><name>old</name><type>AccessInput</type><table_name> Legacy_{k} </table_name></step>
+    <step><name>up</name><type>InsertUpdate</type><lookup><schema>app</schema><table>board_{k}</table></lookup></step>
+    <step><name>sql</name><type>ExecSQL</type><sql>insert into app.board_{k} select * from dm.facts_{k} where note = "from x.y"</sql></step>
+    <step><name>bad</name><type>ExecSQL</type><sql>select * from x where id in (</sql></step>
+  </transformation>
+</transformations></repository>"""
+
+SOURCES_OF = {
+    "Controller{k}": """package a;
+/* @Controller class Other { */
+@RestController
+@RequestMapping("/api/s{k}")
+public class Controller{k} {
+    private Service{k} service;
+    private Port{k} port;
+    private Mapper{k} mapper;
+    @GetMapping("/{id}") public Result get(String id) { return Result.data(service.find(id)); }
+    @PostMapping(value = "refresh/") public Result refresh() { service.rebuild(); audit.note("}"); helper(); return Result.success(); }
+    @RequestMapping(value = "/put", method = RequestMethod.PUT) public Result put() { mapper.insert(x); port.open(); return Result.success(); }
+    @RequestMapping("/any") public Result any() { return Result.success(); }
+}""",
+    "Service{k}": "package a; public interface Service{k} { Object find(String id); void rebuild(); }",
+    "Service{k}Impl": """package a;
+public class Service{k}Impl extends ServiceImpl<Mapper{k}, Entity{k}> implements Service{k} {
+    private Repo{k} repo;
+    public Object find(String id) { return baseMapper.selectById(id); }
+    public void rebuild() {
+        // "select * from no.where" }
+        String sql = "insert into dm.sum_{k} select * from ods.orders_{k}, " + "";
+        String more = "insert into dm.sum_{k} select * from (select * from ods.orders_{k}) o, ods.\\u006cines_{k}";
+        repo.save();
+        notes();
+    }
+    public Object notes() { return getBaseMapper().notes(); }
+    public Object pages() { return getBaseMapper().selectPage(); }
+}""",
+    "Repo{k}": """package a; public class Repo{k} { public void save() { String sql = "update dm.sum_{k} set n = 1 where id in (select id from ods.keys_{k})"; } }""",
+    "Mapper{k}": """package a; public interface Mapper{k} extends BaseMapper<Entity{k}> { @Select("select * from ods.notes_{k} where id = #{id}") List<Object> notes(); }""",
+    "Entity{k}": """package a; @TableName("t_{k}") public class Entity{k} { private String id; }""",
+    "Port{k}": "package a; public interface Port{k} { void open(); }",
+    "PortA{k}": "package a; public class PortA{k} implements Port{k} { public void open() { } }",
+    "PortB{k}": "package a; public class PortB{k} implements Port{k} { public void open() { } }",
+}
+
+#: (edge_type, actor, name, object_type) in EXPORT_OF.
+KETTLE_FACTS = [
+    ("READS", "load_{k}::in", "ods.orders_{k}", "data_table"),
+    ("READS", "load_{k}::in", "dim.u_{k}", "data_table"),
+    ("READS", "load_{k}::in", "dim.v_{k}", "data_table"),
+    ("WRITES", "load_{k}::out", "dm.facts_{k}", "data_table"),
+    ("READS", "load_{k}::sheet", "/data/in/orders_{k}*.xlsx", "source_file"),
+    ("READS", "load_{k}::plain", "ods.plain_{k}", "data_table"),
+    ("READS", "publish_{k}::old", "legacy_{k}", "source_table"),
+    ("WRITES", "publish_{k}::up", "app.board_{k}", "data_table"),
+    ("READS", "publish_{k}::sql", "dm.facts_{k}", "data_table"),
+    ("WRITES", "publish_{k}::sql", "app.board_{k}", "data_table"),
+    ("WRITES", "Job_{k}::clean", "dm.stage_{k}", "data_table"),
+    ("WRITES", "Job_{k}::clean", "dm.log_{k}", "data_table"),
+    ("READS", "Job_{k}::clean", "ods.audit_{k}", "data_table"),
+    ("READS", "Job_{k}::clean", "ods.more_{k}", "data_table"),
+]
+#: (module, method, reads, writes, error) of statements in SOURCES_OF.
+JAVA_FACTS = [
+    ("Service{k}Impl", "rebuild", "", "", "Expected table name"),
+    ("Service{k}Impl", "rebuild", "ods.lines_{k},ods.orders_{k}", "dm.sum_{k}", None),
+    ("Repo{k}", "save", "ods.keys_{k}", "dm.sum_{k}", None),
+    ("Mapper{k}", "notes", "ods.notes_{k}", "", None),
+]
+#: (endpoint, http_method, route, module, method).
+ENDPOINTS = [
+    ("api:GET /api/s{k}/{id}", "GET", "/api/s{k}/{id}", "Controller{k}", "get"),
+    ("api:POST /api/s{k}/refresh", "POST", "/api/s{k}/refresh", "Controller{k}", "refresh"),
+    ("api:PUT /api/s{k}/put", "PUT", "/api/s{k}/put", "Controller{k}", "put"),
+]
+#: (module, method, call, target, target_method).
+RESOLVED = [
+    ("Controller{k}", "get", "service.find", "Service{k}Impl", "find"),
+    ("Controller{k}", "refresh", "service.rebuild", "Service{k}Impl", "rebuild"),
+    ("Controller{k}", "put", "mapper.insert", "Mapper{k}", "insert"),
+    ("Service{k}Impl", "find", "baseMapper.selectById", "Mapper{k}", "selectById"),
+    ("Service{k}Impl", "rebuild", "repo.save", "Repo{k}", "save"),
+    ("Service{k}Impl", "rebuild", "notes", "Mapper{k}", "notes"),
+    ("Service{k}Impl", "notes", "notes", "Mapper{k}", "notes"),
+    ("Service{k}Impl", "pages", "selectPage", "Mapper{k}", "selectPage"),
+]
+#: (module, method, reads, writes) through all calls.
+METHOD_TABLES = [
+    ("Controller{k}", "get", "t_{k}", ""),
+    ("Controller{k}", "put", "", "t_{k}"),
+    ("Controller{k}", "refresh", "ods.keys_{k},ods.lines_{k},ods.notes_{k},ods.orders_{k}", "dm.sum_{k}"),
+    ("Service{k}Impl", "find", "t_{k}", ""),
+    ("Service{k}Impl", "rebuild", "ods.keys_{k},ods.lines_{k},ods.notes_{k},ods.orders_{k}", "dm.sum_{k}"),
+    ("Service{k}Impl", "notes", "ods.notes_{k}", ""),
+    ("Service{k}Impl", "pages", "t_{k}", ""),
+    ("Repo{k}", "save", "ods.keys_{k}", "dm.sum_{k}"),
+    ("Mapper{k}", "notes", "ods.notes_{k}", ""),
+    ("Mapper{k}", "selectById", "t_{k}", ""),
+    ("Mapper{k}", "selectPage", "t_{k}", ""),
+    ("Mapper{k}", "insert", "", "t_{k}"),
+]
+#: (endpoint, resolved_calls, unresolved_calls, reasons, reads, writes).
+DIAGNOSTICS = [
+    ("api:GET /api/s{k}/{id}", "1", "0", "", "t_{k}", ""),
+    ("api:POST /api/s{k}/refresh", "1", "2", "audit.note:unresolved_receiver_type,helper:unresolved_local_method", "ods.keys_{k},ods.lines_{k},ods.notes_{k},ods.orders_{k}", "dm.sum_{k}"),
+    ("api:PUT /api/s{k}/put", "1", "1", "port.open:multiple_impl_candidates", "", "t_{k}"),
+]
+
+
+def _of_suppliers(suppliers: DataFrame, files: list[tuple[str, str]]) -> DataFrame:
+    """(path, text) of files for each supplier."""
+    each = suppliers.select(F.col("s_suppkey").cast("string").alias("k"), F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("text")) for p, t in files])).alias("f"))
+    return each.select(*[F.replace(f"f.{c}", F.lit("{k}"), F.col("k")).alias(c) for c in ("path", "text")])
+
+
+def exports_of(suppliers: DataFrame) -> DataFrame:
+    return _of_suppliers(suppliers, [("/r/{k}.repo", EXPORT_OF)])
+
+
+def sources_of(suppliers: DataFrame) -> DataFrame:
+    return _of_suppliers(suppliers, [(f"/j/{name}.java", text) for name, text in SOURCES_OF.items()])
+
+
+def expected_of(columns: str, rows: list[tuple]) -> str:
+    """DuckDB SQL for rows with each supplier's number."""
+    names = columns.split(", ")
+    said = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    values = ", ".join("(" + ", ".join(map(said, r)) + ")" for r in rows)
+    told = ", ".join(f"replace({n}, '{{k}}', s_suppkey::VARCHAR) AS {n}" for n in names)
+    return f"SELECT {told} FROM supplier CROSS JOIN (VALUES {values}) v({columns})"

@@ -23,7 +23,8 @@ RUN = "run_id string, status string, inputs map<string,string>, created_at times
 
 @dataclass
 class Scan:
-    """nodes (key, type, name, object_type), edges (type, src, dst, is_derived), flows (src, dst), facts, failures, run, endpoints."""
+    """nodes (key, type, name, object_type), edges (type, src, dst, is_derived), flows (src, dst), facts, failures, run,
+    endpoints, and metadata (key, database, object, kind, comment, view_definition, columns, view_status, view_error)."""
 
     nodes: DataFrame
     edges: DataFrame
@@ -32,10 +33,11 @@ class Scan:
     failures: DataFrame
     run: DataFrame
     endpoints: DataFrame | None = None
+    metadata: DataFrame | None = None
 
     def save(self, folder: str) -> None:
         """Replaces the graph in folder; runs and failures are added."""
-        for name in ("nodes", "edges", "flows", "facts"):
+        for name in ("nodes", "edges", "flows", "facts", *["metadata"] * (self.metadata is not None)):
             getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
         for name in ("failures", "run"):
             getattr(self, name).write.mode("append").parquet(f"{folder}/{name}s" if name == "run" else f"{folder}/{name}")
@@ -75,6 +77,37 @@ def _empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+@dataclass
+class Program:
+    """Java sources: statements found, calls made, which resolve to what, and each method's tables (facts)."""
+
+    found: DataFrame
+    modules: DataFrame
+    made: DataFrame
+    has: DataFrame
+    resolved: DataFrame
+    facts: DataFrame
+    routes: DataFrame
+    endpoints: DataFrame
+
+
+def program(sources: DataFrame, mappers: DataFrame | None = None) -> Program:
+    """Of sources and mappers (path, text)."""
+    files = cut(java.with_module(sources))
+    found = cut(java.statements(files, None if mappers is None else java.with_module(mappers)))
+    modules, fields, made = cut(java.modules(files)), cut(java.fields(files)), cut(java.method_calls(files))
+    direct = found.select("module", "method", F.explode(F.concat(F.transform("tables.reads", lambda x: F.struct(F.lit("READS").alias("e"), x.alias("n"))), F.transform("tables.writes", lambda x: F.struct(F.lit("WRITES").alias("e"), x.alias("n"))))).alias("x")).select("module", "method", F.col("x.e").alias("edge_type"), F.col("x.n").alias("name")).distinct()
+    has = java.methods(files).select("module", "method").unionByName(found.select("module", "method")).distinct()
+    has = has.join(found.select("module", "method", F.lit(True).alias("s")).distinct(), ["module", "method"], "left").join(made.select("module", "method", F.lit(True).alias("c")).distinct(), ["module", "method"], "left")
+    has = cut(has.select("module", "method", F.coalesce("s", F.lit(False)).alias("has_sql"), F.coalesce("c", F.lit(False)).alias("has_calls")))
+    resolved = cut(C.resolve_calls(made, modules, fields, has))
+    facts = C.reduce_tables(resolved, direct, modules)
+    routes = cut(java.endpoints(files))
+    visited = facts.join(has.select("module", "method"), ["module", "method"], "left_semi")
+    diagnosed = C.endpoint_diagnostics(routes, made, resolved, C.unresolved(made, resolved, modules, fields, has), visited)
+    return Program(found, modules, made, has, resolved, facts, routes, diagnosed)
+
+
 def scan(spark: SparkSession, exports: DataFrame | None = None, sources: DataFrame | None = None, mappers: DataFrame | None = None, catalogue: DataFrame | None = None, inputs: dict[str, str] | None = None) -> Scan:
     """exports, sources and mappers are files (path, text); catalogue are rows for `metadata_objects`.
 
@@ -87,12 +120,14 @@ def scan(spark: SparkSession, exports: DataFrame | None = None, sources: DataFra
     failures = _empty(spark, FAILURE.split(", ", 1)[1])
     extra = _empty(spark, "edge_type string, actor string, object string")
     actor_edges = _empty(spark, "type string, src string, dst string")
-    objects = endpoints = None
+    objects = endpoints = known_metadata = None
     kind = F.lit(None).cast("string")
 
     if catalogue is not None:
         objects = cut(metadata.metadata_objects(catalogue))
         views = metadata.view_lineage(objects)
+        told = views.select("key", F.col("status").alias("view_status"), F.col("error").alias("view_error"))
+        known_metadata = cut(objects.join(told, "key", "left").withColumn("view_status", F.coalesce("view_status", F.lit("not_applicable"))))
         extra = extra.unionByName(metadata.view_facts(objects))
         named = named.unionByName(objects.select(F.lit(0).alias("seq"), F.lit("data_object").alias("type"), "key", F.lower(F.concat_ws(".", "database", "object")).alias("name"), F.when(F.col("kind") == "view", "table_view").otherwise("data_table").alias("object_type")))
         failures = failures.unionByName(views.where("status = 'failed'").select(F.lit("metadata").alias("source_type"), F.lit("metadata").alias("file_path"), F.lit("view_definition_parse_error").alias("failure_type"), F.col("error").alias("message"), F.col("key").alias("object_key"), F.lit(None).cast("string").alias("sql_snippet")))
@@ -111,21 +146,12 @@ def scan(spark: SparkSession, exports: DataFrame | None = None, sources: DataFra
         actor_refs = _empty(spark, "type string, src string, name string, object_type string")
 
     if sources is not None:
-        files = cut(java.with_module(sources))
-        found = cut(java.statements(files, None if mappers is None else java.with_module(mappers)))
-        modules, fields, made = cut(java.modules(files)), cut(java.fields(files)), cut(java.method_calls(files))
-        direct = found.select("module", "method", F.explode(F.concat(F.transform("tables.reads", lambda x: F.struct(F.lit("READS").alias("e"), x.alias("n"))), F.transform("tables.writes", lambda x: F.struct(F.lit("WRITES").alias("e"), x.alias("n"))))).alias("x")).select("module", "method", F.col("x.e").alias("edge_type"), F.col("x.n").alias("name")).distinct()
-        has = java.methods(files).select("module", "method").unionByName(found.select("module", "method")).distinct()
-        has = has.join(found.select("module", "method", F.lit(True).alias("s")).distinct(), ["module", "method"], "left").join(made.select("module", "method", F.lit(True).alias("c")).distinct(), ["module", "method"], "left")
-        has = cut(has.select("module", "method", F.coalesce("s", F.lit(False)).alias("has_sql"), F.coalesce("c", F.lit(False)).alias("has_calls")))
-        resolved = cut(C.resolve_calls(made, modules, fields, has))
-        facts = C.reduce_tables(resolved, direct, modules)
-        visited = facts.join(has.select("module", "method"), ["module", "method"], "left_semi")
+        code = program(sources, mappers)
+        found, modules, routes, endpoints = code.found, code.modules, code.routes, code.endpoints
+        visited = code.facts.join(code.has.select("module", "method"), ["module", "method"], "left_semi")
         own = visited.select("edge_type", F.concat(F.lit("java_module:"), "module", F.lit("#"), "method").alias("actor"), "name", F.lit("data_table").alias("object_type"))
         refs = refs.unionByName(own)
         actor_refs = actor_refs.unionByName(visited.select(F.col("edge_type").alias("type"), F.concat(F.lit("java_module:"), "module").alias("src"), "name", F.lit("data_table").alias("object_type")).distinct())
-        routes = cut(java.endpoints(files))
-        endpoints = C.endpoint_diagnostics(routes, made, resolved, C.unresolved(made, resolved, modules, fields, has), visited)
         actor_refs = actor_refs.unionByName(routes.join(visited, ["module", "method"]).select(F.col("edge_type").alias("type"), F.col("endpoint").alias("src"), "name", F.lit("data_table").alias("object_type")).distinct())
         names = modules.select(F.lit("java_module").alias("type"), F.concat(F.lit("java_module:"), "module").alias("key"), F.col("module").alias("name"), kind.alias("object_type")).unionByName(routes.select(F.lit("api_endpoint").alias("type"), F.col("endpoint").alias("key"), F.substring_index("endpoint", "api:", -1).alias("name"), F.lit("api_endpoint").alias("object_type")))
         named = named.unionByName(names.distinct().select(F.lit(1).alias("seq"), "type", "key", "name", "object_type"))
@@ -146,15 +172,44 @@ def scan(spark: SparkSession, exports: DataFrame | None = None, sources: DataFra
     plain = called.select(F.lit("CALLS").alias("type"), "src", "dst").unionByName(actor_edges)
     edges = cut(lineage.edges_of(plain.withColumn("is_derived", F.lit(False)).unionByName(lineage.derived_edges(flows, nodes))))
     run = spark.createDataFrame([(run_id, "completed", inputs or {}, began, began, datetime.now(timezone.utc))], RUN)
-    return Scan(nodes, edges, flows, every, cut(failures.withColumn("run_id", F.lit(run_id))), run, endpoints)
+    return Scan(nodes, edges, flows, every, cut(failures.withColumn("run_id", F.lit(run_id))), run, endpoints, known_metadata)
+
+
+def failed_scan(spark: SparkSession, error: metadata.MetadataConnectionError, dsn: str, inputs: dict[str, str] | None = None) -> Scan:
+    """What is left of a scan whose catalogue can't be reached: an empty graph, the failure, and a run that has failed."""
+    run_id, now = uuid.uuid4().hex, datetime.now(timezone.utc)
+    failure = spark.createDataFrame([(run_id, "metadata", metadata.redacted(dsn), type(error).__name__, str(error), None, None)], FAILURE)
+    run = spark.createDataFrame([(run_id, "failed", inputs or {}, now, now, now)], RUN)
+    schemas = ("key string, type string, name string, object_type string", "type string, src string, dst string, is_derived boolean", "src string, dst string", "edge_type string, actor string, object string")
+    return Scan(*(_empty(spark, x) for x in schemas), failure.select("source_type", "file_path", "failure_type", "message", "object_key", "sql_snippet", "run_id"), run)
 
 
 def scan_paths(spark: SparkSession, repo_paths: list[str] | None = None, java_roots: list[str] | None = None, jdbc_url: str | None = None, databases: list[str] | None = None) -> Scan:
-    """A scan of files and folders that Spark can read, and of a catalogue over JDBC."""
+    """A scan of files and folders that Spark can read, and of a catalogue over JDBC.
+
+    Without a list of databases the url's own is read; a url without either is an error. A catalogue that can't be reached
+    ends the scan as a failed run.
+    """
+    request = metadata.metadata_request(jdbc_url, databases)
+    inputs = {"repo_paths": ",".join(repo_paths or []), "java_roots": ",".join(java_roots or []), "catalogue": metadata.redacted(jdbc_url) if jdbc_url else ""}
+    try:
+        catalogue = metadata.read_catalogue(spark, *request) if request else None
+    except metadata.MetadataConnectionError as e:
+        return failed_scan(spark, e, request[0], inputs)
     exports = kettle.read_exports(spark, [resolve_path(p) for p in repo_paths]) if repo_paths else None
     roots = [resolve_path(p) for p in java_roots or []]
     sources = java.read_texts(spark, roots, "*.java").select("path", "text") if roots else None
     mappers = java.read_texts(spark, roots, "*.xml").select("path", "text") if roots else None
-    catalogue = metadata.read_catalogue(spark, jdbc_url, databases or []) if jdbc_url else None
-    inputs = {"repo_paths": ",".join(repo_paths or []), "java_roots": ",".join(java_roots or []), "catalogue": metadata.redacted(jdbc_url) if jdbc_url else ""}
     return scan(spark, exports, sources, mappers, catalogue, inputs)
+
+
+def scan_to(spark: SparkSession, folder: str, **inputs) -> Scan:
+    """scan_paths(**inputs) saved to folder. A run is listed there as running before it begins; see failures.run_states."""
+    began = datetime.now(timezone.utc)
+    run_id = uuid.uuid4().hex
+    spark.createDataFrame([(run_id, "running", {}, began, began, None)], RUN).write.mode("append").parquet(f"{folder}/runs")
+    found = scan_paths(spark, **inputs)
+    found.run = found.run.withColumns({"run_id": F.lit(run_id), "created_at": F.lit(began), "started_at": F.lit(began)})
+    found.failures = found.failures.withColumn("run_id", F.lit(run_id))
+    found.save(folder)
+    return found

@@ -11,6 +11,7 @@ from tracewell.functions import javatext, sqltext
 from tracewell.operators import calls, failures, graph, lineage
 from tracewell.plans import adapters as A
 from tracewell.plans import samples
+from tracewell.plans.scan import program, scan
 from tracewell.plans.statements import STATEMENTS
 from tracewell.sources import java, kettle, metadata
 
@@ -437,18 +438,102 @@ def _(spark, sf_dir):
     return calls.unresolved(made, resolved, modules, fields, methods).select("module", "call", "reason")
 
 
-@query("kettle_facts")
+@query("kettle_facts", samples.expected_of("edge_type, actor, name, object_type", samples.KETTLE_FACTS))
 def _(spark, sf_dir):
-    parsed = kettle.parse_exports(samples.exports(spark))
+    parsed = kettle.parse_exports(samples.exports_of(A.read(spark, sf_dir, "supplier")))
     return kettle.step_facts(parsed).unionByName(kettle.job_facts(parsed))
 
 
-@query("java_facts")
+@query("kettle_failures", samples.expected_of("object_key, message", [("transformation:publish_{k}::bad", "Unbalanced parentheses"), ("job:Job_{k}::clean", "Expected table name")]))
 def _(spark, sf_dir):
-    found = java.statements(java.with_module(samples.sources(spark)), java.with_module(samples.mappers(spark)))
-    return found.select("module", "method", F.array_join("tables.reads", ",").alias("reads"), F.array_join("tables.writes", ",").alias("writes"))
+    return kettle.sql_failures(kettle.parse_exports(samples.exports_of(A.read(spark, sf_dir, "supplier")))).select("object_key", "message")
 
 
-@query("endpoint_facts")
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.sources_of(A.read(spark, sf_dir, "supplier"))
+
+
+@query("java_facts", samples.expected_of("module, method, reads, writes, error", samples.JAVA_FACTS))
+def _(spark, sf_dir):
+    found = java.statements(java.with_module(_sources(spark, sf_dir)))
+    return found.select("module", "method", F.array_join("tables.reads", ",").alias("reads"), F.array_join("tables.writes", ",").alias("writes"), "tables.error")
+
+
+@query("endpoint_facts", samples.expected_of("endpoint, http_method, route, module, method", samples.ENDPOINTS))
+def _(spark, sf_dir):
+    return java.endpoints(java.with_module(_sources(spark, sf_dir)))
+
+
+@query("call_resolution", samples.expected_of("module, method, call, target, target_method", samples.RESOLVED))
+def _(spark, sf_dir):
+    return program(_sources(spark, sf_dir)).resolved
+
+
+@query("method_tables", samples.expected_of("module, method, reads, writes", samples.METHOD_TABLES))
+def _(spark, sf_dir):
+    return calls.rolled_up(program(_sources(spark, sf_dir)).facts, "module", "method")
+
+
+@query("endpoint_diagnostics", samples.expected_of("endpoint, resolved_calls, unresolved_calls, reasons, reads, writes", samples.DIAGNOSTICS))
+def _(spark, sf_dir):
+    found = program(_sources(spark, sf_dir)).endpoints
+    return found.withColumns({c: F.col(c).cast("string") for c in ("resolved_calls", "unresolved_calls")})
+
+
+@query("scan_flows", samples.expected_of("src, dst", [(f"table:{a}_{{k}}", f"table:{b}_{{k}}") for a, b in (("ods.orders", "dm.facts"), ("dim.u", "dm.facts"), ("dim.v", "dm.facts"), ("ods.plain", "dm.facts"), ("dm.facts", "app.board"), ("ods.audit", "dm.stage"), ("ods.audit", "dm.log"), ("ods.more", "dm.stage"), ("ods.more", "dm.log"), ("ods.keys", "dm.sum"), ("ods.lines", "dm.sum"), ("ods.notes", "dm.sum"), ("ods.orders", "dm.sum"))] + [("source_file:/data/in/orders_{k}*.xlsx", "table:dm.facts_{k}"), ("source_table:legacy_{k}", "table:app.board_{k}")]))
+def _(spark, sf_dir):
+    return scan(spark, samples.exports_of(A.read(spark, sf_dir, "supplier")), _sources(spark, sf_dir)).flows
+
+
+_GRAPH = """WITH l AS (SELECT DISTINCT l_orderkey, l_suppkey, CASE WHEN l_linestatus = 'O' THEN 'READS' ELSE 'WRITES' END AS t, 'table:part_' || l_partkey AS o FROM lineitem),
+flows AS (SELECT DISTINCT r.o AS src, w.o AS dst FROM l r JOIN l w USING (l_orderkey) WHERE r.t = 'READS' AND w.t = 'WRITES'),
+api AS (SELECT DISTINCT 'api:GET /s/' || l_suppkey AS src, t, o AS dst FROM l),
+seed AS (SELECT o AS key FROM l GROUP BY o ORDER BY count(*) DESC, o LIMIT 1),
+focus AS (SELECT key FROM seed UNION ALL VALUES ('api:GET /s/1'), ('table:nowhere')),
+acts AS (SELECT DISTINCT 'transformation:job_' || l_orderkey AS actor, o FROM l UNION SELECT DISTINCT 'job:customer_' || o_custkey, o FROM l JOIN orders ON o_orderkey = l_orderkey UNION SELECT DISTINCT src, dst FROM api),
+listed AS (SELECT dst AS focus, 'upstream' AS part, src AS key FROM flows UNION ALL SELECT src, 'downstream', dst FROM flows UNION ALL SELECT dst, 'downstream', src FROM api UNION ALL SELECT src, 'downstream', dst FROM api
+UNION ALL SELECT o, CASE split_part(actor, ':', 1) WHEN 'job' THEN 'jobs' WHEN 'api' THEN 'api_endpoints' ELSE 'transformations' END, actor FROM acts),
+s AS (SELECT focus, part, string_agg(key, ',' ORDER BY CASE WHEN key LIKE 'api:%' THEN key[5:] WHEN key LIKE 'table:%' THEN key[7:] WHEN key LIKE 'job:%' THEN key[5:] ELSE key[16:] END, key) AS names FROM listed WHERE focus IN (SELECT key FROM focus) GROUP BY ALL)
+"""
+
+
+@query("object_lineage", _GRAPH + "SELECT key, key <> 'table:nowhere' AS found, " + ", ".join(f"coalesce((SELECT names FROM s WHERE s.focus = focus.key AND part = '{p}'), '') AS {p}" for p in ("upstream", "downstream", "jobs", "java_modules", "api_endpoints", "transformations")) + " FROM focus")
+def _(spark, sf_dir):
+    nodes, edges = A.lineage_graph(spark, sf_dir)
+    busiest = A.facts(spark, sf_dir).select(F.substring_index("actor", "::", 1).alias("scope"), A.supplier_of(), "edge_type", F.col("object").alias("key")).distinct().groupBy("key").count().orderBy(F.desc("count"), "key").limit(1).select("key")
+    focus = busiest.unionByName(spark.createDataFrame([("api:GET /s/1",), ("table:nowhere",)], "key string"))
+    found = lineage.object_lineage(nodes, edges, focus)
+    return found.select("key", "found", *[F.array_join(c, ",").alias(c) for c in found.columns[2:]])
+
+
+@query("table_endpoints", _GRAPH + "SELECT dst AS \"table\", src AS key, src[5:] AS name FROM api WHERE dst IN (SELECT key FROM focus)")
+def _(spark, sf_dir):
+    nodes, edges = A.lineage_graph(spark, sf_dir)
+    busiest = A.facts(spark, sf_dir).select(F.substring_index("actor", "::", 1).alias("scope"), A.supplier_of(), "edge_type", F.col("object").alias("key")).distinct().groupBy("key").count().orderBy(F.desc("count"), "key").limit(1).select("key")
+    return lineage.endpoints_of(nodes, edges, busiest)
+
+
+@query("job_list", "SELECT 'job:customer_' || o_custkey AS key, 'job' AS type, 'customer_' || o_custkey AS name FROM orders GROUP BY o_custkey")
+def _(spark, sf_dir):
+    return lineage.list_jobs(A.lineage_graph(spark, sf_dir)[0]).select("key", "type", "name")
+
+
+@query("node_lookup", "SELECT 'transformation:job_1' AS key, 'job_1' AS name UNION ALL SELECT 'job:customer_' || o_custkey, 'customer_' || o_custkey FROM orders WHERE o_orderkey = 1")
+def _(spark, sf_dir):
+    one = A.read(spark, sf_dir, "orders").where("o_orderkey = 1").select(F.concat(F.lit("job:customer_"), "o_custkey").alias("key"))
+    focus = one.unionByName(spark.createDataFrame([("transformation:job_1",), ("job:nobody",)], "key string"))
+    return lineage.lookup(A.lineage_graph(spark, sf_dir)[0], focus, "job", "transformation").select("key", "name")
+
+
+@query("cycle_summary")
+def _(spark, sf_dir):
+    return graph.cycle_summary(graph.cycle_groups(_flows(spark, sf_dir))[0])
+
+
+@query("catalogue_rows", """SELECT 'db_' || (p_size % 3) AS database_name, 't_' || p_partkey AS object_name, CASE WHEN p_size % 10 = 0 THEN 'view' ELSE 'table' END AS object_kind, p_name AS comment, CASE WHEN p_size % 10 = 0 THEN 'select 1 from ' || p_brand END AS view_definition, c AS column_name FROM part CROSS JOIN (VALUES ('id'), ('price')) v(c) WHERE p_size % 3 < 2""")
 def _(spark, sf_dir):
-    return java.endpoints(java.with_module(samples.sources(spark)))
+    p = A.read(spark, sf_dir, "part").select(F.concat(F.lit("db_"), F.col("p_size") % 3).alias("table_schema"), F.concat(F.lit("t_"), "p_partkey").alias("table_name"), "p_name", "p_brand", (F.col("p_size") % 10 == 0).alias("v"))
+    columns = p.select("table_schema", "table_name", F.explode(F.array(F.lit("id"), F.lit("price"))).alias("column_name"), F.lit("int").alias("data_type"), F.lit(1).alias("ordinal_position"), F.lit("YES").alias("is_nullable"), F.lit("").alias("column_comment"))
+    tables = p.select("table_schema", "table_name", F.when(F.col("v"), "VIEW").otherwise("BASE TABLE").alias("table_type"), F.col("p_name").alias("table_comment"))
+    views = p.where("v").select("table_schema", "table_name", F.concat(F.lit("select 1 from "), "p_brand").alias("view_definition"))
+    return metadata.catalogue_rows(columns, tables, views, ["db_0", "db_1"]).select("database_name", "object_name", "object_kind", "comment", "view_definition", "column_name")

@@ -23,14 +23,14 @@ def metadata_request(dsn: str | None, databases: list[str] | None) -> tuple[str,
     if not dsn or not dsn.strip():
         return None
     names = sorted({d.strip() for d in databases or [] if d and d.strip()})
-    names = names or [x for x in (urlsplit(dsn.strip()).path.strip("/"),) if x]
+    names = names or [x for x in (urlsplit(dsn.strip().removeprefix("jdbc:")).path.strip("/"),) if x]
     if not names:
         raise MetadataConfigurationError("name a database in the dsn or in the list of databases")
     return dsn.strip(), names
 
 
 def redacted(dsn: str) -> str:
-    parts = urlsplit(dsn)
+    parts = urlsplit(dsn.removeprefix("jdbc:"))
     return dsn.replace(f":{parts.password}@", ":***@") if parts.password else dsn
 
 
