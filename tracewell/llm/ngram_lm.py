@@ -359,14 +359,12 @@ class Tables:
         return x[order], n[order]
 
     def count(self, t: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(t), np.int64)
-        left = np.arange(len(t))
+        once = np.unique(t)
+        out = np.zeros(len(once), np.int64)
         for x, n in (self.hot, self.one):  # a word is in one of both
-            there = _found(x, t[left])
-            if there.any():
-                out[left[there]] = n[np.searchsorted(x, t[left[there]])]
-            left = left[~there]
-        return out
+            there = np.flatnonzero(_found(x, once))
+            out[there] = n[np.searchsorted(x, once[there])]
+        return out[np.searchsorted(once, t)]
 
     def level(self, p: np.ndarray) -> np.ndarray:
         if self.two is not None:
