@@ -34,3 +34,36 @@ def test_judges(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.05
     assert (got[1000].keep, got[1000].score, got[1000].weak_good) == (False, 0.0, None) and got[None].keep
     assert Q.classify(df.limit(0)).count() == 0
+
+
+def test_every_row_by_itself(docs):
+    """Nulls, repeated rows and ids, empty and long texts, clashing columns: each row has what its own text gives."""
+    posterior, _, prior, weights = Q.weak_model(docs)
+    got = sorted(((r.doc_id, r.n_words, r.votes, r.weak_good, round(r.score, 9), r.keep) for r in Q.classify(docs).collect()), key=str)
+    want = []
+    for r in docs.select("doc_id", "text").collect():
+        n, votes, features, _ = Q.examine([(r.text or "").encode()], Q.Words())
+        told, n = Q.vote_text(votes)[0], int(n[0])
+        z = sum(weights[f] for f in features) / (n + Q.DAMPING) + weights[-1]
+        score = 1 / (1 + np.exp(-z)) if n else 0.0
+        want.append((r.doc_id, n, told, posterior[told] if n else None, round(float(score), 9), bool(n and score >= 0.5)))
+    assert got == sorted(want, key=str) and 0 < prior < 1
+    assert sum(x[1] == 0 for x in got) >= 3
+
+
+def test_shared_ids_are_drawn_once(spark):
+    text = "a word and another one, "
+    df = spark.createDataFrame([(1, text * (k % 5 + 1)) for k in range(300)] + [(k, "!!! ??? ### " * 9) for k in range(2, 12)], "doc_id long, text string")
+    found, fit = [], Q.fit
+    Q.fit = lambda rows, *a: found.append(len(rows)) or fit(rows, *a)
+    try:
+        assert Q.classify(df, sample=4).count() == 310
+    finally:
+        Q.fit = fit
+    assert found[0] <= 8
+
+
+def test_estimate_and_fit_do_with_ties_and_nothing():
+    posterior, accuracy, prior = Q.estimate({"+-": 5, "-+": 5, "..": 1})
+    assert abs(posterior["+-"] - posterior["-+"]) < 1e-9 and accuracy[0] == accuracy[1] and 0 < prior < 1
+    assert not Q.fit([]).any()
