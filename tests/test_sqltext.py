@@ -69,4 +69,6 @@ def test_names(spark):
 def test_mapper_text(spark):
     body = '<![CDATA[ select * from a ]]> <where><if test="x">and id = #{id} &lt; 3</if></where> <foreach item="i" open="(" close=")">#{i}</foreach> ${t}'
     got = spark.createDataFrame([(body,)], "b string").select(S.xml_sql("b")).first()[0]
+    odd = spark.createDataFrame([("a &#60; b &#x4e2d;&#X1F600; &amp;#39; &amp;lt; &#39; & &#; c",)], "b string").select(S.xml_sql("b")).first()[0]
+    assert odd == "a < b 中😀 &#39; &lt; ' & &#; c"
     assert "WHERE and id = 0" in got and "( 0 )" in got and got.endswith("placeholder") and "]]>" not in got
