@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from tracewell.llm import embedding_dedup as E
 
@@ -40,6 +41,13 @@ def test_against_brute_force(spark):
     assert E.link_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_keep_their_values():
+    rows = [np.array([0.5, -2.0]), np.array([0.1, 1e300]), np.array([1e-300, 3.0])]
+    for part in (rows[:1], rows):
+        assert (E.unpacked(pa.array([E.packed(x) for x in part]), 2) == np.array(part)).all()
+    assert [len(E.packed(x)) for x in rows] == [8, 16, 16]
+
+
 def test_collisions_are_window_counts():
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(30, 5)), rng.normal(size=(40, 5))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import components, forest, groups, own_columns, spans, stash
+from tracewell.llm.common import components, forest, groups, own_columns, ragged, spans, stash
 
 CELL_MISS, COUNT_MISS = 2e-4, 5e-4
 PROJECTIONS = 16
@@ -54,6 +54,21 @@ def directions(dim: int, n: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, n))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """A vector's bytes, in single precision where that loses nothing."""
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    return (short if (short == x).all() else x).tobytes()
+
+
+def unpacked(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors as rows, in double precision."""
+    blobs = column.to_pylist()
+    if {len(b) for b in blobs} <= {4 * dim}:
+        return np.frombuffer(b"".join(blobs), np.float32).reshape(-1, dim).astype(np.float64)
+    return np.array([np.frombuffer(b, np.float32 if len(b) == 4 * dim else np.float64) for b in blobs], np.float64)
+
+
 def collisions(x: np.ndarray, y: np.ndarray, width: float) -> np.ndarray:
     """How often y[j] is in the window around x[i], over all columns, as a matrix. Columns are sorted side by side."""
     m, n, k = len(x), len(y), x.shape[1]
@@ -87,7 +102,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
                     x = np.asarray(v.values).astype(np.float64) + 0.0  # one zero
                     x = x if np.isfinite(x).all() and x.any() else None
                 keys.append(None if x is None else xxhash.xxh3_128_digest(x.tobytes()))
-                raw.append(None if x is None else x.tobytes())
+                raw.append(None if x is None else packed(x))
                 dims.append(0 if x is None else len(x))
             yield pa.RecordBatch.from_arrays([b.column("vec_id").cast(pa.int64()), b.column("label").cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())], names=["vec_id", "label", "key", "dim", "vec"])
 
@@ -106,11 +121,11 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 part = b.take(pa.array(at))
-                x = np.frombuffer(b"".join(part.column("vec").to_pylist()), np.float64).reshape(len(at), dim)
+                x = unpacked(part.column("vec"), int(dim))
                 cells = ((x @ directions(dim, tables * bits, 1) > 0).reshape(len(at), tables, bits) * powers).sum(2)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("label", "dim", "id", "copies", "vec")), pa.array(cells.tolist(), pa.list_(pa.int64()))], names=["label", "dim", "id", "copies", "vec", "cells"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("label", "dim", "id", "copies", "vec")), ragged(cells.astype(np.int32).reshape(-1), np.full(len(at), tables))], names=["label", "dim", "id", "copies", "vec", "cells"])
 
-    in_cells = classes.select("label", "dim", "id", "copies", "vec").mapInArrow(celled, "label long, dim int, id long, copies long, vec binary, cells array<long>")
+    in_cells = classes.select("label", "dim", "id", "copies", "vec").mapInArrow(celled, "label long, dim int, id long, copies long, vec binary, cells array<int>")
     members = in_cells.select("*", F.posexplode("cells").alias("tab", "cell"))
     sizes = members.groupBy("label", "dim", "tab", "cell").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -126,7 +141,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
                 continue
             dim, tab, i, j = (g.column(c)[0].as_py() for c in ("dim", "tab", "i", "j"))
             ids, copies, block = (g.column(c).to_numpy(zero_copy_only=False) for c in ("id", "copies", "block"))
-            x = np.frombuffer(b"".join(g.column("vec").to_pylist()), np.float64).reshape(len(ids), dim)
+            x = unpacked(g.column("vec"), dim)
             x = x / np.linalg.norm(x, axis=1)[:, None]
             before = np.asarray(g.column("cells").flatten()).reshape(len(ids), -1)[:, :tab]
             one, two = (np.flatnonzero(block == i), np.flatnonzero(block == j)) if i != j else (np.arange(len(ids)),) * 2
