@@ -17,6 +17,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Bytes of text that a task holds in arrays at once; a longer single text is taken alone.
 CHUNK_BYTES = 1 << 20
+#: Bits of a sieve: 4 MB.
+SIEVE = 1 << 25
 
 _serial = itertools.count()
 _own_dirs: dict[str, str] = {}
@@ -169,6 +171,34 @@ def with_squeezed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, StructType([*(docs.schema[c] for c in others), StructField("z", BinaryType())]))
 
 
+def spots(column: str) -> list[Column]:
+    """h1 and h2: an id's places in a sieve."""
+    return [F.pmod(F.xxhash64(column, F.lit(k)), F.lit(SIEVE)).alias(f"h{k}") for k in (1, 2)]
+
+
+def sieve(ids: DataFrame) -> np.ndarray:
+    """Bits, SIEVE of them whatever the table's size, of which each of ids (doc_id) has set two."""
+    bits = ids.select(F.explode(F.array(*spots("doc_id"))).alias("bit"))
+    words = bits.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("b"))
+    out = np.zeros(SIEVE // 64, np.int64)
+    found = words.toPandas()  # at most SIEVE / 64 rows
+    out[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
+    return out.view(np.uint8)
+
+
+def sift(batches: Iterator[pa.RecordBatch], bits: np.ndarray, inside: bool = True) -> Iterator[pa.RecordBatch]:
+    """Of rows with h1 and h2 those that may be among the sieve's ids: all that are, and few others while it isn't full.
+
+    Without `inside` it is the other rows.
+    """
+    for b in batches:
+        keep = np.ones(b.num_rows, bool)
+        for c in ("h1", "h2"):
+            at = b.column(c).to_numpy()
+            keep &= bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+        yield b.filter(pa.array(keep == inside))
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=schema.field(n).type) for n, c in columns.items()], schema=schema)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import as_bytes, boxed, chunks, mix, own_columns, ragged, spans, stash, unboxed
+from tracewell.llm.common import as_bytes, boxed, chunks, mix, own_columns, ragged, sieve, sift, spans, spots, stash, unboxed
 from tracewell.llm.shingles import hashes
 
 #: Bytes of benchmark text in a block of queries.
@@ -173,12 +173,21 @@ def _judged(docs: DataFrame, items: DataFrame, window: int, percent: int) -> Dat
         part = stash(phrases(items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k), window), "phrases")
         one = candidates(docs, part)
         found = one if found is None else found.unionByName(one)
-    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "n", "phrase", "items")).alias("found"))
+    per_doc = stash(found.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "n", "phrase", "items")).alias("found")), "found")
+    # Only documents that may have candidates meet those in a join; the others are judged where they are read.
+    bits = docs.sparkSession.sparkContext.broadcast(sieve(per_doc.select("doc_id")))
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sift(batches, bits.value):
+            yield b.select(["doc_id", "text", "pick"])
+
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(sift(batches, bits.value, inside=False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc_id, text, hits, pick in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text")), b.column("found").to_pylist(), b.column("pick").to_pylist(), strict=True):
+            for doc_id, text, hits, pick in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text")), b.column("found").to_pylist() if "found" in b.schema.names else [None] * b.num_rows, b.column("pick").to_pylist(), strict=True):
                 w = words(text)
                 hit, met = np.zeros(len(w) + 1, dtype=np.int64), set()
                 if hits:
@@ -203,8 +212,10 @@ def _judged(docs: DataFrame, items: DataFrame, window: int, percent: int) -> Dat
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hit_spans", "pick"])
 
-    joined = docs.join(per_doc.withColumnRenamed("doc_id", "found_id"), F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
-    return joined.select("doc_id", "text", "found", "pick").mapInArrow(run, RESULT)
+    marked = docs.select("doc_id", "text", "pick", *spots("doc_id"))
+    some = marked.mapInArrow(within, "doc_id long, text string, pick long")
+    joined = some.join(per_doc.withColumnRenamed("doc_id", "found_id"), F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
+    return joined.select("doc_id", "text", "found", "pick").mapInArrow(run, RESULT).unionByName(marked.mapInArrow(without, RESULT))
 
 
 def near_matches(docs: DataFrame, queries: DataFrame, within: int) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import as_bytes, blobs, chunks, components, drop, forest, groups, joined_on, mix, own_columns, remembered, slices, squeezed, stash, unsqueezed
+from tracewell.llm.common import as_bytes, blobs, chunks, components, drop, forest, groups, joined_on, mix, own_columns, remembered, sieve, sift, slices, spots, squeezed, stash, unsqueezed
 from tracewell.llm.shingles import shingle_set, words
 
 #: Bands and rows of a signature. At a similarity of 0.85 a pair shares no band with probability 1.2e-5, at 0.8 with 6e-4 a
@@ -35,8 +35,6 @@ BATCH = 24
 MISS = 1e-6
 #: Classes of a block, and bytes of full sets; a task compares two blocks.
 BLOCK, SET_BYTES = 512, 32 << 20
-#: Bits of the sieve for texts that may have a near duplicate.
-SIEVE = 1 << 25
 
 
 def bands_for(threshold: float, miss: float = 2e-5) -> tuple[int, int]:
@@ -156,30 +154,15 @@ def _signed(docs: DataFrame, shingle: int, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
-def sieve(ids: DataFrame) -> np.ndarray:
-    """Bits, SIEVE of them whatever the table's size, of which each id (id) has set two."""
-    spots = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(SIEVE)) for k in (1, 2)])).alias("bit"))
-    words = spots.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("b"))
-    out = np.zeros(SIEVE // 64, np.int64)
-    found = words.toPandas()  # at most SIEVE / 64 rows
-    out[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
-    return out.view(np.uint8)
-
-
 def sieved(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Rows of docs (doc_id, text) whose id may be among those of the sieve: all that are, and few others while it isn't full."""
+    """Rows of docs (doc_id, text) whose id may be among those of the sieve."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    spots = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(SIEVE)).alias(f"h{k}") for k in (1, 2)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = np.ones(b.num_rows, bool)
-            for c in ("h1", "h2"):
-                at = b.column(c).to_numpy()
-                keep &= shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
-            yield b.select(["doc_id", "text"]).filter(pa.array(keep))
+        for b in sift(batches, shared.value):
+            yield b.select(["doc_id", "text"])
 
-    return docs.select("doc_id", "text", *spots).mapInArrow(run, "doc_id long, text string")
+    return docs.select("doc_id", "text", *spots("doc_id")).mapInArrow(run, "doc_id long, text string")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -226,7 +209,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sig = stash(reps.join(buckets.select("id").distinct(), "id", "left_semi"), "shared")
     # The sieve keeps most of the other texts from being compressed and shuffled; the join is exact.
     wanted = sig.select("doc_id").distinct()
-    texts = squeezed(sieved(docs, sieve(wanted.withColumnRenamed("doc_id", "id")))).join(wanted, "doc_id", "left_semi")
+    texts = squeezed(sieved(docs, sieve(wanted))).join(wanted, "doc_id", "left_semi")
     sets = stash(_sets(texts, shingle).join(sig.select("digest", "id"), "digest").dropDuplicates(["digest"]).select("id", "shingles"), "sets")
     sig = sig.select("id", "sig")
 
