@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import as_bytes, boxed, chunks, mix, own_columns, ragged, sieve, sift, spans, spots, stash, unboxed
+from tracewell.llm.common import as_bytes, boxed, chunks, mix, own_columns, ragged, remembered, sieve, sift, slices, spans, spots, stash, unboxed
 from tracewell.llm.shingles import hashes
 
 #: Bytes of benchmark text in a block of queries.
@@ -80,7 +80,8 @@ def term_counts(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = _numbered(shared.value)
         sums = np.zeros(len(number) + 1, dtype=np.int64)
-        for b in batches:
+        remembered(None)
+        for b in chain.from_iterable(map(slices, batches)):
             for _, texts in chunks([None] * b.num_rows, as_bytes(b.column("text"))):
                 w = list(chain.from_iterable(map(words, texts)))
                 sums += np.bincount(np.fromiter(map(number.get, w, repeat(len(number))), dtype=np.int64, count=len(w)), minlength=len(sums))
@@ -99,7 +100,8 @@ def build_index(docs: DataFrame, vocabulary: list[str] | None = None) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = None if shared.value is None else _numbered(shared.value)
-        for b in batches:
+        remembered(None)
+        for b in chain.from_iterable(map(slices, batches)):
             for ids, texts in chunks(b.column("doc_id").to_pylist(), as_bytes(b.column("text"))):
                 split = [words(t) for t in texts]
                 w, sizes = list(chain.from_iterable(split)), [len(x) for x in split]
@@ -143,6 +145,9 @@ def candidates(docs: DataFrame, wanted: DataFrame, lists: int = LISTS) -> DataFr
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>, hit_spans array<struct<start:int,end:int>>, pick long"
 
+NAMES = [c.split()[0] for c in RESULT.split(", ")]
+TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.int64()]
+
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, percent: int = 5) -> DataFrame:
     """Per row of docs (doc_id, text): n_words, n_hit, n_items, items_sha256, contaminated, items, hit_spans.
@@ -177,15 +182,18 @@ def _judged(docs: DataFrame, items: DataFrame, window: int, percent: int) -> Dat
     # Only documents that may have candidates meet those in a join; the others are judged where they are read.
     bits = docs.sparkSession.sparkContext.broadcast(sieve(per_doc.select("doc_id")))
 
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sift(batches, bits.value):
-            yield b.select(["doc_id", "text", "pick"])
-
-    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return run(sift(batches, bits.value, inside=False))
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Judged rows, and with their texts those that can't be judged yet."""
+        for b in chain.from_iterable(map(slices, batches)):
+            for judged in run(sift(iter([b]), bits.value, inside=False)):
+                yield pa.RecordBatch.from_arrays([*judged.columns, pa.nulls(judged.num_rows, pa.string()), pa.array([False] * judged.num_rows, pa.bool_())], names=[*judged.schema.names, "text", "open"])
+            for left in sift(iter([b]), bits.value):
+                none = {n: pa.nulls(left.num_rows, t) for n, t in zip(NAMES, TYPES, strict=True)}
+                yield pa.RecordBatch.from_pydict(none | {"doc_id": left.column("doc_id"), "pick": left.column("pick"), "text": left.column("text").cast(pa.string()), "open": pa.array([True] * left.num_rows, pa.bool_())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        remembered(None)
+        for b in chain.from_iterable(map(slices, batches)):
             out = []
             for doc_id, text, hits, pick in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text")), b.column("found").to_pylist() if "found" in b.schema.names else [None] * b.num_rows, b.column("pick").to_pylist(), strict=True):
                 w = words(text)
@@ -209,13 +217,12 @@ def _judged(docs: DataFrame, items: DataFrame, window: int, percent: int) -> Dat
                 edge = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0)).tolist()
                 said = ",".join(sorted(map(str, met)))
                 out.append((doc_id, len(w), n_hit, len(met), hashlib.sha256(said.encode()).hexdigest(), n_hit > 0 and 100 * n_hit >= percent * len(w), sorted(met), [{"start": s, "end": e} for s, e in zip(edge[::2], edge[1::2], strict=True)], pick))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hit_spans", "pick"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(TYPES)], names=NAMES)
 
-    marked = docs.select("doc_id", "text", "pick", *spots("doc_id"))
-    some = marked.mapInArrow(within, "doc_id long, text string, pick long")
-    joined = some.join(per_doc.withColumnRenamed("doc_id", "found_id"), F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
-    return joined.select("doc_id", "text", "found", "pick").mapInArrow(run, RESULT).unionByName(marked.mapInArrow(without, RESULT))
+    # Written down, as else a task would have workers for both steps.
+    passed = stash(docs.select("doc_id", "text", "pick", *spots("doc_id")).mapInArrow(first, RESULT + ", text string, open boolean"), "judged")
+    joined = passed.where("open").select("doc_id", "text", "pick").join(per_doc.withColumnRenamed("doc_id", "found_id"), F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
+    return joined.select("doc_id", "text", "found", "pick").mapInArrow(run, RESULT).unionByName(passed.where("not open").drop("text", "open"))
 
 
 def near_matches(docs: DataFrame, queries: DataFrame, within: int) -> DataFrame:
