@@ -306,6 +306,20 @@ def joined_on(found: DataFrame, edges: DataFrame, name: str = "components") -> D
     return moved.unionByName(top.join(at.select("id"), "id", "left_anti").select("id", F.col("top").alias("component")))
 
 
+def joined_evenly(rows: DataFrame, facts: DataFrame, keys: list[str], most: int = 1000) -> DataFrame:
+    """rows (a written table) inner joined with facts, which have one row a key, so that no key fills a task.
+
+    Keys with more than one in `most` of the rows, of which there can't be `most`, are broadcast with their facts; all
+    others meet in a shuffle. Keys mustn't be null.
+    """
+    n = rows.count()
+    often = rows.groupBy(*keys).count().where(F.col("count") * most > n).select(*keys)
+    hot = stash(facts.join(F.broadcast(often), keys, "left_semi"), "hot")
+    some = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts, keys)
+    return some.unionByName(rest)
+
+
 def crc32_text(c: Column) -> Column:
     """crc32 of an id written as text, as the contracts' splits use it (null: null)."""
     return F.crc32(c.cast("string").cast("binary"))

@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import decontaminate, embedding_dedup, language_id, neardup, ngram_lm, packing, quality, suffix_dedup, token_files, url_filter
+from tracewell.llm import collocations, decontaminate, embedding_dedup, language_id, neardup, ngram_lm, packing, quality, suffix_dedup, token_files, toxicity, url_filter, vector_codes
 from tracewell.llm.common import tokenizer_path
 
 
@@ -61,6 +61,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_read(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(_read(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.learned_split(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes_by_label(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_url_filter": op2_url_filter,
@@ -72,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
+    "op11_collocations": op11_collocations,
+    "op12_toxicity": op12_toxicity,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE: dict[str, str] = {
@@ -79,4 +94,6 @@ ORACLE: dict[str, str] = {
     "op6_minhash": neardup.ORACLE,
     "op8_embedding_dedup": embedding_dedup.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
+    "op11_collocations": collocations.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }
