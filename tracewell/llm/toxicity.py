@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import as_bytes, crc32_text, mix, own_columns, remembered, stash
+from tracewell.llm.common import as_bytes, crc32_text, mix, own_columns, remembered, spans, stash
 
 #: Labelled documents of either side that are examples, at most.
 TOXIC, CLEAN = 3000, 6000
@@ -93,46 +93,50 @@ class Index:
         order = sorted(range(len(vectors)), key=heavy.__getitem__)
         self.labels, self.ids = labels[order], ids[order]
         self.n, self.blocks = len(order), -(-len(order) // BLOCK)
-        self.weight: list[list] = [[] for _ in range(n_terms)]
+        postings: list[list] = [[] for _ in range(n_terms)]
         for place, k in enumerate(order):
             for t, w in zip(*(x.tolist() for x in vectors[k]), strict=True):
-                self.weight[t].append((place, w))
-        self.places = [np.array([p for p, _ in x], np.int64) for x in self.weight]
-        self.weight = [np.array([w for _, w in x]) for x in self.weight]
-        self.heads, self.most, self.block = [], [], []
-        for places, w in zip(self.places, self.weight, strict=True):
-            block, head = np.unique(places // BLOCK, return_index=True)
-            self.block.append(block)
-            self.heads.append(np.append(head, len(places)))
-            self.most.append(np.maximum.reduceat(w, head) if len(w) else w)
+                postings[t].append((place, w))
+        self.places = np.array([p for x in postings for p, _ in x], np.int64)
+        self.weight = np.array([w for x in postings for _, w in x], float)
+        # A term's postings of a block are those from its head to the next one's.
+        term = np.repeat(np.arange(n_terms), [len(x) for x in postings])
+        slot = term * self.blocks + self.places // BLOCK
+        self.head = np.searchsorted(slot, np.arange(n_terms * self.blocks + 1))
+        self.most = np.zeros(n_terms * self.blocks)
+        np.maximum.at(self.most, slot, self.weight)
+        self.most = self.most.reshape(n_terms, self.blocks)
+
+    def cosines(self, at: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Of a vector with the examples of some blocks, in their order."""
+        slot = at[:, None] * self.blocks + blocks
+        size = self.head[slot + 1] - self.head[slot]
+        post = np.repeat(self.head[slot].reshape(-1), size.reshape(-1)) + spans(size.reshape(-1))
+        row = np.repeat(np.tile(np.arange(len(blocks)), len(at)), size.reshape(-1))
+        return np.bincount(row * BLOCK + self.places[post] % BLOCK, np.repeat(w, size.sum(1)) * self.weight[post], len(blocks) * BLOCK)
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of the k nearest examples with a common term, by cosine and then place; `without` one place."""
-        bound = np.zeros(self.blocks)
-        for t, x in zip(at.tolist(), w.tolist(), strict=True):
-            bound[self.block[t]] += x * self.most[t]
+        """(places, cosines) of the k nearest examples with a common term, by cosine and then place; `without` one place.
+
+        The blocks with the highest bounds are taken first, more at a time from round to round.
+        """
+        bound = w @ self.most[at]
         some = np.flatnonzero(bound)
         some = some[np.argsort(-bound[some], kind="stable")]
-        places, cosines, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for begin in range(0, len(some), 4):
-            taken = some[begin : begin + 4]
+        places, cosines, kth, begin, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 4
+        while begin < len(some):
+            taken = some[begin : begin + step]
             taken = taken[bound[taken] >= kth - 1e-9]
             if not len(taken):
                 break
-            exact = np.zeros((len(taken), BLOCK))
-            for t, x in zip(at.tolist(), w.tolist(), strict=True):
-                which = np.searchsorted(self.block[t], taken)
-                for row, (j, b) in enumerate(zip(which.tolist(), taken.tolist(), strict=True)):
-                    if j < len(self.block[t]) and self.block[t][j] == b:
-                        lo, hi = self.heads[t][j], self.heads[t][j + 1]
-                        exact[row, self.places[t][lo:hi] - b * BLOCK] += x * self.weight[t][lo:hi]
+            c = self.cosines(at, w, taken)
             p = (taken[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
-            c = exact.reshape(-1)
-            ok = (c > 0) & (p != without)
+            ok = np.flatnonzero((c > 0) & (c >= kth - 1e-9) & (p != without))
             places, cosines = np.concatenate([places, p[ok]]), np.concatenate([cosines, np.minimum(c[ok], 1.0)])
             best = np.lexsort((places, -cosines))[:k]
             places, cosines = places[best], cosines[best]
             kth = cosines[-1] if len(cosines) == k else 0.0
+            begin, step = begin + step, step * 4
         return places, cosines
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
