@@ -6,6 +6,9 @@ and last words but one are frequent by the counts of the length before. Tasks kn
 lets all frequent phrases through, and as it fills more of the others, which the counts then drop: counts are exact, and so
 are words, which travel as text.
 
+Of pairs, most are rare. Before their rows are made, all pairs' hashes are therefore counted in shards of counters of a fixed
+size, for which a pair costs a few bytes; a pair whose counter stays below the limit can't be frequent and gets no row.
+
 Candidates meet the counts of their beginnings and ends in joins; scores are exact decimals. A candidate goes if a phrase
 with one word more occurs as often; longer ones can't without it. The window that ranks a language's candidates is fed by
 the first ones of each task only.
@@ -25,12 +28,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import GOLD, as_bytes, chunks, joined_evenly, mix, own_columns, stash
+from tracewell.llm.common import GOLD, as_bytes, joined_evenly, mix, own_columns, shuffle_width, stash
 
 #: A sieve has SPARE bits for each frequent phrase, up to MOST of them: 16 MB.
 SPARE, LEAST, MOST = 16, 1 << 20, 1 << 27
 #: Text that a task counts at once.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
+#: Counters of a shard, pairs for which there is one, and shards at most.
+COUNTERS, SHARE, SHARDS = 1 << 22, 1 << 21, 1024
 
 _BREAK = b"."
 #: Capitals to small letters, and all that ends a piece to the break, which no word can hold.
@@ -92,25 +97,34 @@ def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def sieve_of(frequent: DataFrame, length: int) -> np.ndarray:
-    """Bits, of which each phrase of `length` words in frequent (lang, phrase) has set two; at most MOST, however many there are."""
-    bits = min(MOST, max(LEAST, 1 << (SPARE * frequent.count()).bit_length()))
+def sieve_of(names: DataFrame) -> np.ndarray:
+    """Bits, of which each of names (name) has set two; at most MOST, however many there are."""
+    bits = min(MOST, max(LEAST, 1 << (SPARE * names.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            split = [p.split(b" ") for p in b.column("phrase").to_pylist()]
-            start = np.fromiter((language_hash(x) for x in b.column("lang").to_pylist()), np.uint64, b.num_rows)
-            h = phrase_hashes(start, [word_hashes([w[k] for w in split]) for k in range(length)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(h, bits)))], names=["bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(b.column(0).to_numpy().view(np.uint64), bits)))], names=["bit"])
 
-    at = frequent.select("lang", "phrase").mapInArrow(run, "bit long")
-    words = at.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("b"))
+    words = names.mapInArrow(run, "bit long").groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("b"))
     out = np.zeros(bits // 64, np.int64)
     found = words.toPandas()  # at most MOST / 64 rows
     out[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
     return out.view(np.uint8)
 
 
+def names_of(frequent: DataFrame, length: int) -> DataFrame:
+    """(name): the hashes of phrases of `length` words (lang, phrase)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            split = [p.split(b" ") for p in b.column("phrase").to_pylist()]
+            start = np.fromiter((language_hash(x) for x in b.column("lang").to_pylist()), np.uint64, b.num_rows)
+            h = phrase_hashes(start, [word_hashes([w[k] for w in split]) for k in range(length)])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["name"])
+
+    return frequent.select("lang", "phrase").mapInArrow(run, "name long")
+
+
 def passes(sieve: np.ndarray, h: np.ndarray) -> np.ndarray:
     out = np.ones(len(h), bool)
     for at in _places(h, len(sieve) * 8):
@@ -140,24 +154,78 @@ def _runs(docs: DataFrame, sieve: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "lang string, words array<binary>, ids binary")
 
 
-def _phrases(runs: DataFrame, sieve: np.ndarray | None, length: int) -> DataFrame:
-    """Rows of phrases of `length` words (lang, phrase, n) whose parts with one word less pass the sieve (None: all)."""
+def _ids(b: pa.RecordBatch, k: int) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(b.column("ids")[k].as_py())
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1).astype(np.int64)
+
+
+def _whole(ids: np.ndarray, length: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(words, places): for each place the words from it on, and the places of phrases without a break."""
+    at = [ids[j : max(0, len(ids) - length + 1) + j] for j in range(length)]
+    return at, np.flatnonzero(np.all([a >= 0 for a in at], axis=0))
+
+
+def counter_of(h: np.ndarray, shards: int) -> np.ndarray:
+    """Which of all shards' counters counts a phrase; a shard's are neighbours."""
+    return ((h >> np.uint64(32)) * np.uint64(shards * COUNTERS)) >> np.uint64(32)
+
+
+def frequent_counters(runs: DataFrame, n: int, least: int) -> tuple[DataFrame, int]:
+    """((name) of the counters that count `least` pairs or more in runs with n words, shards)."""
+    shards = max(1, min(SHARDS, -(-n // SHARE)))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        planes = lambda x: squeeze.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes())
+        for b in batches:
+            for k in range(b.num_rows):
+                at, there = _whole(_ids(b, k), 2)
+                if not len(there):
+                    continue
+                hashes = word_hashes(b.column("words")[k].values.to_pylist())
+                own, times = np.unique(counter_of(phrase_hashes(language_hash(b.column("lang")[k].as_py()), [hashes[a[there]] for a in at]), shards), return_counts=True)
+                shard = (own // np.uint64(COUNTERS)).astype(np.int64)
+                heads = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard)).tolist()
+                low = (own % np.uint64(COUNTERS)).astype(np.uint32)
+                rows = [(planes(np.diff(low[i:j], prepend=np.uint32(0))), planes(times[i:j].astype(np.uint32))) for i, j in zip(heads, heads[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[heads[:-1]]), pa.array([x for x, _ in rows], pa.binary()), pa.array([x for _, x in rows], pa.binary())], names=["shard", "at", "times"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = zstandard.ZstdDecompressor()
+        plain = lambda z: np.ascontiguousarray(np.frombuffer(wide.decompress(z), np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
+        shard, counts = None, np.zeros(0, np.int64)
+
+        def told() -> pa.RecordBatch:
+            own = np.flatnonzero(counts >= least).astype(np.uint64) + np.uint64((shard or 0) * COUNTERS)
+            return pa.RecordBatch.from_arrays([pa.array(mix(own + GOLD).view(np.int64))], names=["name"])
+
+        for b in batches:
+            for s, at, times in zip(*(b.column(c).to_pylist() for c in ("shard", "at", "times")), strict=True):
+                if s != shard:
+                    if shard is not None:
+                        yield told()
+                    shard, counts = s, np.zeros(COUNTERS, np.int64)
+                counts[np.cumsum(plain(at), dtype=np.int64)] += plain(times)
+        yield told()
+
+    each = runs.mapInArrow(dealt, "shard long, at binary, times binary")
+    return each.repartition(min(shards, 8 * shuffle_width(runs.sparkSession)), "shard").sortWithinPartitions("shard").mapInArrow(counted, "name long"), shards
+
+
+def _phrases(runs: DataFrame, sieve: np.ndarray, length: int, shards: int) -> DataFrame:
+    """Rows of phrases of `length` words (lang, phrase, n) that may be frequent: pairs by their counters, of which there are
+    `shards` shards, longer ones by their parts with one word less."""
     shared = runs.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 lang, words = b.column("lang")[k].as_py(), b.column("words")[k].values
-                raw = zstandard.ZstdDecompressor().decompress(b.column("ids")[k].as_py())
-                ids = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1).astype(np.int64)
-                if len(ids) < length:
-                    continue
-                at = [ids[j : len(ids) - length + 1 + j] for j in range(length)]
-                there = np.flatnonzero(np.all([a >= 0 for a in at], axis=0))
-                if shared.value is not None:
-                    hashes, start = word_hashes(words.to_pylist()), language_hash(lang)
-                    for part in (at[:-1], at[1:]):
-                        there = there[passes(shared.value, phrase_hashes(start, [hashes[a[there]] for a in part]))]
+                at, there = _whole(_ids(b, k), length)
+                hashes, start = word_hashes(words.to_pylist()), language_hash(lang)
+                for part in (at[:-1], at[1:]) if length > 2 else (at,):
+                    h = phrase_hashes(start, [hashes[a[there]] for a in part])
+                    there = there[passes(shared.value, h if length > 2 else mix(counter_of(h, shards) + GOLD))]
                 if not len(there):
                     continue
                 key = at[0][there]
@@ -192,10 +260,12 @@ def phrases(docs: DataFrame, longest: int = 5, least: int = 100, most: int = 200
     words = stash(_counted(rows.mapInArrow(_words, _SCHEMA)), "words")
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
     counts = [stash(words.where(F.col("a") >= least), "frequent")]
-    runs = stash(_runs(rows, sieve_of(counts[0], 1)), "runs")
+    runs = stash(_runs(rows, sieve_of(names_of(counts[0], 1))), "runs")
+    pairs, shards = frequent_counters(runs, totals.agg(F.sum("n")).first()[0] or 0, least)
+    pairs = stash(pairs, "counters")
     for length in range(2, longest + 1):
-        sieve = sieve_of(counts[-1], length - 1) if length > 2 else None
-        counts.append(stash(_counted(_phrases(runs, sieve, length)).where(F.col("a") >= least), "frequent"))
+        sieve = sieve_of(pairs if length == 2 else names_of(counts[-1], length - 1))
+        counts.append(stash(_counted(_phrases(runs, sieve, length, shards)).where(F.col("a") >= least), "frequent"))
     known, candidates = counts[0], counts[1]
     for c in counts[1:]:
         known = known.unionByName(c)
@@ -236,5 +306,5 @@ cut AS (SELECT c.lang, c.phrase, c.a, j, array_to_string(words[1 : j], ' ') AS b
 s AS (SELECT cut.lang, cut.phrase, cut.a, x.a AS l, y.a AS r, n, j, (1000::HUGEINT * cut.a * n) // (x.a::HUGEINT * y.a) AS score FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = before JOIN f y ON y.lang = cut.lang AND y.phrase = behind JOIN t ON t.lang = cut.lang),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
 d AS (SELECT lang, array_to_string(words[i : i + m - 1], ' ') AS phrase, max(a) AS a FROM (SELECT lang, words, a, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest(range(2, 5)) AS m) WHERE m < k) GROUP BY ALL)
-SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase::BLOB) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
 FROM b WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.lang = b.lang AND d.phrase = b.phrase AND 100 * d.a >= 100 * b.a) QUALIFY rank <= 2000"""
