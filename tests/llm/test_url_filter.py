@@ -14,7 +14,7 @@ def brute(url, rules):
 
 def test_against_brute_force(spark):
     rules = [*url_filter.RULES, ("block", "b.net", "/es/keep/"), ("allow", "net", "/es/keep"), ("block", "localhost", ""), ("block", "a.b.c.d.e.net", "/"), ("allow", "com", "/")]
-    urls = [None, "", "nothing", "http://", "https://Example.COM/en/x", "https://www.example.com/en/x#y", "http://wwwexample.com/en/", "http://x.net/es/keep/1", "http://b.net/es/keep/1", "http://c.b.net/es/keep?x", "http://b.net/es/kee", "http://net/fr/", "ftp://u@x.net:80/es/", "http://localhost", "x://a.b.c.d.e.net/?q", "http://example.com", "http://a.com/\n", "http://É.com/é", "http://..com/", "http://" + "a." * 3000 + "com/"]
+    urls = [None, "", "nothing", "http://", "https://Example.COM/en/x", "https://www.example.com/en/x#y", "http://wwwexample.com/en/", "http://x.net/es/keep/1", "http://b.net/es/keep/1", "http://c.b.net/es/keep?x", "http://b.net/es/kee", "http://net/fr/", "ftp://u@x.net:80/es/", "http://localhost", "x://a.b.c.d.e.net/?q", "http://example.com", "http://a.com/\n", "http://É.com/é", "http://..com/", "http://" + "a." * 3000 + "com/", "http://net/es/\U0010ffff\U0010ffff", "http://net/es/" + "\U0010ffff" * 9, "http://net/es/" + "x" * 50000, "http://net/es\U0010ffff"]
     urls += ["http://c.b.net/es/keep/hot"] * 40
     pages = spark.createDataFrame([(k if k else None, u, "x", "y") for k, u in enumerate(urls + urls[:6])], "page_id long, url string, host string, verdict string")
     pages = pages.selectExpr("*", "'a' as row", "'b' as share", "'c' as top", "'d' as at", "'e' as sweep", "'f' as depth", "'g' as is_url")

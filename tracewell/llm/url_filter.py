@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import shuffle_width, stash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Sorts behind every character in byte order, so that prefix + LAST ends the prefix's interval.
-LAST = "\U0010ffff\U0010ffff"
+#: Keys are compared as bytes. This one is in no text and behind all that are, so prefix + LAST ends the prefix's interval.
+LAST = b"\xff"
 #: Between reversed host and path; below all that hosts hold.
 SEP = "\u0001"
 
@@ -55,8 +55,9 @@ def boundaries(rules: DataFrame) -> DataFrame:
     inside = r.select("key", "depth", F.explode(F.expr("transform(sequence(1, length(key)), n -> substring(key, 1, n - 1))")).alias("prefix"))
     outer = inside.join(r.select(F.col("key").alias("prefix"), F.col("top").alias("below")), "prefix").groupBy("key").agg(F.max_by("below", F.length("prefix")).alias("below"))
     r = r.join(outer, "key", "left")
-    pushed = r.select(F.col("key").alias("at"), "depth", "top")
-    popped = r.select(F.concat("key", F.lit(LAST)).alias("at"), "depth", F.col("below").alias("top"))
+    key = F.col("key").cast("binary")
+    pushed = r.select(key.alias("at"), "depth", "top")
+    popped = r.select(F.concat(key, F.lit(bytearray(LAST))).alias("at"), "depth", F.col("below").alias("top"))
     return pushed.unionByName(popped)
 
 
@@ -77,7 +78,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     edges = boundaries(rules)
     depths = sorted(r["depth"] for r in edges.select("depth").distinct().collect())  # label counts: a few numbers
     probes = page.select("*", F.split("host", r"\.").alias("labels"), F.explode(F.array(*map(F.lit, [0, *depths]))).alias("depth")).where("depth = 0 or depth <= size(labels)")
-    probes = probes.select("row", "page_id", "host", "path", "depth", F.concat(_reversed(F.expr("slice(labels, greatest(size(labels) - depth, 0) + 1, depth)")), F.lit(SEP), "path").alias("at"), F.lit(1).alias("is_url"), F.lit(None).cast("struct<weight:int,rule:string,verdict:string>").alias("top"))
+    probes = probes.select("row", "page_id", "host", "path", "depth", F.concat(_reversed(F.expr("slice(labels, greatest(size(labels) - depth, 0) + 1, depth)")), F.lit(SEP), "path").cast("binary").alias("at"), F.lit(1).alias("is_url"), F.lit(None).cast("struct<weight:int,rule:string,verdict:string>").alias("top"))
     both = probes.unionByName(edges.select("at", "depth", "top", F.lit(0).alias("is_url"), F.lit(-1).cast("bigint").alias("row")), allowMissingColumns=True)
     # Written down, as a range's number must stay what it is.
     swept = stash(both.repartitionByRange(4 * shuffle_width(spark), "depth", "at", "is_url", "row").withColumn("sweep", F.spark_partition_id()), "sweeps")
