@@ -41,6 +41,19 @@ def test_against_brute_force(spark):
     assert E.link_vectors(df.limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids_and_extreme_values(spark):
+    def links(rows):
+        df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+        return sorted((tuple(r) for r in E.link_vectors(df).collect()), key=str)
+
+    assert links([(None, [1.0, 0.0]), (None, [1.0, 0.0]), (1, [1.0, 0.01])]) == [(1, 2, 1, True), (None, 2, 1, False), (None, 2, 1, False)]
+    assert links([(None, [1.0, 0.0]), (None, [1.0, 0.0])]) == [(None, 1, None, True)] * 2
+    got = links([(5, [0.0, 1.0]), (5, [-1.0, 0.0]), (6, [0.0, 1.0]), (7, [0.0, 1.001]), (8, [-1.0, 0.001])])
+    assert got == [(5, 1, 5, True), (5, 2, 5, True), (6, 2, 5, False), (7, 2, 5, False), (8, 1, 5, False)]
+    tiny, huge = [1e-200, 0.0], [1e200, 1e190]
+    assert links([(1, tiny), (2, [2e-200, 0.0]), (3, huge), (4, [0.0, 5e-324]), (5, [0.0, 1e308])]) == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (5, 1, 4, False)]
+
+
 def test_vectors_keep_their_values():
     rows = [np.array([0.5, -2.0]), np.array([0.1, 1e300]), np.array([1e-300, 3.0])]
     for part in (rows[:1], rows):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import components, forest, groups, own_columns, ragged, spans, stash
+from tracewell.llm.common import components, forest, groups, joined_evenly, own_columns, ragged, spans, stash
 
 CELL_MISS, COUNT_MISS = 2e-4, 5e-4
 PROJECTIONS = 16
@@ -69,6 +69,12 @@ def unpacked(column: pa.Array, dim: int) -> np.ndarray:
     return np.array([np.frombuffer(b, np.float32 if len(b) == 4 * dim else np.float64) for b in blobs], np.float64)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows multiplied by powers of two, so that squares of their components neither overflow nor vanish."""
+    _, power = np.frexp(np.abs(x).max(axis=1))
+    return np.ldexp(x, -power[:, None])
+
+
 def collisions(x: np.ndarray, y: np.ndarray, width: float) -> np.ndarray:
     """How often y[j] is in the window around x[i], over all columns, as a matrix. Columns are sorted side by side."""
     m, n, k = len(x), len(y), x.shape[1]
@@ -90,7 +96,8 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     Rows with equal labels and embeddings of equal length are linked when their cosine is at least `threshold`. A row with a
     null label, or an embedding that is null, empty, zero, or holds null or non-finite components, links with nothing; its
     component is its own vec_id. Equal vectors are linked with one another and have the same other links; n_links counts
-    rows. A row with a null vec_id has its links' component, else null. Other columns aren't read.
+    rows, and rows with one vec_id are judged each by its own vector. A row with a null vec_id has its links' component, else
+    null. Components may be as small or large as doubles are. Other columns aren't read.
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,8 +114,8 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("vec_id").cast(pa.int64()), b.column("label").cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())], names=["vec_id", "label", "key", "dim", "vec"])
 
     rows = stash(own_columns(vectors, "vec_id", "embedding", "label").mapInArrow(keyed, "vec_id long, label long, key binary, dim int, vec binary"), "vectors")
-    classes = rows.where("key is not null").groupBy("label", "dim", "key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
-    classes = stash(classes.where("id is not null"), "classes")
+    classes = rows.where("key is not null").groupBy("label", "dim", "key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
+    classes = stash(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 1
     tables, bits = tables_for(threshold, largest)
 
@@ -121,7 +128,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 part = b.take(pa.array(at))
-                x = unpacked(part.column("vec"), int(dim))
+                x = scaled(unpacked(part.column("vec"), int(dim)))
                 cells = ((x @ directions(dim, tables * bits, 1) > 0).reshape(len(at), tables, bits) * powers).sum(2)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("label", "dim", "id", "copies", "vec")), ragged(cells.astype(np.int32).reshape(-1), np.full(len(at), tables))], names=["label", "dim", "id", "copies", "vec", "cells"])
 
@@ -141,7 +148,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
                 continue
             dim, tab, i, j = (g.column(c)[0].as_py() for c in ("dim", "tab", "i", "j"))
             ids, copies, block = (g.column(c).to_numpy(zero_copy_only=False) for c in ("id", "copies", "block"))
-            x = unpacked(g.column("vec"), dim)
+            x = scaled(unpacked(g.column("vec"), dim))
             x = x / np.linalg.norm(x, axis=1)[:, None]
             before = np.asarray(g.column("cells").flatten()).reshape(len(ids), -1)[:, :tab]
             one, two = (np.flatnonzero(block == i), np.flatnonzero(block == j)) if i != j else (np.arange(len(ids)),) * 2
@@ -168,8 +175,10 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     found = stash(dealt.mapInArrow(link, "id long, n long, root long"), "links")
     linked = found.groupBy("id").agg(F.sum("n").alias("n"))
     parts = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    known = classes.select("label", "dim", "key", "id", "copies").join(linked, "id", "left").join(parts, "id", "left")
-    known = known.select("label", "dim", "key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("class_id"))
+    known = classes.select("label", "dim", "key", "id", "least", "copies").join(linked, "id", "left").join(parts, "id", "left")
+    known = stash(known.select("label", "dim", "key", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("part")), "known")
+    # Components by their smallest vec_id, which classes without one haven't.
+    known = joined_evenly(known, known.groupBy("part").agg(F.min("least").alias("class_id")), ["part"]).drop("least", "part")
     out = rows.select("vec_id", "label", "dim", "key").join(known, ["label", "dim", "key"], "left")
     component = F.coalesce("class_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
