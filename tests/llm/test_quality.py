@@ -67,3 +67,13 @@ def test_estimate_and_fit_do_with_ties_and_nothing():
     posterior, accuracy, prior = Q.estimate({"+-": 5, "-+": 5, "..": 1})
     assert abs(posterior["+-"] - posterior["-+"]) < 1e-9 and accuracy[0] == accuracy[1] and 0 < prior < 1
     assert not Q.fit([]).any()
+
+
+def test_missing_and_shared_ids_train_all_the_same(spark):
+    good = [f"The {a} of a {b} was seen by them, and all {c} went on with it in the end, while others who had come by boat that week stayed near our old mill until rain fell over every hill around." for a in ("house", "river", "road", "field") for b in ("man", "child", "friend") for c in ("day", "night")]
+    junk = [f"BUY {a}!!! NOW!!! {b}!!! $$$ ### WIN!!! WIN!!! WIN!!!" for a in ("GOLD", "CARS", "LAND") for b in ("FREE", "CHEAP", "FAST")]
+    texts = good * 3 + junk * 2
+    for ids in ([None] * len(texts), [7] * len(texts)):
+        got = Q.classify(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect()
+        scores = sorted(r.score for r in got)
+        assert len(got) == len(texts) and sum(r.keep for r in got) == len(good) * 3 and scores[0] < 0.3 < 0.7 < scores[-1]

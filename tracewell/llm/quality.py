@@ -189,8 +189,9 @@ def _vectors(docs: DataFrame) -> DataFrame:
 
 
 def weak_model(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], np.ndarray, float, np.ndarray]:
-    """What `estimate` finds in all of docs (doc_id, text), and the scorer's weights."""
-    docs = own_columns(docs, "doc_id", "text")
+    """What `estimate` finds in all of docs (text), and the scorer's weights."""
+    # Texts are drawn, not rows: equal ones have equal votes, and ids may be missing or shared.
+    docs = own_columns(docs, "text").where("text is not null").select(F.xxhash64("text").alias("doc_id"), "text")
     votes = stash(_votes(docs).where("n_words > 0"), "votes")
     counts = {r["votes"]: r["count"] for r in votes.groupBy("votes").count().collect()}  # at most 3^labellers rows
     if not counts:
@@ -201,10 +202,9 @@ def weak_model(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float],
     sides = {True: sum(n for p, n in counts.items() if posterior[p] > 0.5), False: sum(n for p, n in counts.items() if posterior[p] <= 0.5)}
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / (1 << 30)
     limit = F.when(F.col("good") > 0.5, min(1.0, 2 * sample / max(1, sides[True]))).otherwise(min(1.0, 2 * sample / max(1, sides[False])))
-    # A doc_id that rows share is drawn once, with one of their labels.
     some = rated.withColumn("drawn", drawn).where(F.col("drawn") <= limit).groupBy("doc_id").agg(F.min("good").alias("good"), F.first("drawn").alias("drawn"))
     picked = [r for side in ("good > 0.5", "good <= 0.5") for r in some.where(side).orderBy("drawn", "doc_id").limit(sample).collect()]
-    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["good"]) for r in picked if r["doc_id"] is not None] or [(0, 0.5)], "doc_id long, good double").dropDuplicates(["doc_id"])
+    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["good"]) for r in picked], "doc_id long, good double")
     texts = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("good").alias("good"))
     rows = [(r["at"], r["value"], r["good"]) for r in _vectors(texts).collect()]  # at most 2 * sample
     return posterior, accuracy, prior, fit(sorted(rows), prior)
