@@ -72,7 +72,7 @@ def test_the_sieve_holds_all_of_its_phrases(spark):
 def test_products_beyond_64_bits(spark, monkeypatch):
     """Counts of thousands of billions, put in where words are counted."""
     monkeypatch.setattr(collocations, "_counted", lambda rows: rows.groupBy("lang", "phrase").agg(collocations.F.sum(collocations.F.col("n") * 1_000_000_000_000).alias("a")))
-    monkeypatch.setattr(collocations, "frequent_counters", lambda runs, n, least, real=collocations.frequent_counters: real(runs, n, 1))
+    monkeypatch.setattr(collocations, "frequent_counters", lambda runs, length, parts, shards, least, real=collocations.frequent_counters: real(runs, length, parts, shards, 1))
     df = spark.createDataFrame([("en", "a b c a b b a b")], "lang string, text string")
     got = {r.phrase: r for r in phrases(df, least=3_000_000_000_000).collect()}
     assert got["a b"].score == 1000 * 3 * 8 // (3 * 4) and got["a b"].a == 3 * 10**12

@@ -1,13 +1,11 @@
 """Phrases of words that occur together more often than by chance, for each language.
 
 Texts are exploded into rows of phrases with counts, a length after the other, and counted by hash aggregation for each
-language. A phrase that occurs often enough has no part that doesn't, so a length's rows are only those phrases whose first
-and last words but one are frequent by the counts of the length before. Tasks know that from a sieve of a fixed size, which
-lets all frequent phrases through, and as it fills more of the others, which the counts then drop: counts are exact, and so
-are words, which travel as text.
-
-Of pairs, most are rare. Before their rows are made, all pairs' hashes are therefore counted in shards of counters of a fixed
-size, for which a pair costs a few bytes; a pair whose counter stays below the limit can't be frequent and gets no row.
+language. All words and pairs have rows. A longer phrase that occurs often enough has no part that doesn't, so it has a row
+only if it is frequent by its two parts with one word less, which tasks know from a sieve of a fixed size, and if it may be
+frequent itself: hashes of those left are counted first, in shards of counters of a fixed size, for which a phrase costs a
+few bytes. Sieves and counters let all frequent phrases through, and as they fill more of the others, which the counts then
+drop: counts are exact, and so are words, which travel as text.
 
 Candidates meet the counts of their beginnings and ends in joins; scores are exact decimals. A candidate goes if a phrase
 with one word more occurs as often; longer ones can't without it. The window that ranks a language's candidates is fed by
@@ -70,13 +68,6 @@ def _rows(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
 _SCHEMA = "lang string, phrase binary, n long"
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for lang, texts in _by_language(batches):
-        found = Counter(tokens(texts))
-        found.pop(_BREAK, None)
-        yield _rows(lang, pa.array(list(found), pa.binary()), np.fromiter(found.values(), np.int64, len(found)))
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
@@ -132,24 +123,18 @@ def passes(sieve: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs(docs: DataFrame, sieve: np.ndarray) -> DataFrame:
-    """(lang, words, ids): texts as places in a list of words, -1 for breaks and words that the sieve holds back."""
-    shared = docs.sparkSession.sparkContext.broadcast(sieve)
+def _runs(docs: DataFrame) -> DataFrame:
+    """(lang, words, ids): texts as places in a list of words, -1 for breaks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for lang, texts in _by_language(batches):
-            ids, words = pd.factorize(np.array(tokens(texts), dtype=object))
-            words = words.tolist()
-            good = passes(shared.value, phrase_hashes(language_hash(lang), [word_hashes(words)]))
-            good &= np.array([w != _BREAK for w in words], bool)
-            kept = np.flatnonzero(good)
-            new = np.full(len(words) + 1, -1, np.int32)
-            new[kept] = np.arange(len(kept))
-            ids = new[ids]
+            # The break comes first, so that it is place 0.
+            ids, words = pd.factorize(np.array([_BREAK, *tokens(texts)], dtype=object))
+            ids = ids.astype(np.int32) - 1
             ids = ids[(ids >= 0) | np.concatenate([[True], ids[:-1] >= 0])]  # one break for many
-            if len(kept):
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([[words[k] for k in kept]], pa.list_(pa.binary())), pa.array([squeeze.compress(ids.view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary())], names=["lang", "words", "ids"])
+            if len(words) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([words[1:].tolist()], pa.list_(pa.binary())), pa.array([squeeze.compress(ids.view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary())], names=["lang", "words", "ids"])
 
     return docs.mapInArrow(run, "lang string, words array<binary>, ids binary")
 
@@ -159,10 +144,18 @@ def _ids(b: pa.RecordBatch, k: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1).astype(np.int64)
 
 
-def _whole(ids: np.ndarray, length: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """(words, places): for each place the words from it on, and the places of phrases without a break."""
+def _possible(b: pa.RecordBatch, k: int, length: int, parts: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray | None]:
+    """(words, places, hashes) of row k of runs: for each place the words from it on, the places of phrases without a break
+    and with both parts in the sieve (None: all), and those phrases' hashes, if there is a sieve."""
+    ids = _ids(b, k)
     at = [ids[j : max(0, len(ids) - length + 1) + j] for j in range(length)]
-    return at, np.flatnonzero(np.all([a >= 0 for a in at], axis=0))
+    there = np.flatnonzero(np.all([a >= 0 for a in at], axis=0))
+    if parts is None:
+        return at, there, None
+    words, start = word_hashes(b.column("words")[k].values.to_pylist()), language_hash(b.column("lang")[k].as_py())
+    for part in (at[:-1], at[1:]):
+        there = there[passes(parts, phrase_hashes(start, [words[a[there]] for a in part]))]
+    return at, there, phrase_hashes(start, [words[a[there]] for a in at])
 
 
 def counter_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -170,20 +163,19 @@ def counter_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(shards * COUNTERS)) >> np.uint64(32)
 
 
-def frequent_counters(runs: DataFrame, n: int, least: int) -> tuple[DataFrame, int]:
-    """((name) of the counters that count `least` pairs or more in runs with n words, shards)."""
-    shards = max(1, min(SHARDS, -(-n // SHARE)))
+def frequent_counters(runs: DataFrame, length: int, parts: np.ndarray, shards: int, least: int) -> DataFrame:
+    """(name) of the counters that count `least` or more of the phrases in runs whose parts pass the sieve."""
+    shared = runs.sparkSession.sparkContext.broadcast(parts)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         planes = lambda x: squeeze.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes())
         for b in batches:
             for k in range(b.num_rows):
-                at, there = _whole(_ids(b, k), 2)
+                _, there, h = _possible(b, k, length, shared.value)
                 if not len(there):
                     continue
-                hashes = word_hashes(b.column("words")[k].values.to_pylist())
-                own, times = np.unique(counter_of(phrase_hashes(language_hash(b.column("lang")[k].as_py()), [hashes[a[there]] for a in at]), shards), return_counts=True)
+                own, times = np.unique(counter_of(h, shards), return_counts=True)
                 shard = (own // np.uint64(COUNTERS)).astype(np.int64)
                 heads = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard)).tolist()
                 low = (own % np.uint64(COUNTERS)).astype(np.uint32)
@@ -209,23 +201,21 @@ def frequent_counters(runs: DataFrame, n: int, least: int) -> tuple[DataFrame, i
         yield told()
 
     each = runs.mapInArrow(dealt, "shard long, at binary, times binary")
-    return each.repartition(min(shards, 8 * shuffle_width(runs.sparkSession)), "shard").sortWithinPartitions("shard").mapInArrow(counted, "name long"), shards
+    return each.repartition(min(shards, 8 * shuffle_width(runs.sparkSession)), "shard").sortWithinPartitions("shard").mapInArrow(counted, "name long")
 
 
-def _phrases(runs: DataFrame, sieve: np.ndarray, length: int, shards: int) -> DataFrame:
-    """Rows of phrases of `length` words (lang, phrase, n) that may be frequent: pairs by their counters, of which there are
-    `shards` shards, longer ones by their parts with one word less."""
-    shared = runs.sparkSession.sparkContext.broadcast(sieve)
+def _phrases(runs: DataFrame, length: int, parts: np.ndarray | None = None, counters: np.ndarray | None = None, shards: int = 1) -> DataFrame:
+    """Rows of phrases of `length` words (lang, phrase, n): all, or those whose parts and counters pass the sieves."""
+    shared = runs.sparkSession.sparkContext.broadcast((parts, counters))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, counters = shared.value
         for b in batches:
             for k in range(b.num_rows):
                 lang, words = b.column("lang")[k].as_py(), b.column("words")[k].values
-                at, there = _whole(_ids(b, k), length)
-                hashes, start = word_hashes(words.to_pylist()), language_hash(lang)
-                for part in (at[:-1], at[1:]) if length > 2 else (at,):
-                    h = phrase_hashes(start, [hashes[a[there]] for a in part])
-                    there = there[passes(shared.value, h if length > 2 else mix(counter_of(h, shards) + GOLD))]
+                at, there, h = _possible(b, k, length, parts)
+                if counters is not None:
+                    there = there[passes(counters, mix(counter_of(h, shards) + GOLD))]
                 if not len(there):
                     continue
                 key = at[0][there]
@@ -234,8 +224,7 @@ def _phrases(runs: DataFrame, sieve: np.ndarray, length: int, shards: int) -> Da
                 n = np.bincount(key)
                 first = np.empty(len(n), np.int64)
                 first[key[::-1]] = there[::-1]
-                parts = [words.take(pa.array(a[first])) for a in at]
-                yield _rows(lang, pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())), n)
+                yield _rows(lang, pc.binary_join_element_wise(*[words.take(pa.array(a[first])) for a in at], pa.scalar(b" ", pa.binary())), n)
 
     return runs.mapInArrow(run, _SCHEMA)
 
@@ -257,15 +246,17 @@ def phrases(docs: DataFrame, longest: int = 5, least: int = 100, most: int = 200
     frequent phrases there are no rows. Counts may have 15 digits.
     """
     rows = own_columns(docs, "lang", "text").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    words = stash(_counted(rows.mapInArrow(_words, _SCHEMA)), "words")
+    runs = stash(_runs(rows), "runs")
+    words = stash(_counted(_phrases(runs, 1)), "words")
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
-    counts = [stash(words.where(F.col("a") >= least), "frequent")]
-    runs = stash(_runs(rows, sieve_of(names_of(counts[0], 1))), "runs")
-    pairs, shards = frequent_counters(runs, totals.agg(F.sum("n")).first()[0] or 0, least)
-    pairs = stash(pairs, "counters")
+    shards = max(1, min(SHARDS, -(-(words.agg(F.sum("a")).first()[0] or 0) // SHARE)))
+    counts = [words.where(F.col("a") >= least)]
     for length in range(2, longest + 1):
-        sieve = sieve_of(pairs if length == 2 else names_of(counts[-1], length - 1))
-        counts.append(stash(_counted(_phrases(runs, sieve, length, shards)).where(F.col("a") >= least), "frequent"))
+        parts = counters = None
+        if length > 2:
+            parts = sieve_of(names_of(counts[-1], length - 1))
+            counters = sieve_of(stash(frequent_counters(runs, length, parts, shards, least), "counters"))
+        counts.append(stash(_counted(_phrases(runs, length, parts, counters, shards)).where(F.col("a") >= least), "frequent"))
     known, candidates = counts[0], counts[1]
     for c in counts[1:]:
         known = known.unionByName(c)
