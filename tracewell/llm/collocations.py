@@ -31,7 +31,9 @@ from tracewell.llm.common import GOLD, as_bytes, joined_evenly, mix, own_columns
 #: A sieve has SPARE bits for each frequent phrase, up to MOST of them: 16 MB.
 SPARE, LEAST, MOST = 16, 1 << 20, 1 << 27
 #: Text that a task counts at once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
+#: Rows of phrases in a batch.
+ROWS = 20_000
 #: Counters of a shard, pairs for which there is one, and shards at most.
 COUNTERS, SHARE, SHARDS = 1 << 22, 1 << 21, 1024
 
@@ -124,7 +126,7 @@ def passes(sieve: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _runs(docs: DataFrame) -> DataFrame:
-    """(lang, words, ids): texts as places in a list of words, -1 for breaks."""
+    """(lang, words, ids): texts as places in a list of words, -1 for breaks; both compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -134,28 +136,29 @@ def _runs(docs: DataFrame) -> DataFrame:
             ids = ids.astype(np.int32) - 1
             ids = ids[(ids >= 0) | np.concatenate([[True], ids[:-1] >= 0])]  # one break for many
             if len(words) > 1:
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([words[1:].tolist()], pa.list_(pa.binary())), pa.array([squeeze.compress(ids.view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary())], names=["lang", "words", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([squeeze.compress(b" ".join(words[1:]))], pa.binary()), pa.array([squeeze.compress(ids.view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary())], names=["lang", "words", "ids"])
 
-    return docs.mapInArrow(run, "lang string, words array<binary>, ids binary")
+    return docs.mapInArrow(run, "lang string, words binary, ids binary")
 
 
-def _ids(b: pa.RecordBatch, k: int) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(b.column("ids")[k].as_py())
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1).astype(np.int64)
+def _opened(b: pa.RecordBatch, k: int) -> tuple[list[bytes], np.ndarray]:
+    """(words, ids) of row k of runs."""
+    wide = zstandard.ZstdDecompressor()
+    raw = wide.decompress(b.column("ids")[k].as_py())
+    return wide.decompress(b.column("words")[k].as_py()).split(b" "), np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1).astype(np.int64)
 
 
-def _possible(b: pa.RecordBatch, k: int, length: int, parts: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray | None]:
-    """(words, places, hashes) of row k of runs: for each place the words from it on, the places of phrases without a break
-    and with both parts in the sieve (None: all), and those phrases' hashes, if there is a sieve."""
-    ids = _ids(b, k)
+def _possible(lang: str, words: list[bytes], ids: np.ndarray, length: int, parts: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray | None]:
+    """(at, places, hashes): for each place the words from it on, the places of phrases without a break and with both parts in
+    the sieve (None: all), and those phrases' hashes, if there is a sieve."""
     at = [ids[j : max(0, len(ids) - length + 1) + j] for j in range(length)]
     there = np.flatnonzero(np.all([a >= 0 for a in at], axis=0))
     if parts is None:
         return at, there, None
-    words, start = word_hashes(b.column("words")[k].values.to_pylist()), language_hash(b.column("lang")[k].as_py())
+    hashes, start = word_hashes(words), language_hash(lang)
     for part in (at[:-1], at[1:]):
-        there = there[passes(parts, phrase_hashes(start, [words[a[there]] for a in part]))]
-    return at, there, phrase_hashes(start, [words[a[there]] for a in at])
+        there = there[passes(parts, phrase_hashes(start, [hashes[a[there]] for a in part]))]
+    return at, there, phrase_hashes(start, [hashes[a[there]] for a in at])
 
 
 def counter_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -172,7 +175,7 @@ def frequent_counters(runs: DataFrame, length: int, parts: np.ndarray, shards: i
         planes = lambda x: squeeze.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes())
         for b in batches:
             for k in range(b.num_rows):
-                _, there, h = _possible(b, k, length, shared.value)
+                _, there, h = _possible(b.column("lang")[k].as_py(), *_opened(b, k), length, shared.value)
                 if not len(there):
                     continue
                 own, times = np.unique(counter_of(h, shards), return_counts=True)
@@ -212,8 +215,8 @@ def _phrases(runs: DataFrame, length: int, parts: np.ndarray | None = None, coun
         parts, counters = shared.value
         for b in batches:
             for k in range(b.num_rows):
-                lang, words = b.column("lang")[k].as_py(), b.column("words")[k].values
-                at, there, h = _possible(b, k, length, parts)
+                lang, (words, ids) = b.column("lang")[k].as_py(), _opened(b, k)
+                at, there, h = _possible(lang, words, ids, length, parts)
                 if counters is not None:
                     there = there[passes(counters, mix(counter_of(h, shards) + GOLD))]
                 if not len(there):
@@ -224,7 +227,10 @@ def _phrases(runs: DataFrame, length: int, parts: np.ndarray | None = None, coun
                 n = np.bincount(key)
                 first = np.empty(len(n), np.int64)
                 first[key[::-1]] = there[::-1]
-                yield _rows(lang, pc.binary_join_element_wise(*[words.take(pa.array(a[first])) for a in at], pa.scalar(b" ", pa.binary())), n)
+                names = pa.array(words, pa.binary())
+                for begin in range(0, len(n), ROWS):
+                    some = first[begin : begin + ROWS]
+                    yield _rows(lang, pc.binary_join_element_wise(*[names.take(pa.array(a[some])) for a in at], pa.scalar(b" ", pa.binary())), n[begin : begin + ROWS])
 
     return runs.mapInArrow(run, _SCHEMA)
 
