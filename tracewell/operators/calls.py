@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import javatext as J
-from tracewell.operators.checkpoints import cut
+from tracewell.operators.checkpoints import keep
+from tracewell.operators.components import numbered, strong_components
+from tracewell.operators.graph import ranked
 
 _BASE = ("baseMapper", "getBaseMapper")
 
@@ -77,21 +79,36 @@ def resolve_calls(calls: DataFrame, modules: DataFrame, fields: DataFrame, metho
 def reduce_tables(resolved: DataFrame, direct: DataFrame, modules: DataFrame) -> DataFrame:
     """(module, method, edge_type, name): tables that a method touches itself or through any chain of calls.
 
-    A true fixpoint, also for methods that call each other. Facts move against the calls, one call a round.
+    A true fixpoint, also for methods that call each other: these are one component of the calls and share their tables, as
+    bits, 64 of a word. Between components bits move against the calls, those that are new in a round only.
     """
     mapped = crud_tables(modules)
     crud = F.when(F.col("target_method").isin(*J.CRUD_READS), "READS").when(F.col("target_method").isin(*J.CRUD_WRITES), "WRITES")
     virtual = resolved.select(F.col("target").alias("module"), "target_method").distinct().join(mapped, "module").select("module", F.col("target_method").alias("method"), crud.alias("edge_type"), F.col("table_name").alias("name")).where("edge_type is not null")
     own = direct.select("module", "method").distinct()
-    facts = cut(direct.unionByName(virtual.join(own, ["module", "method"], "left_anti")).distinct())
-    edges = cut(resolved.select("module", "method", "target", "target_method").distinct())
-    moved = facts
+    facts = keep(direct.select("module", "method", "edge_type", "name").unionByName(virtual.join(own, ["module", "method"], "left_anti")).distinct())
+    method = lambda module, name: F.struct(F.col(module).alias("module"), F.col(name).alias("method"))
+    made = keep(resolved.select(method("module", "method").alias("src"), method("target", "target_method").alias("dst")).unionByName(facts.select(method("module", "method").alias("src"), method("module", "method").alias("dst"))).distinct())
+    vertices, edges = numbered(made)
+    part = strong_components(edges)
+    vertices = keep(vertices.join(part, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
+    of = lambda end, name: vertices.select(F.col("id").alias(end), F.col("c").alias(name))
+    above = keep(edges.join(of("a", "caller"), "a").join(of("b", "callee"), "b").where("caller <> callee").select("caller", "callee").distinct())
+    places = keep(ranked(facts.select("edge_type", "name").distinct(), "place", F.asc("edge_type"), F.asc("name")).withColumn("place", F.col("place") - 1))
+    bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
+    held = facts.join(places, ["edge_type", "name"]).select(method("module", "method").alias("key"), F.floor(F.col("place") / 64).alias("word"), bit.alias("bit"))
+    state = keep(held.join(vertices, "key").groupBy("c", "word").agg(F.bit_or("bit").alias("bits")))
+    moved = state
     while True:
-        offered = edges.join(moved.select(F.col("module").alias("target"), F.col("method").alias("target_method"), "edge_type", "name"), ["target", "target_method"]).select("module", "method", "edge_type", "name").distinct()
-        moved = cut(offered.join(facts, ["module", "method", "edge_type", "name"], "left_anti"))
+        offered = above.join(moved.withColumnRenamed("c", "callee"), "callee").groupBy(F.col("caller").alias("c"), "word").agg(F.bit_or("bits").alias("bits"))
+        known = state.withColumnRenamed("bits", "known")
+        new = offered.join(known, ["c", "word"], "left").select("c", "word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long")))).alias("bits"))
+        moved = keep(new.where("bits <> 0"))
         if moved.isEmpty():
-            return facts
-        facts = cut(facts.unionByName(moved))
+            break
+        state = keep(state.unionByName(moved).groupBy("c", "word").agg(F.bit_or("bits").alias("bits")))
+    each = state.select("c", "word", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k"), "bits").where(F.expr("shiftright(bits, k) & 1") == 1).select("c", (F.col("word") * 64 + F.col("k")).alias("place"))
+    return keep(vertices.join(each, "c").join(places, "place").select("key.module", "key.method", "edge_type", "name"))
 
 
 def rolled_up(facts: DataFrame, *keys: str) -> DataFrame:

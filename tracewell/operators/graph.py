@@ -1,16 +1,65 @@
-"""Graph queries over flows (src, dst) as loops of joins.
+"""Graph queries over flows as loops of joins.
 
-Each round of a loop joins a frontier with the flows and drops what was seen before; its result is checkpointed, so plans
-stay small and a lost executor costs one round. Rounds follow the graph's depth, not its size.
+Flows are given as pairs (src, dst), or factored: a scope's reads and its writes, of which each pair is a flow. A hop from
+the factored form is two half-steps, to the scopes that read what is there and on to what they write, so a scope costs its
+reads plus its writes, where pairs would be their product; each scope is passed once.
+
+Each round of a loop joins a frontier with the flows and drops what was seen before; its result is written down, so plans
+stay small and a lost executor costs one round.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.sqltext import actor_scope
-from tracewell.operators.checkpoints import cut
+from tracewell.operators.checkpoints import Seen, cut, forget, keep
+from tracewell.operators.components import numbered, reached, strong_components
+
+
+@dataclass(frozen=True)
+class Factored:
+    """Flows by scope: from each src of reads (src, scope) to each dst of writes (scope, dst); both without repeated rows."""
+
+    reads: DataFrame
+    writes: DataFrame
+
+    def pairs(self) -> DataFrame:
+        """(src, dst), distinct."""
+        return self.reads.join(self.writes, "scope").select("src", "dst").distinct()
+
+    def edges(self) -> DataFrame:
+        """(src, dst) of the graph in which scopes are vertices too: kind is `o` for objects, `s` for scopes."""
+        vertex = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("key"))
+        return self.reads.select(vertex("o", "src").alias("src"), vertex("s", "scope").alias("dst")).unionByName(self.writes.select(vertex("s", "scope").alias("src"), vertex("o", "dst").alias("dst")))
+
+    def turned(self) -> Factored:
+        """The same flows backwards."""
+        return Factored(self.writes.select(F.col("dst").alias("src"), "scope"), self.reads.select("scope", F.col("src").alias("dst")))
+
+
+Flows = DataFrame | Factored
+
+
+def factored(facts: DataFrame) -> Factored:
+    """The flows of facts (edge_type, actor, object), written down: table_flows() without forming pairs."""
+    scoped = facts.select(actor_scope("actor").alias("scope"), "edge_type", "object")
+    return Factored(keep(scoped.where("edge_type = 'READS'").select(F.col("object").alias("src"), "scope").distinct()), keep(scoped.where("edge_type = 'WRITES'").select("scope", F.col("object").alias("dst")).distinct()))
+
+
+def busiest(f: Factored) -> DataFrame:
+    """(key) with most flows out; of equals the first by name. Pairs are formed for what can be the busiest only.
+
+    No key has more flows than its scopes' writes together, and each has as many as its largest scope writes.
+    """
+    sizes = f.writes.groupBy("scope").agg(F.count("*").alias("n"))
+    bounds = keep(f.reads.join(sizes, "scope").groupBy(F.col("src").alias("key")).agg(F.max("n").alias("least"), F.sum("n").alias("most")))
+    able = bounds.where(F.col("most") >= (bounds.agg(F.max("least")).first()[0] or 0)).select(F.col("key").alias("src"))
+    counted = f.reads.join(able, "src").join(f.writes, "scope").select("src", "dst").distinct().groupBy(F.col("src").alias("key")).count()
+    return keep(counted.orderBy(F.desc("count"), "key").limit(1).select("key"))
 
 
 def table_flows(facts: DataFrame) -> DataFrame:
@@ -25,91 +74,140 @@ def table_flows(facts: DataFrame) -> DataFrame:
     return reads.join(writes, "scope").select("src", "dst").distinct()
 
 
-def neighbours(flows: DataFrame, focus: DataFrame) -> DataFrame:
-    """(direction, key) next to the key in focus (key); one row for each flow."""
-    up = flows.join(F.broadcast(focus), flows.dst == focus.key, "left_semi").select(F.lit("up").alias("direction"), F.col("src").alias("key"))
-    down = flows.join(F.broadcast(focus), flows.src == focus.key, "left_semi").select(F.lit("down").alias("direction"), F.col("dst").alias("key"))
-    return up.unionByName(down)
+def neighbours(flows: Flows, focus: DataFrame) -> DataFrame:
+    """(direction, key) next to the key in focus (key), a few keys; one row for each flow."""
+    if isinstance(flows, Factored):
+        up, down = (f.reads.join(F.broadcast(focus), f.reads["src"] == focus["key"]).join(f.writes, "scope").select("src", F.col("dst").alias("key")).distinct().select("key") for f in (flows.turned(), flows))
+    else:
+        up = flows.join(F.broadcast(focus), flows.dst == focus.key, "left_semi").select(F.col("src").alias("key"))
+        down = flows.join(F.broadcast(focus), flows.src == focus.key, "left_semi").select(F.col("dst").alias("key"))
+    return up.select(F.lit("up").alias("direction"), "key").unionByName(down.select(F.lit("down").alias("direction"), "key"))
 
 
-def distances(flows: DataFrame, start: DataFrame, direction: str = "down", most: int | None = None) -> DataFrame:
-    """(key, hop): fewest flows from a key in start (key), at hop 0, along or against the flows; within `most` hops."""
-    a, b = ("src", "dst") if direction == "down" else ("dst", "src")
-    edges = cut(flows.select(F.col(a).alias("key"), F.col(b).alias("next")).where("key <> next").distinct())
-    seen = cut(start.select("key", F.lit(0).alias("hop")).distinct())
-    frontier, hop = seen, 0
+def _hop(flows: Flows, frontier: DataFrame, passed: Seen | None) -> tuple[DataFrame, DataFrame | None]:
+    """((key) one flow on, scopes that were passed on the way and hadn't been)."""
+    if not isinstance(flows, Factored):
+        return flows.join(frontier.select(F.col("key").alias("src")), "src", "left_semi").select(F.col("dst").alias("key")).distinct(), None
+    scopes = flows.reads.join(frontier.select(F.col("key").alias("src")), "src", "left_semi").select("scope").distinct()
+    scopes = keep(scopes if passed is None else scopes.join(passed.all(), "scope", "left_anti"))
+    return flows.writes.join(scopes, "scope", "left_semi").select(F.col("dst").alias("key")).distinct(), scopes
+
+
+def distances(flows: Flows, start: DataFrame, direction: str = "down", most: int | None = None) -> DataFrame:
+    """(key, hop): fewest flows from a key in start (key), at hop 0, along or against the flows; within `most` hops.
+
+    A round a hop; closure() needs fewer where only what is reached counts.
+    """
+    if isinstance(flows, Factored):
+        flows = flows if direction == "down" else flows.turned()
+    else:
+        a, b = ("src", "dst") if direction == "down" else ("dst", "src")
+        flows = keep(flows.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src <> dst").distinct())
+    frontier, hop, passed = keep(start.select("key", F.lit(0).alias("hop")).distinct()), 0, None
+    seen = Seen(frontier)
     while most is None or hop < most:
         hop += 1
-        found = edges.join(frontier.select("key"), "key").select(F.col("next").alias("key")).distinct()
-        frontier = cut(found.join(seen.select("key"), "key", "left_anti").withColumn("hop", F.lit(hop)))
+        found, scopes = _hop(flows, frontier, passed)
+        if scopes is not None and passed is None:
+            passed = Seen(scopes)
+        elif scopes is not None:
+            passed.add(scopes)
+        frontier = keep(found.join(seen.all().select("key"), "key", "left_anti").withColumn("hop", F.lit(hop)))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        seen.add(frontier)
+    return seen.all()
 
 
-def impact(flows: DataFrame, start: DataFrame, hops: int = 3) -> DataFrame:
+def impact(flows: Flows, start: DataFrame, hops: int = 3) -> DataFrame:
     """(key, hop) downstream within `hops`, without the start."""
     return distances(flows, start, "down", hops).where("hop > 0")
 
 
-def closure(flows: DataFrame, start: DataFrame, direction: str) -> DataFrame:
-    """(key) reachable in a direction, without the start."""
-    return distances(flows, start, direction).where("hop > 0").select("key")
+def closure(flows: Flows, start: DataFrame, direction: str) -> DataFrame:
+    """(key) reachable in a direction, without the start; see components.reached() for the rounds."""
+    edges = flows.edges() if isinstance(flows, Factored) else flows.select("src", "dst")
+    vertices, ids = numbered(edges)
+    if direction != "down":
+        ids = ids.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    key = F.struct(F.lit("o").alias("kind"), "key") if isinstance(flows, Factored) else F.col("key")
+    own = start.select(key.alias("key")).distinct()
+    far = reached(ids, vertices.join(own, "key", "left_semi").select("id")).join(vertices, "id").select("key").join(own, "key", "left_anti")
+    return far.where("key.kind = 'o'").select("key.key") if isinstance(flows, Factored) else far
+
+
+def impact_sizes(flows: Factored, hops: int = 3) -> DataFrame:
+    """(key, hop, n): how many other objects each object reaches in `hop` flows and no fewer, for all objects at once.
+
+    Objects are numbered, and what a key reaches is kept as words of 64 bits, one for each of 64 objects. A hop puts together
+    the bits of what a scope writes, and then those of the scopes that read a key; only bits that are new in a round travel
+    in the next. Keys that reach nothing at a distance have no row for it.
+    """
+    objects = flows.reads.select(F.col("src").alias("key")).unionByName(flows.writes.select(F.col("dst").alias("key"))).distinct()
+    places = ranked(objects, "place", F.asc("key")).withColumn("place", F.col("place") - 1)
+    own = keep(places.select("key", F.floor(F.col("place") / 64).alias("word"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("bits")))
+    seen, fresh, counts = own, own, None
+    for hop in range(1, hops + 1):
+        written = flows.writes.join(fresh.withColumnRenamed("key", "dst"), "dst").groupBy("scope", "word").agg(F.bit_or("bits").alias("bits"))
+        offered = flows.reads.join(written, "scope").groupBy(F.col("src").alias("key"), "word").agg(F.bit_or("bits").alias("bits"))
+        known = seen.select("key", "word", F.col("bits").alias("known"))
+        new = offered.join(known, ["key", "word"], "left").select("key", "word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long")))).alias("bits"))
+        fresh = keep(new.where("bits <> 0"))
+        if fresh.isEmpty():
+            break
+        counted = fresh.groupBy("key").agg(F.sum(F.bit_count("bits")).alias("n")).select("key", F.lit(hop).alias("hop"), "n")
+        counts = counted if counts is None else counts.unionByName(counted)
+        if hop < hops:
+            seen = keep(seen.unionByName(fresh).groupBy("key", "word").agg(F.bit_or("bits").alias("bits")))
+    return own.sparkSession.createDataFrame([], "key string, hop int, n long") if counts is None else counts
 
 
-def connected_flows(flows: DataFrame, focus: DataFrame) -> DataFrame:
-    """Flows on shortest paths to or from the focus: those that change the distance upstream or downstream by one."""
+def connected_flows(flows: Flows, focus: DataFrame) -> DataFrame:
+    """Flows on shortest paths to or from the focus: those that change the distance upstream or downstream by one.
+
+    In the factored form a scope's reads meet only those of its writes that are one nearer or farther.
+    """
     up = distances(flows, focus, "up").withColumnRenamed("hop", "u")
     down = distances(flows, focus, "down").withColumnRenamed("hop", "d")
+    if isinstance(flows, Factored):
+        near = flows.reads.join(up.select(F.col("key").alias("src"), (F.col("u") - 1).alias("at")), "src").join(flows.writes.join(up.select(F.col("key").alias("dst"), F.col("u").alias("at")), "dst"), ["scope", "at"])
+        far = flows.reads.join(down.select(F.col("key").alias("src"), (F.col("d") + 1).alias("at")), "src").join(flows.writes.join(down.select(F.col("key").alias("dst"), F.col("d").alias("at")), "dst"), ["scope", "at"])
+        return near.select("src", "dst").unionByName(far.select("src", "dst")).distinct()
     at = up.join(down, "key", "full")
     ends = flows.join(at.select(F.col("key").alias("src"), F.col("u").alias("su"), F.col("d").alias("sd")), "src")
     ends = ends.join(at.select(F.col("key").alias("dst"), F.col("u").alias("du"), F.col("d").alias("dd")), "dst")
     return ends.where("su = du + 1 or sd + 1 = dd").select("src", "dst").distinct()
 
 
-def _spread(edges: DataFrame, values: DataFrame) -> DataFrame:
-    """The greatest value (key, value) that reaches each key along edges (src, dst), by rounds."""
-    current, changed = values, values
-    while True:
-        offered = edges.join(changed.select(F.col("key").alias("src"), "value"), "src").groupBy(F.col("dst").alias("key")).agg(F.max("value").alias("offer"))
-        merged = cut(current.join(offered, "key", "left").select("key", F.greatest("value", "offer").alias("value"), (F.col("offer") > F.col("value")).alias("moved")))
-        changed = merged.where("moved")
-        current = merged.select("key", "value")
-        if changed.isEmpty():
-            return current
+def components(flows: Flows) -> DataFrame:
+    """(key, component) for keys on cycles of two or more: the strongly connected components by their greatest key."""
+    if isinstance(flows, Factored):
+        vertices, ids = numbered(flows.edges())
+        part = strong_components(ids).join(vertices.where("key.kind = 'o'").select("id", F.col("key.key").alias("key")), "id")
+    else:
+        vertices, ids = numbered(flows.where("src <> dst").select("src", "dst"))
+        part = strong_components(ids).join(vertices, "id")
+    part = keep(part.select("key", F.col("component").alias("c")))
+    named = part.groupBy("c").agg(F.max("key").alias("component"), F.count("*").alias("n")).where("n > 1").select("c", "component")
+    return part.join(named, "c").select("key", "component")
 
 
-def components(flows: DataFrame) -> DataFrame:
-    """(key, component) for keys on cycles of two or more: the strongly connected components by their greatest key.
+def _degrees_within(flows: Factored, part: DataFrame) -> DataFrame:
+    """(key, component, n_out, n_in): flows to and from others of its component.
 
-    Keys without an edge in or out are trimmed until none are left. Then the greatest key spreads forward as a colour;
-    within a colour, what reaches its own greatest key against the edges is a component. It is taken out, and the rest goes
-    on.
+    The members of a component are numbered; a scope's writes are a few words of bits, and a key's flows are the bits of all
+    its scopes, put together. So rows are a 64th of the pairs.
     """
-    edges = cut(flows.where("src <> dst").select("src", "dst").distinct())
-    found, n = None, edges.count()
-    while True:
-        while True:
-            keep = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            edges = cut(keep.select("src", "dst"))
-            left, n = n, edges.count()
-            if left == n:
-                break
-        if not n:
-            break
-        keys = edges.select(F.col("src").alias("key")).distinct()
-        colour = _spread(edges, cut(keys.select("key", F.col("key").alias("value"))))
-        same = edges.join(colour.select(F.col("key").alias("src"), F.col("value").alias("a")), "src").join(colour.select(F.col("key").alias("dst"), F.col("value").alias("b")), "dst").where("a = b")
-        reached = distances(cut(same.select("src", "dst")), colour.where("key = value").select("key"), "up").select("key")
-        part = cut(reached.join(colour, "key").select("key", F.col("value").alias("component")))
-        found = part if found is None else found.unionByName(part)
-        out = part.select(F.col("key"))
-        edges = cut(edges.join(out.withColumnRenamed("key", "src"), "src", "left_anti").join(out.withColumnRenamed("key", "dst"), "dst", "left_anti"))
-        n = edges.count()
-    if found is None:
-        return edges.select(F.col("src").alias("key"), F.col("dst").alias("component"))
-    return found.join(found.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi").select("key", "component")
+    place = ranked(part, "place", F.asc("key"), within="component").withColumn("place", F.col("place") - 1)
+    at = keep(place.select("key", "component", "place", F.floor(F.col("place") / 64).alias("word"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("bit")))
+    out = at.select("key", "component", "word", "bit")
+    for f, name in ((flows, "n_out"), (flows.turned(), "n_in")):
+        sets = f.writes.join(at.withColumnRenamed("key", "dst"), "dst").groupBy("scope", "component", "word").agg(F.bit_or("bit").alias("bits"))
+        own = f.reads.join(at.select(F.col("key").alias("src"), "component"), "src").join(sets, ["scope", "component"]).groupBy("src", "component", "word").agg(F.bit_or("bits").alias("bits"))
+        # Without the key itself.
+        plain = own.join(at.select(F.col("key").alias("src"), "word", "bit"), ["src", "word"], "left").select("src", F.bit_count(F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("bit", F.lit(0).cast("long"))))).alias("n"))
+        out = out.join(plain.groupBy(F.col("src").alias("key")).agg(F.sum("n").alias(name)), "key", "left")
+    return out.select("key", "component", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_out", "n_in")])
 
 
 def ranked(rows: DataFrame, name: str, *order: Column, within: str | None = None) -> DataFrame:
@@ -127,15 +225,20 @@ def ranked(rows: DataFrame, name: str, *order: Column, within: str | None = None
     return split.withColumn("_own", own).join(counts, group).select(*rows.columns, (F.col("_own") + F.col("_before")).cast("long").alias(name))
 
 
-def cycle_groups(flows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def cycle_groups(flows: Flows) -> tuple[DataFrame, DataFrame]:
     """(groups, members) of cycles. Groups: group_key, size, edges, ordered by size and names. Members: group_key, key, degree
     and position by degree and name. Degree counts flows in and out within the group, without self pairs."""
-    part = cut(components(flows))
-    inner = flows.where("src <> dst").join(part.select(F.col("key").alias("src"), F.col("component").alias("a")), "src")
-    inner = inner.join(part.select(F.col("key").alias("dst"), F.col("component").alias("b")), "dst").where("a = b")
-    degree = inner.select(F.explode(F.array("src", "dst")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
+    part = keep(components(flows))
+    if isinstance(flows, Factored):
+        counted = keep(_degrees_within(flows, part))
+        degree = counted.select("key", (F.col("n_out") + F.col("n_in")).alias("degree"))
+        edges = counted.groupBy("component").agg(F.sum("n_out").alias("edges"))
+    else:
+        inner = flows.where("src <> dst").join(part.select(F.col("key").alias("src"), F.col("component").alias("a")), "src")
+        inner = inner.join(part.select(F.col("key").alias("dst"), F.col("component").alias("b")), "dst").where("a = b")
+        degree = inner.select(F.explode(F.array("src", "dst")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
+        edges = inner.groupBy(F.col("a").alias("component")).agg(F.count("*").alias("edges"))
     size = part.groupBy("component").agg(F.count("*").alias("size"), F.min("key").alias("first"))
-    edges = inner.groupBy(F.col("a").alias("component")).agg(F.count("*").alias("edges"))
     # Groups have no key in common, so of their sorted names the first decides.
     numbered = ranked(size.join(edges, "component"), "rank", F.desc("size"), F.asc("first"))
     numbered = numbered.withColumn("group_key", F.concat(F.lit("cycle_group:"), "rank"))
@@ -185,6 +288,14 @@ def layout(flows: DataFrame, gap_x: int = 280, gap_y: int = 140) -> DataFrame:
     return placed.select("key", "level", "row", (F.col("level") * gap_x).alias("x"), (F.col("row") * gap_y).alias("y"))
 
 
-def highlight(flows: DataFrame, focus: DataFrame) -> DataFrame:
+def handles(flows: DataFrame) -> DataFrame:
+    """(src, dst, source_handle, target_handle): each flow's place among those out of its source, and into its target, in the
+    order of their names."""
+    pairs = flows.select("src", "dst").distinct()
+    out = ranked(pairs, "o", F.asc("dst"), within="src")
+    return ranked(out, "i", F.asc("src"), within="dst").select("src", "dst", F.concat(F.lit("source-"), F.col("o") - 1).alias("source_handle"), F.concat(F.lit("target-"), F.col("i") - 1).alias("target_handle"))
+
+
+def highlight(flows: Flows, focus: DataFrame) -> DataFrame:
     """(key) of the focus and what is next to it in either direction."""
     return neighbours(flows, focus).select("key").unionByName(focus.select("key")).distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.sqltext import normalize_name, object_key
+from tracewell.operators.checkpoints import keep
 
 #: Node types that searches and flows treat as tables.
 TABLE_TYPES = ("table", "data_object")
@@ -93,7 +94,7 @@ def object_lineage(nodes: DataFrame, edges: DataFrame, focus: DataFrame) -> Data
 
 def list_objects(nodes: DataFrame, object_type: str, text: str) -> DataFrame:
     """Nodes of one object type (data_table where there is none) with `text` in their names, whatever the case."""
-    return nodes.where(F.coalesce("object_type", F.lit("data_table")) == object_type).where(F.contains(F.lower("name"), F.lit(text.strip().lower())))
+    return nodes.where(F.coalesce("object_type", F.lit("data_table")) == object_type).where(F.contains(F.lower("name"), F.lit(text.strip().lower()))).orderBy("name", "key")
 
 
 def type_label(object_type: Column) -> Column:
@@ -121,11 +122,16 @@ def actor_tables(edges: DataFrame) -> DataFrame:
 
 
 def related_actors(edges: DataFrame, focus: DataFrame) -> DataFrame:
-    """(table, actor, related): actors that touch a table in focus (key), themselves or through a call, each once, with all
-    the tables they touch, sorted and joined by commas."""
-    reach = actor_tables(edges)
-    near = reach.join(F.broadcast(focus.withColumnRenamed("key", "object")), "object").select(F.col("object").alias("table"), "actor")
-    return near.join(reach, "actor").groupBy("table", "actor").agg(F.array_join(F.array_sort(F.collect_set("object")), ",").alias("related"))
+    """(table, actor, related): actors that touch a table in focus (key), a few keys, themselves or through a call, each once,
+    with all the tables they touch, sorted and joined by commas. What other actors touch isn't looked at."""
+    touched = edges.where("type in ('READS', 'WRITES')").select(F.col("src").alias("actor"), F.col("dst").alias("object"))
+    called = edges.where("type = 'CALLS'").select(F.col("src").alias("caller"), F.col("dst").alias("actor"))
+    direct = keep(touched.join(F.broadcast(focus.withColumnRenamed("key", "object")), "object").select(F.col("object").alias("table"), "actor").distinct())
+    near = keep(direct.unionByName(called.join(direct, "actor").select("table", F.col("caller").alias("actor"))).distinct())
+    actors = near.select("actor").distinct()
+    theirs = touched.join(actors, "actor", "left_semi")
+    through = called.join(actors.withColumnRenamed("actor", "caller"), "caller", "left_semi").join(touched, "actor").select(F.col("caller").alias("actor"), "object")
+    return near.join(theirs.unionByName(through).distinct(), "actor").groupBy("table", "actor").agg(F.array_join(F.array_sort(F.collect_set("object")), ",").alias("related"))
 
 
 def called_objects(edges: DataFrame) -> DataFrame:
