@@ -30,9 +30,9 @@ def strip_comments(source: Column | str) -> Column:
 
 
 def type_name(ref: Column | str) -> Column:
-    """A type's simple name: without generics, array brackets and package."""
-    out = F.regexp_replace(F.regexp_replace(F.trim(_c(ref)), r"<.*>$", ""), r"\[\]$", "")
-    return F.element_at(F.split(out, r"\."), -1)
+    """A type's simple name: the last name before its generics or array brackets."""
+    names = F.regexp_extract_all(F.substring_index(F.substring_index(_c(ref), "<", 1), "[", 1), F.lit(r"[\w$]+"), F.lit(0))
+    return F.coalesce(F.try_element_at(names, F.lit(-1)), F.trim(_c(ref)))
 
 
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "s": " "}

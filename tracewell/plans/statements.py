@@ -75,4 +75,16 @@ STATEMENTS: list[tuple[str, str, str, str | None]] = [
     ("select left(x, 2), right(y, 3), replace(z, 'a', 'b') from a{n}", 'a{n}', '', None),
     ('select if(x, 1, 2), exists(select 1 from b{n}) from a{n}', 'a{n},b{n}', '', None),
     ('select 1', '', '', None),
+    ('select * from a{n} # comment from b', 'a{n}', '', None),
+    ("select '# from b', `c#d` from a{n} -- # join e", 'a{n}', '', None),
+    ('select * from "s{n}"."t"', 's{n}.t', '', None),
+    ('select * from s{n}."t u" x, "v"', 's{n}.t u,v', '', None),
+    ("select * into outfile '/x' from a{n}", 'a{n}', '', None),
+    ('select x into @v from a{n}', 'a{n}', '', None),
+    ('select * from a{n} force index for join (i), b{n}', 'a{n},b{n}', '', None),
+    ('select * from a{n} ignore key for order by (i, j) join b{n} use index () on 1 = 1, c{n}', 'a{n},b{n},c{n}', '', None),
+    ('show tables from db', '', '', None),
+    ('replace into r{n} select * from a{n}', 'a{n},r{n}', '', None),
+    ("select * from a{n} where x like '%' || 0 || '%' and y in (select 1 from b{n})", 'a{n},b{n}', '', None),
+    ("select * from a{n} where x like concat ( '%', placeholder , '%' ) and y in 0 ) and z like 'in 0 )'", 'a{n}', '', None),
 ]
