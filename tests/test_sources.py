@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import javatext
 from tracewell.operators import failures, lineage
 from tracewell.plans import samples
-from tracewell.plans.scan import input_values, scan, scan_paths, scan_to, split_list
+from tracewell.plans.scan import form_text, input_values, load, scan, scan_paths, scan_to, split_list
 from tracewell.sources import java, kettle, metadata
 from tracewell.streaming import incremental
 
@@ -12,15 +12,15 @@ from tracewell.streaming import incremental
 def test_kettle_facts(spark):
     p = kettle.parse_exports(samples.exports(spark))
     assert sorted(map(tuple, kettle.calls(p).collect())) == [("nightly", "load_orders"), ("nightly", "publish")]
-    step = {tuple(r) for r in kettle.step_facts(p).collect()}
+    step = {tuple(r) for r in kettle.step_facts(kettle.sql_steps(p)).collect()}
     assert ("READS", "load_orders::in", "ods.orders", "data_table") in step
     assert ("WRITES", "load_orders::out", "dm.order_facts", "data_table") in step
     assert ("READS", "load_orders::sheet", "/data/in/orders*.xlsx", "source_file") in step
     assert ("READS", "publish::old", "legacy_orders", "source_table") in step
     assert ("WRITES", "publish::up", "app.board", "data_table") in step
-    job = {tuple(r) for r in kettle.job_facts(p).collect()}
+    job = {tuple(r) for r in kettle.job_facts(kettle.job_statements(p)).collect()}
     assert job == {("WRITES", "nightly::clean", "dm.stage", "data_table"), ("WRITES", "nightly::clean", "dm.log", "data_table"), ("READS", "nightly::clean", "ods.audit", "data_table")}
-    assert sorted(r.message for r in kettle.sql_failures(p).collect()) == ["Expected table name", "Unbalanced parentheses"]
+    assert sorted(r.message for r in kettle.sql_failures(kettle.sql_steps(p), kettle.job_statements(p)).collect()) == ["Expected table name", "Unbalanced parentheses"]
 
 
 def test_malformed_export_is_a_failure(spark):
@@ -76,7 +76,9 @@ def test_scan_paths_and_save(spark, tmp_path):
     s.save(str(tmp_path / "out"))
     s.save(str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/runs")).count() == 2
-    assert spark.read.parquet(str(tmp_path / "out/flows")).count() == s.flows.count() > 0
+    stored = load(spark, str(tmp_path / "out"))
+    assert stored.flows.count() == s.flows.count() > 0 and sorted(map(tuple, stored.nodes.collect()), key=str) == sorted(map(tuple, s.nodes.collect()), key=str)
+    assert len(list((tmp_path / "out/graphs").iterdir())) == 2  # the current one and the one before
 
 
 def test_stream_of_exports(spark, tmp_path):
@@ -86,7 +88,7 @@ def test_stream_of_exports(spark, tmp_path):
     stream = incremental.export_facts(incremental.arriving_texts(spark, str(tmp_path / "in"), "*.repo"))
     q = incremental.write_each(stream, str(tmp_path / "cp"), lambda df, _: seen.extend(map(tuple, df.collect())))
     q.awaitTermination(60)
-    assert set(seen) == {tuple(r) for r in kettle.step_facts(kettle.parse_exports(samples.exports(spark))).collect()}
+    assert set(seen) == {tuple(r) for r in kettle.step_facts(kettle.sql_steps(kettle.parse_exports(samples.exports(spark)))).collect()}
 
 
 def test_inputs():
@@ -94,6 +96,11 @@ def test_inputs():
     assert metadata.metadata_request(None, ["x"]) is None
     assert metadata.metadata_request("mysql://u:p@h/db", None)[1] == ["db"]
     assert metadata.redacted("mysql://u:p@h/db") == "mysql://u:***@h/db"
+    assert metadata.redacted("jdbc:mysql://h/db?user=u&password=secret&useSSL=true") == "jdbc:mysql://h/db?user=u&password=***&useSSL=true"
+    assert metadata.redacted("jdbc:sqlserver://h;databaseName=d;trustStorePassword=p@x;encrypt=true") == "jdbc:sqlserver://h;databaseName=d;trustStorePassword=***;encrypt=true"
+    assert metadata.redacted("mysql://u:a:b@c@h/db") == "mysql://u:***@h/db" and metadata.redacted("plain") == "plain"
+    assert metadata.without_secrets("no way to jdbc:mysql://h/db?password=s3cret with s3cret", "jdbc:mysql://h/db?password=s3cret") == "no way to jdbc:mysql://h/db?password=*** with ***"
+    assert form_text(["a", "b"], "c") == "a, b" and form_text([], "c") == "c" and form_text(None, None) == ""
 
 
 def test_alias_needs_one_owner(spark):
@@ -174,3 +181,65 @@ def test_lineage_of_unknown_keys_is_empty(spark):
     got = {r.key: r for r in lineage.object_lineage(nodes, edges, spark.createDataFrame([("table:a",), ("table:x",), ("job:j",)], "key string")).collect()}
     assert got["table:a"].found and got["table:a"].jobs == ["job:j"] and got["table:a"].upstream == []
     assert not got["table:x"].found and not got["job:j"].found and list(got["table:x"])[2:] == [[]] * 6
+
+
+CATALOGUE = "database_name string, object_name string, object_kind string, comment string, view_definition string, column_name string, data_type string, ordinal_position int, is_nullable string, column_comment string"
+
+
+def test_a_rescan_without_a_catalogue_clears_its_metadata(spark, tmp_path):
+    folder = str(tmp_path / "g")
+    rows = spark.createDataFrame([("ods", "t", "table", "c", None, "id", "int", 1, "NO", "")], CATALOGUE)
+    scan(spark, catalogue=rows).save(folder)
+    assert [r.key for r in load(spark, folder).metadata.collect()] == ["table:ods.t"]
+    scan(spark, exports=samples.exports(spark)).save(folder)
+    stored = load(spark, folder)
+    assert stored.metadata.count() == 0 and stored.nodes.count() > 5 and stored.run.count() == 2
+
+
+def test_merging_keeps_first_names(spark, tmp_path):
+    folder = str(tmp_path / "g")
+    one, two = scan(spark, exports=samples.exports(spark)), scan(spark, sources=samples.sources(spark))
+    one.save(folder, merge=True)
+    two.save(folder, merge=True)
+    stored = load(spark, folder)
+    keys = {r.key for s in (one, two) for r in s.nodes.collect()}
+    assert {r.key for r in stored.nodes.collect()} == keys and stored.nodes.count() == len(keys)
+    assert {tuple(r) for s in (one, two) for r in s.flows.collect()} <= {tuple(r) for r in stored.flows.collect()}
+    assert stored.edges.distinct().count() == stored.edges.count()
+
+
+def test_a_scan_that_breaks_is_failed_and_leaves_the_graph(spark, tmp_path):
+    folder = str(tmp_path / "g")
+    scan(spark, exports=samples.exports(spark)).save(folder)
+    before = sorted(map(tuple, load(spark, folder).nodes.collect()), key=str)
+    with pytest.raises(FileNotFoundError):
+        scan_to(spark, folder, repo_paths=[str(tmp_path / "missing")])
+    states = failures.run_states(spark.read.parquet(f"{folder}/runs")).collect()
+    assert sorted(r.status for r in states) == ["completed", "failed"]
+    assert sorted(map(tuple, load(spark, folder).nodes.collect()), key=str) == before
+    assert [r.failure_type for r in load(spark, folder).failures.where("source_type = 'scan'").collect()] == ["FileNotFoundError"]
+    # Tables that were written without their manifest don't count.
+    (tmp_path / "g/graphs/half").mkdir()
+    assert sorted(map(tuple, load(spark, folder).nodes.collect()), key=str) == before
+
+
+def test_large_exports_are_read_in_parts(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/one.repo").write_text(samples.EXPORT)
+    whole, parts = kettle.parse_exports(kettle.read_exports(spark, [str(tmp_path / "in")])), kettle.read_and_parse(spark, [str(tmp_path / "in")], large=1)
+    assert parts.count() == 3
+    for f in (lambda p: kettle.step_facts(kettle.sql_steps(p)), lambda p: kettle.job_facts(kettle.job_statements(p)), kettle.calls):
+        assert sorted(map(tuple, f(parts).collect())) == sorted(map(tuple, f(whole).collect())) != []
+    assert kettle.file_failures(parts).count() == 0
+
+
+def test_many_parts_of_one_file_are_read_by_many_tasks(spark, tmp_path):
+    body = "".join(f"<transformation><name>t{k}</name><step><name>s</name><type>TableInput</type><sql>select * from ods.t{k}</sql></step></transformation>" for k in range(4000))
+    (tmp_path / "big.repo").write_text(f"<repository><transformations>{body}</transformations></repository>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
+    try:
+        parts = kettle.read_and_parse(spark, [str(tmp_path)], large=100_000)
+        assert kettle.step_facts(kettle.sql_steps(parts)).count() == 4000
+        assert parts.select(F.spark_partition_id()).distinct().count() > 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

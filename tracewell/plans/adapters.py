@@ -29,6 +29,15 @@ def coarse_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.when(F.col("l_linestatus") == "O", "READS").otherwise("WRITES").alias("edge_type"), F.concat(F.lit("job_"), "l_orderkey").alias("actor"), F.concat(F.lit("table:group_"), F.col("l_partkey") % 100).alias("object"))
 
 
+def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order flow into the next one, and back for lines of even parts: cycles are runs of lines."""
+    lines = read(spark, sf_dir, "lineitem").where("l_linenumber > 1")
+    own, last = F.concat_ws("_", F.lit("line"), "l_orderkey", "l_linenumber"), F.concat_ws("_", F.lit("line"), "l_orderkey", F.col("l_linenumber") - 1)
+    side = lambda kind, scope, name: F.struct(F.lit(kind).alias("edge_type"), F.concat(F.lit(scope), own).alias("actor"), name.alias("object"))
+    back = F.when(F.col("l_partkey") % 2 == 0, F.array(side("READS", "back_", own), side("WRITES", "back_", last))).otherwise(F.array())
+    return lines.select(F.inline(F.concat(F.array(side("READS", "go_", last), side("WRITES", "go_", own)), back)))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' jobs call orders' transformations, which read and write parts."""
     f = facts(spark, sf_dir)

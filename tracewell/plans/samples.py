@@ -215,12 +215,89 @@ DIAGNOSTICS = [
 ]
 
 
+#: Calls that must not be taken for a mapper's, and one that is only where a single class implements its interface. Files
+#: whose name begins with `even:` or `odd:` are there for suppliers of such a number only.
+BRIDGES_OF = {
+    "Book{k}": """package b; @TableName("book_{k}") public class Book{k} { }""",
+    "BookMapper{k}": """package b; public interface BookMapper{k} extends BaseMapper<Book{k}> { @Select("select * from ods.shelf_{k}") List<Object> shelf(); }""",
+    "Naked{k}": "package b; public class Naked{k} extends ServiceImpl<BookMapper{k}, Book{k}> { public Object selectPage() { getBaseMapper(); return null; } }",
+    "Local{k}": "package b; public class Local{k} extends ServiceImpl<BookMapper{k}, Book{k}> { public Object pages() { return selectPage(); } private Object selectPage() { return null; } }",
+    "Plain{k}": "package b; public class Plain{k} { private BaseMapper<Book{k}> baseMapper; public Object rows() { return baseMapper.selectPage(a, b); } }",
+    "Busy{k}": "package b; public class Busy{k} extends ServiceImpl<BookMapper{k}, Book{k}> { public Object shelf() { audit(); getBaseMapper(); return null; } public Object outer() { return shelf(); } private void audit() { } }",
+    "IStock{k}": "package b; public interface IStock{k} { Object shelf(); }",
+    "Stock{k}Impl": "package b; public class Stock{k}Impl extends ServiceImpl<BookMapper{k}, Book{k}> implements IStock{k} { public Object shelf() { return getBaseMapper().shelf(); } }",
+    "even:Other{k}Impl": "package b; public class Other{k}Impl implements IStock{k} { public Object shelf() { return null; } }",
+    "Desk{k}": "package b; public class Desk{k} { private IStock{k} stock; public Object look() { return stock.shelf(); } }",
+}
+#: (module, method, reads, writes) of all methods in BRIDGES_OF; Desk looks through the only implementation of odd suppliers.
+BRIDGED = [
+    ("BookMapper{k}", "shelf", "ods.shelf_{k}", ""),
+    ("Naked{k}", "selectPage", "", ""),
+    ("Local{k}", "pages", "", ""),
+    ("Local{k}", "selectPage", "", ""),
+    ("Plain{k}", "rows", "", ""),
+    ("Busy{k}", "shelf", "", ""),
+    ("Busy{k}", "outer", "", ""),
+    ("Busy{k}", "audit", "", ""),
+    ("IStock{k}", "shelf", "", ""),
+    ("Stock{k}Impl", "shelf", "ods.shelf_{k}", ""),
+    ("even:Other{k}Impl", "shelf", "", ""),
+    ("even:Desk{k}", "look", "", ""),
+    ("odd:Desk{k}", "look", "ods.shelf_{k}", ""),
+]
+#: Calls of mappers without the evidence that names a table; of odd suppliers the last has it.
+EVIDENCE_OF = {
+    "Gate{k}": """package c; @RestController @RequestMapping("/gate") public class Gate{k} {
+    private Ghost{k} ghost; private Bare{k} bare; private Loose{k} loose;
+    @GetMapping("/{k}") public Result look() { ghost.selectList(x); bare.selectById(x); loose.insert(x); return Result.success(); } }""",
+    "Bare{k}": "package c; public interface Bare{k} { }",
+    "Loose{k}": "package c; public interface Loose{k} extends BaseMapper<Thing{k}> { }",
+    "even:Thing{k}": "package c; public class Thing{k} { }",
+    "odd:Thing{k}": """package c; @TableName("thing_{k}") public class Thing{k} { }""",
+}
+_TWO_REASONS = "bare.selectById:mapper_without_basemapper_entity,ghost.selectList:crud_method_without_table_binding"
+#: (endpoint, resolved_calls, unresolved_calls, reasons, reads, writes) of EVIDENCE_OF.
+EVIDENCE = [
+    ("even:api:GET /gate/{k}", "0", "3", _TWO_REASONS + ",loose.insert:entity_without_table_name", "", ""),
+    ("odd:api:GET /gate/{k}", "1", "2", _TWO_REASONS, "", "thing_{k}"),
+]
+#: Mapper XML, next to its interface or, of odd suppliers, in the resources.
+MAPPER_OF = """<?xml version="1.0"?><!-- <select id="no">select * from gone</select> -->
+<mapper namespace="d.ShopMapper{k}">
+  <select id="wide" resultType="x">select * from ods.wide_{k} <where><if test="a > 1">and id &lt; #{id}</if></where></select>
+  <update id="mark">update ods.wide_{k} <set>flag = ${f}</set> where id in <foreach collection="l" item="x" open="(" close=")">#{x}</foreach></update>
+  <insert id="put"><![CDATA[ insert into dm.cd_{k} select * from ods.src_{k} where a < 3 and b > 2 ]]></insert>
+  <delete id='drop'>delete from ods.gone_{k} where n in <foreach collection="l" item="x">#{x}</foreach></delete>
+</mapper>"""
+#: (module, method, sql, reads, writes) of MAPPER_OF.
+MAPPED = [
+    ("ShopMapper{k}", "wide", "select * from ods.wide_{k} WHERE and id < 0", "ods.wide_{k}", ""),
+    ("ShopMapper{k}", "mark", "update ods.wide_{k} SET flag = placeholder where id in ( 0 )", "", "ods.wide_{k}"),
+    ("ShopMapper{k}", "put", "insert into dm.cd_{k} select * from ods.src_{k} where a < 3 and b > 2", "ods.src_{k}", "dm.cd_{k}"),
+    ("ShopMapper{k}", "drop", "delete from ods.gone_{k} where n in ( 0 )", "", "ods.gone_{k}"),
+]
+
+
 def _of_suppliers(suppliers: DataFrame, files: list[tuple[str, str]]) -> DataFrame:
-    """(path, text) of files for each supplier."""
-    each = suppliers.select(F.col("s_suppkey").cast("string").alias("k"), F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("text")) for p, t in files])).alias("f"))
+    """(path, text) of files for each supplier; see BRIDGES_OF for those of some."""
+    parity = {"even": 0, "odd": 1}
+    made = [(p.replace("even:", "").replace("odd:", ""), t, next((n for w, n in parity.items() if f"{w}:" in p), None)) for p, t in files]
+    each = suppliers.select("s_suppkey", F.col("s_suppkey").cast("string").alias("k"), F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("text"), F.lit(n).cast("int").alias("only")) for p, t, n in made])).alias("f"))
+    each = each.where("f.only is null or f.only = s_suppkey % 2")
     return each.select(*[F.replace(f"f.{c}", F.lit("{k}"), F.col("k")).alias(c) for c in ("path", "text")])
 
 
+def files_of(suppliers: DataFrame, files: dict[str, str]) -> DataFrame:
+    """(path, text) of Java files by name."""
+    return _of_suppliers(suppliers, [(f"/j/{name}.java", text) for name, text in files.items()])
+
+
+def mapped_of(suppliers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(Java files, mapper files)."""
+    code = _of_suppliers(suppliers, [("/d{k}/ShopMapper{k}.java", "package d; public interface ShopMapper{k} { }")])
+    return code, _of_suppliers(suppliers, [("even:/d{k}/ShopMapper{k}.xml", MAPPER_OF), ("odd:/d{k}/resources/mapper/ShopMapper{k}.xml", MAPPER_OF)])
+
+
 def exports_of(suppliers: DataFrame) -> DataFrame:
     return _of_suppliers(suppliers, [("/r/{k}.repo", EXPORT_OF)])
 
@@ -234,5 +311,7 @@ def expected_of(columns: str, rows: list[tuple]) -> str:
     names = columns.split(", ")
     said = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
     values = ", ".join("(" + ", ".join(map(said, r)) + ")" for r in rows)
-    told = ", ".join(f"replace({n}, '{{k}}', s_suppkey::VARCHAR) AS {n}" for n in names)
-    return f"SELECT {told} FROM supplier CROSS JOIN (VALUES {values}) v({columns})"
+    told = ", ".join(f"replace({n}, '{{k}}', s_suppkey::VARCHAR) AS {n}" for n in (f"v.{n}" for n in names)).replace("AS v.", "AS ")
+    told = told.replace(f"v.{names[0]},", f"regexp_replace(v.{names[0]}, '^(even|odd):', ''),", 1)
+    some = f"CASE WHEN starts_with(v.{names[0]}, 'even:') THEN s_suppkey % 2 = 0 WHEN starts_with(v.{names[0]}, 'odd:') THEN s_suppkey % 2 = 1 ELSE true END"
+    return f"SELECT {told} FROM supplier CROSS JOIN (VALUES {values}) v({columns}) WHERE {some}"

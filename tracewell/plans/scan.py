@@ -35,12 +35,91 @@ class Scan:
     endpoints: DataFrame | None = None
     metadata: DataFrame | None = None
 
-    def save(self, folder: str) -> None:
-        """Replaces the graph in folder; runs and failures are added."""
-        for name in ("nodes", "edges", "flows", "facts", *["metadata"] * (self.metadata is not None)):
-            getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
-        for name in ("failures", "run"):
-            getattr(self, name).write.mode("append").parquet(f"{folder}/{name}s" if name == "run" else f"{folder}/{name}")
+    def save(self, folder: str, merge: bool = False) -> None:
+        """Puts the graph in place of the one in folder, or merges it into that; runs and failures are added.
+
+        All tables are written first, beside the old ones; then a manifest of one line is swapped, which load() reads. So a
+        scan that ends half-way leaves the old graph whole, and none leaves tables of another scan behind. The graph before
+        stays until the next one is saved. Of nodes with one key the stored one keeps its name and type.
+        """
+        spark = self.nodes.sparkSession
+        old = current_version(spark, folder)
+        new = self if not merge or old is None else merged(load(spark, folder), self)
+        version = uuid.uuid4().hex
+        for name, schema in TABLES.items():
+            table = getattr(new, name)
+            (spark.createDataFrame([], schema) if table is None else table).write.parquet(f"{folder}/graphs/{version}/{name}")
+        self.failures.write.mode("append").parquet(f"{folder}/failures")
+        self.run.write.mode("append").parquet(f"{folder}/runs")
+        _swap_manifest(spark, folder, version)
+        for other in _versions(spark, folder) - {version, old}:
+            path = _path(spark, f"{folder}/graphs/{other}")
+            _filesystem(spark, path).delete(path, True)
+
+
+COLUMN = "array<struct<ordinal_position:int,column_name:string,data_type:string,is_nullable:boolean,column_comment:string>>"
+#: Tables of a stored graph.
+TABLES = {
+    "nodes": "key string, type string, name string, object_type string",
+    "edges": "type string, src string, dst string, is_derived boolean",
+    "flows": "src string, dst string",
+    "facts": "edge_type string, actor string, object string",
+    "metadata": f"key string, database string, object string, kind string, comment string, view_definition string, columns {COLUMN}, view_status string, view_error string",
+}
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _filesystem(spark: SparkSession, path):
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def current_version(spark: SparkSession, folder: str) -> str | None:
+    """The version of the graph that folder's manifest names."""
+    path = _path(spark, f"{folder}/current")
+    if not _filesystem(spark, path).exists(path):
+        return None
+    return spark.read.text(f"{folder}/current").first()[0]
+
+
+def _versions(spark: SparkSession, folder: str) -> set[str]:
+    path = _path(spark, f"{folder}/graphs")
+    return {f.getPath().getName() for f in _filesystem(spark, path).listStatus(path)}
+
+
+def _swap_manifest(spark: SparkSession, folder: str, version: str) -> None:
+    jvm, draft, final = spark.sparkContext._jvm, _path(spark, f"{folder}/.current-{version}"), _path(spark, f"{folder}/current")
+    stream = _filesystem(spark, draft).create(draft, True)
+    stream.write(bytearray(version.encode()))
+    stream.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    where = _filesystem(spark, final)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(where.makeQualified(draft), where.makeQualified(final), options)
+
+
+def load(spark: SparkSession, folder: str) -> Scan:
+    """The graph stored in folder, with all its failures and runs; endpoints aren't stored."""
+    at = f"{folder}/graphs/{current_version(spark, folder)}"
+    tables = {name: spark.read.schema(schema).parquet(f"{at}/{name}") for name, schema in TABLES.items()}
+    return Scan(**tables, failures=spark.read.parquet(f"{folder}/failures"), run=spark.read.parquet(f"{folder}/runs"))
+
+
+def merged(stored: Scan, new: Scan) -> Scan:
+    """Both graphs as one: stored nodes keep their names and types, known object types are the newer ones; flows of scopes
+    that both have facts of are derived anew."""
+    named = stored.nodes.select(F.lit(0).alias("seq"), "type", "key", "name", "object_type").unionByName(new.nodes.select(F.lit(1).alias("seq"), "type", "key", "name", "object_type"))
+    nodes = cut(lineage.nodes_of(named.where("object_type is not null").unionByName(named.where("object_type is null"))))
+    facts = cut(stored.facts.unionByName(new.facts).distinct())
+    flows = cut(graph.table_flows(facts))
+    plain = stored.edges.where("not is_derived").unionByName(new.edges.where("not is_derived"))
+    edges = cut(lineage.edges_of(plain.unionByName(lineage.derived_edges(flows, nodes))))
+    known = stored.metadata
+    if new.metadata is not None:
+        known = new.metadata.unionByName(known.join(new.metadata.select("key"), "key", "left_anti"))
+    return Scan(nodes, edges, flows, facts, new.failures, new.run, new.endpoints, cut(known))
 
 
 def input_values(values: list[str] | None, single: str | None) -> list[str]:
@@ -49,6 +128,11 @@ def input_values(values: list[str] | None, single: str | None) -> list[str]:
     return list(dict.fromkeys(v for v in every if v))
 
 
+def form_text(values: list[str] | None, single: str | None) -> str:
+    """Inputs as a form shows them: the list between commas, else the single value, else nothing."""
+    return ", ".join(values) if values else single or ""
+
+
 def split_list(text: str | None) -> list[str]:
     return [x.strip() for x in (text or "").split(",") if x.strip()]
 
@@ -93,7 +177,7 @@ class Program:
 
 def program(sources: DataFrame, mappers: DataFrame | None = None) -> Program:
     """Of sources and mappers (path, text)."""
-    files = cut(java.with_module(sources))
+    files = cut(java.outlined(java.with_module(sources)).drop("text"))
     found = cut(java.statements(files, None if mappers is None else java.with_module(mappers)))
     modules, fields, made = cut(java.modules(files)), cut(java.fields(files)), cut(java.method_calls(files))
     direct = found.select("module", "method", F.explode(F.concat(F.transform("tables.reads", lambda x: F.struct(F.lit("READS").alias("e"), x.alias("n"))), F.transform("tables.writes", lambda x: F.struct(F.lit("WRITES").alias("e"), x.alias("n"))))).alias("x")).select("module", "method", F.col("x.e").alias("edge_type"), F.col("x.n").alias("name")).distinct()
@@ -134,14 +218,15 @@ def scan(spark: SparkSession, exports: DataFrame | None = None, sources: DataFra
 
     if exports is not None:
         parsed = cut(kettle.parse_exports(exports))
-        step, job, call = kettle.step_facts(parsed), kettle.job_facts(parsed), kettle.calls(parsed)
+        read = cut(kettle.sql_steps(parsed)), cut(kettle.job_statements(parsed))
+        step, job, call = cut(kettle.step_facts(read[0])), cut(kettle.job_facts(read[1])), kettle.calls(parsed)
         refs = refs.unionByName(step).unionByName(job)
         called = called.unionByName(call.select(F.concat(F.lit("job:"), "job").alias("src"), F.concat(F.lit("transformation:"), "transformation").alias("dst")).distinct())
         names = kettle.jobs(parsed).select(F.lit("job").alias("type"), F.col("job").alias("name")).unionByName(kettle.steps(parsed).select(F.lit("transformation").alias("type"), F.col("transformation").alias("name"))).unionByName(call.select(F.lit("transformation").alias("type"), F.col("transformation").alias("name")))
         named = named.unionByName(names.distinct().select(F.lit(1).alias("seq"), "type", F.concat_ws(":", "type", "name").alias("key"), "name", kind.alias("object_type")))
         owner = lambda prefix, facts: facts.select(F.col("edge_type").alias("type"), F.concat(F.lit(prefix), F.substring_index("actor", "::", 1)).alias("src"), "name", "object_type")
         actor_refs = owner("transformation:", step).unionByName(owner("job:", job))
-        failures = failures.unionByName(kettle.file_failures(parsed)).unionByName(kettle.sql_failures(parsed))
+        failures = failures.unionByName(kettle.file_failures(parsed)).unionByName(kettle.sql_failures(*read))
     else:
         actor_refs = _empty(spark, "type string, src string, name string, object_type string")
 
@@ -178,7 +263,7 @@ def scan(spark: SparkSession, exports: DataFrame | None = None, sources: DataFra
 def failed_scan(spark: SparkSession, error: metadata.MetadataConnectionError, dsn: str, inputs: dict[str, str] | None = None) -> Scan:
     """What is left of a scan whose catalogue can't be reached: an empty graph, the failure, and a run that has failed."""
     run_id, now = uuid.uuid4().hex, datetime.now(timezone.utc)
-    failure = spark.createDataFrame([(run_id, "metadata", metadata.redacted(dsn), type(error).__name__, str(error), None, None)], FAILURE)
+    failure = spark.createDataFrame([(run_id, "metadata", metadata.redacted(dsn), type(error).__name__, metadata.without_secrets(str(error), dsn), None, None)], FAILURE)
     run = spark.createDataFrame([(run_id, "failed", inputs or {}, now, now, now)], RUN)
     schemas = ("key string, type string, name string, object_type string", "type string, src string, dst string, is_derived boolean", "src string, dst string", "edge_type string, actor string, object string")
     return Scan(*(_empty(spark, x) for x in schemas), failure.select("source_type", "file_path", "failure_type", "message", "object_key", "sql_snippet", "run_id"), run)
@@ -196,7 +281,7 @@ def scan_paths(spark: SparkSession, repo_paths: list[str] | None = None, java_ro
         catalogue = metadata.read_catalogue(spark, *request) if request else None
     except metadata.MetadataConnectionError as e:
         return failed_scan(spark, e, request[0], inputs)
-    exports = kettle.read_exports(spark, [resolve_path(p) for p in repo_paths]) if repo_paths else None
+    exports = kettle.read_and_parse(spark, [resolve_path(p) for p in repo_paths]) if repo_paths else None
     roots = [resolve_path(p) for p in java_roots or []]
     sources = java.read_texts(spark, roots, "*.java").select("path", "text") if roots else None
     mappers = java.read_texts(spark, roots, "*.xml").select("path", "text") if roots else None
@@ -204,12 +289,25 @@ def scan_paths(spark: SparkSession, repo_paths: list[str] | None = None, java_ro
 
 
 def scan_to(spark: SparkSession, folder: str, **inputs) -> Scan:
-    """scan_paths(**inputs) saved to folder. A run is listed there as running before it begins; see failures.run_states."""
+    """scan_paths(**inputs) saved to folder. A run is listed there as running before it begins; see failures.run_states.
+
+    Whatever ends it otherwise, the run is then listed as failed, with a failure, and the graph in folder stays as it was.
+    """
     began = datetime.now(timezone.utc)
     run_id = uuid.uuid4().hex
     spark.createDataFrame([(run_id, "running", {}, began, began, None)], RUN).write.mode("append").parquet(f"{folder}/runs")
-    found = scan_paths(spark, **inputs)
-    found.run = found.run.withColumns({"run_id": F.lit(run_id), "created_at": F.lit(began), "started_at": F.lit(began)})
-    found.failures = found.failures.withColumn("run_id", F.lit(run_id))
-    found.save(folder)
+    try:
+        found = scan_paths(spark, **inputs)
+        found.run = found.run.withColumns({"run_id": F.lit(run_id), "created_at": F.lit(began), "started_at": F.lit(began)})
+        found.failures = found.failures.withColumn("run_id", F.lit(run_id))
+        if found.run.where("status = 'failed'").isEmpty():
+            found.save(folder)
+        else:  # there is no graph, and the stored one stays
+            found.failures.write.mode("append").parquet(f"{folder}/failures")
+            found.run.write.mode("append").parquet(f"{folder}/runs")
+    except Exception as e:
+        said = metadata.without_secrets(f"{type(e).__name__}: {e}", inputs.get("jdbc_url") or "-")
+        spark.createDataFrame([("scan", "", type(e).__name__, said.splitlines()[0][:1000], None, None, run_id)], f"{FAILURE.split(', ', 1)[1]}, run_id string").write.mode("append").parquet(f"{folder}/failures")
+        spark.createDataFrame([(run_id, "failed", {}, began, began, datetime.now(timezone.utc))], RUN).write.mode("append").parquet(f"{folder}/runs")
+        raise
     return found

@@ -50,6 +50,10 @@ def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.table_flows(A.facts(spark, sf_dir))
 
 
+def _factored(spark: SparkSession, sf_dir: str) -> graph.Factored:
+    return graph.factored(A.facts(spark, sf_dir))
+
+
 @query("table_flows", flow_sql("SELECT src, dst FROM e"))
 def _(spark, sf_dir):
     return _flows(spark, sf_dir)
@@ -62,26 +66,26 @@ def _(spark, sf_dir):
 
 @query("direct_neighbors", flow_sql("SELECT 'up' AS direction, src AS key FROM e WHERE dst IN (SELECT key FROM seed) UNION ALL SELECT 'down', dst FROM e WHERE src IN (SELECT key FROM seed)"))
 def _(spark, sf_dir):
-    flows = _flows(spark, sf_dir)
-    return graph.neighbours(flows, A.busiest(flows))
+    flows = _factored(spark, sf_dir)
+    return graph.neighbours(flows, graph.busiest(flows))
 
 
 @query("impact_3hop", flow_sql("SELECT key, min(hop) AS hop FROM r GROUP BY key HAVING min(hop) > 0", more=", r AS (SELECT key, 0 AS hop FROM seed UNION SELECT x.dst, r.hop + 1 FROM r JOIN x ON x.src = r.key WHERE r.hop < 3)"))
 def _(spark, sf_dir):
-    flows = _flows(spark, sf_dir)
-    return graph.impact(flows, A.busiest(flows), 3)
+    flows = _factored(spark, sf_dir)
+    return graph.impact(flows, graph.busiest(flows), 3)
 
 
 @query("downstream_closure", flow_sql("SELECT key FROM r WHERE key NOT IN (SELECT key FROM seed)", more=", r AS (SELECT key FROM seed UNION SELECT x.dst FROM r JOIN x ON x.src = r.key)"))
 def _(spark, sf_dir):
-    flows = _flows(spark, sf_dir)
-    return graph.closure(flows, A.busiest(flows), "down")
+    flows = _factored(spark, sf_dir)
+    return graph.closure(flows, graph.busiest(flows), "down")
 
 
 @query("upstream_closure", flow_sql("SELECT key FROM r WHERE key NOT IN (SELECT key FROM seed)", more=", r AS (SELECT key FROM seed UNION SELECT x.src FROM r JOIN x ON x.dst = r.key)"))
 def _(spark, sf_dir):
-    flows = _flows(spark, sf_dir)
-    return graph.closure(flows, A.busiest(flows), "up")
+    flows = _factored(spark, sf_dir)
+    return graph.closure(flows, graph.busiest(flows), "up")
 
 
 _HOPS = """, d AS (SELECT key, 0 AS hop FROM seed UNION SELECT x.dst, d.hop + 1 FROM d JOIN x ON x.src = d.key WHERE d.hop < 40),
@@ -91,19 +95,43 @@ dm AS (SELECT key, min(hop) AS d FROM d GROUP BY key), um AS (SELECT key, min(ho
 
 @query("connected_edges", flow_sql("SELECT DISTINCT src, dst FROM e LEFT JOIN um a ON a.key = src LEFT JOIN um b ON b.key = dst LEFT JOIN dm c ON c.key = src LEFT JOIN dm g ON g.key = dst WHERE a.u = b.u + 1 OR c.d + 1 = g.d", more=_HOPS))
 def _(spark, sf_dir):
-    flows = _flows(spark, sf_dir)
-    return graph.connected_flows(flows, A.busiest(flows))
+    flows = _factored(spark, sf_dir)
+    return graph.connected_flows(flows, graph.busiest(flows))
+
+
+@query("impact_all", flow_sql("SELECT key, hop, count(*) AS n FROM (SELECT key, other, min(hop) AS hop FROM r WHERE key <> other GROUP BY ALL) GROUP BY ALL", more=", r AS (SELECT src AS key, dst AS other, 1 AS hop FROM x UNION SELECT r.key, x.dst, r.hop + 1 FROM r JOIN x ON x.src = r.other WHERE r.hop < 3)"))
+def _(spark, sf_dir):
+    return graph.impact_sizes(_factored(spark, sf_dir), 3)
+
+
+_CYCLES = """WITH RECURSIVE k AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey % 2 = 0 AS back FROM lineitem WHERE l_linenumber > 1),
+e AS (SELECT 'line_' || o || '_' || (n - 1) AS src, 'line_' || o || '_' || n AS dst FROM k UNION SELECT 'line_' || o || '_' || n, 'line_' || o || '_' || (n - 1) FROM k WHERE back),
+r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b),
+c AS (SELECT x.a AS key, greatest(x.a, max(x.b)) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.a),
+i AS (SELECT e.src, e.dst, a.component FROM e JOIN c a ON a.key = e.src JOIN c b ON b.key = e.dst AND b.component = a.component),
+g AS (SELECT component, size, first, (SELECT count(*) FROM i WHERE i.component = s.component) AS edges, 'cycle_group:' || row_number() OVER (ORDER BY size DESC, first) AS group_key FROM (SELECT component, count(*) AS size, min(key) AS first FROM c GROUP BY component) s),
+d AS (SELECT key, count(*) AS degree FROM (SELECT src AS key FROM i UNION ALL SELECT dst FROM i) GROUP BY key)
+"""
+
+
+def _cycles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return graph.cycle_groups(graph.factored(A.line_facts(spark, sf_dir)))
+
+
+@query("cycle_groups", _CYCLES + "SELECT group_key, size, edges, first FROM g")
+def _(spark, sf_dir):
+    return _cycles(spark, sf_dir)[0]
 
 
-# SQL would need all pairs of a closure for these; tests compare them with brute force.
-@query("cycle_groups")
+@query("cycle_members", _CYCLES + "SELECT group_key, key, degree, row_number() OVER (PARTITION BY group_key ORDER BY degree DESC, key) AS position FROM c JOIN g USING (component) JOIN d USING (key)")
 def _(spark, sf_dir):
-    return graph.cycle_groups(_flows(spark, sf_dir))[0]
+    return _cycles(spark, sf_dir)[1]
 
 
-@query("cycle_members")
+# SQL would need all pairs of one large closure for this; tests compare components with brute force.
+@query("cycle_groups_of_parts")
 def _(spark, sf_dir):
-    return graph.cycle_groups(_flows(spark, sf_dir))[1]
+    return graph.cycle_groups(_factored(spark, sf_dir))[0]
 
 
 _COARSE = """WITH f AS (SELECT l_orderkey AS scope, 'table:group_' || (l_partkey % 100) AS o, CASE WHEN l_linestatus = 'O' THEN 'READS' ELSE 'WRITES' END AS t FROM lineitem),
@@ -143,10 +171,15 @@ def _(spark, sf_dir):
     return graph.layout(A.containment(spark, sf_dir))
 
 
+@query("graph_handles", flow_sql("SELECT src, dst, 'source-' || (row_number() OVER (PARTITION BY src ORDER BY dst) - 1) AS source_handle, 'target-' || (row_number() OVER (PARTITION BY dst ORDER BY src) - 1) AS target_handle FROM e"))
+def _(spark, sf_dir):
+    return graph.handles(_flows(spark, sf_dir))
+
+
 @query("highlight", flow_sql("SELECT key FROM seed UNION SELECT src FROM e WHERE dst IN (SELECT key FROM seed) UNION SELECT dst FROM e WHERE src IN (SELECT key FROM seed)"))
 def _(spark, sf_dir):
-    flows = _flows(spark, sf_dir)
-    return graph.highlight(flows, A.busiest(flows))
+    flows = _factored(spark, sf_dir)
+    return graph.highlight(flows, graph.busiest(flows))
 
 
 _NODES = """WITH n AS (SELECT 'nation:' || lower(n_name) AS key, 'data_object' AS type, n_name AS name, 'table_view' AS object_type FROM nation
@@ -441,12 +474,13 @@ def _(spark, sf_dir):
 @query("kettle_facts", samples.expected_of("edge_type, actor, name, object_type", samples.KETTLE_FACTS))
 def _(spark, sf_dir):
     parsed = kettle.parse_exports(samples.exports_of(A.read(spark, sf_dir, "supplier")))
-    return kettle.step_facts(parsed).unionByName(kettle.job_facts(parsed))
+    return kettle.step_facts(kettle.sql_steps(parsed)).unionByName(kettle.job_facts(kettle.job_statements(parsed)))
 
 
 @query("kettle_failures", samples.expected_of("object_key, message", [("transformation:publish_{k}::bad", "Unbalanced parentheses"), ("job:Job_{k}::clean", "Expected table name")]))
 def _(spark, sf_dir):
-    return kettle.sql_failures(kettle.parse_exports(samples.exports_of(A.read(spark, sf_dir, "supplier")))).select("object_key", "message")
+    parsed = kettle.parse_exports(samples.exports_of(A.read(spark, sf_dir, "supplier")))
+    return kettle.sql_failures(kettle.sql_steps(parsed), kettle.job_statements(parsed)).select("object_key", "message")
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -480,6 +514,26 @@ def _(spark, sf_dir):
     return found.withColumns({c: F.col(c).cast("string") for c in ("resolved_calls", "unresolved_calls")})
 
 
+@query("call_bridges", samples.expected_of("module, method, reads, writes", samples.BRIDGED))
+def _(spark, sf_dir):
+    code = program(samples.files_of(A.read(spark, sf_dir, "supplier"), samples.BRIDGES_OF))
+    tables = code.has.select("module", "method").join(calls.rolled_up(code.facts, "module", "method"), ["module", "method"], "left")
+    return tables.select("module", "method", *[F.coalesce(c, F.lit("")).alias(c) for c in ("reads", "writes")])
+
+
+@query("evidence_reasons", samples.expected_of("endpoint, resolved_calls, unresolved_calls, reasons, reads, writes", samples.EVIDENCE))
+def _(spark, sf_dir):
+    found = program(samples.files_of(A.read(spark, sf_dir, "supplier"), samples.EVIDENCE_OF)).endpoints
+    return found.withColumns({c: F.col(c).cast("string") for c in ("resolved_calls", "unresolved_calls")})
+
+
+@query("mapper_statements", samples.expected_of("module, method, sql, reads, writes", samples.MAPPED))
+def _(spark, sf_dir):
+    code, mappers = samples.mapped_of(A.read(spark, sf_dir, "supplier"))
+    found = java.statements(java.with_module(code), java.with_module(mappers))
+    return found.select("module", "method", "sql", F.array_join("tables.reads", ",").alias("reads"), F.array_join("tables.writes", ",").alias("writes"))
+
+
 @query("scan_flows", samples.expected_of("src, dst", [(f"table:{a}_{{k}}", f"table:{b}_{{k}}") for a, b in (("ods.orders", "dm.facts"), ("dim.u", "dm.facts"), ("dim.v", "dm.facts"), ("ods.plain", "dm.facts"), ("dm.facts", "app.board"), ("ods.audit", "dm.stage"), ("ods.audit", "dm.log"), ("ods.more", "dm.stage"), ("ods.more", "dm.log"), ("ods.keys", "dm.sum"), ("ods.lines", "dm.sum"), ("ods.notes", "dm.sum"), ("ods.orders", "dm.sum"))] + [("source_file:/data/in/orders_{k}*.xlsx", "table:dm.facts_{k}"), ("source_table:legacy_{k}", "table:app.board_{k}")]))
 def _(spark, sf_dir):
     return scan(spark, samples.exports_of(A.read(spark, sf_dir, "supplier")), _sources(spark, sf_dir)).flows
@@ -525,9 +579,9 @@ def _(spark, sf_dir):
     return lineage.lookup(A.lineage_graph(spark, sf_dir)[0], focus, "job", "transformation").select("key", "name")
 
 
-@query("cycle_summary")
+@query("cycle_summary", _CYCLES + "SELECT count(*) AS group_count, coalesce(sum(size), 0)::BIGINT AS table_count, coalesce(sum(edges), 0)::BIGINT AS edge_count FROM g")
 def _(spark, sf_dir):
-    return graph.cycle_summary(graph.cycle_groups(_flows(spark, sf_dir))[0])
+    return graph.cycle_summary(_cycles(spark, sf_dir)[0])
 
 
 @query("catalogue_rows", """SELECT 'db_' || (p_size % 3) AS database_name, 't_' || p_partkey AS object_name, CASE WHEN p_size % 10 = 0 THEN 'view' ELSE 'table' END AS object_kind, p_name AS comment, CASE WHEN p_size % 10 = 0 THEN 'select 1 from ' || p_brand END AS view_definition, c AS column_name FROM part CROSS JOIN (VALUES ('id'), ('price')) v(c) WHERE p_size % 3 < 2""")

@@ -20,13 +20,13 @@ def with_module(files: DataFrame) -> DataFrame:
 
 
 def outlined(files: DataFrame) -> DataFrame:
-    """files with a struct `o`, see javatext.outline."""
-    return files.withColumn("o", J.outline("text"))
+    """files with a struct `o`, see javatext.outline; those that have it stay as they are, so one pass serves all tables."""
+    return files if "o" in files.columns else files.withColumn("o", J.outline("text"))
 
 
 def modules(files: DataFrame) -> DataFrame:
     """(module, kind, extended, implemented, table_name, mapper_entity, service_mapper); of one name the last path counts."""
-    last = outlined(files.groupBy("module").agg(F.max_by("text", "path").alias("text")))
+    last = outlined(files).groupBy("module").agg(F.max_by("o", "path").alias("o"))
     names = F.array_distinct(F.filter(F.transform("o.implemented", J.type_name), lambda x: x != ""))
     kind = F.when(F.col("o.kind").isin("class", "interface"), F.col("o.kind"))
     return last.select("module", kind.alias("kind"), F.get("o.extended", F.lit(0)).alias("extended"), names.alias("implemented"), J.entity_table("o.annotations").alias("table_name"), J.mapper_entity("o.extended").alias("mapper_entity"), J.service_mapper("o.extended").alias("service_mapper"))

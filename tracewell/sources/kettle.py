@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.functions.sqltext import compose_table_name, extract_tables, normalize_name, scoped_key, source_file_name, split_statements, truncate_target
 
@@ -15,15 +16,52 @@ REPOSITORY = (
 )
 
 
-def read_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, text) of whole files; folders are searched for .repo and .xml files. Each file comes once."""
-    raw = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{repo,xml}")
-    return raw.select(F.input_file_name().alias("path"), F.col("value").alias("text")).dropDuplicates(["path"])
+def read_exports(spark: SparkSession, paths: list[str], but: DataFrame | None = None) -> DataFrame:
+    """(path, text) of whole files but some (path); folders are searched for .repo and .xml files. Each file comes once."""
+    listed = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter="*.{repo,xml}").load(paths)
+    if but is not None:
+        listed = listed.join(F.broadcast(but), "path", "left_anti")
+    return listed.dropDuplicates(["path"]).select("path", F.col("content").cast("string").alias("text"))
+
+
+#: Bytes of a file from which its parts are read one by one.
+LARGE = 64 << 20
+
+
+def read_parts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, text, repo) of large files, like parse_exports() of read_exports(), with a row for each job or transformation.
+
+    Spark's XML reader splits files at these elements, so one export is read by many tasks and no task holds it whole. A
+    broken element is a row without a repo; the text between elements isn't looked at, so that files needn't be well-formed.
+    """
+    fields = {f.name: f.dataType for f in T.StructType.fromDDL(REPOSITORY).fields}
+    parts = None
+    for outer, inner in (("jobs", "job"), ("transformations", "transformation")):
+        element = fields[outer][inner].dataType.elementType
+        schema = T.StructType([*element.fields, T.StructField("_bad", T.StringType())])
+        rows = spark.read.format("xml").options(rowTag=inner, columnNameOfCorruptRecord="_bad", mode="PERMISSIVE", recursiveFileLookup="true", pathGlobFilter="*.{repo,xml}").schema(schema).load(paths)
+        one = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_bad").alias("text"), F.struct(*[F.col(f.name) for f in element.fields]).alias("x"))
+        # A reference to a transformation is an element of that name, too, but has no parts.
+        kept = one.where(F.col("text").isNotNull() | F.coalesce(*[F.col(f"x.{f.name}").cast("string") for f in element.fields]).isNotNull())
+        repo = F.struct(*[F.struct(F.array("x").alias(inner)).cast(t).alias(n) if n == outer else F.lit(None).cast(t).alias(n) for n, t in fields.items()])
+        each = kept.select("path", "text", F.when(F.col("text").isNull(), repo).alias("repo"))
+        parts = each if parts is None else parts.unionByName(each)
+    return parts
+
+
+def read_and_parse(spark: SparkSession, paths: list[str], large: int = LARGE) -> DataFrame:
+    """(path, text, repo) of exports: whole files, but those of `large` bytes or more in parts."""
+    listed = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter="*.{repo,xml}").load(paths)
+    big = [r["path"] for r in listed.where(F.col("length") >= large).select("path").distinct().collect()]  # names of files of LARGE bytes
+    if not big:
+        return parse_exports(read_exports(spark, paths))
+    names = spark.createDataFrame([(b,) for b in big], "path string")
+    return parse_exports(read_exports(spark, paths, names)).unionByName(read_parts(spark, big))
 
 
 def parse_exports(files: DataFrame) -> DataFrame:
     """files with a struct `repo`; a malformed file has a null one, which `file_failures` lists."""
-    return files.withColumn("repo", F.from_xml("text", REPOSITORY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "rowTag": "repository"}))
+    return files if "repo" in files.columns else files.withColumn("repo", F.from_xml("text", REPOSITORY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "rowTag": "repository"}))
 
 
 def file_failures(parsed: DataFrame) -> DataFrame:
@@ -54,13 +92,13 @@ def steps(parsed: DataFrame) -> DataFrame:
     return t.where("transformation <> ''").select("path", "transformation", F.explode("steps").alias("step")).select("path", "transformation", scoped_key("transformation", F.trim(F.coalesce("step.name", F.lit("")))).alias("actor"), "step")
 
 
-def _sql_steps(parsed: DataFrame) -> DataFrame:
+def sql_steps(parsed: DataFrame) -> DataFrame:
+    """steps() with their SQL, kind, and tables t of the SQL."""
     return steps(parsed).withColumn("sql", _text("step.sql")).withColumn("kind", _text("step.type")).withColumn("t", F.when(F.col("sql") != "", extract_tables("sql")))
 
 
-def step_facts(parsed: DataFrame) -> DataFrame:
-    """(edge_type, actor, name, object_type) of steps."""
-    s = _sql_steps(parsed)
+def step_facts(s: DataFrame) -> DataFrame:
+    """(edge_type, actor, name, object_type) of sql_steps()."""
     none = F.array().cast("array<string>")
     own = F.coalesce("t.reads", none)
     field = F.when((F.col("kind") == "TableInput") & (F.size(own) == 0), compose_table_name("step.schema", "step.table"))
@@ -71,25 +109,28 @@ def step_facts(parsed: DataFrame) -> DataFrame:
     reads = F.concat(F.transform(own, lambda x: ref(x, kind)), F.array(ref(field, F.lit("data_table")), ref(access, F.lit("source_table"))), F.array(F.struct(file.alias("name"), F.lit("source_file").alias("object_type"))))
     put = F.when(F.col("kind") == "TableOutput", compose_table_name("step.schema", "step.table")).when(F.col("kind") == "InsertUpdate", compose_table_name("step.lookup.schema", "step.lookup.table"))
     writes = F.concat(F.transform(F.coalesce("t.writes", none), lambda x: ref(x, F.lit("data_table"))), F.array(ref(put, F.lit("data_table"))))
-    spread = lambda edge, refs: s.select(F.lit(edge).alias("edge_type"), "actor", F.explode(refs).alias("r")).select("edge_type", "actor", "r.name", "r.object_type")
-    return spread("READS", reads).unionByName(spread("WRITES", writes)).where("name is not null").distinct()
+    edge = lambda kind, refs: F.transform(refs, lambda x: F.struct(F.lit(kind).alias("edge_type"), x["name"].alias("name"), x["object_type"].alias("object_type")))
+    each = s.select("actor", F.explode(F.concat(edge("READS", reads), edge("WRITES", writes))).alias("r"))
+    return each.select("r.edge_type", "actor", "r.name", "r.object_type").where("name is not null").distinct()
 
 
-def _job_statements(parsed: DataFrame) -> DataFrame:
+def job_statements(parsed: DataFrame) -> DataFrame:
+    """(path, actor, sql, t): statements of jobs' SQL entries, with their tables."""
     entries = jobs(parsed).select("path", "job", F.explode("entries").alias("e")).where("trim(e.type) = 'SQL'")
     return entries.select("path", scoped_key("job", F.trim(F.coalesce("e.name", F.lit("")))).alias("actor"), F.explode(split_statements(F.coalesce("e.sql", F.lit("")))).alias("sql")).withColumn("t", extract_tables("sql"))
 
 
-def job_facts(parsed: DataFrame) -> DataFrame:
-    """(edge_type, actor, name, object_type) of jobs' SQL entries; what TRUNCATE names is written, not read."""
-    s = _job_statements(parsed).withColumn("gone", truncate_target("sql"))
-    reads = s.where("gone is null").select(F.lit("READS").alias("edge_type"), "actor", F.explode("t.reads").alias("name"))
-    writes = s.select(F.lit("WRITES").alias("edge_type"), "actor", F.explode(F.array_compact(F.concat("t.writes", F.array("gone")))).alias("name"))
-    return reads.unionByName(writes).select("edge_type", "actor", F.lower("name").alias("name"), F.lit("data_table").alias("object_type")).distinct()
+def job_facts(s: DataFrame) -> DataFrame:
+    """(edge_type, actor, name, object_type) of job_statements(); what TRUNCATE names is written, not read."""
+    gone = truncate_target("sql")
+    named = lambda kind, names: F.transform(names, lambda x: F.struct(F.lit(kind).alias("edge_type"), F.lower(x).alias("name")))
+    none = F.array().cast("array<string>")
+    both = F.concat(named("READS", F.when(gone.isNull(), F.col("t.reads")).otherwise(none)), named("WRITES", F.array_compact(F.concat("t.writes", F.array(gone)))))
+    return s.select("actor", F.explode(both).alias("r")).select("r.edge_type", "actor", "r.name", F.lit("data_table").alias("object_type")).distinct()
 
 
-def sql_failures(parsed: DataFrame) -> DataFrame:
-    """A failure for each different error of a step, and of each of a job entry's statements."""
-    step = _sql_steps(parsed).where("t.error is not null").select("path", F.concat(F.lit("transformation:"), "actor").alias("object_key"), F.col("t.error").alias("message"), "sql")
-    job = _job_statements(parsed).where("t.error is not null").select("path", F.concat(F.lit("job:"), "actor").alias("object_key"), F.col("t.error").alias("message"), "sql")
+def sql_failures(steps: DataFrame, statements: DataFrame) -> DataFrame:
+    """A failure for each different error of a step, of sql_steps(), and of each of a job entry's statements."""
+    step = steps.where("t.error is not null").select("path", F.concat(F.lit("transformation:"), "actor").alias("object_key"), F.col("t.error").alias("message"), "sql")
+    job = statements.where("t.error is not null").select("path", F.concat(F.lit("job:"), "actor").alias("object_key"), F.col("t.error").alias("message"), "sql")
     return step.unionByName(job).distinct().select(F.lit("kettle").alias("source_type"), F.col("path").alias("file_path"), F.lit("sql_parse_error").alias("failure_type"), "message", "object_key", F.col("sql").alias("sql_snippet"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +30,29 @@ def metadata_request(dsn: str | None, databases: list[str] | None) -> tuple[str,
     return dsn.strip(), names
 
 
+#: Settings of a url whose values are secret.
+_SECRET = re.compile(r"(?i)([?&;,(]\s*[\w.-]*(?:password|passwd|pwd|passphrase|secret|token|credential)[\w.-]*\s*=)[^&;,)]*")
+
+
 def redacted(dsn: str) -> str:
-    parts = urlsplit(dsn.removeprefix("jdbc:"))
-    return dsn.replace(f":{parts.password}@", ":***@") if parts.password else dsn
+    """dsn without its password, whether it stands before the host or among the settings."""
+    head, sep, rest = dsn.partition("://")
+    host, slash, tail = rest.partition("/")
+    user, at, place = host.rpartition("@")
+    if at and ":" in user:
+        rest = f"{user.split(':', 1)[0]}:***@{place}{slash}{tail}"
+    return _SECRET.sub(r"\1***", head + sep + rest)
+
+
+def without_secrets(message: str, dsn: str) -> str:
+    """A message that may repeat dsn or parts of it, without what redacted() takes out."""
+    out = message.replace(dsn, redacted(dsn))
+    user, at, _ = dsn.partition("://")[2].partition("/")[0].rpartition("@")
+    secrets = [user.split(":", 1)[1]] if at and ":" in user else []
+    secrets += [m.group(0)[len(m.group(1)) :].strip() for m in _SECRET.finditer(dsn)]
+    for secret in filter(None, secrets):
+        out = out.replace(secret, "***")
+    return _SECRET.sub(r"\1***", out)
 
 
 def catalogue_rows(columns: DataFrame, tables: DataFrame, views: DataFrame, databases: list[str]) -> DataFrame:
@@ -43,9 +64,10 @@ def catalogue_rows(columns: DataFrame, tables: DataFrame, views: DataFrame, data
 
 
 def read_catalogue(spark: SparkSession, jdbc_url: str, databases: list[str], **options: str) -> DataFrame:
-    """catalogue_rows over JDBC; the schema filter reaches the server."""
+    """catalogue_rows over JDBC. Each schema is a partition of its own, read over its own connection with its filter."""
     try:
-        table = lambda name: spark.read.format("jdbc").options(url=jdbc_url, dbtable=f"information_schema.{name}", **options).load()
+        of = [f"table_schema = '{d.replace(chr(39), chr(39) * 2)}'" for d in databases]
+        table = lambda name: spark.read.options(**options).jdbc(jdbc_url, f"information_schema.{name}", predicates=of)
         return catalogue_rows(*(t.toDF(*[c.lower() for c in t.columns]) for t in map(table, ("columns", "tables", "views"))), databases)
     except Exception as e:
         said = str(e)
@@ -53,7 +75,7 @@ def read_catalogue(spark: SparkSession, jdbc_url: str, databases: list[str], **o
             raise MetadataConnectionError("the host is unknown or can't be reached") from e
         if "No suitable driver" in said or "ClassNotFound" in said:
             raise MetadataConnectionError("the JDBC driver is missing") from e
-        raise MetadataConnectionError(said.splitlines()[0]) from e
+        raise MetadataConnectionError(without_secrets(said.splitlines()[0], jdbc_url)) from e
 
 
 def metadata_objects(rows: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def arriving_texts(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 
 def export_facts(files: DataFrame) -> DataFrame:
     """(edge_type, actor, name, object_type) of Kettle exports, batch or stream."""
-    return kettle.step_facts(kettle.parse_exports(files))
+    return kettle.step_facts(kettle.sql_steps(kettle.parse_exports(files)))
 
 
 def method_rows(files: DataFrame) -> DataFrame:
