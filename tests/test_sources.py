@@ -221,25 +221,3 @@ def test_a_scan_that_breaks_is_failed_and_leaves_the_graph(spark, tmp_path):
     # Tables that were written without their manifest don't count.
     (tmp_path / "g/graphs/half").mkdir()
     assert sorted(map(tuple, load(spark, folder).nodes.collect()), key=str) == before
-
-
-def test_large_exports_are_read_in_parts(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/one.repo").write_text(samples.EXPORT)
-    whole, parts = kettle.parse_exports(kettle.read_exports(spark, [str(tmp_path / "in")])), kettle.read_and_parse(spark, [str(tmp_path / "in")], large=1)
-    assert parts.count() == 3
-    for f in (lambda p: kettle.step_facts(kettle.sql_steps(p)), lambda p: kettle.job_facts(kettle.job_statements(p)), kettle.calls):
-        assert sorted(map(tuple, f(parts).collect())) == sorted(map(tuple, f(whole).collect())) != []
-    assert kettle.file_failures(parts).count() == 0
-
-
-def test_many_parts_of_one_file_are_read_by_many_tasks(spark, tmp_path):
-    body = "".join(f"<transformation><name>t{k}</name><step><name>s</name><type>TableInput</type><sql>select * from ods.t{k}</sql></step></transformation>" for k in range(4000))
-    (tmp_path / "big.repo").write_text(f"<repository><transformations>{body}</transformations></repository>")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
-    try:
-        parts = kettle.read_and_parse(spark, [str(tmp_path)], large=100_000)
-        assert kettle.step_facts(kettle.sql_steps(parts)).count() == 4000
-        assert parts.select(F.spark_partition_id()).distinct().count() > 2
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")

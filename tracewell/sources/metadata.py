@@ -31,7 +31,7 @@ def metadata_request(dsn: str | None, databases: list[str] | None) -> tuple[str,
 
 
 #: Settings of a url whose values are secret.
-_SECRET = re.compile(r"(?i)([?&;,(]\s*[\w.-]*(?:password|passwd|pwd|passphrase|secret|token|credential)[\w.-]*\s*=)[^&;,)]*")
+_SECRET = re.compile(r"(?i)([?&;,(]\s*[\w.-]*(?:password|passwd|pwd|passphrase|secret|token|credential)[\w.-]*\s*=)[^&;,)\s]*")
 
 
 def redacted(dsn: str) -> str:
