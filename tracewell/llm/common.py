@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import os
 import tempfile
@@ -88,6 +89,13 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
 _memory: dict = {}
 
 
+def _trim() -> None:
+    """Gives memory that this process has freed back to the system, where the C library can; workers live for many tasks."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def remembered(kind: object, make: Callable[[], object] | None = None) -> object:
     """What this Python worker remembers from task to task of one kind, made on first use.
 
@@ -97,6 +105,7 @@ def remembered(kind: object, make: Callable[[], object] | None = None) -> object
     if kind not in _memory:
         _memory.clear()
         pa.default_memory_pool().release_unused()
+        _trim()
         if make is not None:
             _memory[kind] = make()
     return _memory.get(kind)
