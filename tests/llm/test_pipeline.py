@@ -28,7 +28,7 @@ def test_stages(spark, docs, tmp_path):
 
 
 def test_registered():
-    assert sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0])) == list(QUERIES) and len(QUERIES) == 10 and set(ORACLE) <= set(QUERIES)
+    assert sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0])) == list(QUERIES) and len(QUERIES) == 13 and set(ORACLE) <= set(QUERIES)
 
 
 def test_components(spark):
