@@ -221,3 +221,22 @@ def test_a_scan_that_breaks_is_failed_and_leaves_the_graph(spark, tmp_path):
     # Tables that were written without their manifest don't count.
     (tmp_path / "g/graphs/half").mkdir()
     assert sorted(map(tuple, load(spark, folder).nodes.collect()), key=str) == before
+
+
+def test_files_come_once_whatever_links_lead_to_them(spark, tmp_path):
+    (tmp_path / "a b+c").mkdir()
+    (tmp_path / "other").mkdir()
+    own, more = tmp_path / "a b+c" / "Orders.java", tmp_path / "other" / "Parts.java"
+    own.write_text("class Orders {}")
+    more.write_text("class Parts {}")
+    (tmp_path / "other" / "Aliased.java").symlink_to(own)
+    (tmp_path / "folder").symlink_to(tmp_path / "other")
+    roots = [str(tmp_path / "a b+c"), str(tmp_path / "other"), str(tmp_path), str(tmp_path / "folder")]
+    got = java.read_texts(spark, roots, "*.java").collect()
+    assert sorted((r.module, r.text) for r in got) == [("Orders", "class Orders {}"), ("Parts", "class Parts {}")]
+    (only,) = java.read_texts(spark, [str(tmp_path / "other" / "Aliased.java")], "*.java").collect()
+    assert only.module == "Aliased"
+    (tmp_path / "broken.xml").write_text("<repository><jobs>")
+    (tmp_path / "copy.repo").symlink_to(tmp_path / "broken.xml")
+    (bad,) = kettle.file_failures(kettle.parse_exports(kettle.read_exports(spark, [str(tmp_path)]))).collect()
+    assert bad.file_path.endswith("/broken.xml")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import javatext, sqltext
-from tracewell.operators import calls, failures, graph, lineage
+from tracewell.operators import calls, failures, graph, lineage, search
+from tracewell.operators.checkpoints import keep
 from tracewell.plans import adapters as A
 from tracewell.plans import samples
 from tracewell.plans.scan import program, scan
@@ -195,6 +197,15 @@ def _(spark, sf_dir):
     return lineage.search(n, "an_0").unionByName(lineage.search(n, "ia")).distinct()
 
 
+# As object_search, from stored postings: patterns with wildcards, of letters in either case, and too short for a gram.
+@query("object_search_index", _NODES + "SELECT * FROM n WHERE " + " OR ".join(f"key ILIKE '%{p}%' OR name ILIKE '%{p}%'" for p in ("an_0", "SUPPLIER#%7", "mer#0000__1", "ia")))
+def _(spark, sf_dir):
+    own = A.nodes(spark, sf_dir)
+    index = keep(search.postings(own).repartitionByRange("gram", "key").sortWithinPartitions("gram", "key"))
+    found = [search.search(index, p) for p in ("an_0", "SUPPLIER#%7", "mer#0000__1", "ia")]
+    return reduce(DataFrame.unionByName, found).distinct().select(*own.columns)
+
+
 @query("object_list", _NODES + "SELECT key, name FROM n WHERE coalesce(object_type, 'data_table') = 'data_table' AND contains(lower(name), '00')")
 def _(spark, sf_dir):
     return lineage.list_objects(A.nodes(spark, sf_dir), "data_table", " 00 ").select("key", "name")

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import javatext as J
 from tracewell.functions.sqltext import extract_tables, mapper_sql, xml_sql
+from tracewell.sources.files import read_whole
 
 
 def read_texts(spark: SparkSession, roots: list[str], pattern: str) -> DataFrame:
-    """(path, module, text) of files below roots; each file once. The module is the file's name without its ending."""
-    raw = spark.read.text(roots, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    return with_module(raw.select(F.input_file_name().alias("path"), F.col("value").alias("text")).dropDuplicates(["path"]))
+    """(path, module, text) of files below roots; each file once, whatever links lead to it. The module is the file's name
+    without its ending."""
+    return with_module(read_whole(spark, roots, pattern))
 
 
 def with_module(files: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.sqltext import compose_table_name, extract_tables, normalize_name, scoped_key, source_file_name, split_statements, truncate_target
+from tracewell.sources.files import read_whole
 
 _STEP = "struct<name:string,type:string,sql:string,schema:string,table:string,table_name:string,file:struct<name:string,filemask:string>,lookup:struct<schema:string,table:string>>"
 _ENTRY = "struct<name:string,type:string,transname:string,connection:string,sql:string>"
@@ -16,9 +17,9 @@ REPOSITORY = (
 
 
 def read_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, text) of whole files; folders are searched for .repo and .xml files. Each file comes once."""
-    listed = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter="*.{repo,xml}").load(paths)
-    return listed.dropDuplicates(["path"]).select("path", F.col("content").cast("string").alias("text"))
+    """(path, text) of whole files; folders are searched for .repo and .xml files. Each file comes once, whatever links
+    lead to it."""
+    return read_whole(spark, paths, "*.{repo,xml}")
 
 
 def parse_exports(files: DataFrame) -> DataFrame:
