@@ -4,19 +4,18 @@ import re
 from tracewell.llm import decontaminate
 
 
-def test_against_brute_force(spark, docs, rows, texts):
-    long = texts[9] if len(texts[9].split()) > 20 else texts[7]
-    items = spark.createDataFrame([(1, texts[41]), (2, long.upper()), (3, "alpha1"), (4, None), (None, "beta2"), (5, "!!"), (6, texts[41]), (10, texts[41][20:300])], "item_id long, text string")
+def brute(rows, items):
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of rows (doc_id, text), in their order."""
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
     windows = {}
-    for r in items.collect():
-        w = word.findall(low(r.text or ""))
+    for item, text in items:
+        w = word.findall(low(text or ""))
         n = min(13, len(w))
-        if w and r.item_id is not None:
+        if w and item is not None:
             for k in range(len(w) - n + 1):
-                windows.setdefault(tuple(w[k : k + n]), set()).add(r.item_id)
-    want = []
+                windows.setdefault(tuple(w[k : k + n]), set()).add(item)
+    out = []
     for i, t in rows:
         w, hit, met = word.findall(low(t)), set(), set()
         for n in {len(x) for x in windows}:
@@ -24,7 +23,14 @@ def test_against_brute_force(spark, docs, rows, texts):
                 if own := windows.get(tuple(w[k : k + n])):
                     met |= own
                     hit |= set(range(k, k + n))
-        want.append((i, len(w), len(hit), len(met), hashlib.sha256(",".join(sorted(map(str, met))).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+        out.append((i, len(w), len(hit), len(met), hashlib.sha256(",".join(sorted(map(str, met))).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    return out
+
+
+def test_against_brute_force(spark, docs, rows, texts):
+    long = texts[9] if len(texts[9].split()) > 20 else texts[7]
+    items = spark.createDataFrame([(1, texts[41]), (2, long.upper()), (3, "alpha1"), (4, None), (None, "beta2"), (5, "!!"), (6, texts[41]), (10, texts[41][20:300])], "item_id long, text string")
+    want = brute(rows, [tuple(r) for r in items.collect()])
     found = decontaminate.decontaminate(docs, items)
     got = [tuple(r)[:6] for r in found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)

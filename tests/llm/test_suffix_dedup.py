@@ -7,7 +7,8 @@ import pytest
 from tracewell.llm import stages, suffix_dedup
 
 
-def brute(texts, length):
+def covered(texts, length):
+    """Which bytes of each text lie in a string of that length which starts elsewhere, too."""
     seen = Counter(b[k : k + length] for b in texts for k in range(len(b) - length + 1))
     out = []
     for b in texts:
@@ -16,10 +17,16 @@ def brute(texts, length):
             if seen[b[k : k + length]] > 1:
                 gone[k] += 1
                 gone[k + length] -= 1
-        covered = np.cumsum(gone)[:-1] > 0
-        kept = bytes(x for x, g in zip(b, covered, strict=True) if not g)
-        runs = int((np.diff(covered.astype(int), prepend=0) == 1).sum())
-        out.append((len(b), int(covered.sum()), runs, hashlib.sha256(kept).hexdigest()))
+        out.append(np.cumsum(gone)[:-1] > 0)
+    return out
+
+
+def brute(texts, length):
+    out = []
+    for b, gone in zip(texts, covered(texts, length), strict=True):
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        runs = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+        out.append((len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
     return out
 
 
