@@ -89,11 +89,11 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
 _memory: dict = {}
 
 
-def _trim() -> None:
+def trim() -> None:
     """Gives memory that this process has freed back to the system, where the C library can; workers live for many tasks."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
 
 
 def remembered(kind: object, make: Callable[[], object] | None = None) -> object:
@@ -105,7 +105,7 @@ def remembered(kind: object, make: Callable[[], object] | None = None) -> object
     if kind not in _memory:
         _memory.clear()
         pa.default_memory_pool().release_unused()
-        _trim()
+        trim()
         if make is not None:
             _memory[kind] = make()
     return _memory.get(kind)

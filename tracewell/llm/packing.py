@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import own_columns, shuffle_width
+from tracewell.llm.common import own_columns, remembered, shuffle_width
 from tracewell.llm.tokens import crc32_ids, pack_ids, tokenize, unpack_ids
 
 #: Bytes of text that make a group; a group is packed in one task.
@@ -86,7 +86,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, q
     rows = tokenize(docs, tokenizer, end_id).withColumn("grp", F.pmod(F.xxhash64("doc_id", "salt"), F.lit(groups)))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = remembered("packing", lambda: zstandard.ZstdCompressor(level=1))  # in place of what tokenizing knew
         pdf = pdf.sort_values(["doc_id", "salt", "ids_crc32"], kind="stable").reset_index(drop=True)
         out = []
         lengths = pdf["n_tokens"].tolist()

@@ -7,7 +7,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +15,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, pre_tokenizers
 
-from tracewell.llm.common import as_bytes, batch, chunks, remembered, spans
+from tracewell.llm.common import as_bytes, batch, chunks, remembered, slices, spans, trim
 
 #: Distinct words whose ids a worker remembers; beyond that it forgets those seen once.
 REMEMBERED = 400_000
 #: Words encoded in one call, with a word of its own between any two.
 AT_ONCE = 64
+#: Texts of a batch that are Python objects at once.
+SLICE = 2000
 MARK = "\x01"
 #: Stands for the end of a text among its words; no text holds these bytes.
 END = b"\xff\xfe"
@@ -105,11 +107,15 @@ class WordEncoder:
     def _forget(self) -> None:
         """Keeps words met again, or half as many as may be remembered."""
         keep = np.union1d([0], np.flatnonzero(self.again.data[: self.again.n])[-REMEMBERED // 2 :])
-        words, numbers = list(self.numbers), _Numbers()
-        for k in keep.tolist():
-            numbers[words[k]]
+        chosen = np.zeros(len(self.numbers), bool)
+        chosen[keep] = True
+        words = list(compress(self.numbers, chosen.tolist()))
+        self.numbers = numbers = _Numbers()  # the old one goes before the new one grows
+        for w in words:
+            numbers[w]
         numbers.fresh.clear()
         self._start(numbers, *self._known(keep))
+        trim()
 
     def _runs(self, text: list[str], between: str, tokenizer: Tokenizer) -> np.ndarray:
         runs = [between.join(text[k : k + AT_ONCE]) for k in range(0, len(text), AT_ONCE)]
@@ -253,7 +259,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 1, counts: bool = False)
         encoder, squeeze = encoder_of(path, end_id), zstandard.ZstdCompressor(level=1)
         out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("salt", pa.int64())])
         place, sums = 0, np.zeros(0, np.int64)
-        for b in batches:
+        for b in chain.from_iterable(slices(x, SLICE) for x in batches):
             for doc_ids, texts in chunks(b.column("doc_id").to_pylist(), as_bytes(b.column("text"))):
                 ids, lengths = encoder.encode(texts)
                 parts = np.split(ids, np.cumsum(lengths)[:-1])
