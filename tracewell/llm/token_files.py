@@ -90,36 +90,34 @@ def encode_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tupl
     return words.astype(">u4").tobytes()[: (end + 7) // 8], at[::EVERY]
 
 
-def decode_table(lengths: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
-    """Id and length for each value of the next `limit` bits."""
-    ids, sizes = np.zeros(1 << limit, dtype=np.uint32), np.zeros(1 << limit, dtype=np.uint8)
+def decode_table(lengths: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+    """Id and length, as id * 256 + length, for each value of the next `limit` bits."""
+    out = np.zeros(1 << limit, dtype=np.int64)
     codes = canonical(lengths)
     used = np.flatnonzero(lengths)
     used = used[np.argsort(codes[used] << (np.uint64(limit) - lengths[used].astype(np.uint64)))]
     wide = np.int64(1) << (limit - lengths[used].astype(np.int64))
-    ids[: wide.sum()] = np.repeat(used, wide)
-    sizes[: wide.sum()] = np.repeat(lengths[used], wide)
-    return ids, sizes
+    out[: wide.sum()] = np.repeat(used << 8 | lengths[used], wide)
+    return out
 
 
-def decode_bits(bits: bytes, marks: np.ndarray, total: int, table: tuple[np.ndarray, np.ndarray], limit: int = LIMIT) -> np.ndarray:
+def decode_bits(bits: bytes, marks: np.ndarray, total: int, table: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """`total` ids, from all marks side by side."""
     if not total:
         return np.zeros(0, np.uint32)
-    ids, sizes = table
-    data = np.frombuffer(bits + bytes(8), dtype=np.uint8).astype(np.uint32)
+    data = np.frombuffer(bits + bytes(8), dtype=np.uint8).astype(np.int64)
     words = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]
     at = np.asarray(marks, dtype=np.int64).copy()
     out = np.zeros((EVERY, len(at)), dtype=np.uint32)
-    mask, last = np.uint32((1 << limit) - 1), total - EVERY * (len(at) - 1)
+    mask, last = (1 << limit) - 1, total - EVERY * (len(at) - 1)
     for k in range(EVERY):
         if k == last:  # the last mark has fewer ids
             at = at[:-1]
         if not len(at):
             break
-        look = (words[at >> 3] >> (32 - limit - (at & 7)).astype(np.uint32)) & mask
-        out[k, : len(at)] = ids[look]
-        at = at + sizes[look]
+        found = table[(words[at >> 3] >> (32 - limit - (at & 7))) & mask]
+        out[k, : len(at)] = found >> 8
+        at += found & 255
     return out.T.reshape(-1)[:total]
 
 
