@@ -132,7 +132,7 @@ class WordEncoder:
         # Small letters up to \xff stay as they are and make one word, whose last id says so. Of others it is up to the
         # tokenizer what they become, so they get a mark behind them; those that may hold a special token or the mark are
         # encoded alone.
-        kind = np.array([0 if x.isalpha() and max(x) <= "\xff" and x == x.lower() else 2 if "<|" in x or MARK in x else 1 for x in text])
+        kind = np.array([0 if x.isalpha() and (x.isascii() or max(x) <= "\xff") and x == x.lower() else 2 if "<|" in x or MARK in x else 1 for x in text])
         every: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for k, between, tokenizer in ((0, " ", self.plain), (1, f" {MARK} ", self.tokenizer), (2, None, None)):
             if not len(at := np.flatnonzero(kind == k)):
