@@ -240,3 +240,23 @@ def test_files_come_once_whatever_links_lead_to_them(spark, tmp_path):
     (tmp_path / "copy.repo").symlink_to(tmp_path / "broken.xml")
     (bad,) = kettle.file_failures(kettle.parse_exports(kettle.read_exports(spark, [str(tmp_path)]))).collect()
     assert bad.file_path.endswith("/broken.xml")
+
+
+def test_texts_of_one_file_are_dealt_to_all_cores(spark, tmp_path, monkeypatch):
+    """A table in one row group was parsed by one task."""
+    from pyspark.sql import functions as F
+
+    from tracewell import registry
+    from tracewell.operators.checkpoints import spread
+    from tracewell.plans import samples, scan
+
+    spark.range(200).select(F.col("id").alias("c_custkey"), F.lit("A").alias("c_mktsegment"), F.lit(3).alias("c_nationkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    dealt = []
+    spy = lambda df: dealt.append(spread(df).select(F.spark_partition_id()).distinct().count()) or spread(df)
+    monkeypatch.setattr(registry, "spread", spy)
+    assert registry.QUERIES["sql_reads_writes"](spark, str(tmp_path)).count() == 200
+    assert registry.QUERIES["sql_flows"](spark, str(tmp_path)).count() == 1
+    monkeypatch.setattr(scan, "spread", spy)
+    suppliers = spark.range(20).select(F.col("id").alias("s_suppkey")).coalesce(1)
+    scan.program(samples.sources_of(suppliers))
+    assert len(dealt) == 3 and min(dealt) >= 4
