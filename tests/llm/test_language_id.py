@@ -89,3 +89,14 @@ def test_query_against_plain_chains(spark, docs, monkeypatch):
             lang, score = m.languages[int(mean.argmax())], float(mean.max())
         want.append((i, i is not None and zlib.crc32(str(i).encode()) % 4 == 2, lang, round(score, 4)))
     assert sorted(((r.doc_id, r.held_out, r.lang_pred, round(r.score, 4)) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_features_of_many_words_are_those_of_each(monkeypatch):
+    plain, other = [b"a", b"to", b"word", b"longer", b"x" * 300], [w.encode() for w in ("é", "été", "漢字", "naïveté", "𝒳y𝒳𝒳z")]
+    want = {w: L.features(w) for w in plain + other}
+    for words, ascii_only in ((plain, True), (other, False), (plain[:1], True), (other[:1], False)):
+        flat, sizes = L.features_of(words, ascii_only)
+        assert flat.tolist() == [x for w in words for x in want[w]] and sizes.tolist() == [len(want[w]) for w in words]
+    monkeypatch.setattr(L, "features", lambda _: 1 / 0)  # words are rated all at once
+    model = L.Model(["a", "b"], np.ones((L.WIDTH, 2)), {}, np.zeros((2, 2)), np.zeros((2, 2)))
+    assert np.allclose(model.emissions([*plain, b"", *other])[:, 0], [len(want[w]) ** 0.5 for w in plain] + [0.0] + [len(want[w]) ** 0.5 for w in other])

@@ -60,6 +60,49 @@ def features(c: bytes) -> list[int]:
     return [x & (WIDTH - 1) for x in out]
 
 
+#: What a byte with so many behind it adds to a crc32 (the places of a crc add up by xor), within WIDTH; and what the crc32 of
+#: so many zeros is, begun with a number.
+_ADDS = np.array([[(zlib.crc32(bytes([b]) + bytes(k)) ^ zlib.crc32(bytes(k + 1))) & (WIDTH - 1) for b in range(256)] for k in range(16)], dtype=np.uint16)
+_ZEROS = np.array([[zlib.crc32(bytes(k), x) & (WIDTH - 1) for k in range(17)] for x in range(35)], dtype=np.int64)
+
+
+def features_of(cores: list[bytes], ascii_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """features() of words with letters, one after the other, and how many each has; of words all with letters beyond ASCII, or
+    all without. All words at once: a piece of up to 4 letters, 16 bytes, is told by where it begins and its bytes."""
+    text = np.frombuffer(b"".join(cores), np.uint8)
+    size = np.fromiter(map(len, cores), np.int64, len(cores))
+    letters = np.flatnonzero((text & 0xC0) != 0x80)
+    begin = np.searchsorted(letters, np.cumsum(size) - size)
+    n, letters = np.diff(begin, append=len(letters)), np.append(letters, len(text))
+    added = [_ADDS[0][text]]  # added[m - 1][p]: what the m bytes from p on add up to
+    for k in range(1, min(4 if ascii_only else 16, len(text))):
+        added.append(np.zeros_like(added[0]))
+        added[k][: len(text) - k] = _ADDS[k][text[: len(text) - k]] ^ added[k - 1][1 : len(text) - k + 1]
+    added = np.stack(added)
+    lengths = (2, 3, 4) if ascii_only else (1, 2, 3, 4)  # a letter beyond ASCII tells by itself
+    grams = [np.clip(n - k + 1, 0, None) for k in lengths]
+    sizes = 1 + 2 * np.minimum(n, 4) + sum(grams)
+    first = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.int64)
+
+    def put(to: np.ndarray, letter: np.ndarray, k: int, number: int) -> None:
+        start = letters[letter]
+        m = letters[letter + k] - start
+        out[to] = added[m - 1, start] ^ _ZEROS[number][m]
+
+    out[first] = np.fromiter((zlib.crc32(c, 1) & (WIDTH - 1) for c in cores), np.int64, len(cores))
+    for k in (1, 2, 3, 4):
+        able = n >= k
+        put(first[able] + 2 * k - 1, begin[able], k, 10 + k)
+        put(first[able] + 2 * k, (begin + n)[able] - k, k, 20 + k)
+    at = first + 1 + 2 * np.minimum(n, 4)
+    for k, some in zip(lengths, grams, strict=True):
+        own = spans(some)
+        put(np.repeat(at, some) + own, np.repeat(begin, some) + own, k, 30 + k)
+        at = at + some
+    return out, sizes
+
+
 class Rated:
     """Distinct words met so far, with their scores and whether they have letters."""
 
@@ -80,11 +123,13 @@ class Model:
     def emissions(self, cores: list[bytes]) -> np.ndarray:
         """Log scores of each language for words given by their letters; zero for words without."""
         out = np.zeros((len(cores), len(self.languages)))
-        if some := [k for k, c in enumerate(cores) if c]:
-            found = [features(cores[k]) for k in some]
-            sizes = np.array([len(x) for x in found])
-            flat = self.weights[np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(sizes.sum()))]
-            out[some] = np.add.reduceat(flat, np.cumsum(sizes) - sizes, axis=0) / np.sqrt(sizes)[:, None]
+        plain = [k for k, c in enumerate(cores) if c and c.isascii()]
+        other = [k for k, c in enumerate(cores) if c and not c.isascii()]
+        for some in (plain, other):
+            if not some:
+                continue
+            flat, sizes = features_of([cores[k] for k in some], some is plain)
+            out[some] = np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0) / np.sqrt(sizes)[:, None]
             for k in some:
                 if (flags := self.lexicon.get(cores[k])) is not None:
                     out[k] += flags @ self.lexical
