@@ -77,3 +77,23 @@ def test_missing_and_shared_ids_train_all_the_same(spark):
         got = Q.classify(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect()
         scores = sorted(r.score for r in got)
         assert len(got) == len(texts) and sum(r.keep for r in got) == len(good) * 3 and scores[0] < 0.3 < 0.7 < scores[-1]
+
+
+def test_votes_need_nothing_of_the_scorer_and_shapes_are_told_at_once(monkeypatch):
+    texts = [t.encode() for t in ("Plain words a b !! CAPS ÉTÉ naïve 漢字漢字 | ## 12345 ²² aaa---bbb", "", "x " * 40, "\x00\x00\x00 !!! ǅǅǅ")]
+    whole = Q.examine(texts, Q.Words())
+    monkeypatch.setattr(Q, "shape", lambda _: 1 / 0)
+    n, votes, features, owner = Q.examine(texts, Q.Words(scored=False))
+    assert (n == whole[0]).all() and (votes == whole[1]).all() and not len(features) and not len(owner)
+    monkeypatch.undo()
+
+    def plainly(word):
+        out = []
+        for c in word.decode("utf-8", "replace"):
+            k = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
+            if out[-2:] != [k, k]:
+                out.append(k)
+        return "".join(out)[:12].encode()
+
+    words = [w for t in texts for w in t.split()] + [b"ab\xff\xff\xffC", "ⅷⅷⅷ99".encode()]
+    assert [Q.shape(w) for w in words] == [plainly(w) for w in words]

@@ -43,53 +43,73 @@ LABELLERS = (
 )
 _LEAST_WORDS = {"repetition": 30, "stutter": 8, "length": 20, "clutter": 10}
 
+#: Kinds of ASCII characters, and what is neither letter nor digit; longer runs than two.
+_KINDS = bytes(65 if 65 <= c < 91 else 97 if 97 <= c < 123 else 57 if 48 <= c < 58 else c for c in range(256))
+_PLAIN = bytes(c for c in range(256) if not bytes([c]).isalnum())
+_RUN, _RUN_OF_TEXT = re.compile(rb"(.)\1{2,}", re.DOTALL), re.compile(r"(.)\1{2,}", re.DOTALL)
 _BANG, _SYMBOLS = re.compile(rb"[!?]{2}"), re.compile(rb"[#$%&*@^~=+<>\\]{2}")
 
 
+class _Kinds(dict):
+    """Of characters beyond ASCII too, for str.translate."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = kind = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
+        return kind
+
+
+_kinds = _Kinds()
+
+
 def shape(word: bytes) -> bytes:
     """Its kinds of characters, runs of one kind cut to two."""
-    text, out = word.decode("utf-8", "replace"), []
-    for c in text:
-        k = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
-        if len(out) < 2 or out[-1] != k or out[-2] != k:
-            out.append(k)
-    return "".join(out)[:12].encode()
+    if word.isascii():
+        return _RUN.sub(rb"\1\1", word.translate(_KINDS))[:12]
+    return _RUN_OF_TEXT.sub(r"\1\1", word.decode("utf-8", "replace").translate(_kinds))[:12].encode()
 
 
 class Words:
-    """Numbers of distinct words, and what labellers and scorer know of each."""
+    """Numbers of distinct words, and what labellers know of each; the scorer too, unless `scored` is false."""
 
-    def __init__(self):
+    def __init__(self, scored: bool = True):
+        self.scored = scored
         self.known: dict[bytes, int] = {}
         self.flags, self.hashed = np.zeros((0, 4), bool), np.zeros((0, 4), np.int64)
 
     def look(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > REMEMBERED:
-            self.__init__()
+            self.__init__(self.scored)
         known, fresh = self.known, []
         for w in words:
             if w not in known:
                 known[w] = len(known)
                 fresh.append(w)
         if fresh:
-            flags, hashed = [], []
+            flags, hashed, scored = [], [], self.scored
             for w in fresh:
+                if w.isascii():
+                    n, plain = len(w), w.isalnum()
+                    flags.append((n > 1 and w.isupper(), not plain and _BANG.search(w) is not None, n == 1 and w in b"|/\\-_=+*#~<>", not plain and _SYMBOLS.search(w) is not None))
+                    hashed.append((zlib.crc32(w.lower(), 3) % WIDTH if scored else 0, zlib.crc32(shape(w)) if scored else 0, n, n if plain else len(w.translate(None, _PLAIN))))
+                    continue
                 text = w.decode("utf-8", "replace")
-                flags.append((len(text) > 1 and text.isupper(), _BANG.search(w) is not None, len(text) == 1 and w in b"|/\\-_=+*#~<>", _SYMBOLS.search(w) is not None))
-                s = zlib.crc32(shape(w))
-                hashed.append((zlib.crc32(w.lower(), 3) % WIDTH, s, len(text), sum(map(str.isalnum, text))))
+                plain = text.isalnum()
+                flags.append((len(text) > 1 and text.isupper(), not plain and _BANG.search(w) is not None, False, not plain and _SYMBOLS.search(w) is not None))
+                hashed.append((zlib.crc32(w.lower(), 3) % WIDTH if scored else 0, zlib.crc32(shape(w)) if scored else 0, len(text), len(text) if plain else sum(map(str.isalnum, text))))
             self.flags = np.concatenate([self.flags, np.array(flags, dtype=bool)])
             self.hashed = np.concatenate([self.hashed, np.array(hashed, dtype=np.int64)])
         return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
 
-def known_words() -> Words:
+def known_words(scored: bool = True) -> Words:
     """One for a worker: what it knows of words serves all its tasks."""
-    return remembered("quality", Words)
+    return remembered(("quality", scored), lambda: Words(scored))
 
 
 def examine(texts: list[bytes], memory: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, votes, features, owner): numbers of words, votes -1, 0, 1, and a document's hashed features in turn."""
+    """(words, votes, features, owner): numbers of words, votes -1, 0, 1, and a document's hashed features in turn; none of these
+    from a memory without what the scorer knows."""
     split = [t.split() for t in texts]
     n = np.array([len(w) for w in split], dtype=np.int64)
     at = memory.look(list(chain.from_iterable(split)))
@@ -111,6 +131,8 @@ def examine(texts: list[bytes], memory: Words) -> tuple[np.ndarray, np.ndarray,
     for k, (name, junk, good) in enumerate(LABELLERS):
         able = enough.get(name, n >= _LEAST_WORDS.get(name, 1)) & (n > 0)
         votes[:, k] = np.where(able & (share[name] >= junk), -1, np.where(able & (share[name] <= (-1.0 if good is None else good)), 1, 0))
+    if not memory.scored:
+        return n, votes, np.zeros(0, np.int64), np.zeros(0, np.int64)
     word, form = memory.hashed[at, 0], memory.hashed[at, 1]
     after = np.where(place + 1 < n[doc], np.roll(form, -1), 0)
     features = np.stack([word, form % WIDTH, (form * 31 + after * 17) % WIDTH, np.where(again, 7, form % 5 + 11)], axis=1)
@@ -167,7 +189,7 @@ def fit(rows: list[tuple[list[int], list[float], float]], prior: float = 0.5, pa
 
 def _votes(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = known_words()
+        memory = known_words(scored=False)
         for b in batches:
             for ids, texts in chunks(b.column("doc_id").to_pylist(), as_bytes(b.column("text"))):
                 n, votes, _, _ = examine(texts, memory)
