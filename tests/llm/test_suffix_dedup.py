@@ -1,10 +1,13 @@
 import hashlib
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from tracewell.llm import stages, suffix_dedup
+from tracewell.llm.common import SHUFFLE_CLEANUP, scratch_tables
 
 
 def covered(texts, length):
@@ -62,3 +65,18 @@ def test_stage_keeps_emptied_rows(spark):
     out = stages.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()
     got = {r.doc_id: (r.text, r.n_chars) for r in out}
     assert got == {1: ("", 0), 2: ("before it  behind it", 20), 3: ("alone", 5), 4: (None, None), 5: ("", 0)}
+
+
+def test_tables_and_shuffles_go_when_read(spark, docs):
+    """Tables and shuffle files of earlier steps don't add up to the disk of later ones."""
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {p for d in dirs for p in Path(d).glob("*/shuffle_*.data")}
+    before, tables = shuffled(), len(scratch_tables())
+    suffix_dedup.remove_repeats(docs, 50)
+    names = [t._scratch.rsplit("/", 1)[1].split("-")[0] for t in scratch_tables()[tables:]]
+    assert sorted(names) == ["strings", "texts", "twice", "whole", "whole"]
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(SHUFFLE_CLEANUP) == "false"

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import GOLD, chunks, mix, own_columns, remembered, slices, spans, squeezed, stash, unsqueezed
+from tracewell.llm.common import GOLD, chunks, drop, mix, own_columns, remembered, slices, spans, squeezed, stash, unsqueezed
 
 _BYTE_IDS = mix(np.arange(1, 257, dtype=np.uint64) * GOLD)
 _K = np.uint64(0xD6E8FEB86659FD93)
@@ -182,18 +182,21 @@ def _per_row(refined: DataFrame) -> DataFrame:
 
 
 def settle(own: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(whole, to refine): segments all of whose strings are repeated, and those to be taken apart.
+    """(whole, to refine): segments all of whose strings are repeated, and those to be taken apart; both written down, and
+    all tables on the way there deleted.
 
     A segment stands for `members` with equal bytes. Each class in a bucket with several is to be refined, once.
     """
     # What is written down first reaches a join by an exchange alone, so that a hot bucket's rows can be split there.
     shared = stash(own.groupBy("gram").agg(F.sum("members").alias("n")).where("n > 1").select("gram"), "shared")
     met = stash(own.join(shared, "gram"), "segments")
+    drop(shared)
     one = F.struct("row", "lo", "hi")
     several = stash(met.groupBy("gram", "equal").agg(F.sum("members").alias("members"), F.min(one).alias("first")), "classes")
     mixed = stash(several.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1").select("gram"), "mixed")
     refined = stash(several.join(mixed, "gram", "left_semi").select("first.row", "first.lo", "first.hi", "members"), "refine")
-    whole = met.where("members = 1").join(several.where("members > 1").select("gram", "equal"), ["gram", "equal"], "left_semi").select("row", "lo", "hi")
+    whole = stash(met.where("members = 1").join(several.where("members > 1").select("gram", "equal"), ["gram", "equal"], "left_semi").select("row", "lo", "hi"), "whole")
+    drop(met, several, mixed)
     return whole, refined
 
 
@@ -233,9 +236,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, kept: str | None = "binar
 
 
 def without_repeats(held: DataFrame, length: int, kept: str | None) -> DataFrame:
-    whole, refined = settle(_segments(held, length))
-    finer, refined = settle(stash(_finer(held, refined, length), "finer"))
-    strings = stash(_strings(held, refined, length), "strings")
+    whole, mixed = settle(_segments(held, length))
+    parts = stash(_finer(held, mixed, length), "finer")
+    drop(mixed)
+    finer, mixed = settle(parts)
+    drop(parts)
+    strings = stash(_strings(held, mixed, length), "strings")
+    drop(mixed)
     twice = stash(strings.groupBy("a", "b").agg(F.sum("members").alias("n")).where("n > 1").select("a", "b"), "twice")
     found = strings.where("members = 1").join(twice, ["a", "b"], "left_semi").select("row", F.col("at").alias("lo"), F.col("at").alias("hi"))
     per_row = whole.unionByName(finer).unionByName(found).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))  # of one document
