@@ -88,3 +88,26 @@ def test_stage_keeps_one_of_each(docs):
     assert out.columns == docs.columns
     kept = [r.doc_id for r in out.select("doc_id").collect()]
     assert 6 in kept and 31 not in kept and 32 not in kept and None not in kept and kept.count(8) <= 1
+
+
+def test_a_task_has_one_worker(docs, monkeypatch):
+    """No step of near_duplicates() puts two passes of Python into one stage: idle workers of a task keep their memory."""
+
+    def deepest(node, above=0):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return deepest(node.inputPlan(), above)
+        own = 0 if "Exchange" in name else above + (name in ("MapInArrow", "FlatMapGroupsInPandas"))
+        below = [node.children().apply(k) for k in range(node.children().size())]
+        return max([own, *(deepest(x, own) for x in below)])
+
+    found = {}
+
+    def stash(df, name):
+        found[name] = max(found.get(name, 0), deepest(df._jdf.queryExecution().executedPlan()))
+        return kept(df, name)
+
+    kept = neardup.stash
+    monkeypatch.setattr(neardup, "stash", stash)
+    neardup.near_duplicates(docs)
+    assert found["texts"] == found["sets"] == 1 and max(found.values()) == 1

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import as_bytes, blobs, chunks, components, drop, forest, groups, joined_on, mix, own_columns, remembered, sieve, sift, slices, spots, squeezed, stash, unsqueezed
+from tracewell.llm.common import as_bytes, blobs, chunks, components, compressed, drop, forest, groups, joined_on, mix, own_columns, remembered, sieve, sift, slices, spots, stash, unsqueezed
 from tracewell.llm.shingles import shingle_set, words
 
 #: Bands and rows of a signature. At a similarity of 0.85 a pair shares no band with probability 1.2e-5, at 0.8 with 6e-4 a
@@ -154,15 +154,22 @@ def _signed(docs: DataFrame, shingle: int, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
-def sieved(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Rows of docs (doc_id, text) whose id may be among those of the sieve."""
+def sieved(docs: DataFrame, bits: np.ndarray, squeeze: bool = False) -> DataFrame:
+    """Rows of docs (doc_id, text) whose id may be among those of the sieve; with `squeeze`, the text is compressed, in z.
+
+    Both are done in one step, as a task has a worker for each.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sift(batches, shared.value):
-            yield b.select(["doc_id", "text"])
+        rows = sift(batches, shared.value)
+        if squeeze:
+            yield from compressed(rows, ["doc_id"])
+        else:
+            for b in rows:
+                yield b.select(["doc_id", "text"])
 
-    return docs.select("doc_id", "text", *spots("doc_id")).mapInArrow(run, "doc_id long, text string")
+    return docs.select("doc_id", "text", *spots("doc_id")).mapInArrow(run, "doc_id long, " + ("z binary" if squeeze else "text string"))
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -209,8 +216,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sig = stash(reps.join(buckets.select("id").distinct(), "id", "left_semi"), "shared")
     # The sieve keeps most of the other texts from being compressed and shuffled; the join is exact.
     wanted = sig.select("doc_id").distinct()
-    texts = squeezed(sieved(docs, sieve(wanted))).join(wanted, "doc_id", "left_semi")
+    texts = sieved(docs, sieve(wanted), squeeze=True).join(wanted, "doc_id", "left_semi")
+    texts = stash(texts, "texts")  # else tasks run workers for sieving and for sets side by side
     sets = stash(_sets(texts, shingle).join(sig.select("digest", "id"), "digest").dropDuplicates(["digest"]).select("id", "shingles"), "sets")
+    drop(texts)
     sig = sig.select("id", "sig")
 
     def pruned(pairs: DataFrame) -> DataFrame:
