@@ -1,6 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tracewell.llm import collocations, queries
@@ -93,3 +94,18 @@ def test_query_equals_sql(spark, tmp_path):
     want = con.execute(collocations.ORACLE).df()
     got = queries.op11_collocations(spark, str(tmp_path)).toPandas()
     assert len(want) and sorted(map(tuple, got[want.columns].values.tolist())) == sorted(map(tuple, want.values.tolist()))
+
+
+def test_a_sieve_needs_no_worker_beside_that_of_its_names(spark, monkeypatch):
+    rows = [("en" if k % 2 else "fr", f"w{k} x{k}".encode()) for k in range(3000)]
+    names = names_of(spark.createDataFrame(rows, "lang string, phrase binary"), 2)
+    h = np.array([r.name for r in names.collect()]).view(np.uint64)
+
+    def second(*_):
+        raise AssertionError("two steps in Python in one task leave two workers in its executor")
+
+    monkeypatch.setattr(type(names), "mapInArrow", second)
+    sieve = sieve_of(names)
+    want = np.zeros(len(sieve) * 8, bool)
+    want[np.concatenate([h & np.uint64(len(want) - 1), h >> np.uint64(32) & np.uint64(len(want) - 1)]).astype(np.int64)] = True
+    assert (np.unpackbits(sieve, bitorder="little") == want).all()

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import GOLD, as_bytes, joined_evenly, mix, own_columns, shuffle_width, stash
+from tracewell.llm.common import GOLD, as_bytes, joined_evenly, mix, own_columns, shuffle_width, slices, stash
 
 #: A sieve has SPARE bits for each frequent phrase, up to MOST of them: 16 MB.
 SPARE, LEAST, MOST = 16, 1 << 20, 1 << 27
@@ -51,7 +52,7 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[
     """Languages with about CHUNK bytes of their texts."""
     held: dict[str, list[bytes]] = {}
     size: Counter = Counter()
-    for b in batches:
+    for b in chain.from_iterable(map(slices, batches)):
         for lang, text in zip(b.column("lang").to_pylist(), as_bytes(b.column("text")), strict=True):
             if not text:
                 continue
@@ -94,11 +95,10 @@ def sieve_of(names: DataFrame) -> np.ndarray:
     """Bits, of which each of names (name) has set two; at most MOST, however many there are."""
     bits = min(MOST, max(LEAST, 1 << (SPARE * names.count()).bit_length()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(b.column(0).to_numpy().view(np.uint64), bits)))], names=["bit"])
-
-    words = names.mapInArrow(run, "bit long").groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("b"))
+    # In the JVM: names may come from Python, and a task with two such steps would leave two workers in its executor for good.
+    name = F.col(names.columns[0])
+    bit = F.explode(F.array(*[F.shiftrightunsigned(name, k).bitwiseAND(F.lit(bits - 1)) for k in (0, 32)])).alias("bit")
+    words = names.select(bit).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("b"))
     out = np.zeros(bits // 64, np.int64)
     found = words.toPandas()  # at most MOST / 64 rows
     out[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
