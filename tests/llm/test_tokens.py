@@ -44,6 +44,30 @@ def test_letters_and_marks_of_all_scripts():
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
 
 
+def test_a_word_is_looked_up_once_a_call():
+    class Counted(dict):
+        n = 0
+
+        def get(self, *x):
+            Counted.n += 1
+            return super().get(*x)
+
+    encoder = tokens.Encoder(PATH, 1)
+    encoder.encode([b"a b c"])
+    encoder.words.numbers = Counted(encoder.words.numbers)
+    text = "a b c d \x0b\x1c\x85" * 500
+    ids, sizes = encoder.encode([b"  ", text.encode(), b"", text.encode()])
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert ids.tolist() == [1, *want, 1, 1, *want, 1] and sizes.tolist() == [1, len(want) + 1, 1, len(want) + 1]
+    assert 5 <= Counted.n <= 12
+
+
+def test_bytes_that_stand_for_the_end():
+    encoder, t = tokens.Encoder(PATH, 1), Tokenizer.from_file(PATH)
+    ids, sizes = encoder.encode([b"a \xff\xfe b", b"c"])
+    assert ids.tolist() == [*t.encode("a \ufffd\ufffd b", add_special_tokens=False).ids, 1, *t.encode("c", add_special_tokens=False).ids, 1] and len(sizes) == 2
+
+
 def test_forgetting(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 50)
     encoder, rng = tokens.Encoder(PATH, 1), random.Random(1)

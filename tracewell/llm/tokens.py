@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, compress
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, pre_tokenizers
@@ -26,22 +26,10 @@ SLICE = 2000
 MARK = "\x01"
 #: Stands for the end of a text among its words; no text holds these bytes.
 END = b"\xff\xfe"
-#: A word that ends with a letter and then symbols. To the tokenizer those symbols are a word of their own, so both parts
+#: Of a word that ends with a letter and then symbols, those symbols are a word of their own to the tokenizer, so both parts
 #: can be looked up. The apostrophe is left out, as some contractions have it.
-_TAIL = re.compile(rb"(.*[a-z])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
-_SYMBOLS = frozenset(rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~""")
-
-
-class _Numbers(dict):
-    """A number for each word, in order of first sight."""
-
-    def __init__(self):
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        self.fresh.append(word)
-        return n
+_TAIL = rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
+_SYMBOLS = frozenset(_TAIL)
 
 
 class _Grown:
@@ -66,6 +54,14 @@ def _taken(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return ids[np.repeat(shift, sizes) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
 
 
+def _distinct(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """(words, place): the different words of texts, and for each word of all texts, with END behind each text, which it is."""
+    whole = b" ".join(x for t in texts for x in (t if END not in t else t.decode("utf-8", "replace").encode(), END)).lstrip()
+    one = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(whole)], np.int64)), pa.py_buffer(whole)])
+    found = pc.ascii_split_whitespace(one).flatten().cast(pa.large_binary()).dictionary_encode()
+    return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()  # to_pylist takes a microsecond a word
+
+
 class WordEncoder:
     """Ids of texts by way of their words.
 
@@ -75,20 +71,15 @@ class WordEncoder:
 
     def __init__(self, tokenizer: Tokenizer, end_id: int):
         self.tokenizer = tokenizer
-        # For words that need neither normalising nor splitting: the same model, without the steps before it.
-        self.plain = Tokenizer.from_str(tokenizer.to_str())
-        self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # For words that need neither normalising nor splitting: the model itself, and what their letters are to it.
+        self.model = tokenizer.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x100) if chr(c).isalpha()}
         (self.mark_id,) = tokenizer.encode(MARK, add_special_tokens=False).ids
-        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends_word[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
-        self._start(_Numbers(), np.zeros(0, np.uint32), np.zeros(0, np.int32))
-        self.numbers[END]
-        self.numbers.fresh.clear()
+        self._start({END: 0}, np.zeros(0, np.uint32), np.zeros(0, np.int32))
         self._add(np.array([end_id], np.uint32), np.array([1], np.int32))
 
-    def _start(self, numbers: _Numbers, ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _start(self, numbers: dict[bytes, int], ids: np.ndarray, sizes: np.ndarray) -> None:
         self.numbers, self.ids, self.sizes = numbers, _Grown(ids), _Grown(sizes)
         self.starts = _Grown((np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.int32))
         self.again = _Grown(np.zeros(len(sizes), bool))  # met in more than one call
@@ -110,17 +101,23 @@ class WordEncoder:
         chosen = np.zeros(len(self.numbers), bool)
         chosen[keep] = True
         words = list(compress(self.numbers, chosen.tolist()))
-        self.numbers = numbers = _Numbers()  # the old one goes before the new one grows
-        for w in words:
-            numbers[w]
-        numbers.fresh.clear()
-        self._start(numbers, *self._known(keep))
+        self.numbers = {}  # the old one goes before the new one grows
+        self._start(dict(zip(words, range(len(words)), strict=True)), *self._known(keep))
         trim()
 
-    def _runs(self, text: list[str], between: str, tokenizer: Tokenizer) -> np.ndarray:
-        runs = [between.join(text[k : k + AT_ONCE]) for k in range(0, len(text), AT_ONCE)]
-        found = tokenizer.encode_batch_fast(runs, add_special_tokens=False)
-        return np.fromiter(chain.from_iterable(x for e in found for x in (e.ids, [self.mark_id])), dtype=np.uint32)
+    def _plain(self, text: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        tokenize, letters = self.model.tokenize, self.letters
+        each = [[t.id for t in tokenize(x if x.isascii() else x.translate(letters))] for x in text]
+        return np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+
+    def _marked(self, text: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        runs = [f" {MARK} ".join(text[k : k + AT_ONCE]) for k in range(0, len(text), AT_ONCE)]
+        found = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(x for e in found for x in (e.ids, [self.mark_id])), dtype=np.uint32)
+        marks = ids == self.mark_id
+        n, ids = np.diff(np.flatnonzero(marks), prepend=-1) - 1, ids[~marks]
+        # Else a tokenizer that sees other words than these.
+        return (ids, n) if len(n) == len(text) and n.sum() == len(ids) else self._alone(text)
 
     def _alone(self, text: list[str]) -> tuple[np.ndarray, np.ndarray]:
         each = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32) for x in text]
@@ -129,25 +126,13 @@ class WordEncoder:
     def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words in turn, and their numbers."""
         text = [w.decode("utf-8", "replace") for w in words]
-        # Small letters up to \xff stay as they are and make one word, whose last id says so. Of others it is up to the
-        # tokenizer what they become, so they get a mark behind them; those that may hold a special token or the mark are
-        # encoded alone.
+        # Small letters up to \xff stay as they are and make one word. Of others it is up to the tokenizer what they become, so
+        # they get a mark behind them; those that may hold a special token or the mark are encoded alone.
         kind = np.array([0 if x.isalpha() and (x.isascii() or max(x) <= "\xff") and x == x.lower() else 2 if "<|" in x or MARK in x else 1 for x in text])
         every: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for k, between, tokenizer in ((0, " ", self.plain), (1, f" {MARK} ", self.tokenizer), (2, None, None)):
-            if not len(at := np.flatnonzero(kind == k)):
-                continue
-            own = [text[k] for k in at.tolist()]
-            if between is None:
-                ids, n = self._alone(own)
-            else:
-                ids = self._runs(own, between, tokenizer)
-                marks = ids == self.mark_id
-                n = np.diff(np.flatnonzero(self.ends_word[ids[~marks]]), prepend=-1) if k == 0 else np.diff(np.flatnonzero(marks), prepend=-1) - 1
-                ids = ids[~marks]
-                if len(n) != len(own) or n.sum() != len(ids):  # a tokenizer that sees other words than these
-                    ids, n = self._alone(own)
-            every.append((at, ids, n))
+        for k, encode in enumerate((self._plain, self._marked, self._alone)):
+            if len(at := np.flatnonzero(kind == k)):
+                every.append((at, *encode([text[k] for k in at.tolist()])))
         sizes = np.zeros(len(words), np.int32)
         starts, base = np.zeros(len(words), np.int64), 0
         for at, ids, n in every:
@@ -161,11 +146,11 @@ class WordEncoder:
         need: dict[bytes, int] = {}
         parts, counts = [], np.ones(len(words), np.int64)
         for k, w in enumerate(words):
-            if w[-1] in _SYMBOLS and (m := _TAIL.fullmatch(w)) and b"<|" not in w:
+            if w[-1] in _SYMBOLS and b"a" <= (head := w.rstrip(_TAIL))[-1:] <= b"z" and b"<|" not in w:
                 counts[k] = 2
-                for x in m.groups():
-                    at = known.get(x, learned)
-                    parts.append(at if at < learned else learned + need.setdefault(x, len(need)))
+                for x in (head, w[len(head) :]):
+                    at = known.get(x, -1)
+                    parts.append(at if at >= 0 else learned + need.setdefault(x, len(need)))
             else:
                 parts.append(learned + need.setdefault(w, len(need)))
         ids, sizes = self._encoded(list(need))
@@ -183,22 +168,25 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in turn, each text's with the end id behind them, and their numbers."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if len(self.numbers) > REMEMBERED:
             self._forget()
         # ASCII letters are lower-cased at once. Where a special token's text might be, that is left to the tokenizer, and
         # where combining marks are (their first bytes are \xcc and \xcd): it composes before it lower-cases.
-        split = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
-        for words in split:
-            words.append(END)
-        counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), dtype=np.int32, count=int(counts.sum()))
-        before = self.starts.n
-        if self.numbers.fresh:
-            self._learn(self.numbers.fresh)
-            self.numbers.fresh.clear()
-        self.again.data[at[at < before]] = True
+        low = [t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts]
+        words, place = _distinct(low)
+        own = np.fromiter(map(self.numbers.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+        new = own < 0
+        self.again.data[own[~new]] = True
+        if new.any():
+            own[new] = np.arange(len(self.numbers), len(self.numbers) + new.sum())
+            fresh = list(compress(words, new.tolist()))
+            self._learn(fresh)
+            self.numbers.update(zip(fresh, own[new].tolist(), strict=True))
+        at = own[place]
         ids, sizes = self._known(at)
-        ends = np.cumsum(sizes, dtype=np.int64)[np.cumsum(counts) - 1]
+        ends = np.cumsum(sizes, dtype=np.int64)[at == 0]
         return ids, np.diff(ends, prepend=0)
 
 
